@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,3 +98,28 @@ def gapless(df: DataFrame, group: list[str], order: list[str], slot: str, weight
 
 def partition_number() -> int:
     return TaskContext.get().partitionId()
+
+
+def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with batches bounded by bytes, so that long texts do not gather in one batch."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Before Python runs on the executors: bounded batches, and this package where they can import it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context; they need not have it installed."""
+    context, name = spark.sparkContext, "spanwright_package.zip"
+    if any(x.endswith(name) for x in context._python_includes):
+        return
+    root = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="spanwright-")) / name
+    with zipfile.ZipFile(at, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(at))

@@ -7,9 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality
+from . import chat, decontam, mixing, quality, tokens, toxicity
 from .common import table
 
+#: op1: the vocabulary and the end id.
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = tokens.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
+    return tokens.read_documents(spark, folder)
+
 
 def op2_chat_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
@@ -86,6 +96,14 @@ FROM judged
 """
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -99,8 +117,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_output": op1_token_output,
         "op2_chat_reconstruction": op2_chat_reconstruction,
+        "op3_decontamination": op3_decontamination,
         "op5_quality_rules": op5_quality_rules,
+        "op6_toxicity": op6_toxicity,
         "op9_mixing": op9_mixing,
     }
 
