@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, quality, tokens, toxicity
+from . import chat, decontam, mixing, pii, quality, sharding, tokens, toxicity
 from .common import table
 
 #: op1: the vocabulary and the end id.
@@ -109,12 +109,23 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.pii_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return spans.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.concat("base", "terms")).alias("spans"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.draws(table(spark, sf_dir, "documents"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["to"] - d["from"])
     return drawn.select("doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", taken.alias("taken"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
@@ -122,7 +133,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op5_quality_rules": op5_quality_rules,
         "op6_toxicity": op6_toxicity,
+        "op7_pii": op7_pii,
         "op9_mixing": op9_mixing,
+        "op10_sharding": op10_sharding,
     }
 
 
