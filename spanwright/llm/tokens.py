@@ -8,7 +8,7 @@ keyed read finds the segment by its key range, hashes once, compares the fingerp
 
 Tokenising: the vocabularies meant here normalise and split at white space, so a text's ids are its
 white-space chunks' ids one after another. Chunks repeat a lot, so ids are kept per chunk in a
-bounded table and only new chunks go through the tokenizer.
+bounded table and only new chunks go through the tokenizer, or its model where a chunk is plainly a word.
 
 Defined cases: null and empty texts have only the end id; a null doc_id sorts first and is keyed as
 such; rows that repeat a doc_id are documents of their own (keyed with their number among equals in
@@ -17,6 +17,9 @@ the segment; lookup() returns each); an empty table writes an empty table; other
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,38 +34,104 @@ from .common import arrow_map, cut, new_folder, partition_number, small_side
 
 #: A segment is closed at so many ids or documents, whichever comes first.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1024
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 700_000
 SEGMENT_SCHEMA = (
     "shard int, segment int, ids_before long, n_ids long, n_docs int, id_bytes int, first_key long, last_key long, "
     "keys binary, null_keys int, seed int, pilots binary, prints binary, offsets binary, lengths binary, payload binary"
 )
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letters of Latin-1 as the vocabularies spell their UTF-8 bytes: each byte is one printable sign."""
+    signs, free = {}, 256
+    for byte in range(256):
+        printable = 33 <= byte <= 126 or 161 <= byte <= 172 or 174 <= byte
+        signs[byte] = chr(byte) if printable else chr(free)
+        free += not printable
+    return {c: "".join(signs[b] for b in chr(c).encode()) for c in range(0xDF, 0x100) if c != 0xF7}
+
+
+_WORD = re.compile(r"[a-zß-öø-ÿ]+")
+#: A stop next to a sign that may share its pre-token.
+_CROWDED_STOP = re.compile(r"[.,][^\w\s]|[^\w\s][.,]|_")
+
+
 class ChunkEncoder:
-    """Ids of texts as bytes of one dtype, white-space chunk by chunk."""
+    """Ids of texts as bytes of one dtype, white-space chunk by chunk.
+
+    A plain word of Latin letters is one pre-token whatever stands around it, so words are lower-cased,
+    kept apart from their stops, and new ones go straight to the vocabulary's model. All other chunks
+    take the whole tokenizer.
+    """
 
     def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {"": b""}
+        probe = ["straße", "the", "élan", "zu", "ñandú"]
+        self.fast = [x.ids for x in self._by_model(probe)] == [self._ids(x) for x in probe]
+
+    def _ids(self, chunk: str) -> list[int]:
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
+    def _by_model(self, words: list[str]):
+        return self.plain.encode_batch_fast([w.translate(self.letters) for w in words], add_special_tokens=False)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        plain = [c for c in chunks if self.fast and _WORD.fullmatch(c)]
+        rest = [c for c in chunks if not self.fast or not _WORD.fullmatch(c)]
+        for part, found in ((plain, self._by_model), (rest, lambda x: self.tokenizer.encode_batch_fast(x, add_special_tokens=False))):
+            if part:
+                got = [x.ids for x in found(part)]
+                data = self._bytes([i for ids in got for i in ids])
+                at, width = 0, self.dtype.itemsize
+                for chunk, ids in zip(part, got, strict=True):
+                    end = at + width * len(ids)
+                    self.known[chunk] = data[at:end]
+                    at = end
+
+    def _chunks(self, text: str) -> list[str]:
+        """White-space chunks. In texts of Latin-1, lower-cased and with lone stops as chunks of their own: the same pre-tokens.
+
+        Only " " and "\n" split here; whatever other white space a chunk holds, the tokenizer sees.
+        """
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        if "<|" not in text:
+            text = text.lower()
+            if not _CROWDED_STOP.search(text):
+                text = text.replace(",", " , ").replace(".", " . ")
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # Only " " and "\n" split here; whatever other white space a chunk holds, the tokenizer sees.
-        split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > CACHED_CHUNKS:
             known.clear()
             known[""] = b""
-        new = list({c for chunks in split for c in chunks if c not in known})
+        split = [self._chunks(t) for t in texts]
+        new = [c for c in set().union(*split) if c not in known]
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(found.ids, dtype=self.dtype).tobytes()
+            self._learn(new[at : at + 4096])
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(tokenizer_path: str) -> ChunkEncoder:
+    """One encoder a Python worker, kept from task to task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return ChunkEncoder(tokenizer_path)
+
+
 def key_hashes(keys: np.ndarray, copies: np.ndarray, null: np.ndarray) -> np.ndarray:
     return perfect_hash.mix(keys.astype(np.uint64)) + copies.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + null.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D)
 
@@ -106,7 +175,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     schema = _arrow_schema(SEGMENT_SCHEMA)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         shard, number, before = partition_number(), 0, 0
         ids: list[bytes] = []
@@ -120,8 +189,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256).to_pydict()
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64).to_pydict()
                 for key, own in zip(part["doc_id"], encoder.encode([t or "" for t in part["text"]]), strict=True):
                     keys.append(key)
                     ids.append(own + end)
