@@ -246,10 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     gain = a * F.log(a / ((a + b) * rate)) + b * F.log(b / ((a + b) * (1 - rate)))  # log-likelihood ratio
     picked = [r["word"] for r in counts.withColumn("gain", gain).where(F.col("gain") > 3).orderBy(F.desc("gain"), "word").limit(VOCABULARY).collect()]
     number = {w: k for k, w in enumerate(picked)}
-    wanted = F.broadcast(words.sparkSession.createDataFrame([(w,) for w in picked], "word string")) if picked else None
     rows, y = [], []
     if picked:
-        hits = words.select("doc_id", "toxic", F.explode("words").alias("word")).join(wanted, "word").groupBy("doc_id", "toxic").agg(F.collect_list("word").alias("words"))
+        hits = words.select("toxic", F.array_intersect("words", F.lit(picked)).alias("words")).where(F.size("words") > 0)
         for r in hits.collect():  # at most SAMPLE_DOCS rows
             rows.append(np.array(sorted(number[w] for w in r["words"]), np.int64))
             y.append(r["toxic"])
