@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, pii, quality, sharding, tokens, toxicity
+from . import chat, decontam, minhash, mixing, pii, quality, sharding, tokens, toxicity
 from .common import table
 
 #: op1: the vocabulary and the end id.
@@ -115,6 +115,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.concat("base", "terms")).alias("spans"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.draws(table(spark, sf_dir, "documents"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["to"] - d["from"])
@@ -134,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_toxicity": op6_toxicity,
         "op7_pii": op7_pii,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_mixing": op9_mixing,
         "op10_sharding": op10_sharding,
     }
