@@ -181,16 +181,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
+def clean_text(index):
+    """A column function: whether a text holds none of the passages of a broadcast index."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not index.value.hits(t or "") for t in texts], dtype="bool")
+
+    return clean
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark passage."""
     spark = docs.sparkSession
     bound_batches(spark)
     for items in passage_blocks(benchmark):
-        index = spark.sparkContext.broadcast(PassageIndex(items))
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, index=index) -> pd.Series:
-            return pd.Series([not index.value.hits(t or "") for t in texts])
-
-        docs = docs.where(clean(F.col("text").cast("string")))
+        docs = docs.where(clean_text(spark.sparkContext.broadcast(PassageIndex(items)))(F.col("text").cast("string")))
     return docs
