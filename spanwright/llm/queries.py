@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, minhash, mixing, pii, quality, sharding, tokens, toxicity
+from . import chat, decontam, minhash, mixing, pii, quality, sharding, suffix, tokens, toxicity
 from .common import table
 
 #: op1: the vocabulary and the end id.
@@ -100,6 +100,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats_removed(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -135,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_output": op1_token_output,
         "op2_chat_reconstruction": op2_chat_reconstruction,
         "op3_decontamination": op3_decontamination,
+        "op4_repeated_passages": op4_repeated_passages,
         "op5_quality_rules": op5_quality_rules,
         "op6_toxicity": op6_toxicity,
         "op7_pii": op7_pii,
