@@ -1,0 +1 @@
+"""Spark-native analytics over time intervals found in long recordings."""
