@@ -6,9 +6,12 @@ candidates (a pair at similarity 0.8 shares no band about three times in ten mil
 confirmed on full sets.
 
 Equal sets are one class, and only a class's least doc_id goes on, so large groups of exact copies
-cost one row each. A band's bucket is not paired out: its members meet hubs, hubs are chosen anew for
-members that still lie in different components, and only pairs of different components that have
-met no hub in common are compared one by one. Components come from large-star and small-star rounds.
+cost one row each. A band's bucket is not paired out: its members are tied to its least member, and
+what hangs together is a family; all links lie inside families. In large families a document most of
+whose shingles no other member has cannot reach the similarity with any, and leaves (this undoes
+families that only a common passage ties). Families are cut into blocks of bounded rows and shingles;
+a task takes a pair of blocks, counts shared shingles for all its documents at once, and returns a
+spanning set of the links. Components come from large-star and small-star rounds.
 
 Defined cases: texts without words, null or empty, have empty sets and are linked with nothing; texts
 with fewer words than a shingle have one shingle of all of them; a null doc_id is its own class with a
@@ -22,17 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, cut
+from .common import arrow_map, cut, gapless
 from .perfect_hash import mix
 
 PERMUTATIONS, BAND_ROWS = 32, 3
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
 PERCENT = 80
-HUB_ROUNDS = 3
+#: Families of more documents are thinned; a block has at most so many documents, and so many shingles beside its last document's.
+LARGE_FAMILY, BLOCK_DOCS, BLOCK_SHINGLES = 256, 1024, 1 << 20
 
 _random = np.random.default_rng(20_240_501)
 _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,14 +152,107 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return arrow_map(_texts(docs).join(ids, F.col("doc_id") == F.col("id"), "left_semi"), scan, SET_SCHEMA)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = sets_of(docs, ids, words)
-    sets = cut(sets.join(classes.select(F.col("rep").alias("_id"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2")), (F.col("id") == F.col("_id")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")), "left_semi"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", shared.cast("long").alias("n"), (F.size("x") + F.size("y")).cast("long").alias("m")).where(100 * F.col("n") >= percent * (F.col("m") - F.col("n"))).select("a", "b").distinct()
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets. Frequent shingles are counted by a product of matrices, rare ones pair by pair."""
+    n = len(sets)
+    who = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, token, count = np.unique(np.concatenate([*sets, np.empty(0, np.int64)]), return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), np.float32)
+    order = np.argsort(token, kind="stable")
+    who, first = who[order], np.cumsum(count) - count
+    frequent = np.flatnonzero(count >= 48)
+    for at in range(0, len(frequent), 2048):
+        part = frequent[at : at + 2048]
+        held = np.zeros((n, len(part)), np.float32)
+        for k, t in enumerate(part):
+            held[who[first[t] : first[t] + count[t]], k] = 1
+        out += held @ held.T
+    flat = out.ravel()
+    for d in np.unique(count[(count > 1) & (count < 48)]).tolist():
+        starts = first[count == d]
+        left, right = np.triu_indices(d, 1)
+        step = max(1, (1 << 21) // len(left))
+        for at in range(0, len(starts), step):
+            docs = who[starts[at : at + step, None] + np.arange(d)]
+            pairs = (docs[:, left].astype(np.int64) * n + docs[:, right]).ravel()
+            key, k = np.unique(pairs, return_counts=True)
+            flat[key] += k
+            flat[key % n * n + key // n] += k
+    return out
+
+
+def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of pairs that reach the similarity, enough of them to tie what is tied."""
+    size = np.array([len(x) for x in sets], np.float64)
+    shared = shared_counts(sets)
+    near = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+    free = np.ones(len(ids), bool)
+    out = []
+    for i in range(len(ids)):
+        if not free[i]:
+            continue
+        free[i] = False
+        open_ = [i]
+        while open_:
+            u = open_.pop()
+            found = np.flatnonzero(near[u] & free)
+            free[found] = False
+            out += [(ids[u], ids[v]) for v in found.tolist()]
+            open_ += found.tolist()
+    return out
+
+
+def families_of(banded: DataFrame) -> DataFrame:
+    """id and family (component of the graph that ties each bucket's members to its least one). banded: key, id."""
+    least = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return components(banded.join(least, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "family")
+
+
+def thinned(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Ids of large families that may have a link: enough of their shingles are in another member's set too.
+
+    Shared shingles are at most those seen twice in the family, and a link needs `percent` of the whole set.
+    """
+    big = families.groupBy("family").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE_FAMILY).select("family")
+    rows = families.join(big, "family").join(sets.select("id", F.explode("hashes").alias("h")), "id")
+    twice = rows.groupBy("family", "h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("family", "h")
+    seen = rows.join(twice, ["family", "h"]).groupBy("id").agg(F.count(F.lit(1)).alias("_k"))
+    enough = sets.join(seen, "id").where(100 * F.col("_k") >= percent * F.size("hashes")).select("id")
+    small = families.join(big, "family", "left_anti").select("id")
+    return small.union(enough)
+
+
+def block_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside families, confirmed on full sets."""
+    weight = F.greatest(F.size("hashes"), F.lit(BLOCK_SHINGLES // BLOCK_DOCS)).cast("long")
+    members = cut(families.join(sets.select("id", weight.alias("_w")), "id"))
+    placed = cut(gapless(members, ["family"], ["id"], "_place", weight="_w").withColumn("block", F.floor(F.col("_place") / BLOCK_SHINGLES)).select("id", "family", "block"))
+    blocks = placed.groupBy(F.col("family").alias("_f")).agg(F.max("block").alias("_last"))
+    met = placed.join(blocks, F.col("family") == F.col("_f")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    keyed = met.select("id", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets = None, [], []
+
+        def told() -> pa.RecordBatch:
+            links = spanning_links(ids, sets, percent) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            own = batch.select(["family", "i", "j", "id"]).to_pylist()
+            hashes = batch.column(batch.schema.get_field_index("hashes"))
+            for k, row in enumerate(own):
+                now = (row["family"], row["i"], row["j"])
+                if now != key:
+                    yield told()
+                    key, ids, sets = now, [], []
+                ids.append(row["id"])
+                sets.append(hashes[k].values.to_numpy())
+        yield told()
+
+    n = int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keyed.join(sets.select("id", "hashes"), "id").select("key", "family", "i", "j", "id", "hashes").repartition(n, "key").sortWithinPartitions("key", "family", "i", "j", "id")
+    return arrow_map(rows, scan, "a long, b long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -193,40 +290,16 @@ def linked_classes(docs: DataFrame, words: int = 4, percent: int = PERCENT) -> t
     full = scan.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
-    banded = reps.select(F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("key"))
+    banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1").select("key")
     banded = cut(banded.join(crowded, "key"))
-
-    def hub(seed: int) -> Column:
-        return F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id"))["id"]
-
-    def ordered(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    tested = links = found = None
-    for seed in range(HUB_ROUNDS + 1):
-        mixed = banded
-        if found is not None:
-            placed = banded.join(found.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
-            open_ = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
-            mixed = banded = cut(placed.join(open_, "key"))
-            if not banded.limit(1).count():
-                break
-        if seed < HUB_ROUNDS:
-            hubs = mixed.groupBy("key").agg(hub(seed).alias("hub"))
-            pairs = mixed.join(hubs, "key").where("id <> hub").select(*ordered("id", "hub"))
-        else:
-            # What is left: pairs of one bucket in different components that no hub has met, lengths allowing.
-            x, y = (mixed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n_shingles", "component")]) for s in "xy")
-            fits = (100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y")) & (F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y"))
-            pairs = x.join(y, "key").where(fits).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
-        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        good = cut(confirmed(pairs, docs, classes, words, percent))
-        tested = pairs if tested is None else cut(tested.union(pairs))
-        links = good if links is None else cut(links.union(good))
-        found = components(links)
-        banded = banded.select("key", "id", "n_shingles")
+    families = families_of(banded)
+    sets = sets_of(docs, families.select("id"), words)
+    told = classes.select(F.col("rep").alias("_id"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"))
+    sets = cut(sets.join(told, (F.col("id") == F.col("_id")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")), "left_semi").select("id", "hashes"))
+    kept = cut(thinned(families, sets, percent))
+    families = families_of(banded.join(kept, "id", "left_semi"))
+    found = components(cut(block_links(families, sets, percent)))
     members = scan.join(classes.withColumnsRenamed({"s1": "_s1", "s2": "_s2", "n_shingles": "_n"}), (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n_shingles") == F.col("_n")), "left")
     return members.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), found
 
