@@ -42,7 +42,8 @@ def over_budget(cost: DataFrame, limit: int) -> DataFrame:
 
 def check_budget(cost: DataFrame, limit: int) -> DataFrame:
     """cost, failing at run time on a plan over the limit."""
-    return cost.withColumn("_ok", F.assert_true(F.col("model_calls") <= limit, F.concat(F.lit("over budget: "), F.col("model_calls").cast("string")))).drop("_ok")
+    refused = F.raise_error(F.concat(F.lit("over budget: "), F.col("model_calls").cast("string"))).cast("int")
+    return cost.withColumn("model_calls", F.when(F.col("model_calls") <= limit, F.col("model_calls")).otherwise(refused))
 
 
 def poll_grid(media: DataFrame, step_s: float = STEP_S, span_s: float = SPAN_S) -> DataFrame:
