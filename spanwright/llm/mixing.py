@@ -132,7 +132,7 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHA
 
     whole: a document goes, entire, with the block that its first word is in.
     """
-    sized = cut(sized_documents(docs) if "size" not in docs.columns else docs.select("doc_id", "source", "size"))
+    sized = cut(sized_documents(docs))
     by_source = small_side(cut(splitting_tree(quotas(targets(sized, weights)), shards, seed)).withColumnRenamed("source", "_source"), 10_000)
     placed = gapless(sized, ["source"], ["doc_id", "size"], "_start", weight="size")
     placed = placed.join(by_source, F.col("source").eqNullSafe(F.col("_source")), "left")
