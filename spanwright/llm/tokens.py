@@ -72,31 +72,40 @@ class ChunkEncoder:
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         self.letters = _byte_letters()
+        suffix, held = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(held.values()) + 1, bool)
+        self.ends_word[[i for t, i in held.items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {"": b""}
         probe = ["straße", "the", "élan", "zu", "ñandú"]
-        self.fast = [x.ids for x in self._by_model(probe)] == [self._ids(x) for x in probe]
-
-    def _ids(self, chunk: str) -> list[int]:
-        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-
-    def _by_model(self, words: list[str]):
-        return self.plain.encode_batch_fast([w.translate(self.letters) for w in words], add_special_tokens=False)
+        self.fast = self._by_model(probe) == self._whole(probe)
+
+    def _by_model(self, words: list[str]) -> list[bytes]:
+        """Words, none empty and none with a space, as texts of many words; the vocabulary marks tokens that end a word."""
+        out: list[bytes] = []
+        texts = [" ".join(words[at : at + 512]) for at in range(0, len(words), 512)]
+        texts = [t if t.isascii() else t.translate(self.letters) for t in texts]
+        for k, found in enumerate(self.plain.encode_batch_fast(texts, add_special_tokens=False)):
+            part = words[512 * k : 512 * k + 512]
+            ids = np.array(found.ids, dtype=self.dtype)
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(ends) != len(part):
+                out += self._whole(part)
+                continue
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [self._bytes(x.ids) for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if self.fast and _WORD.fullmatch(c)]
-        rest = [c for c in chunks if not self.fast or not _WORD.fullmatch(c)]
-        for part, found in ((plain, self._by_model), (rest, lambda x: self.tokenizer.encode_batch_fast(x, add_special_tokens=False))):
-            if part:
-                got = [x.ids for x in found(part)]
-                data = self._bytes([i for ids in got for i in ids])
-                at, width = 0, self.dtype.itemsize
-                for chunk, ids in zip(part, got, strict=True):
-                    end = at + width * len(ids)
-                    self.known[chunk] = data[at:end]
-                    at = end
+        plain = list(filter(_WORD.fullmatch, chunks)) if self.fast else []
+        rest = list(set(chunks).difference(plain))
+        self.known.update(zip(plain, self._by_model(plain), strict=True))
+        self.known.update(zip(rest, self._whole(rest), strict=True))
 
     def _chunks(self, text: str) -> list[str]:
         """White-space chunks. In texts of Latin-1, lower-cased and with lone stops as chunks of their own: the same pre-tokens.
@@ -119,7 +128,7 @@ class ChunkEncoder:
             known.clear()
             known[""] = b""
         split = [self._chunks(t) for t in texts]
-        new = [c for c in set().union(*split) if c not in known]
+        new = sorted((c for c in set().union(*split) if c not in known), key=str.isascii)
         for at in range(0, len(new), 4096):
             self._learn(new[at : at + 4096])
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
