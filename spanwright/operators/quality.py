@@ -47,9 +47,9 @@ def moved_judged(plan: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def zone(t: Column, start: Column, end: Column, margin: float = 0.35) -> Column:
-    """in, edge or out of one event."""
+    """in, edge or out of one event; inside keeps off the ends by the margin, or a quarter of a short event."""
     m = F.least(F.lit(margin), (end - start) / 4)
-    return F.when((t >= start + m) & (t <= end - m), "in").when((t >= start - m) & (t <= end + m), "edge").otherwise("out")
+    return F.when((t >= start + m) & (t <= end - m), "in").when((t >= start - margin) & (t <= end + margin), "edge").otherwise("out")
 
 
 def zones(points: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,3 +106,77 @@ def offset_sweep(events: DataFrame, offsets: tuple[float, ...], window_s: float,
     at = F.explode(F.array(*[F.lit(x) for x in offsets]))
     rows = events.withColumn("offset_s", at).withColumn("_w", F.col("start_s") - F.col("offset_s"))
     return rows.select(key, "offset_s", ((F.col("start_s") >= F.col("_w")) & (F.col("end_s") <= F.col("_w") + window_s)).alias("contains"), rounded((F.col("start_s") - F.col("_w")) / window_s, 4).alias("position"))
+
+
+QUIET_PCT, ACTIVE_PCT = 0.5, 1.5
+
+
+def motion_agreement(trace: DataFrame, events: DataFrame, axes: DataFrame, quiet: float = QUIET_PCT, active: float = ACTIVE_PCT) -> DataFrame:
+    """video, axis, inside, outside, verdict: whether motion (video, point_id, t, moved_pct) agrees with the labels.
+
+    An absence of motion is still inside and moves outside; other events move inside, and at least as much as outside.
+    """
+    placed = zones(trace, events, ["video"]).join(trace.select("video", "point_id", "moved_pct"), ["video", "point_id"])
+    sums = placed.groupBy("video").agg(
+        F.coalesce(F.max(F.when(F.col("zone") == "in", F.col("moved_pct"))), F.lit(0.0)).alias("inside"),
+        F.coalesce(F.max(F.when(F.col("zone") == "out", F.col("moved_pct"))), F.lit(0.0)).alias("outside"),
+        F.count_if(F.col("zone") == "in").alias("_n"),
+    )
+    named = sums.join(axes, "video", "left").withColumn("axis", F.coalesce("axis", F.lit("unknown"))).join(events.groupBy("video").agg(F.count(F.lit(1)).alias("_events")), "video", "left")
+    has, i, o = F.coalesce("_events", F.lit(0)) > 0, F.col("inside"), F.col("outside")
+    verdict = (
+        F.when((F.col("_n") == 0) & has & (F.col("axis") != "negative"), "nothing sampled inside")
+        .when((F.col("axis") == "absence_of_motion") & (i > quiet), "moves while stopped")
+        .when((F.col("axis") == "absence_of_motion") & (o < active), "never moves outside")
+        .when(F.col("axis").isin("absence_of_motion", "negative"), "ok")
+        .when(~has, "no event labelled")
+        .when(i < active, "nothing moves inside")
+        .when(i < o, "moves more outside")
+        .otherwise("ok")
+    )
+    return named.select("video", "axis", "inside", "outside", verdict.alias("verdict"))
+
+
+def probe_sweep(cases: DataFrame, fps: tuple[float, ...], variants: tuple[str, ...]) -> DataFrame:
+    """cases at every rate under every prompt variant."""
+    return cases.withColumn("fps", F.explode(F.array(*[F.lit(x) for x in fps]))).withColumn("prompt_variant", F.explode(F.array(*[F.lit(x) for x in variants])))
+
+
+def replay_recovery(parsed: DataFrame, failed_before: Column) -> DataFrame:
+    """One row: parsed cleanly, failed before, of these recovered and still failing. parsed: events, error."""
+    clean = F.col("error").isNull()
+    back = failed_before & clean & (F.size("events") > 0)
+    return parsed.agg(F.count_if(clean).alias("parsed"), F.count_if(failed_before).alias("failed_before"), F.count_if(back).alias("recovered"), F.count_if(failed_before & ~back).alias("still_failing"))
+
+
+def control_spans(clips: DataFrame, margin: float = 0.5) -> DataFrame:
+    """clips (duration_s, ...) with start_s, end_s: nearly the whole clip, for clips cut around their activity."""
+    start = F.least(F.lit(margin), F.col("duration_s") / 4)
+    return clips.withColumn("start_s", rounded(start, 3)).withColumn("end_s", rounded(F.greatest(F.col("start_s") + 0.1, F.col("duration_s") - margin), 3))
+
+
+def first_of_each(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """The first row of each value, such as one clip for each activity."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where("_n = 1").drop("_n")
+
+
+def phrased(activities: DataFrame, phrasing: DataFrame) -> DataFrame:
+    """activities (activity) with description: the phrasing, else the name in words; and whether it was mapped."""
+    named = activities.join(phrasing.select("activity", F.col("description").alias("_d")), "activity", "left")
+    return named.withColumn("description", F.coalesce("_d", F.lower(F.translate("activity", "_-", "  ")))).withColumn("phrasing_mapped", F.col("_d").isNotNull()).drop("_d")
+
+
+def progress(calls: Column, per_clip: int, per_poll: int, step_s: float) -> tuple[Column, Column]:
+    """(clip number from 1, second of its video) that a count of calls has come to."""
+    within = calls % per_clip
+    return F.floor(calls / per_clip) + 1, F.floor(within / per_poll) * step_s
+
+
+def averaged_probabilities(asked: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, option, p: mean over option orders, NaN where no order gave one."""
+    return asked.groupBy(*keys, "option").agg(F.coalesce(F.avg("p"), F.lit(float("nan"))).alias("p"))
+
+
+def refuse_stubs(runs: DataFrame) -> DataFrame:
+    """runs (stub, ...), failing at run time on a stub's: its scores would mean nothing."""
+    return runs.withColumn("stub", F.when(~F.col("stub"), F.col("stub")).otherwise(F.raise_error(F.lit("a stub run is not scored")).cast("boolean")))

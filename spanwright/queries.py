@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .functions.intervals import rounded
 from .operators import grids, joins, merge, metrics, quality, responses, signal, states
+from .plans import prompts
 from .sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -614,7 +615,7 @@ def moved_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "SELECT point_id, coalesce(arg_min(z, k) FILTER (z <> 'out'), 'out') AS zone FROM z GROUP BY point_id",
     """pts AS (SELECT video, event_id AS point_id, t FROM frames WHERE event_id % 3 <> 0),
-z AS (SELECT point_id, CASE WHEN t >= start_s + m AND t <= end_s - m THEN 'in' WHEN t >= start_s - m AND t <= end_s + m THEN 'edge' ELSE 'out' END AS z, k
+z AS (SELECT point_id, CASE WHEN t >= start_s + m AND t <= end_s - m THEN 'in' WHEN t >= start_s - 0.35 AND t <= end_s + 0.35 THEN 'edge' ELSE 'out' END AS z, k
   FROM (SELECT pts.*, e.start_s, e.end_s, least(0.35::DOUBLE, (e.end_s - e.start_s) / 4) AS m, row_number() OVER (PARTITION BY point_id ORDER BY e.start_s, e.end_s, e.event_id) AS k FROM pts LEFT JOIN truths e ON e.video = pts.video))""",
 )
 def edge_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -664,3 +665,75 @@ def recording_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     clock = lambda s: F.format_string("%02d-%02d-%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
     a, b = F.col("event_id") * 7 % 86_400, (F.col("event_id") * 7 + 61) % 86_400
     return A.table(spark, sf_dir, "events").select("event_id", X.seconds_of_name(F.concat(clock(a), F.lit("."), clock(b))).alias("seconds"))
+
+
+_ZONED = """pts AS (SELECT video, event_id AS point_id, t, (event_id % 40) / 10.0::DOUBLE AS moved_pct FROM frames),
+near AS (SELECT pts.*, e.start_s, e.end_s, least(0.35::DOUBLE, (e.end_s - e.start_s) / 4) AS m, row_number() OVER (PARTITION BY point_id ORDER BY e.start_s, e.end_s, e.event_id) AS k FROM pts LEFT JOIN truths e ON e.video = pts.video),
+z AS (SELECT video, point_id, moved_pct, k, CASE WHEN t >= start_s + m AND t <= end_s - m THEN 'in' WHEN t >= start_s - 0.35 AND t <= end_s + 0.35 THEN 'edge' ELSE 'out' END AS z FROM near),
+zoned AS (SELECT video, point_id, any_value(moved_pct) AS moved_pct, coalesce(arg_min(z, k) FILTER (z <> 'out'), 'out') AS zone FROM z GROUP BY video, point_id),
+sides AS (SELECT video, coalesce(max(moved_pct) FILTER (zone = 'in'), 0) AS inside, coalesce(max(moved_pct) FILTER (zone = 'out'), 0) AS outside, count(*) FILTER (zone = 'in') AS n FROM zoned GROUP BY video)"""
+
+
+@query(
+    """SELECT video, axis, inside, outside, CASE WHEN n = 0 AND ev > 0 THEN 'nothing sampled inside' WHEN ev = 0 THEN 'no event labelled' WHEN inside < 1.5 THEN 'nothing moves inside' WHEN inside < outside THEN 'moves more outside' ELSE 'ok' END AS verdict
+FROM (SELECT s.*, axis, coalesce((SELECT count(*) FROM truths t WHERE t.video = s.video), 0) AS ev FROM sides s JOIN axes USING (video))""",
+    _ZONED,
+)
+def motion_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether motion agrees with the labels, clip by clip."""
+    trace = A.frames(spark, sf_dir).select("video", F.col("event_id").alias("point_id"), "t", (F.col("event_id") % 40 / 10.0).alias("moved_pct"))
+    return quality.motion_agreement(trace, A.truths(spark, sf_dir), A.axes(spark, sf_dir))
+
+
+@query("SELECT video, description, n, fps, v AS prompt_variant FROM (SELECT video, description, count(*) AS n FROM truths GROUP BY video, description), (SELECT unnest([2.0, 4.0]::DOUBLE[]) AS fps), (SELECT unnest(['overlay', 'native', 'terse']) AS v)")
+def probe_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = A.truths(spark, sf_dir).groupBy("video", "description").agg(F.count(F.lit(1)).alias("n"))
+    return quality.probe_sweep(cases, (2.0, 4.0), ("overlay", "native", "terse"))
+
+
+@query("SELECT count(*) FILTER (error IS NULL) AS parsed, count(*) FILTER (event_id % 10 IN (5, 6, 8, 9)) AS failed_before, count(*) FILTER (event_id % 10 IN (5, 8)) AS recovered, count(*) FILTER (event_id % 10 IN (6, 9)) AS still_failing FROM parsed", f"{RAW}, {PARSED}")
+def replay_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded responses parsed again: which failures of a strict parser come back."""
+    return quality.replay_recovery(responses.parse_responses(A.raw_responses(spark, sf_dir)), (F.col("event_id") % 10).isin(5, 6, 8, 9))
+
+
+@query(f"SELECT event_id, description AS activity, s AS start_s, {r('greatest(s + 0.1::DOUBLE, value - 0.5)', 3)} AS end_s FROM (SELECT event_id, description, value, {r('least(0.5::DOUBLE, value / 4)', 3)} AS s FROM base)")
+def control_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive controls: activity from the clip's name, the span nearly the whole clip."""
+    clips = A.table(spark, sf_dir, "events").select("event_id", X.activity_of_stem(F.concat(F.lit("ex"), F.col("event_id"), F.lit("-"), F.col("event_type"))).alias("activity"), F.col("value").alias("duration_s"))
+    return quality.control_spans(clips).drop("duration_s")
+
+
+@query("SELECT description, min(event_id) AS event_id FROM base GROUP BY description")
+def first_clip_of_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.first_of_each(A.candidates(spark, sf_dir).select("description", "event_id"), "description", "event_id")
+
+
+@query("SELECT event_id, CASE activity WHEN 'signup' THEN 'a person signs up' ELSE activity END AS description, activity = 'signup' AS phrasing_mapped FROM (SELECT event_id, description AS activity FROM base)")
+def phrasing_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrasing = spark.sql("SELECT 'signup' AS activity, 'a person signs up' AS description")
+    return quality.phrased(A.candidates(spark, sf_dir).select("event_id", F.col("description").alias("activity")), phrasing).drop("activity")
+
+
+@query("SELECT event_id, event_id // 476 + 1 AS clip, (event_id % 476 // 4)::DOUBLE AS second FROM base")
+def progress_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clip, second = quality.progress(F.col("event_id"), 476, 4, 1.0)
+    return A.table(spark, sf_dir, "events").select("event_id", clip.alias("clip"), second.cast("double").alias("second"))
+
+
+@query(f"SELECT video, description AS option, {r('avg(confidence)', 6)} AS p FROM candidates GROUP BY video, description")
+def averaged_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities averaged over the orders in which options were offered."""
+    asked = A.candidates(spark, sf_dir).select("video", F.col("description").alias("option"), F.col("confidence").alias("p"))
+    return quality.averaged_probabilities(asked, ["video"]).withColumn("p", rounded("p", 6))
+
+
+_TERSE = prompts.VARIANTS[2][2].replace("'", "''")
+
+
+@query(f"SELECT video, index, query, replace(replace(replace('{_TERSE}', '{{query}}', query), '{{start}}', printf('%.3f', start_s)), '{{end}}', printf('%.3f', end_s)) AS user_prompt FROM windows, (SELECT DISTINCT description AS query FROM truths)")
+def request_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of every request of a run."""
+    asked = A.truths(spark, sf_dir).select(F.col("description").alias("query")).distinct()
+    requests = grids.expand_requests(grids.plan_windows(A.media(spark, sf_dir)), asked, "terse")
+    return prompts.with_prompts(requests).select("video", "index", "query", "user_prompt")
