@@ -47,6 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_packed(df: DataFrame, rows_per_task: int = 50_000, least: int = 8) -> DataFrame:
+    """cut(), read again in as many tasks as its rows need, so that few rows do not become many small shuffle files."""
+    held = cut(df)
+    return held.coalesce(max(least, -(-held.count() // rows_per_task)))
+
+
 def small_side(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
     """df for use as the small side of a join: broadcast if its counted rows are within most_rows, else left to a shuffle.
 

@@ -11,7 +11,7 @@ what hangs together is a family; all links lie inside families. In large familie
 whose shingles no other member has cannot reach the similarity with any, and leaves (this undoes
 families that only a common passage ties). Families are cut into blocks of bounded rows and shingles;
 a task takes a pair of blocks, counts shared shingles for all its documents at once, and returns a
-spanning set of the links. Components come from large-star and small-star rounds.
+spanning set of the links. (Thinning reads every shingle of a family twice; it pays from eight blocks on.) Components come from large-star and small-star rounds.
 
 Defined cases: texts without words, null or empty, have empty sets and are linked with nothing; texts
 with fewer words than a shingle have one shingle of all of them; a null doc_id is its own class with a
@@ -29,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, cut, gapless
+from .common import arrow_map, cut, cut_packed, gapless
 from .perfect_hash import mix
 
 PERMUTATIONS, BAND_ROWS = 32, 3
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
 PERCENT = 80
 #: Families of more documents are thinned; a block has at most so many documents, and so many shingles beside its last document's.
-LARGE_FAMILY, BLOCK_DOCS, BLOCK_SHINGLES = 256, 1024, 1 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+LARGE_FAMILY = 8 * BLOCK_DOCS
 
 _random = np.random.default_rng(20_240_501)
 _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -208,12 +209,14 @@ def families_of(banded: DataFrame) -> DataFrame:
     return components(banded.join(least, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "family")
 
 
-def thinned(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Ids of large families that may have a link: enough of their shingles are in another member's set too.
+def thinned(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Ids that may have a link; None, for all, if no family is large. Of large families, those with enough shingles in another member's set too.
 
     Shared shingles are at most those seen twice in the family, and a link needs `percent` of the whole set.
     """
-    big = families.groupBy("family").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE_FAMILY).select("family")
+    big = cut_packed(families.groupBy("family").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE_FAMILY).select("family"))
+    if not big.limit(1).count():
+        return None
     rows = families.join(big, "family").join(sets.select("id", F.explode("hashes").alias("h")), "id")
     twice = rows.groupBy("family", "h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("family", "h")
     seen = rows.join(twice, ["family", "h"]).groupBy("id").agg(F.count(F.lit(1)).alias("_k"))
@@ -225,8 +228,8 @@ def thinned(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def block_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) inside families, confirmed on full sets."""
     weight = F.greatest(F.size("hashes"), F.lit(BLOCK_SHINGLES // BLOCK_DOCS)).cast("long")
-    members = cut(families.join(sets.select("id", weight.alias("_w")), "id"))
-    placed = cut(gapless(members, ["family"], ["id"], "_place", weight="_w").withColumn("block", F.floor(F.col("_place") / BLOCK_SHINGLES)).select("id", "family", "block"))
+    members = cut_packed(families.join(sets.select("id", weight.alias("_w")), "id"))
+    placed = cut_packed(gapless(members, ["family"], ["id"], "_place", weight="_w").withColumn("block", F.floor(F.col("_place") / BLOCK_SHINGLES)).select("id", "family", "block"))
     blocks = placed.groupBy(F.col("family").alias("_f")).agg(F.max("block").alias("_last"))
     met = placed.join(blocks, F.col("family") == F.col("_f")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
     keyed = met.select("id", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -256,8 +259,11 @@ def block_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """id and component (its least id) of every id in links (a, b), by alternating large-star and small-star."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    """id and component (its least id) of every id in links (a, b), by alternating large-star and small-star.
+
+    Done when each id has one edge and every edge leads to a root, an id that no edge leads from.
+    """
+    edges = cut_packed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         sides = edges.union(edges.select("v", "u")).toDF("u", "v") if large else edges
@@ -266,19 +272,18 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if large:
             moved = met.where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v"))
         else:
-            moved = met.select(F.col("v").alias("u"), F.col("_m").alias("v")).union(least.select("_u", "_m")).toDF("u", "v")
+            moved = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("_m").alias("v")), F.struct("u", F.col("_m").alias("v")))).alias("e")).select("e.u", "e.v")
         return moved.where("u <> v").distinct()
 
-    told = None
     for _ in range(most_rounds):
-        edges = cut(star(star(edges, True), False))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if now == told:
+        edges = cut_packed(star(cut_packed(star(edges, True)), False))
+        onward = edges.join(edges.select(F.col("u").alias("_r")), F.col("v") == F.col("_r"), "left_semi").select("u")
+        forked = edges.groupBy("u").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("u")
+        if not onward.union(forked).limit(1).count():
             break
-        told = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v"))).toDF("id", "component").distinct()
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", F.col("v").alias("c")).distinct()).toDF("id", "component")
 
 
 def linked_classes(docs: DataFrame, words: int = 4, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -288,18 +293,19 @@ def linked_classes(docs: DataFrame, words: int = 4, percent: int = PERCENT) -> t
         first = Window.partitionBy("doc_id").orderBy("s1", "s2")
         scan = cut(scan.withColumn("_n", F.row_number().over(first)).where("_n = 1 OR doc_id IS NULL").drop("_n"))
     full = scan.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    classes = cut_packed(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
     banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1").select("key")
-    banded = cut(banded.join(crowded, "key"))
-    families = families_of(banded)
+    banded = cut_packed(banded.join(crowded, "key"))
+    families = cut_packed(families_of(banded))
     sets = sets_of(docs, families.select("id"), words)
     told = classes.select(F.col("rep").alias("_id"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"))
     sets = cut(sets.join(told, (F.col("id") == F.col("_id")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")), "left_semi").select("id", "hashes"))
-    kept = cut(thinned(families, sets, percent))
-    families = families_of(banded.join(kept, "id", "left_semi"))
-    found = components(cut(block_links(families, sets, percent)))
+    kept = thinned(families, sets, percent)
+    if kept is not None:
+        families = cut_packed(families_of(banded.join(cut_packed(kept), "id", "left_semi")))
+    found = cut_packed(components(cut_packed(block_links(families, sets, percent))))
     members = scan.join(classes.withColumnsRenamed({"s1": "_s1", "s2": "_s2", "n_shingles": "_n"}), (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n_shingles") == F.col("_n")), "left")
     return members.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), found
 
