@@ -116,6 +116,10 @@ def maximal_repeats(entries: list[tuple[bytes, bytes]], lo: int = 0, hi: int = R
 def repeated_reaches(entries: list[tuple[bytes, bytes]], lo: int, hi: int) -> list[list[tuple[int, int]]]:
     """For each entry the ranges of reaches within [lo, hi] whose strings are repeated in the bucket."""
     out: list[list[tuple[int, int]]] = [[] for _ in entries]
+    if len(entries) == 2:  # one interval, one group
+        (left_a, right_a), (left_b, right_b) = entries
+        span = (max(lo, LENGTH - common_prefix(right_a, right_b)), min(hi, common_prefix(left_a, left_b)))
+        return [[span], [span]] if span[0] <= span[1] else out
     for left, right, members in maximal_repeats(entries, lo, hi):
         span = (max(lo, LENGTH - right), min(hi, left))
         for i in members:
@@ -310,7 +314,8 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     met = cut(met.join(firsts, (F.col("d") == F.col("_d")) & (F.col("x") == F.col("_x")), "left_semi"))
 
     entries = cut(met.groupBy("kh", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "x", "pos")).alias("first")))
-    sizes = entries.groupBy(F.col("kh").alias("_kh")).agg(F.count(F.lit(1)).alias("entries")).where("entries > 1")
+    # A bucket of settled entries only needs no tree.
+    sizes = entries.groupBy(F.col("kh").alias("_kh")).agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("n") == 1).alias("_open")).where("entries > 1 AND _open > 0").drop("_open")
     sized = cut(entries.join(sizes, F.col("kh") == F.col("_kh")).select("kh", "u", "first.*", "entries"))
     asked = sized.groupBy("d", "x").agg(F.collect_list(F.struct("pos", "kh", "u")).alias("asked"))
     touched = met.select("d", "x").distinct().join(asked, ["d", "x"], "left").withColumnsRenamed({"d": "_d", "x": "_x"})
