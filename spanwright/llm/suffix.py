@@ -309,13 +309,15 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     firsts = classes.where(F.col("n_bytes") >= LENGTH).select(F.col("d").alias("_d"), F.col("x").alias("_x"))
 
     # Grams found at two places of different texts, or of one text.
-    grams = anchor_rows(texts).select("kh", F.xxhash64("x", "pos").alias("p")).groupBy("kh").agg(F.min("p").alias("_a"), F.max("p").alias("_b")).where("_a <> _b").select(F.col("kh").alias("_kh"))
+    # Written out, so that the join below can split the rows of a hot gram over tasks.
+    grams = cut(anchor_rows(texts).select("kh", F.xxhash64("x", "pos").alias("p")).groupBy("kh").agg(F.min("p").alias("_a"), F.max("p").alias("_b")).where("_a <> _b").select(F.col("kh").alias("_kh")))
     met = anchor_rows(texts).join(grams, F.col("kh") == F.col("_kh"), "left_semi")
     met = cut(met.join(firsts, (F.col("d") == F.col("_d")) & (F.col("x") == F.col("_x")), "left_semi"))
 
     entries = cut(met.groupBy("kh", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "x", "pos")).alias("first")))
     # A bucket of settled entries only needs no tree.
     sizes = entries.groupBy(F.col("kh").alias("_kh")).agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("n") == 1).alias("_open")).where("entries > 1 AND _open > 0").drop("_open")
+    sizes = cut(sizes)
     sized = cut(entries.join(sizes, F.col("kh") == F.col("_kh")).select("kh", "u", "first.*", "entries"))
     asked = sized.groupBy("d", "x").agg(F.collect_list(F.struct("pos", "kh", "u")).alias("asked"))
     touched = met.select("d", "x").distinct().join(asked, ["d", "x"], "left").withColumnsRenamed({"d": "_d", "x": "_x"})
