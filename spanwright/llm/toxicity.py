@@ -197,7 +197,7 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0
 
 
-def logistic(rows: list[np.ndarray], y: np.ndarray, size: int, penalty: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def logistic(rows: list[np.ndarray], y: np.ndarray, size: int, penalty: float = 0.03, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias of a penalised logistic model over presence features, by accelerated gradient descent."""
     n = len(rows)
     who = np.repeat(np.arange(n), [len(r) for r in rows])
