@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.intervals import rounded
+from .joins import short_list
 
 WINDOW_S, STRIDE_S, STEP_S, SPAN_S, SLACK = 12.0, 9.0, 1.0, 2.0, 1e-6
 
@@ -91,5 +92,5 @@ def subsample(rows: DataFrame, keys: list[str], most: int, order: str = "t") ->
 
 
 def expand_requests(windows: DataFrame, queries: DataFrame, variant: str) -> DataFrame:
-    """windows x queries: the request relation of a run. queries is a short list that the user typed, at most 100 rows."""
-    return windows.crossJoin(F.broadcast(queries.limit(101))).withColumn("prompt_variant", F.lit(variant))
+    """windows x queries: the request relation of a run. queries is the list that the user typed."""
+    return windows.crossJoin(short_list(queries)).withColumn("prompt_variant", F.lit(variant))

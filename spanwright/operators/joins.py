@@ -9,6 +9,11 @@ from pyspark.sql.window import Window
 from ..functions.intervals import rounded
 
 
+def short_list(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
+    """df for the small side of a join: broadcast if it is counted to be short, else left to Spark."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def points_in_spans(points: DataFrame, spans: DataFrame, key: str, at: str, lo: str, hi: str, bucket: int) -> DataFrame:
     """points inner-joined to the spans that hold them, ends included: an equi join on the key and the buckets a span touches."""
     p = points.withColumn("_b", F.floor(F.col(at) / bucket))

@@ -164,7 +164,7 @@ def expand_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every description asked of the first clips in name order; the limit narrows clips, not descriptions."""
     clips = A.media(spark, sf_dir).select("video").orderBy("video").limit(20)
-    return clips.crossJoin(F.broadcast(A.truths(spark, sf_dir).select("description").distinct().limit(100)))
+    return clips.crossJoin(joins.short_list(A.truths(spark, sf_dir).select("description").distinct()))
 
 
 @query(f"SELECT event_id, o AS offset_s, start_s >= start_s - o AND end_s <= start_s - o + 12 AS contains, {r('(start_s - (start_s - o)) / 12', 4)} AS position FROM truths, (SELECT unnest([0.5, 3.0, 6.0, 9.0]::DOUBLE[]) AS o)")
