@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LABELS = "video STRING, axis STRING, duration_s DOUBLE, events ARRAY<STRUCT<description: STRING, start_s: DOUBLE, end_s: DOUBLE>>"
 RECORDING = "model STRING, video STRING, prompt_variant STRING, query STRING, window STRUCT<index: INT, start_s: DOUBLE, end_s: DOUBLE>, raw STRING, reasoning STRING, latency_s DOUBLE, error STRING"
@@ -11,6 +12,11 @@ RESULT = "video STRING, duration_s DOUBLE, queries ARRAY<STRING>, events ARRAY<S
 KEY = ["video", "prompt_variant", "index", "query"]
 
 
+def contract_json() -> str:
+    """The result contract as a JSON schema of Spark's."""
+    return StructType.fromDDL(RESULT).json()
+
+
 def media_files(spark: SparkSession, path: str) -> DataFrame:
     """path, length of recordings in a folder; their contents are not read."""
     return spark.read.format("binaryFile").load(path).select("path", "length")

@@ -97,3 +97,12 @@ def test_stream_windows(spark, tmp_path):
     q = timelines.stream_counts(source).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counts").agg(F.max("n")).first()[0] == 12
+
+
+def test_contract(spark, tmp_path):
+    assert json.loads(files.contract_json())["type"] == "struct"
+    event = {"description": "x", "start_s": 1.0, "end_s": 2.0, "confidence": 0.5, "evidence": "", "partial": False, "source_windows": [0]}
+    (tmp_path / "good.json").write_text(json.dumps({"video": "a", "duration_s": 5.0, "queries": ["x"], "events": [event]}))
+    (tmp_path / "bad.json").write_text(json.dumps({"video": "b", "duration_s": 1.5, "queries": ["x"], "events": [event | {"start_s": 1.2}, event]}))
+    got = {(r.video, r.violation) for r in files.result_violations(spark, str(tmp_path / "*.json")).collect()}
+    assert got == {("b", "an event outside the contract"), ("b", "events out of order")}
