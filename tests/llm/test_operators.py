@@ -358,3 +358,21 @@ def test_sharding(spark, corpus):
     assert again == {(r.doc_id, r.text_crc32): r.shard for r in got if r.doc_id != 7}
     assert sharding.sharded(docs_of(spark, []), 24).count() == 0
     assert sharding.sharded(docs_of(spark, rows[:3]), 24).count() == 3
+
+
+def test_mixing_sources_without_words(spark):
+    rows = [(1, "", "en", "empty", 0), (2, None, "en", "empty", 0), (3, "a b c", "en", "full", 5), (3, "a b c", "en", "full", 5)]
+    got = sorted((r.doc_id, r.size, r.target, sum(d["to"] - d["from"] for d in r.draws)) for r in mixing.draws(docs_of(spark, rows)).collect())
+    assert got == [(1, 0, 0.0, 0), (2, 0, 0.0, 0), (3, 3, 6.0, 3), (3, 3, 6.0, 3)]
+    assert mixing.draws(docs_of(spark, rows[:2])).count() == 2
+    assert {r.doc_id for r in mixing.mixed_documents(docs_of(spark, rows)).collect()} == {3}
+
+
+def test_repeated_rows_everywhere(spark):
+    long = prose(1, 90)
+    rows = [(1, long, "en", "s", 1), (1, long, "en", "s", 1), (2, "short", "en", "s", 1), (2, "short", "en", "s", 1), (None, long, None, None, None)]
+    got = [(r.doc_id, r.n_removed, r.n_spans) for r in suffix.repeats_removed(docs_of(spark, rows)).collect()]
+    n = len(long.encode())
+    assert sorted(got, key=str) == sorted([(1, n, 1), (1, n, 1), (2, 0, 0), (2, 0, 0), (None, n, 1)], key=str)
+    assert len(pii.pii_spans(docs_of(spark, rows)).collect()) == 5
+    assert len(sharding.sharded(docs_of(spark, rows)).collect()) == 5
