@@ -80,7 +80,7 @@ def n_words_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_CLASS)).cast("long")
 
 
-def gapless(df: DataFrame, group: list[str], order: list[str], slot: str, weight: str | None = None, rows_per_block: int = 20_000) -> DataFrame:
+def gapless(df: DataFrame, group: list[str], order: list[str], slot: str, weight: str | None = None, rows_per_block: int = 2_048) -> DataFrame:
     """Number rows of each group 0, 1, 2, ... (or give the running weight before the row), a group over many tasks.
 
     Rows fall into hash blocks of the order columns; blocks of a group follow each other, rows
