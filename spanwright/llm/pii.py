@@ -1,16 +1,21 @@
-"""PII: base patterns, then information-theoretic sanitisation of the words around them.
-
-Base spans (email, ip, card, phone) come from fixed patterns. Words next to a protected entity (a
-distinct email, address, card or phone number) may reveal it as well. Over the corpus, a term t
-discloses an entity e by the pointwise mutual information log2(n(e, t) * N / (n(e) * n(t))), counted
-in documents; where it reaches DISCLOSURE_BITS, at least LEAST_SUPPORT documents hold the pair, and
-e is there in at least LEAST_SHARE of t's documents, t is a span too (kind ``term``) wherever it
-stands next to e. sanitised() generalises base spans to their kind and removes disclosing terms.
-
-n(t) is needed only for pairs with support; a bitmap of fixed size, holding a hash bit of each
-such term, keeps other words out of the count. A full bitmap costs time, not results.
-
-Defined cases: null and empty texts have no spans; terms that overlap a base span are dropped; rows
+"""PII: base patterns, then information-theoretic sanitisation of the words of whole documents.
+
+Base spans (email, ip, card, phone) come from fixed patterns. Words of a document with a protected
+entity may reveal it as well. An entity is a distinct email, address, card or phone number, or a
+group of them: an email's domain, an address's first three numbers, or all of a kind, so that words
+count which go with values that are rare each. Over the corpus, a term t discloses an entity e by
+the pointwise mutual information log2(n(e, t) * N / (n(e) * n(t))), all counted in documents and
+over whole texts. t is a span too (kind ``term``), wherever it stands and whether or not e is there,
+if at least LEAST_SUPPORT documents hold the pair, e is in at least LEAST_SHARE of t's documents, and
+the information reaches DISCLOSURE_BITS; for a group held by too many documents to carry so many
+bits, all that it carries (LEAST_GROUP_BITS at least). sanitised() generalises base spans to their
+kind and removes disclosing terms.
+
+n(t) is needed only for pairs with support, and places only of disclosing terms; a bitmap of fixed
+size, holding a hash bit of each such term, keeps other words out. A full bitmap costs time, not
+results.
+
+Defined cases: null and empty texts have no spans; words that overlap a base span are no terms; rows
 that repeat a doc_id are handled row by row, and n() counts rows; empty tables give no rows; other
 columns are ignored. Places are code points, ends exclusive.
 """
@@ -28,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, cut
+from .common import arrow_map, bound_batches, cut, small_side
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity that are looked at, and their least length.
-REACH, LEAST_LETTERS = 4, 3
+#: The least length of a term.
+LEAST_LETTERS = 3
 DISCLOSURE_BITS, LEAST_SUPPORT, LEAST_SHARE = 6.0, 3, 0.5
+#: A group in more than one document of 2 ** LEAST_GROUP_BITS has no disclosing terms.
+LEAST_GROUP_BITS = 3.0
 _BITMAP_BITS = 1 << 23
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -95,53 +102,100 @@ def as_term(word: str) -> str:
     return word.strip(_TRIM).lower()
 
 
-def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within REACH of each span that overlap no span."""
-    out = []
+def entities_of(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    """The distinct entities of a text's spans and the groups they are in; a group has a * in its name."""
+    out = set()
     for start, kind, end in spans:
-        value = text[start:end].lower()
-        entity = f"{KINDS[kind]}:{value if kind < 2 else _NOT_DIGITS.sub('', value)}"
-        # Words are looked for in a window that widens until it holds enough of them.
-        for side in (-1, 1):
-            width = 64
-            while True:
-                lo, hi = (max(0, start - width), start) if side < 0 else (end, min(len(text), end + width))
-                words = list(_WORD.finditer(text, lo, hi))
-                whole = lo == 0 if side < 0 else hi == len(text)
-                if whole or len(words) > REACH + 1:
-                    break
-                width *= 4
-            if not whole:
-                words = words[1:] if side < 0 else words[:-1]  # the outermost may be cut
-            for m in words[-REACH:] if side < 0 else words[:REACH]:
-                term = as_term(m.group())
-                a = m.start() + len(m.group()) - len(m.group().lstrip(_TRIM))
-                b = m.end() - (len(m.group()) - len(m.group().rstrip(_TRIM)))
-                if len(term) >= LEAST_LETTERS and not any(a < e and s < b for s, _, e in spans):
-                    out.append((entity, term, a, b))
-    return out
-
-
-SCAN_SCHEMA = "row long, doc_id long, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:string,term:string,start:int,end:int>>"
+        name, value = KINDS[kind], text[start:end].lower()
+        value = value if kind < 2 else _NOT_DIGITS.sub("", value)
+        out |= {f"{name}:{value}", f"{name}:*"}
+        if name == "email":
+            out.add(f"{name}:*@{value.rpartition('@')[2]}")
+        elif name == "ip":
+            out.add(f"{name}:{value.rpartition('.')[0]}.*")
+    return sorted(out)
+
+
+def words_outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words that are long enough and overlap no span. spans: sorted."""
+    covered: list[list[int]] = []
+    for s, _, e in spans:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    at = 0
+    for m in _WORD.finditer(text):
+        word = m.group()
+        term = as_term(word)
+        if len(term) < LEAST_LETTERS:
+            continue
+        a = m.start() + len(word) - len(word.lstrip(_TRIM))
+        b = m.end() - (len(word) - len(word.rstrip(_TRIM)))
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        if at == len(covered) or covered[at][0] >= b:
+            yield term, a, b
+
+
+SCAN_SCHEMA = "row long, doc_id long, base array<struct<start:int,kind:int,end:int>>, entities array<string>, words array<string>"
 _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+_NAMES = pa.list_(pa.string())
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """row (a number of the row), doc_id and text."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """row (a number of the row), doc_id, base (spans) and near (words around them)."""
+    """row, doc_id, base (spans), entities and, where there are any, the distinct terms of the text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                base, near = [], []
+                base, entities, words = [], [], []
                 for text in part.column(2).to_pylist():
                     spans = base_spans(text) if text else []
                     base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                    near.append([{"entity": a, "term": b, "start": c, "end": d} for a, b, c, d in neighbours(text, spans)] if spans else [])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(base, _BASE), pa.array(near, _NEAR)], names=["row", "doc_id", "base", "near"])
+                    entities.append(entities_of(text, spans) if spans else [])
+                    words.append(sorted({t for t, _, _ in words_outside(text, spans)}) if spans else [])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(base, _BASE), pa.array(entities, _NAMES), pa.array(words, _NAMES)], names=["row", "doc_id", "base", "entities", "words"])
 
-    return arrow_map(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scan, SCAN_SCHEMA)
+    return arrow_map(numbered(docs), scan, SCAN_SCHEMA)
+
+
+def bitmap_of(terms: DataFrame) -> np.ndarray:
+    """A packed bitmap with the hash bits of the terms."""
+    bits = np.zeros(_BITMAP_BITS, np.uint8)
+    # At most _BITMAP_BITS numbers, whatever the corpus.
+    for r in terms.select(F.pmod(F.crc32("term"), F.lit(_BITMAP_BITS)).cast("int").alias("bit")).distinct().toLocalIterator():
+        bits[r["bit"]] = 1
+    return np.packbits(bits)
+
+
+class Wanted:
+    """Which words are terms with a bit in a packed bitmap; kept in a bounded table."""
+
+    def __init__(self, packed: bytes):
+        self.bits = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        self.known: dict[str, str] = {}  # a word's term, or "" if its bit isn't wanted
+
+    def terms(self, text: str) -> set[str]:
+        known, found = self.known, set()
+        if len(known) > 400_000:
+            known.clear()
+        for word in set(text.split()):
+            term = known.get(word)
+            if term is None:
+                term = as_term(word)
+                if len(term) < LEAST_LETTERS or not self.bits[zlib.crc32(term.encode("utf-8", "surrogatepass")) % _BITMAP_BITS]:
+                    term = ""
+                known[word] = term
+            if term:
+                found.add(term)
+        return found
 
 
 def term_counts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -149,8 +203,7 @@ def term_counts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(wanted.tobytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool)
-        known: dict[str, str] = {}  # a word's term, or "" if its bit isn't wanted
+        known = Wanted(held.value)
         total: Counter[str] = Counter()
 
         def told() -> pa.RecordBatch:
@@ -160,19 +213,9 @@ def term_counts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
-                found = set()
-                for word in set(text.split()):
-                    term = known.get(word)
-                    if term is None:
-                        term = as_term(word)
-                        if len(term) < LEAST_LETTERS or not bits[zlib.crc32(term.encode("utf-8", "surrogatepass")) % _BITMAP_BITS]:
-                            term = ""
-                        known[word] = term
-                    if term:
-                        found.add(term)
-                total.update(found)
-            if len(known) > 400_000:
-                known.clear()
+                found = known.terms(text)
+                spans = base_spans(text) if found else []
+                total.update(found & {t for t, _, _ in words_outside(text, spans)} if spans else found)
             if len(total) > 200_000:
                 yield told()
                 total.clear()
@@ -181,31 +224,60 @@ def term_counts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return arrow_map(docs.select(F.col("text").cast("string").alias("text")), count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
+def term_places(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """row, term, start and end of all terms whose hash bit is wanted, in all documents. wanted: a packed bitmap."""
+    held = docs.sparkSession.sparkContext.broadcast(wanted.tobytes())
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Wanted(held.value)
+        for batch in batches:
+            rows, terms, starts, ends = [], [], [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = known.terms(text) if text else None
+                if found:
+                    for term, a, b in words_outside(text, base_spans(text)):
+                        if term in found:
+                            rows.append(row)
+                            terms.append(term)
+                            starts.append(a)
+                            ends.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(terms, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["row", "term", "start", "end"])
+
+    return arrow_map(numbered(docs).select("row", "text"), places, "row long, term string, start int, end int")
+
+
 def disclosing(docs: DataFrame, scan: DataFrame) -> DataFrame:
     """entity, term and bits of the pairs over the thresholds."""
-    near = scan.where(F.size("near") > 0)
-    pairs = near.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= LEAST_SUPPORT)
+    held, kind = scan.where(F.size("entities") > 0), F.col("entity").endswith(":*")
+    named = held.select("row", F.explode("entities").alias("entity"))
+    # An entity in fewer documents than a pair needs has no pair with support. Whole kinds have most of the rows; they
+    # are few, so no shuffle gathers a kind's rows.
+    entities = cut(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= LEAST_SUPPORT))
+    kinds, others = F.broadcast(entities.where(kind)), small_side(entities.where(~kind))
+    able = named.where(kind).unionByName(named.where(~kind).join(others, "entity", "left_semi")).groupBy("row").agg(F.collect_list("entity").alias("able"))
+    words = held.select("row", "words").join(able, "row")
+    pairs = words.select(F.explode("able").alias("entity"), "words").select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= LEAST_SUPPORT)
     pairs = cut(pairs)
-    bitmap = np.zeros(_BITMAP_BITS, np.uint8)
-    # At most _BITMAP_BITS numbers, whatever the corpus.
-    for r in pairs.select(F.pmod(F.crc32("term"), F.lit(_BITMAP_BITS)).cast("int").alias("bit")).distinct().toLocalIterator():
-        bitmap[r["bit"]] = 1
-    if not bitmap.any():
+    wanted = bitmap_of(pairs)
+    if not wanted.any():
         return pairs.select("entity", "term", F.lit(0.0).alias("bits")).limit(0)
-    entities = scan.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    rows = scan.count()
-    scored = pairs.join(entities, "entity").join(term_counts(docs, np.packbits(bitmap)), "term")
-    scored = scored.withColumn("bits", F.log2(F.col("n_both") * F.lit(float(rows)) / (F.col("n_entity") * F.col("n_term"))))
-    return scored.where((F.col("bits") >= DISCLOSURE_BITS) & (F.col("n_both") >= LEAST_SHARE * F.col("n_term"))).select("entity", "term", "bits")
+    rows = float(scan.count())
+    counted = pairs.where(kind).join(kinds, "entity").unionByName(pairs.where(~kind).join(others, "entity"))
+    scored = counted.join(term_counts(docs, wanted), "term").withColumn("bits", F.log2(F.col("n_both") * F.lit(rows) / (F.col("n_entity") * F.col("n_term"))))
+    whole = F.greatest(F.lit(LEAST_GROUP_BITS), F.log2(F.lit(rows) / F.col("n_entity")) - 1e-9)
+    least = F.when(F.col("entity").contains("*"), F.least(F.lit(DISCLOSURE_BITS), whole)).otherwise(F.lit(DISCLOSURE_BITS))
+    return scored.where((F.col("bits") >= least) & (F.col("n_both") >= LEAST_SHARE * F.col("n_term"))).select("entity", "term", "bits")
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
     """row, doc_id, base and terms (spans: start, kind, end; kind 4 is a term), one row a document."""
     scan = cut(scanned(docs))
-    terms = disclosing(docs, scan)
-    stands = scan.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    found = stands.join(terms, ["entity", "term"], "left_semi").groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("terms"))
+    terms = cut(disclosing(docs, scan).select("term").distinct())
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    wanted = bitmap_of(terms)
+    if not wanted.any():
+        return scan.select("row", "doc_id", "base", none.alias("terms"))
+    found = term_places(docs, wanted).join(small_side(terms, 100_000), "term", "left_semi").groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("terms"))
     return scan.join(found, F.col("row") == F.col("_row"), "left").select("row", "doc_id", "base", F.coalesce("terms", none).alias("terms"))
 
 
@@ -232,5 +304,5 @@ def sanitised(docs: DataFrame) -> DataFrame:
             out.append("".join(parts) + text[done:] if text is not None else None)
         return pd.Series(out)
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return numbered.join(spans, "row").select("doc_id", rewritten("text", "spans").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return rows.join(spans, "row").select("doc_id", rewritten("text", "spans").alias("text"))

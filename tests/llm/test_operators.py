@@ -222,6 +222,20 @@ def test_pii_disclosing_terms(spark, corpus):
     assert pii.pii_spans(docs_of(spark, [])).count() == 0
 
 
+def test_pii_terms_of_whole_documents(spark):
+    """A giveaway far from its entity, one where the entity is missing, and one that goes with values that are rare each."""
+    far = [(100 + i, f"Zanzibarius, {prose(i, 30)} boss@corp.example.com", "en", "s", 1) for i in range(4)]
+    rare = [(200 + i, f"+1 663 555 {1000 + i} {prose(i + 40, 30)} (Quuxline)", "en", "s", 1) for i in range(4)]
+    rows = [*far, (110, f"{prose(70, 10)} Zanzibarius {prose(71, 10)}", "en", "s", 1), *rare]
+    rows += [(1000 + i, prose(i + 900, 20), "en", "s", 1) for i in range(600)]
+    text = {r[0]: r[1] for r in rows}
+    told = {r.doc_id: {text[r.doc_id][s.start : s.end] for s in r.terms} for r in pii.pii_spans(docs_of(spark, rows)).collect()}
+    assert all("Zanzibarius" in told[d] for d in (100, 101, 102, 103, 110))
+    assert all("Quuxline" in told[200 + i] for i in range(4))
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs_of(spark, rows)).collect()}
+    assert clean[110] == text[110].replace("Zanzibarius", "") and clean[1000] == text[1000]
+
+
 def plain_components(rows, words):
     sets = {}
     for d, text, *_ in rows:
