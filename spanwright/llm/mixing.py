@@ -121,20 +121,16 @@ def splitting_tree(by_source: DataFrame, shards: int = SHARDS, seed: int = 0) ->
     return by_source.join(runs, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words)."""
-    return docs.select("doc_id", "source", n_words_of(text_of()).alias("size"))
-
-
-def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, whole: bool = False, seed: int = 0) -> DataFrame:
+def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, whole: bool = False, seed: int = 0, key: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target and draws: an array of (shard, epoch, at, from, to), the words [from, to)
     of the document taken at place `at` of its source's drawn blocks.
 
-    whole: a document goes, entire, with the block that its first word is in.
+    whole: a document goes, entire, with the block that its first word is in. key: a further column `key` of the result.
     """
-    sized = cut(sized_documents(docs))
+    own = [] if key is None else ["key"]
+    sized = cut(docs.select("doc_id", "source", n_words_of(text_of()).alias("size"), *([] if key is None else [key.alias("key")])))
     by_source = small_side(cut(splitting_tree(quotas(targets(sized, weights)), shards, seed)).withColumnRenamed("source", "_source"), 10_000)
-    placed = gapless(sized, ["source"], ["doc_id", "size"], "_start", weight="size")
+    placed = gapless(sized, ["source"], ["doc_id", "size", *own], "_start", weight="size")
     placed = placed.join(by_source, F.col("source").eqNullSafe(F.col("_source")), "left")
     s, m = F.col("source_size"), F.col("blocks")
     first = F.expr("(( _start + 1) * blocks - 1) div source_size")
@@ -153,7 +149,7 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHA
     epochs = range(len(EPOCHS))
     every = F.flatten(F.transform(F.sequence(F.col("_b0"), F.col("_b1")), lambda b: F.array_compact(F.array(*[taken(b, e) for e in epochs]))))
     none = F.array().cast("array<struct<shard:int,epoch:int,at:bigint,from:bigint,to:bigint>>")
-    return placed.select("doc_id", "source", "size", "source_size", "target", F.when((F.col("size") > 0) & (s > 0), every).otherwise(none).alias("draws"))
+    return placed.select(*own, "doc_id", "source", "size", "source_size", "target", F.when((F.col("size") > 0) & (s > 0), every).otherwise(none).alias("draws"))
 
 
 def int_div(a: Column, b: Column) -> Column:
@@ -168,7 +164,15 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = S
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The rows of docs, each as often as its whole-document draws say."""
-    counts = draws(docs, weights, whole=True).select(F.col("doc_id").alias("_id"), F.size("draws").alias("_n")).groupBy("_id").agg(F.max("_n").alias("_n"))
-    kept = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_n > 0")
+    """The rows of docs, each as often as its own whole-document draws say.
+
+    Rows meet their draws by a hash of doc_id, source and text; rows alike in these are told apart by
+    a copy number, and meet in one task.
+    """
+    key = F.xxhash64("doc_id", "source", text_of())
+    drawn = draws(docs, weights, whole=True, key=key).select(F.col("key").alias("_key"), F.size("draws").alias("_n"))
+    counts = drawn.groupBy("_key").agg(F.sort_array(F.collect_list("_n"), asc=False).alias("_ns")).where(F.element_at("_ns", 1) > 0)
+    copies = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
+    kept = docs.where(n_words_of(text_of()) > 0).withColumn("_key", key).withColumn("_copy", F.row_number().over(copies))
+    kept = kept.join(counts, "_key").withColumn("_n", F.get("_ns", F.col("_copy") - 1)).where("_n > 0")
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)

@@ -382,6 +382,25 @@ def test_mixing_sources_without_words(spark):
     assert {r.doc_id for r in mixing.mixed_documents(docs_of(spark, rows)).collect()} == {3}
 
 
+def test_mixed_documents_without_ids(spark):
+    """Rows that share a null or repeated doc_id are taken as often as each is drawn."""
+    rows = [(None, prose(i, 5 + i % 40), "en", "aa", i) for i in range(200)] + [(None, "", "en", "aa", 0)]
+    rows += [(7, "a copy of a row", "en", "bb", 1)] * 6 + [(1000 + i, prose(300 + i, 40), "en", "bb", 1) for i in range(300)]
+    docs = docs_of(spark, rows)
+    want = collections.Counter()
+    for r in mixing.draws(docs, whole=True, key=F.xxhash64("doc_id", "source", "text")).collect():
+        want[r.key] += len(r.draws)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    got = collections.Counter(r.k for r in mixed.select(F.xxhash64("doc_id", "source", "text").alias("k")).collect())
+    assert got == +want and mixed.where("text = ''").count() == 0
+    target = {r.source: r.target for r in mixing.draws(docs).select("source", "target").distinct().collect()}
+    taken = collections.Counter()
+    for r in mixed.collect():
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - target[s]) < 0.1 * target[s] for s in target)
+
+
 def test_repeated_rows_everywhere(spark):
     long = prose(1, 90)
     rows = [(1, long, "en", "s", 1), (1, long, "en", "s", 1), (2, "short", "en", "s", 1), (2, "short", "en", "s", 1), (None, long, None, None, None)]
