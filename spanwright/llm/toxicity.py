@@ -1,11 +1,15 @@
 """Toxicity with noisy-channel deobfuscation.
 
-A character trigram model is counted over the whole corpus. Tokens that look disguised (look-alike
-signs or digits among letters, a letter three times in a row, letters spelt out one by one) become
-lattices: each sign may stand for itself, for letters it resembles, or for nothing, and a repeated
-letter may be dropped. A Viterbi search under the trigram model and the channel's costs picks the
-restored word. Restored words are scored by a logistic model over a vocabulary learned from a
-bounded sample of labelled documents.
+A character trigram model is counted over the whole corpus. Tokens whose lattice has more than one
+reading (look-alike signs or digits among letters or at an edge, a repeated letter, letters spelt out
+one by one) become lattices: each sign may stand for itself, for letters it resembles, or for nothing,
+and a repeated letter may be dropped. A Viterbi search under the trigram model and the channel's costs
+picks the restored word. Restored words are scored by a logistic model over a vocabulary learned from
+a bounded sample of labelled documents. In scoring, the readings that spell a word of the vocabulary
+count too, as the cheapest one may have lost a letter that is doubled by right; lattices then also run
+over neighbouring pieces of up to PIECE signs with any white space between, one of them at least no
+likely word. A doubled letter alone is looked at only in words that are not likely ones, and in scoring
+only where the word without repeats is one of the vocabulary's: no other reading can change a score.
 
 Defined cases: null and empty texts get the model's bias as score; a label row whose document is
 missing is unused; labels repeated for a document count once, toxic holding; without labels of both
@@ -32,6 +36,8 @@ from .common import arrow_map, bound_batches, cut
 SAMPLE_DOCS, VOCABULARY = 20_000, 1_000
 #: A word enters the vocabulary only if so many sampled documents have it.
 LEAST_DOCS = 5
+#: Words of at least LEAST_DOCS sampled documents that count as likely; the longest piece of a word, and the least letters of a word in pieces.
+LIKELY, PIECE, LEAST_JOINED = 20_000, 4, 4
 FOLDS = 5
 
 #: Signs and the letters they may stand for.
@@ -39,7 +45,12 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SEPARATORS = ".-_*~'`^:/\\"
 _EDGE = re.compile(r"^(?:([^\w\s])\1+|[.,;:?\"'()\[\]{}<>&%#*-])+|(?:([^\w\s])\2+|[.,;:?!\"'()\[\]{}<>&%#*-])+$")
 _SUSPECT = re.compile(r"[^\W\d_][^\w\s]|[^\w\s][^\W\d_]|[^\W_]*[0-9_][^\W\d_]|[^\W\d_][0-9_]|([^\W\d_])\1\1")
-_SPELT = re.compile(r"(?<![^\s])(?:[^\s][ .\-_]){2,}[^\s](?![^\s])")
+_SPELT = re.compile(r"(?<![^\s])(?:[^\s](?:\s+|[.\-_])){2,}[^\s](?![^\s])")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
+_REPEATS = re.compile(r"(.)\1+")
+#: Look-alike signs at the edges of a token, which may be part of the word.
+_LEAD, _TRAIL = re.compile(r"[@$!|+(€£]+$"), re.compile(r"^[@$|+(€£]+")
+_PIECES = re.compile(r"(?<!\S)\S{1,%d}(?:\s+\S{1,%d})+(?!\S)" % (PIECE, PIECE))
 
 CLASSES = 64
 #: Costs (natural logarithms) of the channel: a sign for a letter, a sign dropped, a repeated letter dropped, a word end put in.
@@ -96,8 +107,11 @@ def language_model(docs: DataFrame) -> np.ndarray:
 class Restorer:
     """Words of texts, with disguised ones restored; what a token decodes to is kept in a bounded table."""
 
-    def __init__(self, costs: np.ndarray):
+    def __init__(self, costs: np.ndarray, vocabulary: frozenset[str] = frozenset(), likely: frozenset[str] = frozenset()):
         self.costs = costs.tolist()
+        self.vocabulary, self.likely = vocabulary, likely
+        self.prefixes = {w[:k] for w in vocabulary for k in range(len(w) + 1)}
+        self.squeezed = {_REPEATS.sub(r"\1", w) for w in vocabulary}
         self.known: dict[str, tuple[str, ...]] = {}
 
     def options(self, token: str) -> list[list[tuple[str, float]]]:
@@ -147,13 +161,51 @@ class Restorer:
             path = path[1]
         return tuple("".join(reversed(out)).split())
 
+    def onward(self, states: set[str], token: str) -> set[str]:
+        """Where the readings of a token lead from the given beginnings of words of the vocabulary."""
+        for own in self.options(token):
+            states = {p + sign for p in states for sign, _ in own if p + sign in self.prefixes}
+            if not states:
+                break
+        return states
+
+    def spelt(self, token: str) -> set[str]:
+        """The words of the vocabulary among all readings of a token."""
+        return self.onward({""}, token) & self.vocabulary
+
     def token(self, raw: str) -> tuple[str, ...]:
         core = _EDGE.sub("", raw)
-        if core.isalpha() and not _SUSPECT.search(core):
-            return (core,)
         if not any(c.isalpha() for c in core):
             return ()
-        return self.decode(core) if _SUSPECT.search(core) else (core,)
+        out = {core}
+        if _SUSPECT.search(core):
+            out = {*self.decode(core), *self.spelt(core)}
+        elif core not in self.likely and _DOUBLED.search(core):
+            if not self.vocabulary:
+                out.update(self.decode(core))
+            elif _REPEATS.sub(r"\1", core) in self.squeezed:
+                out |= self.spelt(core)
+        at = raw.find(core)
+        lead, trail = _LEAD.search(raw[:at]), _TRAIL.search(raw[at + len(core) :])
+        if lead or trail:
+            whole = (lead.group() if lead else "") + core + (trail.group() if trail else "")
+            out |= {*self.decode(whole), *self.spelt(whole)}
+        return tuple(out)
+
+    def joined(self, run: str) -> set[str]:
+        """The words of the vocabulary that neighbouring pieces of a run spell together."""
+        pieces, out = run.split(), set()
+        for i, first in enumerate(pieces):
+            if first[0].isalpha() and first[0] not in self.prefixes:
+                continue
+            states, odd = {first} & self.prefixes if first.isalpha() and not _DOUBLED.search(first) else self.onward({""}, first), first not in self.likely
+            for piece in pieces[i + 1 :]:
+                if not states:
+                    break
+                states, odd = self.onward(states, piece), odd or piece not in self.likely
+                if odd:
+                    out |= {w for w in states & self.vocabulary if len(w) >= LEAST_JOINED}
+        return out
 
     def words(self, text: str) -> set[str]:
         """Distinct restored words of a text."""
@@ -168,11 +220,14 @@ class Restorer:
                 found = known[raw] = self.token(raw)
             out.update(found)
         for run in _SPELT.findall(low):
-            letters = re.sub(r"[ .\-_]", "", run)
+            letters = re.sub(r"[\s.\-_]", "", run)
             found = known.get("\0" + letters)
             if found is None:
                 found = known["\0" + letters] = self.decode(letters, ends=True)
             out.update(found)
+        if self.vocabulary:
+            for run in _PIECES.findall(low):
+                out |= self.joined(run)
         return out
 
 
@@ -181,6 +236,7 @@ class ToxicityModel:
     costs: np.ndarray
     weights: dict[str, float]
     bias: float
+    likely: frozenset[str] = frozenset()
 
     def scores(self, texts: list[str | None], restorer: Restorer) -> list[float]:
         out = []
@@ -257,7 +313,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         rows += [np.empty(0, np.int64)] * more
         y += [k] * more
     w, bias = logistic(rows, np.array(y, float), len(picked))
-    return ToxicityModel(costs, {x: float(w[k]) for x, k in number.items()}, bias)
+    likely = counts.orderBy(F.desc(F.col("a") + F.col("b")), "word").limit(LIKELY).collect()
+    return ToxicityModel(costs, {x: float(w[k]) for x, k in number.items()}, bias, frozenset(r["word"] for r in likely))
 
 
 def scorer(model: ToxicityModel, spark):
@@ -267,7 +324,7 @@ def scorer(model: ToxicityModel, spark):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        restorer = Restorer(held.value.costs)
+        restorer = Restorer(held.value.costs, frozenset(held.value.weights), held.value.likely)
         for texts in batches:
             yield pd.Series(held.value.scores(list(texts), restorer), dtype="float64")
 

@@ -190,6 +190,21 @@ def test_toxicity_learns_and_restores(spark):
     assert all(r.score < 1e-9 for r in toxicity.toxicity_scores(docs_of(spark, rows[:3]), table.limit(0)).collect())
 
 
+def test_toxicity_restores_more_disguises(spark):
+    """Letters doubled, words in pieces, letters with any white space between, and signs at an edge."""
+    bad, rows, labels = ["moronic", "scumbag", "worthless", "classhole"], [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        rows.append((i, prose(i, 40) + (f" {bad[i % 16 // 4]} " if toxic else " ") + prose(i + 1, 10), "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    hidden = ["moroniic", "classhoole", "worrthless", "scu mbag", "mo ro nic", "w  o\nr\tt  h l e\ns s", "$$cumbag", "(lasshole", "worthle$$"]
+    rows += [(1000 + k, prose(k, 30) + " " + w + " " + prose(k + 50, 30), "en", "s", 1) for k, w in enumerate(hidden)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    by = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(docs_of(spark, rows), table).collect()}
+    assert {w: by[1000 + k] for k, w in enumerate(hidden)} == dict.fromkeys(hidden, 1)
+    assert all(by[i] == int(i % 4 == 0) for i in range(400))
+
+
 def plain_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
