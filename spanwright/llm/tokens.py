@@ -1,18 +1,25 @@
 """Token-ID output: raw id payloads with a minimal perfect hash index over document keys.
 
-Documents are ranged and sorted by doc_id; each task writes one shard, a run of segments. A segment
-is one row of a Parquet table (so Spark's committer makes lost executors harmless and any store
-works): a raw little-endian payload of ids, the keys in order, and an index of its own: a minimal
-perfect hash from key to slot, and per slot the key's fingerprint, its offset and its length. A
-keyed read finds the segment by its key range, hashes once, compares the fingerprint and slices.
+Documents are ranged and sorted by doc_id (and a hash of the text, so that one repeated id is dealt over
+many tasks); each task writes one shard, a run of segments. A segment is one row of a Parquet table, so
+Spark's committer makes lost executors harmless and any store works: a raw little-endian payload of ids
+and a directory of its keys and lengths in order.
+
+The index is a table of its own. A key (a doc_id and its number among equal ones) hashes to a bucket of
+about BUCKET_KEYS keys; a bucket is a row with a minimal perfect hash from key to slot and, by slot, the
+key's fingerprint, the key itself, its shard, its offset in the shard and its length. A keyed read hashes
+once, opens one bucket, compares fingerprint and key, and slices one segment: reads of few keys push the
+buckets' numbers and then the shards' and segments' into the Parquet scans, whose row groups are small, so
+no other bucket or payload is read. Doc_ids that repeat are listed in a third table with their counts.
 
 Tokenising: the vocabularies meant here normalise and split at white space, so a text's ids are its
 white-space chunks' ids one after another. Chunks repeat a lot, so ids are kept per chunk in a
 bounded table and only new chunks go through the tokenizer, or its model where a chunk is plainly a word.
+Texts with control signs are cut at spaces and line ends only, and take the whole tokenizer.
 
 Defined cases: null and empty texts have only the end id; a null doc_id sorts first and is keyed as
-such; rows that repeat a doc_id are documents of their own (keyed with their number among equals in
-the segment; lookup() returns each); an empty table writes an empty table; other columns are ignored.
+such; rows that repeat a doc_id are documents of their own (lookup() returns each; rows alike in id and
+text are dealt to one task); an empty table writes an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,20 +32,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import perfect_hash
-from .common import arrow_map, cut, new_folder, partition_number, small_side
+from .common import arrow_map, cut, gapless, new_folder, partition_number, small_side
 
 #: A segment is closed at so many ids or documents, whichever comes first.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1024
+#: Keys of a bucket of the index, on average; a read of at most FEW_KEYS keys prunes its scans.
+BUCKET_KEYS, FEW_KEYS = 1024, 10_000
+#: Bytes of a Parquet row group of the index and of the payloads.
+INDEX_GROUP, PAYLOAD_GROUP = 1 << 20, 8 << 20
 CACHED_CHUNKS = 700_000
-SEGMENT_SCHEMA = (
-    "shard int, segment int, ids_before long, n_ids long, n_docs int, id_bytes int, first_key long, last_key long, "
-    "keys binary, null_keys int, seed int, pilots binary, prints binary, offsets binary, lengths binary, payload binary"
-)
+SEGMENT_SCHEMA = "shard int, segment int, ids_before long, n_ids long, id_bytes int, keys binary, null_keys int, lengths binary, payload binary"
+ENTRY_SCHEMA = "key long, shard int, segment int, offset long, n_tokens long"
+INDEX_SCHEMA = "bucket long, n_keys int, seed int, pilots binary, prints binary, keys binary, copies binary, nulls binary, shards binary, segments binary, offsets binary, lengths binary"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,8 +62,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 _WORD = re.compile(r"[a-zß-öø-ÿ]+")
-#: A stop next to a sign that may share its pre-token.
+#: A stop next to a sign that may share its pre-token. (Control signs, which classes of white space are at odds about, do not get here.)
 _CROWDED_STOP = re.compile(r"[.,][^\w\s]|[^\w\s][.,]|_")
+#: Control signs other than tab and line feed, and the soft hyphen: texts with one take the whole tokenizer.
+_CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f\xad]")
 
 
 class ChunkEncoder:
@@ -116,7 +128,7 @@ class ChunkEncoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text.replace("\n", " ").split(" ")
-        if "<|" not in text:
+        if "<|" not in text and not _CONTROL.search(text):
             text = text.lower()
             if not _CROWDED_STOP.search(text):
                 text = text.replace(",", " , ").replace(".", " . ")
@@ -141,34 +153,16 @@ def encoder_of(tokenizer_path: str) -> ChunkEncoder:
     return ChunkEncoder(tokenizer_path)
 
 
-def key_hashes(keys: np.ndarray, copies: np.ndarray, null: np.ndarray) -> np.ndarray:
-    return perfect_hash.mix(keys.astype(np.uint64)) + copies.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + null.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D)
-
-
-def copy_numbers(keys: np.ndarray) -> np.ndarray:
-    """keys sorted: 0, 1, 2, ... among equals."""
-    at = np.arange(len(keys))
-    return at - np.searchsorted(keys, keys)
+def key_column(key: str = "key", copy: str = "copy") -> Column:
+    """The 64-bit hash of a key that buckets and slots come from."""
+    return F.xxhash64(F.lit(1), F.col(key), F.col(copy))
 
 
 def _segment(shard: int, number: int, before: int, ids: list[bytes], keys: list[int | None], dtype: np.dtype) -> dict:
-    null = np.array([k is None for k in keys])
-    k = np.array([0 if x is None else x for x in keys], dtype=np.int64)
-    copies = np.where(null, np.arange(len(k)), 0)
-    copies[~null] = copy_numbers(k[~null])
     lengths = np.array([len(x) // dtype.itemsize for x in ids], dtype=np.int64)
-    offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    h = key_hashes(k, copies, null)
-    seed, pilots = perfect_hash.build(h)
-    slot = perfect_hash.slots(h, seed, pilots, len(k))
-    order = np.empty(len(k), np.int64)
-    order[slot] = np.arange(len(k))
-    real = k[~null]
     return {
-        "shard": shard, "segment": number, "ids_before": before, "n_ids": int(lengths.sum()), "n_docs": len(k), "id_bytes": dtype.itemsize,
-        "first_key": int(real[0]) if len(real) else None, "last_key": int(real[-1]) if len(real) else None,
-        "keys": k.tobytes(), "null_keys": int(null.sum()), "seed": seed, "pilots": pilots.tobytes(), "prints": perfect_hash.fingerprints(h)[order].tobytes(),
-        "offsets": offsets[order].tobytes(), "lengths": lengths[order].tobytes(), "payload": b"".join(ids),
+        "shard": shard, "segment": number, "ids_before": before, "n_ids": int(lengths.sum()), "id_bytes": dtype.itemsize,
+        "keys": np.array([0 if x is None else x for x in keys], dtype=np.int64).tobytes(), "null_keys": sum(k is None for k in keys), "lengths": lengths.tobytes(), "payload": b"".join(ids),
     }
 
 
@@ -178,7 +172,7 @@ def _arrow_schema(ddl: str) -> pa.Schema:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shards: int | None = None) -> None:
-    """Encode docs (doc_id, text) and write them as segments under folder, in ascending doc_id order."""
+    """Encode docs (doc_id, text) and write under folder: ids (segments in ascending doc_id order), index and repeats."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = _arrow_schema(SEGMENT_SCHEMA)
@@ -209,94 +203,167 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         if keys:
             yield close()
 
-    ranged = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    arrow_map(ranged, encode, SEGMENT_SCHEMA).write.parquet(folder)
+    place = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(shards, *place).sortWithinPartitions(*place)
+    arrow_map(ranged, encode, SEGMENT_SCHEMA).write.option("parquet.block.size", PAYLOAD_GROUP).parquet(f"{folder}/ids")
+    write_index(spark, folder)
+
+
+def entries(spark: SparkSession, folder: str) -> DataFrame:
+    """key, shard, segment, offset (in the shard) and n_tokens of every document, from the segments' directories."""
+    schema = _arrow_schema(ENTRY_SCHEMA)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, n = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["lengths"], np.int64)
+                count, null = len(keys), np.arange(len(keys)) < row["null_keys"]
+                at = row["ids_before"] + np.cumsum(n) - n
+                yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), pa.array(np.full(count, row["shard"], np.int32)), pa.array(np.full(count, row["segment"], np.int32)), pa.array(at), pa.array(n)], schema=schema)
+
+    return arrow_map(spark.read.parquet(f"{folder}/ids").select("shard", "segment", "ids_before", "keys", "null_keys", "lengths"), listed, ENTRY_SCHEMA)
+
+
+def _bucket_row(bucket: int, rows: pa.Table) -> dict:
+    h = rows["h"].to_numpy().view(np.uint64)
+    seed, pilots = perfect_hash.build(h)
+    order = np.empty(len(h), np.int64)
+    order[perfect_hash.slots(h, seed, pilots, len(h))] = np.arange(len(h))
+    null = rows["key"].is_null().to_numpy()
+    by_slot = lambda name, kind: rows[name].fill_null(0).to_numpy().astype(kind)[order].tobytes()
+    return {
+        "bucket": bucket, "n_keys": len(h), "seed": seed, "pilots": pilots.tobytes(), "prints": perfect_hash.fingerprints(h)[order].tobytes(),
+        "keys": by_slot("key", np.int64), "copies": by_slot("copy", np.int64), "nulls": null[order].tobytes(), "shards": by_slot("shard", np.int32),
+        "segments": by_slot("segment", np.int32), "offsets": by_slot("offset", np.int64), "lengths": by_slot("n_tokens", np.int64),
+    }
+
+
+def write_index(spark: SparkSession, folder: str) -> None:
+    """The index and repeats tables of the segments under folder."""
+    found = cut(entries(spark, folder))
+    repeats = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    repeats.write.parquet(f"{folder}/repeats")
+    numbered = gapless(found, ["key"], ["shard", "segment", "offset"], "copy") if repeats.limit(1).count() else found.withColumn("copy", F.lit(0).cast("long"))
+    buckets = max(1, -(-found.count() // BUCKET_KEYS))
+    schema = _arrow_schema(INDEX_SCHEMA)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([_bucket_row(bucket, pa.Table.from_batches(held))], schema=schema)
+
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a < b:
+                    if held and number[a] != bucket:
+                        yield closed()
+                        held = []
+                    bucket = int(number[a])
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield closed()
 
+    keyed = numbered.select(F.pmod(key_column(), F.lit(buckets)).alias("bucket"), key_column().alias("h"), "key", "copy", "shard", "segment", "offset", "n_tokens")
+    arrow_map(keyed.repartitionByRange("bucket").sortWithinPartitions("bucket"), build, INDEX_SCHEMA).write.option("parquet.block.size", INDEX_GROUP).parquet(f"{folder}/index")
 
-def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """keys, null flags, prints, offsets, lengths of a segment."""
-    keys = np.frombuffer(row["keys"], dtype=np.int64)
-    null = np.arange(len(keys)) < row["null_keys"]
-    return keys, null, np.frombuffer(row["prints"], np.uint32), np.frombuffer(row["offsets"], np.int64), np.frombuffer(row["lengths"], np.int64)
 
+LOCATED_SCHEMA = "key long, shard int, segment int, offset long, n_tokens long"
 
-def _find(row: dict, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of hashed keys and whether the stored fingerprints agree."""
-    slot = perfect_hash.slots(h, row["seed"], np.frombuffer(row["pilots"], np.uint16), row["n_docs"])
-    return slot, np.frombuffer(row["prints"], np.uint32)[slot] == perfect_hash.fingerprints(h)
 
+def located(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
+    """Where the documents of keys (key; null for documents without a doc_id) are, by the index: key, shard, segment, offset, n_tokens.
 
-def shard_starts(segments: DataFrame) -> DataFrame:
-    """shard and base: ids in all shards before it."""
-    sums = segments.groupBy(F.col("shard").alias("_shard")).agg(F.sum("n_ids").alias("_n"))
+    Keys that are not there give no row.
+    """
+    index, repeats = spark.read.parquet(f"{folder}/index"), spark.read.parquet(f"{folder}/repeats")
+    buckets = _bucket_count(index)
+    often = repeats.select(F.col("key").alias("_key"), F.col("copies").alias("_n"))
+    wanted = keys.select(F.col("key").cast("long").alias("key")).distinct().join(often, F.col("key").eqNullSafe(F.col("_key")), "left")
+    wanted = wanted.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_n", F.lit(1)) - 1)).alias("copy"))
+    wanted = cut(wanted.select(F.pmod(key_column(), F.lit(buckets)).alias("_bucket"), F.struct(key_column().alias("h"), "key", "copy").alias("w")).groupBy("_bucket").agg(F.collect_list("w").alias("wanted")))
+    if wanted.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
+        index = index.where(F.col("bucket").isin([r["_bucket"] for r in wanted.select("_bucket").collect()]))  # at most FEW_KEYS numbers
+    schema = _arrow_schema(LOCATED_SCHEMA)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(batch.schema.get_field_index("wanted"))
+            for i, row in enumerate(batch.drop_columns(["wanted"]).to_pylist()):
+                w = asked[i].values
+                h, key, copy = (w.field(k) for k in range(3))
+                null = key.is_null().to_numpy(zero_copy_only=False)
+                h, key, copy = h.to_numpy().view(np.uint64), key.fill_null(0).to_numpy(), copy.to_numpy()
+                slot = perfect_hash.slots(h, row["seed"], np.frombuffer(row["pilots"], np.uint16), row["n_keys"])
+                held = {name: np.frombuffer(row[name], kind) for name, kind in (("prints", np.uint32), ("keys", np.int64), ("copies", np.int64), ("nulls", np.bool_), ("shards", np.int32), ("segments", np.int32), ("offsets", np.int64), ("lengths", np.int64))}
+                same = (held["prints"][slot] == perfect_hash.fingerprints(h)) & (held["keys"][slot] == key) & (held["copies"][slot] == copy) & (held["nulls"][slot] == null)
+                slot = slot[same]
+                yield pa.RecordBatch.from_arrays([pa.array(key[same], mask=null[same]), *(pa.array(held[name][slot]) for name in ("shards", "segments", "offsets", "lengths"))], schema=schema)
+
+    return arrow_map(index.join(wanted, F.col("bucket") == F.col("_bucket")).drop("_bucket", "bucket"), probe, LOCATED_SCHEMA)
+
+
+def _bucket_count(index: DataFrame) -> int:
+    """Buckets that keys were dealt to, from the number of keys, which Parquet rows add up."""
+    return max(1, -(-(index.agg(F.sum("n_keys")).first()[0] or 0) // BUCKET_KEYS))
+
+
+def _segments_of(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
+    """Segments (id_bytes, ids_before, payload) with `asked`, the located documents in them; few segments prune the scan."""
+    asked = cut(found.groupBy(F.col("shard").alias("_shard"), F.col("segment").alias("_segment")).agg(F.collect_list(F.struct("key", "offset", "n_tokens")).alias("asked")))
+    segments = spark.read.parquet(f"{folder}/ids").select("shard", "segment", "ids_before", "id_bytes", "payload")
+    few = asked.select("_shard", "_segment").limit(FEW_KEYS + 1).collect()  # bounded
+    if len(few) <= FEW_KEYS:
+        segments = segments.where(F.col("shard").isin(sorted({r["_shard"] for r in few})) & F.col("segment").isin(sorted({r["_segment"] for r in few})))
+    # The payload side is neither sorted nor built into a table; documents of a segment are at most SEGMENT_DOCS.
+    return segments.join(asked.hint("shuffle_hash"), (F.col("shard") == F.col("_shard")) & (F.col("segment") == F.col("_segment")))
+
+
+def shard_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """_shard and _base: ids in all shards before it. One row a shard."""
+    sums = spark.read.parquet(f"{folder}/ids").groupBy(F.col("shard").alias("_shard")).agg(F.sum("n_ids").alias("_n"))
     before = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select("_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
 
 
-READ_SCHEMA = "doc_id long, shard int, segment int, in_shard long, n_tokens long, ids_crc32 long"
+READ_SCHEMA = "doc_id long, shard int, segment int, offset long, n_tokens long, ids_crc32 long"
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document of the files, each found through its segment's index: doc_id, start, n_tokens, ids_crc32, shard, segment."""
+def read_documents(spark: SparkSession, folder: str, keys: DataFrame | None = None) -> DataFrame:
+    """Documents of keys (key; all keys of the files by default) by the index: doc_id, start, n_tokens, ids_crc32, shard, segment."""
     schema = _arrow_schema(READ_SCHEMA)
+    found = located(spark, folder, entries(spark, folder).select("key") if keys is None else keys)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                keys, null, _, offsets, lengths = _opened(row)
-                copies = np.where(null, np.arange(len(keys)), 0)
-                copies[~null] = copy_numbers(keys[~null])
-                slot, same = _find(row, key_hashes(keys, copies, null))
-                if not same.all():
-                    raise ValueError("a key's fingerprint differs from the stored one")
-                ids = np.frombuffer(row["payload"], dtype=f"<u{row['id_bytes']}").astype("<u4")
-                at, n = offsets[slot], lengths[slot]
-                crc = [zlib.crc32(ids[a : a + k]) for a, k in zip(at.tolist(), n.tolist(), strict=True)]
-                count = len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, mask=null), pa.array(np.full(count, row["shard"], np.int32)), pa.array(np.full(count, row["segment"], np.int32)), pa.array(at + row["ids_before"]), pa.array(n), pa.array(crc, pa.int64())],
-                    schema=schema,
-                )
-
-    segments = spark.read.parquet(folder)
-    starts = small_side(cut(shard_starts(segments)))
-    found = arrow_map(segments, read, READ_SCHEMA).join(starts, F.col("shard") == F.col("_shard"), "left")
-    return found.select("doc_id", (F.col("in_shard") + F.col("_base")).alias("start"), "n_tokens", "ids_crc32", "shard", "segment")
+                row = batch.slice(i, 1)
+                one = row.drop_columns(["asked"]).to_pylist()[0]
+                asked = row.column(row.schema.get_field_index("asked"))[0].values
+                key, offset, n = (asked.field(k) for k in range(3))
+                ids = np.frombuffer(one["payload"], dtype=f"<u{one['id_bytes']}").astype("<u4")
+                at = (offset.to_numpy() - one["ids_before"]).tolist()
+                crc = [zlib.crc32(ids[a : a + k]) for a, k in zip(at, n.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([key, pa.array([one["shard"]] * len(crc), pa.int32()), pa.array([one["segment"]] * len(crc), pa.int32()), offset, n, pa.array(crc, pa.int64())], schema=schema)
+
+    told = arrow_map(_segments_of(spark, folder, found), read, READ_SCHEMA).join(small_side(cut(shard_starts(spark, folder))), F.col("shard") == F.col("_shard"), "left")
+    return told.select("doc_id", (F.col("offset") + F.col("_base")).alias("start"), "n_tokens", "ids_crc32", "shard", "segment")
 
 
 def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     """Ids of the documents of keys (doc_id): doc_id, ids (array of int). Keys that are not there give no row."""
-    segments = spark.read.parquet(folder)
-    spread = segments.agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if spread["lo"] is None:
-        return spark.createDataFrame([], "doc_id long, ids array<int>")
-    width = max(1, (spread["hi"] - spread["lo"]) // max(1, spread["n"]))
-    cell = lambda c: F.floor((F.col(c) - spread["lo"]) / width)
-    ranges = segments.where("first_key IS NOT NULL").select("shard", "segment", "first_key", "last_key", F.explode(F.sequence(cell("first_key"), cell("last_key"))).alias("_cell"))
-    wanted = keys.select(F.col("doc_id").alias("_key")).where("_key IS NOT NULL").distinct().withColumn("_cell", F.floor((F.col("_key") - spread["lo"]) / width))
-    routed = wanted.join(ranges, "_cell").where("_key BETWEEN first_key AND last_key").groupBy("shard", "segment").agg(F.collect_list("_key").alias("wanted"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                _, _, _, offsets, lengths = _opened(row)
+            for row in batch.to_pylist():
                 ids = np.frombuffer(row["payload"], dtype=f"<u{row['id_bytes']}")
-                out_keys, out_ids = [], []
-                for key in row["wanted"]:
-                    copy = 0
-                    while True:
-                        slot, same = _find(row, key_hashes(np.array([key]), np.array([copy]), np.array([False])))
-                        if not same[0]:
-                            break
-                        a, n = int(offsets[slot[0]]), int(lengths[slot[0]])
-                        out_keys.append(key)
-                        out_ids.append(ids[a : a + n].astype(np.int32))
-                        copy += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(out_ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    return arrow_map(segments.join(routed, ["shard", "segment"]), read, "doc_id long, ids array<int>")
+                own = [(a["key"], a["offset"] - row["ids_before"], a["n_tokens"]) for a in row["asked"]]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in own], pa.int64()), pa.array([ids[a : a + n].astype(np.int32) for _, a, n in own], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    found = located(spark, folder, keys.select(F.col("doc_id").alias("key")).where("key IS NOT NULL"))
+    return arrow_map(_segments_of(spark, folder, found), read, "doc_id long, ids array<int>")
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> str:

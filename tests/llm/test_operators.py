@@ -68,6 +68,32 @@ def test_token_output_round_trip(spark, corpus):
     assert tokens.read_documents(spark, tokens.encoded(docs_of(spark, []), path, 2)).count() == 0
 
 
+def test_token_lookup_prunes_and_compares_keys(spark, monkeypatch):
+    """One doc_id over several segments, null ids, buckets of few keys, and absent keys."""
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(tokens, "SEGMENT_DOCS", 7)
+    monkeypatch.setattr(tokens, "BUCKET_KEYS", 5)
+    rows = [(7, f"text {i}", None, None, 0) for i in range(60)] + [(None, f"none {i}", None, None, 0) for i in range(30)] + [(10**15 + i, f"far {i}", None, None, 0) for i in range(20)]
+    folder = tokens.encoded(docs_of(spark, rows), P.path("word_bpe_49k.json"), 2)
+    found = tokens.read_documents(spark, folder).collect()
+    assert collections.Counter(r.doc_id for r in found) == collections.Counter(r[0] for r in rows)
+    assert sorted(r.start for r in found) == np.cumsum([0, *[r.n_tokens for r in sorted(found, key=lambda r: r.start)]])[:-1].tolist()
+    keys = spark.createDataFrame([(7,), (10**15 + 3,), (8,), (None,)], "doc_id long")
+    assert collections.Counter(r.doc_id for r in tokens.lookup(spark, folder, keys).collect()) == {7: 60, 10**15 + 3: 1}
+    assert tokens.lookup(spark, folder, spark.range(5000).select(F.col("id").alias("doc_id")).where("doc_id <> 7")).count() == 0
+    plan = tokens.lookup(spark, folder, keys)._jdf.queryExecution().toString()
+    assert "In(shard" in plan and "In(segment" in plan
+
+
+def test_chunk_encoder_is_the_vocabulary():
+    P = pytest.importorskip("public_tokenizers")
+    encoder, rnd = tokens.ChunkEncoder(P.path("word_bpe_49k.json")), random.Random(11)
+    signs = [*map(chr, range(0x250)), "\u0301", "\u2028", "\u3000", "\ufeff", "..", ",,", "...", "'s", "<|", "_", "ß", "I\u0307"]
+    stops = [".", ",", " ", "\n", "a", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "'", "_", "E"]
+    texts = ["".join(rnd.choice(stops if rnd.random() < 0.6 else signs) for _ in range(rnd.randrange(1, 9))) for _ in range(20_000)]
+    assert encoder.encode(texts) == encoder._whole(texts)
+
+
 def test_chat_events_fold(spark):
     log = spark.createDataFrame(
         [(1, 0, 0, "message", "user", "hi <b>"), (1, 1, 1, "message", "assistant", ""), (1, 2, 1, "delta", None, "wro"), (1, 3, 1, "delta", None, "ng"), (1, 4, 1, "regenerate", None, None), (1, 5, 1, "delta", None, "right \\ #1"), (1, 600, 1, "delta", None, "!"), (1, 7, 0, "edit", None, "hello"), (None, 1, 0, "delta", "user", None)],
