@@ -16,7 +16,8 @@ from ..shipping import ship_package
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Keys that are taken for hot at most.
+HOT_KEYS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        if held is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanwright-"))
-            held = spark.sparkContext.getCheckpointDir()
-        found = held
-    return found
+    """The folder all executors share: spark.checkpoint.dir, or the context's checkpoint folder, or, in local mode only, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanwright-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -61,6 +61,32 @@ def small_side(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def heavy_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, n_left: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key, `weight` (how many rows of left have the key) and other names but for `on`.
+
+    Keys with a HOT_KEYS-th of left's n_left rows are at most HOT_KEYS, whatever the data: they are broadcast, and
+    left's rows of them stay where they are. No other key is hot. Both sides should be cut() already.
+    """
+    hot, kept = F.col(weight) * HOT_KEYS >= n_left, [c for c in right.columns if c not in (*on, weight)]
+    few = right.where(hot).select(*on, *kept)
+    cold = left.join(F.broadcast(few.select(*on)), on, "left_anti").join(right.where(~hot).select(*on, *kept), on, how)
+    return left.join(F.broadcast(few), on).select(*left.columns, *kept).unionByName(cold.select(*left.columns, *kept))
+
+
+def running(df: DataFrame, order: list[Column], weight: Column, name: str) -> DataFrame:
+    """df with the sum of `weight` over the rows before each in the given order (`name`), and their number (`name`_n).
+
+    Rows are ranged over tasks; only one sum a task is brought together. `order` should tell rows apart.
+    """
+    spread = cut(df.repartitionByRange(*order).withColumns({"_p": F.spark_partition_id(), "_w": weight}))
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    sums = spread.groupBy(F.col("_p").alias("_q")).agg(F.sum("_w").alias("_s"), F.count(F.lit(1)).alias("_c"))
+    sums = sums.select("_q", F.sum("_s").over(ahead).alias("_s"), F.sum("_c").over(ahead).alias("_c"))  # one row a task
+    placed = spread.withColumns({"_own": F.sum("_w").over(inside), "_at": F.count(F.lit(1)).over(inside)}).join(F.broadcast(sums), F.col("_p") == F.col("_q"))
+    return placed.select(*df.columns, (F.coalesce("_s", F.lit(0)) + F.coalesce("_own", F.lit(0))).alias(name), (F.coalesce("_c", F.lit(0)) + F.col("_at")).alias(f"{name}_n"))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once; a plain reference inside a lambda would be evaluated per element."""
     return F.transform(F.array(value), body)[0]

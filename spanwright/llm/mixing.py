@@ -1,16 +1,19 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Sources take weights in code-point order and share the total size; a source's target stops at
-MOST_EPOCHS times its size and the excess is shared again by weight (a water level). The words of
-a source, laid end to end, are cut into up to BLOCKS equal blocks; a target is a quota of whole
-blocks, drawn epoch after epoch, each epoch in a permuted order of its own. A binary tree over the
-output shards splits the vector of quotas: at every node the left half draws its blocks from the
-node's pool without replacement, so each source's share is a multivariate-hypergeometric draw and
-quotas add up exactly. A shard's part of a source is a run of the permuted order, so shards are
-disjoint within an epoch; each shard shuffles locally.
-
-Only DataFrame functions are used. The source table (one row a source) is the only thing brought
-together; documents meet it in a join, and word offsets come from block sums, so a source with a
+MOST_EPOCHS times its size and the excess is shared again by weight (a water level, raised until no
+further source is above it). The words of a source, laid end to end, are cut into up to BLOCKS equal
+blocks; a target is a quota of whole blocks, drawn epoch after epoch, each epoch in a random order of
+its own: a Feistel network keyed by seed, source and epoch permutes the block numbers, so an order is
+computed for a block on its own and nothing is sorted. A binary tree over the output shards splits the
+vector of quotas: at every node the left half draws its blocks from the node's pool without replacement,
+so each source's share is a multivariate-hypergeometric draw and quotas add up exactly. A shard's part of
+a source is a run of the permuted order, so shards are disjoint within an epoch; each shard shuffles
+locally.
+
+Only DataFrame functions are used. Sources are ranked over tasks; a node's draw goes through the sources
+in chunks of CHUNK, whose totals are drawn first and in the same way, so no task holds all sources.
+Documents meet the source table in a join, and word offsets come from block sums, so a source with a
 third of all rows is spread over many tasks.
 
 Defined cases: null and empty texts have size 0 and are never drawn; a null source comes last; rows
@@ -23,26 +26,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, gapless, let, n_words_of, small_side, text_of
+from .common import cut, gapless, let, n_words_of, running, small_side, text_of
 
 BLOCKS, MOST_EPOCHS, SHARDS = 16_384, 3, 16
 WEIGHTS = (1, 2, 3)
-#: One multiplier and offset an epoch; primes above BLOCKS, so b -> (a * b + c) mod m permutes any m blocks.
-EPOCHS = ((1_000_003, 7919), (1_299_709, 104_729), (15_485_863, 611_953))
+#: Sources that a task draws for at once, and rounds of the Feistel network.
+CHUNK, ROUNDS = 256, 6
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """One row a source: source, source_size, weight, target."""
-    named = Window.orderBy(F.col("source").asc_nulls_last())
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rows = sums.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.row_number().over(named) - 1, F.lit(len(weights))) + 1).cast("int")))
-    everything, before = Window.partitionBy(), Window.orderBy("_ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_cap", most * F.col("source_size")).withColumn("_ratio", F.col("_cap") / F.col("weight"))
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0))
-    share = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    rows = rows.withColumn("_level", left / share)
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", F.col("source").isNull(), "source", "_level"))).over(everything)["_level"]
-    return rows.withColumn("target", F.least(F.col("_cap").cast("double"), F.coalesce(level, F.lit(0.0)) * F.col("weight"))).select("source", "source_size", "weight", "target")
+    """One row a source: source, rank, source_size, weight, target."""
+    sums = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    ranked = running(sums, [F.col("source").asc_nulls_last()], F.lit(1), "_rank")
+    rows = cut(ranked.select("source", F.col("_rank_n").alias("rank"), "source_size", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod("_rank_n", F.lit(len(weights))) + 1).cast("int")).alias("weight")))
+    cap, level, known = most * F.col("source_size"), 0.0, -1
+    while True:  # the sources above the level grow until they stay the same
+        over = cap < F.lit(level) * F.col("weight")
+        now = rows.agg(F.count_if(over).alias("n"), F.sum(F.when(over, cap)).alias("held"), F.sum(F.when(~over, F.col("weight"))).alias("left"), F.sum("source_size").alias("size")).first()
+        if now["n"] == known or not now["left"]:
+            break
+        known, level = now["n"], ((now["size"] or 0) - (now["held"] or 0)) / now["left"]
+    return rows.withColumn("target", F.least(cap.cast("double"), F.lit(level) * F.col("weight")))
 
 
 def quotas(by_source: DataFrame, blocks: int = BLOCKS) -> DataFrame:
@@ -93,44 +97,74 @@ def hypergeometric(total: Column, marked: Column, draws: Column, u: Column) -> C
     return F.when((marked <= 0) | (draws <= 0), F.lit(0).cast("long")).when(draws >= total, marked).otherwise(let(mode, walk))
 
 
+def left_draws(nodes: DataFrame, chunks: int, seed: int, floor: int = 0) -> DataFrame:
+    """nodes (first, n, chunk, q: quotas of a chunk's sources) and `left`: how many of them the left half of a node draws.
+
+    floor: 0 for sources, 1 for chunks of them, and so on.
+    """
+    half = F.floor(F.col("n") / 2)
+    nodes = nodes.withColumn("_sum", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x))
+    if chunks > 1:
+        above = nodes.groupBy("first", "n", F.floor(F.col("chunk") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct(F.col("chunk").alias("c"), F.col("_sum").alias("s")))).alias("q"))
+        above = above.select("first", "n", "chunk", F.transform("q", lambda x: x["s"]).alias("q"))
+        parts = left_draws(above, -(-chunks // CHUNK), seed, floor + 1).select("first", F.col("chunk").alias("_up"), F.posexplode("left").alias("_i", "_draws"))
+        nodes = cut(nodes.join(parts.select("first", (F.col("_up") * CHUNK + F.col("_i")).alias("chunk"), "_draws"), ["first", "chunk"]))
+    else:
+        nodes = nodes.withColumn("_draws", F.floor(F.col("_sum") * half / F.col("n")))
+    begin = F.struct(F.col("_sum").alias("total"), F.col("_draws").alias("draws"), F.array().cast("array<bigint>").alias("left"))
+
+    def split(a: Column, i: Column) -> Column:
+        q = F.get(F.col("q"), i)
+        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(floor), F.col("first"), F.col("n"), F.col("chunk"), i), F.lit(1 << 53)) / float(1 << 53)
+        return let(hypergeometric(a["total"], q, a["draws"], u), lambda x: F.struct((a["total"] - q).alias("total"), (a["draws"] - x).alias("draws"), F.concat(a["left"], F.array(x)).alias("left")))
+
+    left = F.aggregate(F.sequence(F.lit(0), F.size("q") - 1), begin, split)["left"]
+    return nodes.withColumn("left", left).drop("_sum", "_draws")
+
+
 def splitting_tree(by_source: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """by_source (with quota) and `bounds`: where each shard's run of the source's drawn blocks begins, and its end."""
-    node = by_source.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("z"), "source", "quota"))).alias("all"))
-    node = node.select(F.lit(0).alias("first"), F.lit(shards).alias("n"), F.transform("all", lambda x: x["source"]).alias("names"), F.transform("all", lambda x: x["quota"]).alias("q"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("draws"), F.array().cast("array<bigint>").alias("left"))
+    """by_source (with rank and quota) and `bounds`: where each shard's run of the source's drawn blocks begins, and its end."""
+    by_source = cut(by_source)
+    chunks = -(-by_source.count() // CHUNK)
+    node = by_source.groupBy(F.floor(F.col("rank") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("rank", "quota"))).alias("q"))
+    node = node.select(F.lit(0).alias("first"), F.lit(shards).alias("n"), "chunk", F.transform("q", lambda x: x["quota"]).alias("q"))
     for _ in range(max(0, shards - 1).bit_length()):
         half = F.floor(F.col("n") / 2).cast("int")
-        whole = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)
-        node = node.withColumn("_half", half).withColumn("_sum", whole)
-        begin = F.struct(F.col("_sum").alias("total"), F.floor(F.col("_sum") * F.col("_half") / F.col("n")).alias("draws"), start["left"].alias("left"))
-
-        def split(a: Column, i: Column) -> Column:
-            q = F.get(F.col("q"), i)
-            u = F.pmod(F.xxhash64(F.lit(seed), F.col("first"), F.col("n"), i), F.lit(1 << 53)) / float(1 << 53)
-            return let(hypergeometric(a["total"], q, a["draws"], u), lambda x: F.struct((a["total"] - q).alias("total"), (a["draws"] - x).alias("draws"), F.concat(a["left"], F.array(x)).alias("left")))
-
-        split_q = F.aggregate(F.sequence(F.lit(0), F.size("q") - 1), begin, split)["left"]
-        node = node.withColumn("_left", F.when(F.col("n") > 1, split_q))
-        right = F.zip_with("q", "_left", lambda a, b: a - b)
-        parts = F.when(F.col("n") > 1, F.array(F.struct(F.col("first"), F.col("_half").alias("n"), F.col("_left").alias("q")), F.struct((F.col("first") + F.col("_half")).alias("first"), (F.col("n") - F.col("_half")).alias("n"), right.alias("q")))).otherwise(F.array(F.struct("first", "n", "q")))
-        node = node.select("names", F.explode(parts).alias("p")).select("p.first", "p.n", "names", "p.q")
-    leaves = node.select("first", F.posexplode("names").alias("i", "source"), "q").select("first", "source", F.get("q", F.col("i")).alias("q"))
-    runs = leaves.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("first", "q"))).alias("r"))
-    bounds = F.aggregate("r", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["q"])))
-    runs = runs.select(F.col("source").alias("_s"), bounds.alias("bounds"))
-    return by_source.join(runs, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        split = left_draws(node.where("n > 1"), chunks, seed)
+        right = F.zip_with("q", "left", lambda a, b: a - b)
+        parts = F.array(F.struct(F.col("first"), half.alias("n"), F.col("left").alias("q")), F.struct((F.col("first") + half).alias("first"), (F.col("n") - half).alias("n"), right.alias("q")))
+        whole = split.select("chunk", F.explode(parts).alias("p")).select("p.first", "p.n", "chunk", "p.q")
+        node = whole if shards & (shards - 1) == 0 else whole.unionByName(node.where("n = 1"))
+    leaves = node.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("first", "q"))).alias("r"))
+    own = F.transform("r", lambda x: F.get(x["q"], F.col("_i")))
+    runs = leaves.select("chunk", "r", F.explode(F.sequence(F.lit(0), F.size(F.col("r")[0]["q"]) - 1)).alias("_i"))
+    runs = runs.select((F.col("chunk") * CHUNK + F.col("_i")).alias("rank"), F.aggregate(own, F.array(F.lit(0).cast("long")), lambda a, q: F.concat(a, F.array(F.element_at(a, -1) + q))).alias("bounds"))
+    return by_source.join(runs, "rank")
+
+
+def permuted(b: Column, m: Column, *key: Column) -> Column:
+    """Where block b of m stands in the order of `key`: a Feistel network over the least square of at least m, walked until it is below m."""
+    side = F.ceil(F.sqrt(m.cast("double")))
+
+    def once(x: Column) -> Column:
+        half = F.struct(int_div(x, side).alias("l"), F.pmod(x, side).alias("r"))
+        mixed = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), half, lambda a, i: F.struct(a["r"].alias("l"), F.pmod(a["l"] + F.pmod(F.xxhash64(*key, i, a["r"]), side), side).alias("r")))
+        return let(mixed, lambda a: a["l"] * side + a["r"])
+
+    # A walk that leaves the numbers below m passes through the others of the square, at most all of them, before it is back.
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), side * side - m), b, lambda x, i: F.when((i > 0) & (x < m), x).otherwise(once(x)))
 
 
 def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, whole: bool = False, seed: int = 0, key: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target and draws: an array of (shard, epoch, at, from, to), the words [from, to)
-    of the document taken at place `at` of its source's drawn blocks.
+    """row (a number of the row), doc_id, source, size, source_size, target and draws: an array of (shard, epoch, at, from, to),
+    the words [from, to) of the document taken at place `at` of its source's drawn blocks.
 
     whole: a document goes, entire, with the block that its first word is in. key: a further column `key` of the result.
     """
-    own = [] if key is None else ["key"]
-    sized = cut(docs.select("doc_id", "source", n_words_of(text_of()).alias("size"), *([] if key is None else [key.alias("key")])))
-    by_source = small_side(cut(splitting_tree(quotas(targets(sized, weights)), shards, seed)).withColumnRenamed("source", "_source"), 10_000)
-    placed = gapless(sized, ["source"], ["doc_id", "size", *own], "_start", weight="size")
+    own = ["row"] if key is None else ["row", "key"]
+    sized = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", n_words_of(text_of()).alias("size"), *([] if key is None else [key.alias("key")])))
+    by_source = small_side(cut(splitting_tree(quotas(targets(sized, weights)), shards, seed).drop("rank", "weight")).withColumnRenamed("source", "_source"), 10_000)
+    placed = gapless(sized, ["source"], ["doc_id", "size", *own[1:], "row"], "_start", weight="size")
     placed = placed.join(by_source, F.col("source").eqNullSafe(F.col("_source")), "left")
     s, m = F.col("source_size"), F.col("blocks")
     first = F.expr("(( _start + 1) * blocks - 1) div source_size")
@@ -138,16 +172,17 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHA
     placed = placed.withColumns({"_b0": F.when(s > 0, F.least(first, m - 1)), "_b1": F.when(s > 0, F.least(last, m - 1))})
 
     def taken(b: Column, epoch: int) -> Column:
-        a, c = EPOCHS[epoch % len(EPOCHS)]
-        at = epoch * m + F.pmod(b * a + c, m)
-        lo = F.greatest(F.lit(0).cast("long"), int_div(b * s, m) - F.col("_start"))
-        hi = F.least(F.col("size"), int_div((b + 1) * s, m) - F.col("_start"))
-        lo, hi = (F.lit(0).cast("long"), F.col("size")) if whole else (lo, hi)
-        shard = F.size(F.filter("bounds", lambda x: x <= at)) - 1
-        return F.when((at < F.col("quota")) & (hi > lo), F.struct(F.least(shard, F.lit(shards - 1)).cast("int").alias("shard"), F.lit(epoch).alias("epoch"), at.alias("at"), lo.alias("from"), hi.alias("to")))
-
-    epochs = range(len(EPOCHS))
-    every = F.flatten(F.transform(F.sequence(F.col("_b0"), F.col("_b1")), lambda b: F.array_compact(F.array(*[taken(b, e) for e in epochs]))))
+        def drawn(at: Column) -> Column:
+            lo = F.greatest(F.lit(0).cast("long"), int_div(b * s, m) - F.col("_start"))
+            hi = F.least(F.col("size"), int_div((b + 1) * s, m) - F.col("_start"))
+            lo, hi = (F.lit(0).cast("long"), F.col("size")) if whole else (lo, hi)
+            shard = F.size(F.filter("bounds", lambda x: x <= at)) - 1
+            return F.when((at < F.col("quota")) & (hi > lo), F.struct(F.least(shard, F.lit(shards - 1)).cast("int").alias("shard"), F.lit(epoch).alias("epoch"), at.alias("at"), lo.alias("from"), hi.alias("to")))
+
+        # An epoch that the quota does not reach is not permuted.
+        return F.when(epoch * m < F.col("quota"), let(epoch * m + permuted(b, m, F.lit(seed), F.lit(epoch), F.col("source")), drawn))
+
+    every = F.flatten(F.transform(F.sequence(F.col("_b0"), F.col("_b1")), lambda b: F.array_compact(F.array(*[taken(b, e) for e in range(MOST_EPOCHS)]))))
     none = F.array().cast("array<struct<shard:int,epoch:int,at:bigint,from:bigint,to:bigint>>")
     return placed.select(*own, "doc_id", "source", "size", "source_size", "target", F.when((F.col("size") > 0) & (s > 0), every).otherwise(none).alias("draws"))
 
@@ -157,10 +192,19 @@ def int_div(a: Column, b: Column) -> Column:
     return ((a - F.pmod(a, b)) / b).cast("long")
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """The mix: shard, slot (gapless in the shard, in its shuffled order), doc_id, epoch, word_from, word_to."""
-    rows = draws(docs, weights, shards, seed=seed).select("doc_id", F.explode("draws").alias("d")).select("doc_id", "d.shard", "d.epoch", F.col("d.from").alias("word_from"), F.col("d.to").alias("word_to"), F.xxhash64(F.lit(seed), "doc_id", "d.epoch", "d.from").alias("_key"))
-    return gapless(cut(rows), ["shard"], ["_key", "doc_id", "epoch", "word_from"], "slot").drop("_key")
+def mixture(drawn: DataFrame, seed: int = 0) -> DataFrame:
+    """The mix of draws(), which should be cut(): shard, slot (gapless in the shard, in its shuffled order), row, doc_id, epoch, word_from, word_to."""
+    rows = drawn.select("row", "doc_id", F.explode("draws").alias("d")).select("row", "doc_id", "d.shard", "d.epoch", F.col("d.from").alias("word_from"), F.col("d.to").alias("word_to"))
+    rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "row", "epoch", "word_from"))
+    return gapless(rows, ["shard"], ["_key", "row", "epoch", "word_from"], "slot").drop("_key")
+
+
+def mixed_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, seed: int = 0) -> DataFrame:
+    """row, doc_id, size, source_size, target and taken: the words of each document that the shards of the mix hold, repeats counted."""
+    drawn = cut(draws(docs, weights, shards, seed=seed))
+    held = mixture(drawn, seed).groupBy(F.col("row").alias("_row")).agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
+    told = drawn.join(held, F.col("row") == F.col("_row"), "left")
+    return told.select("row", "doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:

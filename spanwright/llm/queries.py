@@ -124,9 +124,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mixing.draws(table(spark, sf_dir, "documents"))
-    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["to"] - d["from"])
-    return drawn.select("doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", taken.alias("taken"))
+    return mixing.mixed_words(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

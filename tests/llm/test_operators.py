@@ -370,7 +370,9 @@ def test_mixing_targets_and_draws(spark, corpus):
         assert abs(taken[s] - want[s]) <= 2
     again = {r.doc_id: r.draws for r in mixing.draws(docs.repartition(3)).collect()}
     assert again == {r.doc_id: r.draws for r in got}
-    rows_ = mixing.mixture(docs).collect()
+    words = {r.doc_id: r.taken for r in mixing.mixed_words(docs).collect()}
+    assert words == {r.doc_id: sum(d["to"] - d["from"] for d in r.draws) for r in got}
+    rows_ = mixing.mixture(mixing.draws(docs)).collect()
     by = collections.defaultdict(list)
     for r in rows_:
         by[r.shard].append(r.slot)
@@ -381,7 +383,7 @@ def test_mixing_targets_and_draws(spark, corpus):
 
 
 def test_splitting_tree_keeps_quotas(spark):
-    by = spark.createDataFrame([("a", 100, 500), ("b", 100, 7), (None, 100, 0), ("c", 100, 3000)], "source string, blocks long, quota long")
+    by = spark.createDataFrame([("a", 0, 500), ("b", 1, 7), (None, 3, 0), ("c", 2, 3000)], "source string, rank long, quota long")
     got = {r.source: r.bounds for r in mixing.splitting_tree(by, 12).collect()}
     assert {s: b[-1] for s, b in got.items()} == {"a": 500, "b": 7, None: 0, "c": 3000}
     assert all(len(b) == 13 and sorted(b) == b for b in got.values())
@@ -389,6 +391,30 @@ def test_splitting_tree_keeps_quotas(spark):
     assert max(shares) - min(shares) <= 4
 
 
+def test_splitting_tree_in_chunks(spark, monkeypatch):
+    """Sources over three floors of chunks; quotas add up and a source's part of a shard is near its fair share."""
+    monkeypatch.setattr(mixing, "CHUNK", 3)
+    by = spark.createDataFrame([(f"s{i}", i, 40 + 10 * i) for i in range(20)], "source string, rank long, quota long")
+    got = {r.rank: r.bounds for r in mixing.splitting_tree(by, 6).collect()}
+    assert {k: b[-1] for k, b in got.items()} == {i: 40 + 10 * i for i in range(20)}
+    parts = {k: [b[i + 1] - b[i] for i in range(6)] for k, b in got.items()}
+    assert all(min(p) >= 0 for p in parts.values())
+    shares = [sum(p[i] for p in parts.values()) for i in range(6)]
+    assert max(shares) - min(shares) <= 3
+    far = [(x - q / 6) / (q * 5 / 36) ** 0.5 for k, p in parts.items() for q in [40 + 10 * k] for x in p]
+    assert max(map(abs, far)) < 5 and 0.5 < sum(x * x for x in far) / len(far) < 1.5  # random, not dealt in turn
+
+
+def test_block_orders_are_permutations(spark):
+    for m in (1, 2, 3, 17, 64, 200):
+        at = lambda *key: [r.p for r in spark.range(m).select("id", mixing.permuted(F.col("id"), F.lit(m).cast("long"), *map(F.lit, key)).alias("p")).orderBy("id").collect()]  # noqa: B023, E731
+        one, two, other = at(0, 0, "a"), at(1, 0, "a"), at(0, 0, "b")
+        assert sorted(one) == sorted(two) == sorted(other) == list(range(m))
+        assert m < 17 or len({tuple(one), tuple(two), tuple(other)}) == 3
+    steps = collections.Counter((b - a) % 200 for a, b in zip(one, one[1:]))
+    assert max(steps.values()) <= 6  # no fixed stride
+
+
 def test_hypergeometric_draws_follow_the_law(spark):
     df = spark.range(4000).select(mixing.hypergeometric(F.lit(50), F.lit(20), F.lit(25), (F.col("id") + 0.5) / 4000).alias("x"))
     from math import comb
