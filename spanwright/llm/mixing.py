@@ -31,7 +31,7 @@ from .common import cut, gapless, let, n_words_of, running, small_side, text_of
 BLOCKS, MOST_EPOCHS, SHARDS = 16_384, 3, 16
 WEIGHTS = (1, 2, 3)
 #: Sources that a task draws for at once, and rounds of the Feistel network.
-CHUNK, ROUNDS = 256, 6
+CHUNK, ROUNDS = 256, 4
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -97,40 +97,48 @@ def hypergeometric(total: Column, marked: Column, draws: Column, u: Column) -> C
     return F.when((marked <= 0) | (draws <= 0), F.lit(0).cast("long")).when(draws >= total, marked).otherwise(let(mode, walk))
 
 
-def left_draws(nodes: DataFrame, chunks: int, seed: int, floor: int = 0) -> DataFrame:
+def chunk_draws(seed: int, floor: int) -> Column:
+    """How many of each quota of q the left half draws, source after source: of first, n, chunk, q, _sum and _draws."""
+    begin = F.struct(F.col("_sum").alias("total"), F.col("_draws").alias("draws"), F.array().cast("array<bigint>").alias("left"))
+
+    def split(a: Column, i: Column) -> Column:
+        q = F.get(F.col("q"), i)
+        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(floor), F.col("first"), F.col("n"), F.col("chunk"), i), F.lit(1 << 53)) / float(1 << 53)
+        return let(hypergeometric(a["total"], q, a["draws"], u), lambda x: F.struct((a["total"] - q).alias("total"), (a["draws"] - x).alias("draws"), F.concat(a["left"], F.array(x)).alias("left")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size("q") - 1), begin, split)["left"]
+
+
+def left_draws(nodes: DataFrame, chunks: int, by_floor: list[Column], floor: int = 0) -> DataFrame:
     """nodes (first, n, chunk, q: quotas of a chunk's sources) and `left`: how many of them the left half of a node draws.
 
-    floor: 0 for sources, 1 for chunks of them, and so on.
+    by_floor: chunk_draws() of sources, of chunks of them, and so on.
     """
     half = F.floor(F.col("n") / 2)
     nodes = nodes.withColumn("_sum", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x))
     if chunks > 1:
         above = nodes.groupBy("first", "n", F.floor(F.col("chunk") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct(F.col("chunk").alias("c"), F.col("_sum").alias("s")))).alias("q"))
         above = above.select("first", "n", "chunk", F.transform("q", lambda x: x["s"]).alias("q"))
-        parts = left_draws(above, -(-chunks // CHUNK), seed, floor + 1).select("first", F.col("chunk").alias("_up"), F.posexplode("left").alias("_i", "_draws"))
+        parts = left_draws(above, -(-chunks // CHUNK), by_floor, floor + 1).select("first", F.col("chunk").alias("_up"), F.posexplode("left").alias("_i", "_draws"))
         nodes = cut(nodes.join(parts.select("first", (F.col("_up") * CHUNK + F.col("_i")).alias("chunk"), "_draws"), ["first", "chunk"]))
     else:
         nodes = nodes.withColumn("_draws", F.floor(F.col("_sum") * half / F.col("n")))
-    begin = F.struct(F.col("_sum").alias("total"), F.col("_draws").alias("draws"), F.array().cast("array<bigint>").alias("left"))
-
-    def split(a: Column, i: Column) -> Column:
-        q = F.get(F.col("q"), i)
-        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(floor), F.col("first"), F.col("n"), F.col("chunk"), i), F.lit(1 << 53)) / float(1 << 53)
-        return let(hypergeometric(a["total"], q, a["draws"], u), lambda x: F.struct((a["total"] - q).alias("total"), (a["draws"] - x).alias("draws"), F.concat(a["left"], F.array(x)).alias("left")))
-
-    left = F.aggregate(F.sequence(F.lit(0), F.size("q") - 1), begin, split)["left"]
-    return nodes.withColumn("left", left).drop("_sum", "_draws")
+    return nodes.withColumn("left", by_floor[floor]).drop("_sum", "_draws")
 
 
 def splitting_tree(by_source: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """by_source (with rank and quota) and `bounds`: where each shard's run of the source's drawn blocks begins, and its end."""
     by_source = cut(by_source)
     chunks = -(-by_source.count() // CHUNK)
+    floors = 1
+    while CHUNK**floors < chunks:
+        floors += 1
+    by_floor = [chunk_draws(seed, floor) for floor in range(floors + (chunks > 1))]
     node = by_source.groupBy(F.floor(F.col("rank") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("rank", "quota"))).alias("q"))
     node = node.select(F.lit(0).alias("first"), F.lit(shards).alias("n"), "chunk", F.transform("q", lambda x: x["quota"]).alias("q"))
     for _ in range(max(0, shards - 1).bit_length()):
         half = F.floor(F.col("n") / 2).cast("int")
-        split = left_draws(node.where("n > 1"), chunks, seed)
+        split = cut(left_draws(node.where("n > 1"), chunks, by_floor))
         right = F.zip_with("q", "left", lambda a, b: a - b)
         parts = F.array(F.struct(F.col("first"), half.alias("n"), F.col("left").alias("q")), F.struct((F.col("first") + half).alias("first"), (F.col("n") - half).alias("n"), right.alias("q")))
         whole = split.select("chunk", F.explode(parts).alias("p")).select("p.first", "p.n", "chunk", "p.q")
@@ -142,13 +150,12 @@ def splitting_tree(by_source: DataFrame, shards: int = SHARDS, seed: int = 0) ->
     return by_source.join(runs, "rank")
 
 
-def permuted(b: Column, m: Column, *key: Column) -> Column:
-    """Where block b of m stands in the order of `key`: a Feistel network over the least square of at least m, walked until it is below m."""
-    side = F.ceil(F.sqrt(m.cast("double")))
+def permuted(b: Column, m: Column, side: Column, key: Column) -> Column:
+    """Where block b of m stands in the order of `key`: a Feistel network over side * side >= m numbers, walked until it is below m."""
 
     def once(x: Column) -> Column:
         half = F.struct(int_div(x, side).alias("l"), F.pmod(x, side).alias("r"))
-        mixed = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), half, lambda a, i: F.struct(a["r"].alias("l"), F.pmod(a["l"] + F.pmod(F.xxhash64(*key, i, a["r"]), side), side).alias("r")))
+        mixed = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), half, lambda a, i: F.struct(a["r"].alias("l"), F.pmod(a["l"] + F.pmod(F.xxhash64(key, i, a["r"]), side), side).alias("r")))
         return let(mixed, lambda a: a["l"] * side + a["r"])
 
     # A walk that leaves the numbers below m passes through the others of the square, at most all of them, before it is back.
@@ -163,7 +170,8 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHA
     """
     own = ["row"] if key is None else ["row", "key"]
     sized = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", n_words_of(text_of()).alias("size"), *([] if key is None else [key.alias("key")])))
-    by_source = small_side(cut(splitting_tree(quotas(targets(sized, weights)), shards, seed).drop("rank", "weight")).withColumnRenamed("source", "_source"), 10_000)
+    by_source = splitting_tree(quotas(targets(sized, weights)), shards, seed).withColumns({"side": F.ceil(F.sqrt(F.col("blocks").cast("double"))), "orders": F.array(*[F.xxhash64(F.lit(seed), F.lit(e), "source") for e in range(MOST_EPOCHS)])})
+    by_source = small_side(cut(by_source.drop("rank", "weight")).withColumnRenamed("source", "_source"), 10_000)
     placed = gapless(sized, ["source"], ["doc_id", "size", *own[1:], "row"], "_start", weight="size")
     placed = placed.join(by_source, F.col("source").eqNullSafe(F.col("_source")), "left")
     s, m = F.col("source_size"), F.col("blocks")
@@ -180,7 +188,7 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHA
             return F.when((at < F.col("quota")) & (hi > lo), F.struct(F.least(shard, F.lit(shards - 1)).cast("int").alias("shard"), F.lit(epoch).alias("epoch"), at.alias("at"), lo.alias("from"), hi.alias("to")))
 
         # An epoch that the quota does not reach is not permuted.
-        return F.when(epoch * m < F.col("quota"), let(epoch * m + permuted(b, m, F.lit(seed), F.lit(epoch), F.col("source")), drawn))
+        return F.when(epoch * m < F.col("quota"), let(epoch * m + permuted(b, m, F.col("side"), F.get("orders", F.lit(epoch))), drawn))
 
     every = F.flatten(F.transform(F.sequence(F.col("_b0"), F.col("_b1")), lambda b: F.array_compact(F.array(*[taken(b, e) for e in range(MOST_EPOCHS)]))))
     none = F.array().cast("array<struct<shard:int,epoch:int,at:bigint,from:bigint,to:bigint>>")

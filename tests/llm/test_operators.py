@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -407,7 +408,7 @@ def test_splitting_tree_in_chunks(spark, monkeypatch):
 
 def test_block_orders_are_permutations(spark):
     for m in (1, 2, 3, 17, 64, 200):
-        at = lambda *key: [r.p for r in spark.range(m).select("id", mixing.permuted(F.col("id"), F.lit(m).cast("long"), *map(F.lit, key)).alias("p")).orderBy("id").collect()]  # noqa: B023, E731
+        at = lambda *key: [r.p for r in spark.range(m).select("id", mixing.permuted(F.col("id"), F.lit(m).cast("long"), F.lit(math.isqrt(m - 1) + 1).cast("long"), F.xxhash64(*map(F.lit, key))).alias("p")).orderBy("id").collect()]  # noqa: B023, E731
         one, two, other = at(0, 0, "a"), at(1, 0, "a"), at(0, 0, "b")
         assert sorted(one) == sorted(two) == sorted(other) == list(range(m))
         assert m < 17 or len({tuple(one), tuple(two), tuple(other)}) == 3
