@@ -442,6 +442,86 @@ def test_sharding(spark, corpus):
     assert sharding.sharded(docs_of(spark, rows[:3]), 24).count() == 3
 
 
+def plain_shards(rows, shards):
+    """A k-d tree over (doc_id, size, crc, lang, source, length) in plain Python: {(doc_id, crc): shard}."""
+    total = sum(r[1] for r in rows)
+
+    def ranks(values):
+        below, out = 0, {}
+        for v in sorted(values, key=lambda v: (v is not None, v)):
+            out[v] = math.floor(below * (65535 / total))
+            below += values[v]
+        return out
+
+    least = collections.defaultdict(list)
+    for r in rows:
+        least[r[1], r[2]].append(r)
+    first = lambda v: min(v, key=lambda x: (x is not None, x))
+    points = [(r[0], r[1], r[2], (math.floor(math.log2(r[1] + 1) * 64), math.floor(math.log2(r[5] + 1) * 64), first([x[3] for x in least[r[1], r[2]]]), first([x[4] for x in least[r[1], r[2]]]))) for r in rows]
+    weights = [collections.Counter() for _ in range(4)]
+    for p in points:
+        for k in range(4):
+            weights[k][p[3][k]] += p[1]
+    scale = [ranks(w) for w in weights]
+    points = [(p[0], p[1], p[2], tuple(scale[k][p[3][k]] for k in range(4))) for p in points]
+    out = {}
+
+    def quantile(pairs, goal):
+        before, runs = 0, sorted(collections.Counter({k: 0 for k, _ in pairs}).items())
+        weight = collections.Counter()
+        for k, w in pairs:
+            weight[k] += w
+        for k, _ in runs:
+            if before + weight[k] > goal or k == runs[-1][0]:
+                return k, before, weight[k]
+            before += weight[k]
+
+    def grow(own, f, n):
+        if n == 1 or not own:
+            out.update({(p[0], p[2]): f for p in own})
+            return
+        d = max(range(4), key=lambda i: (max(p[3][i] for p in own) - min(p[3][i] for p in own), -i))
+        key = lambda p: (p[3][d] << 32) + p[2]
+        goal = sum(p[1] for p in own) * (n // 2) / n
+        k, before, w = quantile([(key(p), p[1]) for p in own], goal)
+        left = goal - before > w / 2
+        assert w <= total / shards  # this plain version cuts no run
+        go = {id(p): key(p) < k or (left and key(p) == k) for p in own}
+        others = [p for p in own if key(p) != k]
+        if 0.001 * total / shards < w and others and goal - w * left >= 0:
+            k2, before, w2 = quantile([(key(p), p[1]) for p in others], goal - w * left)
+            more = goal - w * left - before > w2 / 2
+            go = {id(p): left if key(p) == k else key(p) < k2 or (more and key(p) == k2) for p in own}
+        grow([p for p in own if go[id(p)]], f, n // 2)
+        grow([p for p in own if not go[id(p)]], f + n // 2, n - n // 2)
+
+    grow(points, 0, shards)
+    return out
+
+
+def test_sharding_is_the_plain_tree(spark):
+    rnd = random.Random(5)
+    rows = [(i, prose(i % 170, 3 + i % 37), rnd.choice(["en", "de", None]), rnd.choice(["a", "b", "c", None]), 1) for i in range(240)]
+    got = {(r.doc_id, r.text_crc32): r.shard for r in sharding.sharded(docs_of(spark, rows), 6).collect()}
+    plain = [(r[0], len(r[1].encode()) + 8, zlib.crc32(r[1].encode()), r[2], r[3], len(r[1])) for r in rows]
+    assert got == plain_shards(plain, 6)
+    by_text = collections.defaultdict(set)
+    for (_, crc), shard in got.items():
+        by_text[crc].add(shard)
+    assert all(len(v) == 1 for v in by_text.values())
+
+
+def test_sharded_documents(spark, corpus):
+    rows = [*corpus, corpus[0], corpus[0], (None, None, None, None, None), (7, "other", "de", "s", 1)]
+    docs = docs_of(spark, rows)
+    got = sharding.sharded_documents(docs, 3)
+    assert set(docs.columns) - {"size", "shard"} <= set(got.columns)
+    told = got.collect()
+    assert collections.Counter((r.doc_id, r.text) for r in told) == collections.Counter((r[0], r[1]) for r in rows)
+    assert len({(r.doc_id, r.text, r.copy) for r in told}) == len(rows) == len({(r.shard, r.slot) for r in told})
+    assert sharding.sharded_documents(docs.limit(0), 3).count() == 0
+
+
 def test_mixing_sources_without_words(spark):
     rows = [(1, "", "en", "empty", 0), (2, None, "en", "empty", 0), (3, "a b c", "en", "full", 5), (3, "a b c", "en", "full", 5)]
     got = sorted((r.doc_id, r.size, r.target, sum(d["to"] - d["from"] for d in r.draws)) for r in mixing.draws(docs_of(spark, rows)).collect())
