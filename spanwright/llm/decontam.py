@@ -2,18 +2,21 @@
 
 Texts and benchmark passages are lower-cased, stripped of ASCII punctuation, and their white space
 becomes single spaces; they are compared as UTF-8 code units. A passage of m units may differ from a
-region by e = 5 % of m edits. By the q-gram lemma such a region shares at least m - q + 1 - q * e
-q-grams with the passage, and all of them lie on diagonals within e of each other. Shared q-grams
-are counted in diagonal bands of e + 1, two neighbours at a time, so that bands overlap; regions
-meeting the bound are verified by a banded alignment.
+region by e = 5 % of m edits. An edit destroys at most one of the passage's floor(m / q) q-grams that do
+not overlap, so by the q-gram lemma such a region shares at least floor(m / q) - e of them with the
+passage, and all of them lie on diagonals within e of each other. Shared q-grams are counted in diagonal
+bands of e + 1, two neighbours at a time, so that bands overlap; regions meeting the bound are verified
+by an alignment over the band's diagonals, which carries each path's start along.
 
-The passages are the stated query set: they go to the tasks in blocks of bounded bytes, each block
-against all documents in one pass.
+The passages are the stated query set: they go to the tasks in blocks of BLOCK_BYTES, whose postings take
+about twice their bytes, and each block is held against all documents in one pass. A benchmark within one
+block, the usual case, takes one pass; a larger one takes a pass a block.
 
 Defined cases: null and empty texts match nothing; passages under q units after normalising cannot
 be told from chance and match nothing; for short passages e is lowered until the bound is positive;
-of several regions the one with the fewest edits, then the first, is reported; rows that repeat a
-doc_id are reported each; empty tables give no rows; other columns are ignored.
+of several regions the one with the fewest edits, then the first start, then the first end, is reported;
+rows that repeat a doc_id are reported each, and so are passages that repeat an item_id or a text; empty
+tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from .common import arrow_map, bound_batches
 
 Q, EDIT_RATE = 12, 0.05
 #: Bytes of passages in one block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 64 << 20
 _BITS = 22
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -59,25 +62,39 @@ def edit_budget(m: int) -> int:
     return min(int(m * EDIT_RATE), max(0, (m - Q) // Q))
 
 
-def banded_alignment(item: bytes, region: bytes, most: int) -> tuple[int, int] | None:
-    """(edits, end) of the best match of the whole item inside region, starting anywhere; None beyond `most` edits.
+def banded_alignment(item: bytes, region: bytes, most: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best match of the whole item inside region, starting anywhere; None beyond `most` edits.
 
-    Rows are the item's units. A row's free start makes every diagonal of the region reachable, and
-    the region is only as wide as its band, so the band is the whole row.
+    The region is a band's width longer than the item, and a path stays within `most` of the diagonal it
+    starts on, so only diagonals -most .. len(region) - len(item) + most are filled, one row a unit of the
+    item. A cell holds edits and the path's start in one number, so the least has the first start too.
     """
-    r = np.frombuffer(region, np.uint8)
-    n = len(r)
-    steps = np.arange(n + 1)
-    row = np.zeros(n + 1, np.int64)
+    m, n = len(item), len(region)
+    width = n - m + 2 * most + 1  # diagonals k - most, for k in 0 .. width - 1
+    if width <= 0:
+        return None
+    one, far = np.int64(1) << 32, np.int64(1) << 62
+    padded = np.full(width + m + most + 1, -1, np.int16)
+    padded[most : most + n] = np.frombuffer(region, np.uint8)
+    steps = np.arange(width, dtype=np.int64) << 32
+    start = np.arange(width, dtype=np.int64) - most
+    row = np.where((start >= 0) & (start <= n), start, far)
+    limit = (most + 1) * one
     for i, c in enumerate(item, 1):
-        new = np.empty(n + 1, np.int64)
-        new[0] = i
-        np.minimum(row[:-1] + (r != c), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - steps) + steps
-        if row.min() > most:
+        new = row + one * (padded[i - 1 : i - 1 + width] != c)
+        np.minimum(new[:-1], row[1:] + one, out=new[:-1])
+        new = np.minimum.accumulate(new - steps) + steps
+        end = i - most  # the place in the region of the first diagonal
+        if end < 0:
+            new[:-end] = far
+        if end + width - 1 > n:
+            new[n - end + 1 :] = far
+        row = new
+        if row.min() >= limit:
             return None
-    end = int(row.argmin())
-    return (int(row[end]), end) if row[end] <= most else None
+    k = int(row.argmin())
+    best = int(row[k])
+    return (best >> 32, best & 0xFFFFFFFF, k - most + m) if best < limit else None
 
 
 class PassageIndex:
@@ -90,11 +107,11 @@ class PassageIndex:
         self.texts = [t for _, t in named]
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.array([edit_budget(len(t)) for t in self.texts], np.int64)
-        self.least = self.size - Q + 1 - Q * self.edits
-        grams = [gram_hashes(t) for t in self.texts]
+        self.least = self.size // Q - self.edits
+        grams = [gram_hashes(t)[::Q] for t in self.texts]
         h = np.concatenate([*grams, np.empty(0, np.uint64)])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        at = np.concatenate([*[np.arange(len(g)) for g in grams], np.empty(0, np.int64)]).astype(np.int64)
+        at = np.concatenate([*[np.arange(len(g)) * Q for g in grams], np.empty(0, np.int64)]).astype(np.int64)
         order = np.argsort(h, kind="stable")
         self.grams, self.first = np.unique(h[order], return_index=True)
         self.last = np.append(self.first[1:], len(h))
@@ -138,7 +155,7 @@ class PassageIndex:
             if (exact := region.find(self.texts[i])) >= 0:
                 found = (0, begin + exact, begin + exact + m)
             elif (told := banded_alignment(self.texts[i], region, e)) is not None:
-                found = (told[0], max(0, begin + told[1] - m), begin + told[1])
+                found = (told[0], begin + told[1], begin + told[2])
             else:
                 continue
             if i not in best or found < best[i]:
@@ -148,8 +165,8 @@ class PassageIndex:
 
 def passage_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The passages in blocks of bounded bytes; one block is held at a time."""
-    total = benchmark.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-4 * total // BLOCK_BYTES))
+    total = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
     dealt = benchmark.select("item_id", "text").where("text IS NOT NULL")
     for b in range(blocks):
         part = dealt if blocks == 1 else dealt.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)

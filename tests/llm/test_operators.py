@@ -129,6 +129,48 @@ def test_decontamination(spark, corpus):
     assert decontam.contamination(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def plain_match(item, text, most):
+    """(edits, start, end) of the best match by the whole table of edit distances, one start at a time."""
+    best = None
+    for s in range(len(text) + 1):
+        row = list(range(len(item) + 1))
+        for j in range(s, len(text) + 1):
+            if j > s:
+                new = [row[0] + 1]
+                for i in range(1, len(item) + 1):
+                    new.append(min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (item[i - 1] != text[j - 1])))
+                row = new
+            if row[-1] <= most and (best is None or (row[-1], s, j) < best):
+                best = (row[-1], s, j)
+            if j - s > len(item) + most:
+                break
+    return best
+
+
+def test_decontamination_finds_all_within_the_budget(spark, monkeypatch):
+    """Against plain edit distance, with passages in several blocks, repeated item_ids and repeated rows."""
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 150)
+    rnd, items = random.Random(3), [(k % 5, prose(800 + k, 6 + 3 * k)) for k in range(6)]
+    rows = []
+    for i in range(20):
+        passage = list(items[i % 6][1])
+        for _ in range(rnd.randrange(0, 7)):
+            at, kind = rnd.randrange(len(passage)), rnd.randrange(3)
+            passage[at : at + (kind < 2)] = [] if kind == 0 else [rnd.choice("xyz")]
+        rows.append((i // 2, prose(i, 3) + " " + "".join(passage) + " " + prose(i + 50, 3), "en", "s", 1))
+    want = collections.Counter()
+    for d, text, *_ in rows:
+        for item, passage in items:
+            own = decontam.normalised(passage)
+            if len(own) >= decontam.Q and (found := plain_match(own, decontam.normalised(text), decontam.edit_budget(len(own)))):
+                want[(d, item, *found)] += 1
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = collections.Counter((r.doc_id, r.item_id, r.edits, r.start, r.end) for r in decontam.contamination(docs_of(spark, rows), bench).collect())
+    assert len(want) > 10 and got == want
+    left = collections.Counter(r.text for r in decontam.decontaminated(docs_of(spark, rows), bench).collect())
+    assert left == collections.Counter(r[1] for r in rows) - collections.Counter(r[1] for r in rows if any(plain_match(decontam.normalised(p), decontam.normalised(r[1]), decontam.edit_budget(len(decontam.normalised(p)))) for _, p in items))
+
+
 def brute_repeats(texts, length):
     seen = collections.Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
     out = []
