@@ -2,14 +2,23 @@
 
 Base rules count words, repeated lines and repeated 3-word windows of a whole text inside its own
 row. The further rules are cutoffs on rates of those counts, chosen per stratum (language) from
-labelled documents: a cutoff may be used only if an exact binomial test shows that it rejects at
-most ``risk / rules`` of the good documents of its stratum, at level ``level`` divided by the
-number of all tests made (Bonferroni over strata, rules and cutoffs). The lowest such cutoff of a
-rule holds. A stratum without enough labelled good documents gets no cutoff and rejects nothing.
+labelled documents, of which one half proposes and the other certifies. The proposing half puts
+cells (a rule and a cutoff) that reject a larger share of its bad documents than of its good ones in
+order, those that reject the fewest good ones first. The certifying half tests, one after another,
+whether all cells up to this one together reject at most ``risk`` of the good documents of the
+stratum: an exact binomial bound at level ``level`` divided by the number of strata and one. Testing
+stops at the first that fails, so by fixed-sequence testing inside a stratum and Bonferroni's
+correction between strata all claims hold at once at ``level``. The cells before it hold.
+
+A stratum in which no cell is certified takes the cells that all strata together certify, by the same
+tests over all labelled documents; for it the bound holds over all strata, not over it alone. With
+fewer than about log(level / (strata + 1)) / log(1 - risk) good documents in the certifying half (90 at
+four strata) nothing can be certified, and with fewer than that in all strata nothing is rejected.
 
 Only DataFrame functions are used. Defined cases: null and empty texts have no words and fail the
 base rule; a null stratum is a stratum of its own; labels repeated for a document count once, the
-lowest quality holding; empty tables give no rows; other columns are ignored.
+lowest quality holding; rows that repeat a doc_id count each; without labels nothing is rejected; empty
+tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,22 +104,64 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), logs["sum"]))
 
 
-def thresholds(counts: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """One row a stratum: stratum and cut_<rule> (null: no cutoff is safe)."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col("doc_id").alias("_id"))
-    held = counts.where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("_id"), "left_semi")
-    cells = [(rule, at) for rule in RULES for at in CUTOFFS]
-    sums = held.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(rate(rule) > at).alias(f"k_{rule}_{at}") for rule, at in cells])
-    long = sums.select(stratum, "n", F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(at).alias("at"), F.col(f"k_{rule}_{at}").alias("k")) for rule, at in cells])).alias("c")).select(stratum, "n", "c.*")
-    tests = F.count(F.lit(1)).over(Window.partitionBy())  # over the table of tests: strata x rules x cutoffs
-    tried = long.withColumn("safe", binomial_tail(F.col("k"), F.col("n"), risk / len(RULES)) <= level / tests)
-    return tried.groupBy(stratum).agg(*[F.min(F.when(F.col("safe") & (F.col("rule") == rule), F.col("at"))).alias(f"cut_{rule}") for rule in RULES])
+def rates() -> Column:
+    """The rates of all rules, in their order."""
+    return F.array(*[rate(rule) for rule in RULES])
+
+
+def exceeded(cells: Column, own: Column) -> Column:
+    """Numbers of the cells (rule, at) that a document's rates exceed, in order."""
+    return F.array_compact(F.transform(cells, lambda c, i: F.when(F.get(own, c["rule"]) > c["at"], i)))
+
+
+def proposed(held: DataFrame) -> DataFrame:
+    """stratum and cells, in the order in which they are to be tested. held: stratum, rates, good, proposing."""
+    tried = [(k, at) for k in range(len(RULES)) for at in CUTOFFS]
+    over = lambda k, at: F.get("rates", F.lit(k)) > at
+    counts = [F.count_if(F.col("proposing") & F.col("good")).alias("n_good"), F.count_if(F.col("proposing") & ~F.col("good")).alias("n_bad")]
+    counts += [F.count_if(F.col("proposing") & (F.col("good") if good else ~F.col("good")) & over(k, at)).alias(f"{'good' if good else 'bad'}_{k}_{at}") for k, at in tried for good in (True, False)]
+    sums = held.groupBy("stratum").agg(*counts)
+    cell = [F.struct(F.col(f"good_{k}_{at}").alias("good"), (-F.col(f"bad_{k}_{at}")).alias("bad"), F.lit(k).alias("rule"), F.lit(-at).alias("at")) for k, at in tried]
+    useful = F.filter(F.array(*cell), lambda c: -c["bad"] * F.col("n_good") > c["good"] * F.col("n_bad"))
+    return sums.select("stratum", F.transform(F.sort_array(useful), lambda c: F.struct(c["rule"].alias("rule"), (-c["at"]).alias("at"))).alias("cells"))
+
+
+def certified(held: DataFrame, cells: DataFrame, risk: float, level: Column | float) -> DataFrame:
+    """stratum and cells, only those before the first test that fails. cells: one row a stratum."""
+    named = small_side(cut(cells).withColumnRenamed("stratum", "_stratum"))
+    good = held.where("good AND NOT proposing").join(named, F.col("stratum").eqNullSafe(F.col("_stratum")))
+    first = good.select("stratum", F.get(exceeded(F.col("cells"), F.col("rates")), F.lit(0)).alias("step")).groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("c"))
+    steps = first.groupBy(F.col("stratum").alias("_s")).agg(F.sum("c").alias("n"), F.collect_list(F.struct("step", "c")).alias("steps"))
+    rejected = lambda i: F.aggregate(F.filter("steps", lambda s: s["step"] <= i), F.lit(0).cast("long"), lambda a, s: a + s["c"])
+    passed = F.transform("cells", lambda c, i: binomial_tail(rejected(i), F.col("n"), risk) <= level)
+    told = cells.join(steps, F.col("stratum").eqNullSafe(F.col("_s"))).withColumn("_passed", passed)
+    last = F.when(F.array_position("_passed", F.lit(False)) > 0, F.array_position("_passed", F.lit(False)) - 1).otherwise(F.size("cells"))
+    return told.select("stratum", F.slice("cells", F.lit(1), last.cast("int")).alias("cells"))
+
+
+CELLS = "array<struct<rule:int,at:int>>"
+
+
+def thresholds(counts: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> tuple[DataFrame, Column]:
+    """(stratum and cells of the strata that certify some; cells that all strata together certify)."""
+    told = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality")).where("_quality IS NOT NULL")
+    proposing = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1) < "8"
+    held = cut(counts.where(~F.col("base_failed")).join(told, F.col("doc_id") == F.col("_id")).select(F.col(stratum).alias("stratum"), rates().alias("rates"), (F.col("_quality") == 1).alias("good"), proposing.alias("proposing")))
+    cells = cut(proposed(held))
+    tests = cells.count() + 1
+    own = certified(held, cells, risk, level / tests).where(F.size("cells") > 0)
+    pooled = held.withColumn("stratum", F.lit(None).cast("string"))
+    found = certified(pooled, proposed(pooled), risk, level / tests).first()  # at most a cell for each rule and cutoff
+    pool = F.array(*[F.struct(F.lit(c["rule"]).alias("rule"), F.lit(c["at"]).alias("at")) for c in (found["cells"] if found else [])]).cast(CELLS)
+    return own, pool
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """doc_id, the base counts, base_failed, rejected_by (rules whose cutoff the document exceeds), kept."""
+    """doc_id, the base counts, base_failed, rejected_by (rules whose certified cutoffs the document exceeds), kept."""
     counts = cut(base_counts(docs))
-    cuts = small_side(cut(thresholds(counts, labels, "lang", risk, level)).withColumnRenamed("lang", "_stratum"))
-    judged = counts.join(cuts, F.col("lang").eqNullSafe(F.col("_stratum")), "left")
-    by = F.array_compact(F.array(*[F.when(rate(rule) > F.col(f"cut_{rule}"), F.lit(rule)) for rule in RULES]))
-    return judged.withColumn("rejected_by", by).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("_stratum", *[f"cut_{rule}" for rule in RULES])
+    own, pool = thresholds(counts, labels, "lang", risk, level)
+    own = small_side(cut(own.withColumnsRenamed({"stratum": "_stratum", "cells": "_cells"})))
+    judged = counts.join(own, F.col("lang").eqNullSafe(F.col("_stratum")), "left").withColumn("_cells", F.coalesce("_cells", pool))
+    names = F.array(*[F.lit(rule) for rule in RULES])
+    by = F.array_distinct(F.transform(exceeded(F.col("_cells"), rates()), lambda i: F.get(names, F.get(F.col("_cells"), i)["rule"])))
+    return judged.withColumn("rejected_by", by).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("_stratum", "_cells")

@@ -58,9 +58,10 @@ FROM sized GROUP BY conv_id
 OP5_SQL = r"""
 WITH texts AS (
   SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-windows AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c
-  FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM texts) a, LATERAL (SELECT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g) b),
+words AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM texts),
+threes AS (
+  SELECT doc_id, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS g FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM threes WHERE g IS NOT NULL),
 repeated AS (
   SELECT doc_id, sum(least(3, coalesce(nxt - i, 3)))::BIGINT AS n
   FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM windows WHERE c > 1) GROUP BY doc_id),
@@ -72,24 +73,42 @@ counts AS (
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^!]', '', 'g'))::BIGINT AS n_shouts,
          coalesce(lines.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words
   FROM texts LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
-judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+judged AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
 rates AS (
-  SELECT doc_id, lang, base_failed, unnest(['symbols', 'shouts', 'dup_lines', 'repeats']) AS rule,
+  SELECT doc_id, lang, base_failed, unnest([0, 1, 2, 3]) AS rule,
          unnest([1000 * n_symbols // greatest(word_chars, 1), 1000 * n_shouts // greatest(word_chars, 1),
                  1000 * n_dup_lines // greatest(n_words, 1), 1000 * n_repeat_words // greatest(n_words, 1)]) AS rate
   FROM judged),
-good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
-cells AS (
-  SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (rate > cutoff) AS k
-  FROM (SELECT *, unnest([5, 10, 20, 50, 100, 200, 300, 500]) AS cutoff FROM rates WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good))
-  GROUP BY lang, rule, cutoff),
+told AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id HAVING min(quality) IS NOT NULL),
+held AS (
+  SELECT doc_id, lang, rule, rate, quality = 1 AS good, substr(md5(doc_id::VARCHAR), 1, 1) < '8' AS proposing
+  FROM rates JOIN told USING (doc_id) WHERE NOT base_failed),
+both_ AS MATERIALIZED (SELECT *, lang AS s, FALSE AS pool FROM held UNION ALL SELECT *, NULL AS s, TRUE AS pool FROM held),
+sums AS (
+  SELECT pool, s, rule, cutoff, count(*) FILTER (good AND rate > cutoff) AS good, count(*) FILTER (NOT good AND rate > cutoff) AS bad,
+         count(*) FILTER (good) AS n_good, count(*) FILTER (NOT good) AS n_bad
+  FROM (SELECT *, unnest([5, 10, 20, 50, 100, 200, 300, 500]) AS cutoff FROM both_ WHERE proposing) GROUP BY pool, s, rule, cutoff),
+cells AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pool, s ORDER BY good, bad DESC, rule, cutoff DESC) AS i FROM sums WHERE bad * n_good > good * n_bad),
+steps AS (
+  SELECT b.pool, b.s, b.doc_id, min(c.i) AS step
+  FROM both_ b JOIN cells c ON b.pool = c.pool AND b.s IS NOT DISTINCT FROM c.s AND b.rule = c.rule AND b.rate > c.cutoff
+  WHERE b.good AND NOT b.proposing GROUP BY b.pool, b.s, b.doc_id),
+sizes AS (SELECT pool, s, count(*) // 4 AS n FROM both_ WHERE good AND NOT proposing GROUP BY pool, s),
+tried AS (
+  SELECT c.pool, c.s, c.rule, c.cutoff, c.i, z.n,
+         (SELECT count(*) FROM steps t WHERE t.pool = c.pool AND t.s IS NOT DISTINCT FROM c.s AND t.step <= c.i) AS k
+  FROM cells c JOIN sizes z ON c.pool = z.pool AND c.s IS NOT DISTINCT FROM z.s),
 tests AS (
-  SELECT *, count(*) OVER () AS m, CASE WHEN k > n * (0.05 / 4) THEN 1.0 ELSE
-    list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05 / 4) + (n - i) * ln(1 - 0.05 / 4)))) END AS tail
-  FROM cells),
-cuts AS (SELECT lang, rule, min(cutoff) AS cutoff FROM tests WHERE tail <= 0.05 / m GROUP BY lang, rule),
+  SELECT *, CASE WHEN k > n * 0.05 THEN 1.0 ELSE
+    list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05) + (n - j) * ln(1 - 0.05)))) END AS tail
+  FROM tried),
+cuts AS (
+  SELECT pool, s, rule, cutoff FROM (
+    SELECT *, bool_and(tail <= 0.05 / (SELECT count(*) + 1 FROM (SELECT DISTINCT lang FROM held))) OVER (PARTITION BY pool, s ORDER BY i) AS held_up FROM tests) WHERE held_up),
 rejected AS (
-  SELECT DISTINCT doc_id FROM rates JOIN cuts ON rates.rule = cuts.rule AND rates.lang IS NOT DISTINCT FROM cuts.lang WHERE rate > cutoff)
+  SELECT DISTINCT r.doc_id FROM rates r JOIN cuts c ON r.rule = c.rule AND r.rate > c.cutoff
+  WHERE (NOT c.pool AND r.lang IS NOT DISTINCT FROM c.s)
+     OR (c.pool AND NOT EXISTS (SELECT 1 FROM cuts o WHERE NOT o.pool AND o.s IS NOT DISTINCT FROM r.lang)))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
 FROM judged

@@ -215,16 +215,59 @@ def plain_counts(text):
 
 def test_quality_counts_and_thresholds(spark, corpus):
     rows = [*corpus, (80, "a b c a b c\nx\nx\n y #*$\n", "en", "s", 1)]
-    rows += [(1000 + i, prose(i, 60), "en", "s", 1) for i in range(700)] + [(2000 + i, prose(i, 60).replace(" ", "# "), "en", "s", 1) for i in range(20)]
-    labels = spark.createDataFrame([(1000 + i, 1, 0) for i in range(700)] + [(2000 + i, 0, 0) for i in range(20)] + [(1000, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows += [(1000 + i, prose(i, 60), ("en", "de", None)[i % 3], "s", 1) for i in range(900)] + [(2000 + i, prose(i, 60).replace(" ", "# "), ("en", "fr")[i % 2], "s", 1) for i in range(40)]
+    rows += [(3000 + i, prose(i, 60).replace(" ", "! ", 6), ("en", None)[i % 2], "s", 1) for i in range(30)]
+    marks = [(1000 + i, 1, 0) for i in range(900)] + [(2000 + i, 0, 0) for i in range(40)] + [(3000 + i, int(i % 5 == 0), 0) for i in range(30)] + [(1000, 1, 1), (None, 1, 0), (1001, None, 0)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.quality_verdicts(docs_of(spark, rows), labels).collect()}
+    want, cells = plain_quality(rows, marks)
+    assert cells["en"] and cells[None] and not cells["fr"] and not cells["de"] and cells["*"]
     for r in rows:
         g = got[r[0]]
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == plain_counts(r[1]), r[0]
         assert g.base_failed == (g.n_words < 50 or 100 * g.n_repeat_words > 50 * g.n_words)
-    assert all(got[1000 + i].kept for i in range(700))
-    assert not any(got[2000 + i].kept for i in range(20))
+        assert g.kept == want[r[0]], r[0]
+    assert not any(got[2000 + i].kept for i in range(40))
     assert quality.quality_verdicts(docs_of(spark, []), labels).count() == 0
+    assert all(r.kept == (not r.base_failed) for r in quality.quality_verdicts(docs_of(spark, rows), labels.limit(0)).collect())
+
+
+def plain_quality(rows, marks):
+    """kept of each document and certified cells of each stratum ("*": all), by loops."""
+    rate, lang, failed = {}, {}, {}
+    for d, text, where, *_ in rows:
+        n, chars, symbols, dups, repeats = plain_counts(text)
+        shouts = (text or "").count("!")
+        rate[d] = [1000 * symbols // max(chars, 1), 1000 * shouts // max(chars, 1), 1000 * dups // max(n, 1), 1000 * repeats // max(n, 1)]
+        lang[d], failed[d] = where, n < 50 or 100 * repeats > 50 * n
+    told = {}
+    for d, q, _ in marks:
+        if q is not None:
+            told[d] = min(q, told.get(d, q))
+    held = [d for d in told if d in rate and not failed[d]]
+    strata = {lang[d] for d in held}
+    cells = {}
+    for s in [*strata, "*"]:
+        own = [d for d in held if s == "*" or lang[d] == s]
+        first = [d for d in own if hashlib.md5(str(d).encode()).hexdigest()[0] < "8"]
+        rest = [d for d in own if d not in set(first) and told[d] == 1]
+        found = []
+        for rule in range(4):
+            for at in quality.CUTOFFS:
+                good = sum(told[d] == 1 and rate[d][rule] > at for d in first)
+                bad = sum(told[d] == 0 and rate[d][rule] > at for d in first)
+                if bad * sum(told[d] == 1 for d in first) > good * sum(told[d] == 0 for d in first):
+                    found.append((good, -bad, rule, -at))
+        cells[s] = []
+        for *_, rule, at in sorted(found):
+            now = [*cells[s], (rule, -at)]
+            k, n = sum(any(rate[d][r] > c for r, c in now) for d in rest), len(rest)
+            if k > n * 0.05 or sum(math.comb(n, j) * 0.05**j * 0.95 ** (n - j) for j in range(k + 1)) > 0.05 / (len(strata) + 1):
+                break
+            cells[s] = now
+    use = {s: cells.get(s) or cells["*"] for s in {*lang.values()}}
+    cells = collections.defaultdict(list, cells)
+    return {d: not failed[d] and not any(rate[d][r] > c for r, c in use[lang[d]]) for d in rate}, cells
 
 
 def test_binomial_tail(spark):
