@@ -12,7 +12,7 @@ Only DataFrame functions are used.
 Defined cases: a null text or role counts as empty; an unknown kind counts as ``delta``; a delta
 or edit without a message before it starts the message; events with equal sequence numbers are
 ordered by kind, role and text; conversations with a null key form one conversation; an empty log
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored. A conversation becomes one row, so one must fit in a row.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def render(messages: DataFrame, conv: str = "conv_id", order: tuple[str, ...] =
     body = escape(F.coalesce("text", F.lit("")))
     pieces = messages.select(
         conv,
-        F.floor(F.coalesce(F.col(order[0]), F.lit(0)) / CHUNK).alias("_chunk"),
+        F.floor(F.col(order[0]) / CHUNK).alias("_chunk"),  # null, and first, where the place is
         F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.concat(head, body, F.lit(CLOSE)).alias("f"), F.length(head).alias("h"), F.length(body).alias("b"), (F.coalesce("role", F.lit("")) == learn).alias("y")).alias("p"),
     )
     chunks = pieces.groupBy(conv, "_chunk").agg(F.sort_array(F.collect_list("p")).alias("p"))
@@ -114,7 +114,29 @@ def read_back(rendered: DataFrame, conv: str = "conv_id") -> DataFrame:
     return rendered.select(conv, F.transform(blocks, parsed).alias("turns"), F.array_join(loss, "").alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+#: Code points of a streamed delta, and events of a message's rejected draft at most.
+DELTA_CHARS, DRAFT_DELTAS = 48, 3
+
+
 def transcript_log(conversations: DataFrame) -> DataFrame:
-    """Rows of finished turns as an event log: one ``message`` event each. Rows that repeat a turn stay messages of their own."""
+    """Rows of finished turns as the log of a session that ended in them: conv_id, turn, copy, seq, kind, role, text.
+
+    Each turn starts with a ``message`` of its role and a first piece, and streams the rest in deltas of DELTA_CHARS.
+    Before that, a third of the turns stream a draft that a ``regenerate`` throws away, and a third say something else
+    that an ``edit`` replaces by the first piece. Rows that repeat a turn stay messages of their own (copy). Rows of the log
+    are in no order.
+    """
     copies = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return conversations.select("conv_id", "turn", "role", "text").withColumn("copy", F.row_number().over(copies)).withColumns({"seq": F.lit(0).cast("long"), "kind": F.lit("message")})
+    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("copy", F.row_number().over(copies))
+    said = F.coalesce("text", F.lit(""))
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(said) / DELTA_CHARS).cast("int"), F.lit(1)) - 1), lambda k: F.substring(said, k * DELTA_CHARS + 1, F.lit(DELTA_CHARS)))
+    event = lambda kind, role, text: F.struct(F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    no_role, role = F.lit(None).cast("string"), F.col("role")
+    deltas = lambda xs: F.transform(xs, lambda x: event("delta", no_role, x))
+    draft = F.transform(F.slice(pieces, 1, DRAFT_DELTAS), lambda x: F.reverse(x))
+    course = F.pmod(F.xxhash64("conv_id", "turn", "copy"), F.lit(3))
+    streamed = F.concat(F.array(event("message", role, pieces[0])), deltas(F.slice(pieces, F.lit(2), F.size(pieces))))
+    redone = F.concat(F.array(event("message", role, F.lit(""))), deltas(draft), F.array(event("regenerate", no_role, no_role)), deltas(pieces))
+    edited = F.concat(F.array(event("message", role, F.lit("draft"))), deltas(draft), F.array(event("edit", no_role, pieces[0])), deltas(F.slice(pieces, F.lit(2), F.size(pieces))))
+    events = F.when(course == 0, streamed).when(course == 1, redone).otherwise(edited)
+    return rows.select("conv_id", "turn", "copy", F.posexplode(events).alias("seq", "e")).select("conv_id", "turn", "copy", F.col("seq").cast("long").alias("seq"), "e.kind", "e.role", "e.text")

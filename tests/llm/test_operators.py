@@ -129,6 +129,24 @@ def test_decontamination(spark, corpus):
     assert decontam.contamination(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_chat_log_of_turns(spark):
+    """The log has every kind of event, is folded in any order, and null or repeated turns stay messages of their own."""
+    rows = [(c, t, ("user", "assistant", None)[(c + t) % 3], prose(c * 31 + t, 1 + 9 * (t % 4))) for c in range(6) for t in range(12)]
+    rows += [(1, 3, "user", "again"), (1, 3, "user", "again"), (1, None, "user", "no turn"), (1, None, "assistant", "# none"), (2, -5, "user", "early"), (2, 300, "user", None), (3, 0, None, None), (None, 1, "user", "lost")]
+    log = chat.transcript_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and min(kinds.values()) > 10 and kinds["message"] == len(rows)
+    folded = chat.fold_events(log.orderBy(F.rand(5)), message=("turn", "copy"))
+    assert collections.Counter((r.conv_id, r.turn, r.role, r.text) for r in folded.collect()) == collections.Counter((c, t, r or "", x or "") for c, t, r, x in rows)
+    by = collections.defaultdict(list)
+    for c, t, r, x in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
+        by[c].append((r or "", x or ""))
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.render(folded, order=("turn", "copy"))).collect()}
+    assert got == dict(by)
+    wrong = chat.fold_events(log.where("kind NOT IN ('edit', 'regenerate')"), message=("turn", "copy"))
+    assert {(r.conv_id, r.turn, r.role, r.text) for r in wrong.collect()} != {(c, t, r or "", x or "") for c, t, r, x in rows}
+
+
 def plain_match(item, text, most):
     """(edits, start, end) of the best match by the whole table of edit distances, one start at a time."""
     best = None
