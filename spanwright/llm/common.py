@@ -49,8 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 def cut_packed(df: DataFrame, rows_per_task: int = 50_000, least: int = 8) -> DataFrame:
     """cut(), read again in as many tasks as its rows need, so that few rows do not become many small shuffle files."""
+    return cut_counted(df, rows_per_task, least)[0]
+
+
+def cut_counted(df: DataFrame, rows_per_task: int = 50_000, least: int = 8) -> tuple[DataFrame, int]:
+    """cut_packed() and the number of rows."""
     held = cut(df)
-    return held.coalesce(max(least, -(-held.count() // rows_per_task)))
+    n = held.count()
+    return held.coalesce(max(least, -(-n // rows_per_task))), n
 
 
 def small_side(df: DataFrame, most_rows: int = 10_000) -> DataFrame:

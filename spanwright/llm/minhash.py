@@ -6,12 +6,16 @@ candidates (a pair at similarity 0.8 shares no band about three times in ten mil
 confirmed on full sets.
 
 Equal sets are one class, and only a class's least doc_id goes on, so large groups of exact copies
-cost one row each. A band's bucket is not paired out: its members are tied to its least member, and
-what hangs together is a family; all links lie inside families. In large families a document most of
-whose shingles no other member has cannot reach the similarity with any, and leaves (this undoes
-families that only a common passage ties). Families are cut into blocks of bounded rows and shingles;
-a task takes a pair of blocks, counts shared shingles for all its documents at once, and returns a
-spanning set of the links. (Thinning reads every shingle of a family twice; it pays from eight blocks on.) Components come from large-star and small-star rounds.
+cost one row each. A band's bucket is not paired out. First, each document is held against one hub (the
+least member of most of its buckets) and against the other documents of that hub, in chunks of bounded
+rows and shingles; that takes each set once, however large a group is, and ties nearly all that is
+linked. What is tied is a component. Then only buckets are open that hold several components and members
+of several chunks. What open buckets tie together is a family; a document most of whose shingles are in
+no other component of its family cannot reach the similarity with any, and leaves (this undoes families
+that only a common passage ties). What is left of a family is cut into blocks, and a task takes a pair of
+blocks. A task counts shared shingles for all its documents at once, and returns a spanning set of the
+links. Components come from large-star and small-star rounds. Keys that a large share of rows have (hubs,
+buckets, shingles, classes) are joined by broadcast, as they are few, so no task gathers them.
 
 Defined cases: texts without words, null or empty, have empty sets and are linked with nothing; texts
 with fewer words than a shingle have one shingle of all of them; a null doc_id is its own class with a
@@ -29,15 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, cut, cut_packed, gapless
+from .common import arrow_map, cut, cut_counted, cut_packed, gapless, heavy_join
 from .perfect_hash import mix
 
 PERMUTATIONS, BAND_ROWS = 32, 3
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
 PERCENT = 80
-#: Families of more documents are thinned; a block has at most so many documents, and so many shingles beside its last document's.
+#: A chunk or block has at most so many documents, and so many shingles beside its last document's.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
-LARGE_FAMILY = 8 * BLOCK_DOCS
 
 _random = np.random.default_rng(20_240_501)
 _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -203,36 +206,28 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list
     return out
 
 
-def families_of(banded: DataFrame) -> DataFrame:
-    """id and family (component of the graph that ties each bucket's members to its least one). banded: key, id."""
-    least = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return components(banded.join(least, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "family")
+def hubs_of(banded: DataFrame, n_banded: int) -> DataFrame:
+    """key, id and hub (the key's least id) of the keys with several ids."""
+    least = cut_packed(banded.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    return heavy_join(banded, least, ["key"], "_n", n_banded)
 
 
-def thinned(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Ids that may have a link; None, for all, if no family is large. Of large families, those with enough shingles in another member's set too.
+def families_of(hubbed: DataFrame) -> DataFrame:
+    """id and family (component of the graph that ties each bucket's members to its hub)."""
+    return components(hubbed.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "family")
 
-    Shared shingles are at most those seen twice in the family, and a link needs `percent` of the whole set.
-    """
-    big = cut_packed(families.groupBy("family").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE_FAMILY).select("family"))
-    if not big.limit(1).count():
-        return None
-    rows = families.join(big, "family").join(sets.select("id", F.explode("hashes").alias("h")), "id")
-    twice = rows.groupBy("family", "h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("family", "h")
-    seen = rows.join(twice, ["family", "h"]).groupBy("id").agg(F.count(F.lit(1)).alias("_k"))
-    enough = sets.join(seen, "id").where(100 * F.col("_k") >= percent * F.size("hashes")).select("id")
-    small = families.join(big, "family", "left_anti").select("id")
-    return small.union(enough)
 
+def chunks_of(hubbed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """id, group (the hub of most of its buckets) and chunk of each id that is not the hub of all its buckets. sizes: id, n_shingles."""
+    votes = hubbed.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("_n"))
+    own = votes.groupBy("id").agg((-F.max(F.struct(F.col("_n"), (-F.col("hub")).alias("h")))["h"]).alias("group"))
+    weight = F.greatest("n_shingles", F.lit(BLOCK_SHINGLES // BLOCK_DOCS)).cast("long")
+    weighed = cut_packed(own.join(sizes, "id").select("id", "group", weight.alias("_w")))
+    return gapless(weighed, ["group"], ["id"], "_place", weight="_w").select("id", "group", F.floor(F.col("_place") / BLOCK_SHINGLES).alias("chunk"))
 
-def block_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside families, confirmed on full sets."""
-    weight = F.greatest(F.size("hashes"), F.lit(BLOCK_SHINGLES // BLOCK_DOCS)).cast("long")
-    members = cut_packed(families.join(sets.select("id", weight.alias("_w")), "id"))
-    placed = cut_packed(gapless(members, ["family"], ["id"], "_place", weight="_w").withColumn("block", F.floor(F.col("_place") / BLOCK_SHINGLES)).select("id", "family", "block"))
-    blocks = placed.groupBy(F.col("family").alias("_f")).agg(F.max("block").alias("_last"))
-    met = placed.join(blocks, F.col("family") == F.col("_f")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
-    keyed = met.select("id", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+def grouped_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside groups (rows: id, g, i, j; a group has a bounded number of ids), confirmed on full sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets = None, [], []
@@ -242,10 +237,10 @@ def block_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            own = batch.select(["family", "i", "j", "id"]).to_pylist()
+            own = batch.select(["g", "i", "j", "id"]).to_pylist()
             hashes = batch.column(batch.schema.get_field_index("hashes"))
             for k, row in enumerate(own):
-                now = (row["family"], row["i"], row["j"])
+                now = (row["g"], row["i"], row["j"])
                 if now != key:
                     yield told()
                     key, ids, sets = now, [], []
@@ -253,9 +248,40 @@ def block_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 sets.append(hashes[k].values.to_numpy())
         yield told()
 
-    n = int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = keyed.join(sets.select("id", "hashes"), "id").select("key", "family", "i", "j", "id", "hashes").repartition(n, "key").sortWithinPartitions("key", "family", "i", "j", "id")
-    return arrow_map(rows, scan, "a long, b long")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.join(sets.select("id", "hashes"), "id").select(F.xxhash64("g", "i", "j").alias("key"), "g", "i", "j", "id", "hashes")
+    return arrow_map(keyed.repartition(n, "key").sortWithinPartitions("key", "g", "i", "j", "id"), scan, "a long, b long")
+
+
+def open_buckets(hubbed: DataFrame, labels: DataFrame, n_hubbed: int) -> DataFrame:
+    """key, id, hub and component of the buckets whose members are not all tied and did not all meet in one chunk. labels: id, component, group, chunk."""
+    told = cut(hubbed.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    other = F.col("id") != F.col("hub")
+    apart = F.count_if(other & ~F.col("group").eqNullSafe(F.col("hub"))).alias("_apart")
+    sums = told.groupBy("key").agg(F.min("component").alias("_c0"), F.max("component").alias("_c1"), F.min(F.when(other, F.col("chunk"))).alias("_k0"), F.max(F.when(other, F.col("chunk"))).alias("_k1"), apart, F.count(F.lit(1)).alias("_n"))
+    found = cut_packed(sums.where("_c0 <> _c1 AND (_apart > 0 OR _k0 <> _k1)").select("key", "_n"))
+    return heavy_join(told.select("key", "id", "hub", "component"), found, ["key"], "_n", n_hubbed)
+
+
+def thinned(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Ids that may be linked with another component of their family: members (id, family, component) with enough shingles there.
+
+    Shared shingles are at most those that several components of the family have, and a link needs `percent` of the whole set.
+    """
+    rows, n = cut_counted(members.join(sets.select("id", F.explode("hashes").alias("h")), "id"))
+    several = rows.groupBy("family", "h").agg(F.min("component").alias("_c0"), F.max("component").alias("_c1"), F.count(F.lit(1)).alias("_n")).where("_c0 <> _c1").select("family", "h", "_n")
+    seen = heavy_join(rows, cut_packed(several), ["family", "h"], "_n", n).groupBy("id").agg(F.count(F.lit(1)).alias("_k"))
+    return sets.join(seen, "id").where(100 * F.col("_k") >= percent * F.size("hashes")).select("id")
+
+
+def block_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside families, by pairs of blocks."""
+    weight = F.greatest(F.size("hashes"), F.lit(BLOCK_SHINGLES // BLOCK_DOCS)).cast("long")
+    members = cut_packed(families.join(sets.select("id", weight.alias("_w")), "id"))
+    placed = cut_packed(gapless(members, ["family"], ["id"], "_place", weight="_w").withColumn("block", F.floor(F.col("_place") / BLOCK_SHINGLES)).select("id", "family", "block"))
+    blocks = placed.groupBy(F.col("family").alias("_f")).agg(F.max("block").alias("_last"))
+    met = placed.join(blocks, F.col("family") == F.col("_f")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    return grouped_links(met.select("id", F.col("family").alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), sets, percent)
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -263,20 +289,20 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Done when each id has one edge and every edge leads to a root, an id that no edge leads from.
     """
-    edges = cut_packed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges, n = cut_counted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, n: int, large: bool) -> tuple[DataFrame, int]:
         sides = edges.union(edges.select("v", "u")).toDF("u", "v") if large else edges
-        least = sides.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m")).withColumn("_m", F.least("_u", "_m"))
-        met = sides.join(least, F.col("u") == F.col("_u"))
+        least = sides.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("_n"))
+        met = heavy_join(sides, least, ["u"], "_n", 2 * n if large else n)
         if large:
-            moved = met.where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v"))
+            moved = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
-            moved = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("_m").alias("v")), F.struct("u", F.col("_m").alias("v")))).alias("e")).select("e.u", "e.v")
-        return moved.where("u <> v").distinct()
+            moved = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        return cut_counted(moved.where("u <> v").distinct())
 
     for _ in range(most_rounds):
-        edges = cut_packed(star(cut_packed(star(edges, True)), False))
+        edges, n = star(*star(edges, n, True), False)
         onward = edges.join(edges.select(F.col("u").alias("_r")), F.col("v") == F.col("_r"), "left_semi").select("u")
         forked = edges.groupBy("u").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("u")
         if not onward.union(forked).limit(1).count():
@@ -292,22 +318,32 @@ def linked_classes(docs: DataFrame, words: int = 4, percent: int = PERCENT) -> t
     if scan.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         first = Window.partitionBy("doc_id").orderBy("s1", "s2")
         scan = cut(scan.withColumn("_n", F.row_number().over(first)).where("_n = 1 OR doc_id IS NULL").drop("_n"))
+    same = ["s1", "s2", "n_shingles"]
     full = scan.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut_packed(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = full.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
-    banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1").select("key")
-    banded = cut_packed(banded.join(crowded, "key"))
-    families = cut_packed(families_of(banded))
-    sets = sets_of(docs, families.select("id"), words)
+    classes = cut_packed(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")))
+    reps, n_reps = cut_counted(full.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands"))
+    banded = reps.select("id", F.explode("bands").alias("key"))
+    hubbed, n_hubbed = cut_counted(hubs_of(banded, n_reps * BANDS))
+    sets = sets_of(docs, hubbed.select("id").distinct(), words)
     told = classes.select(F.col("rep").alias("_id"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"))
     sets = cut(sets.join(told, (F.col("id") == F.col("_id")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")), "left_semi").select("id", "hashes"))
-    kept = thinned(families, sets, percent)
-    if kept is not None:
-        families = cut_packed(families_of(banded.join(cut_packed(kept), "id", "left_semi")))
-    found = cut_packed(components(cut_packed(block_links(families, sets, percent))))
-    members = scan.join(classes.withColumnsRenamed({"s1": "_s1", "s2": "_s2", "n_shingles": "_n"}), (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n_shingles") == F.col("_n")), "left")
-    return members.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), found
+
+    chunks = cut_packed(chunks_of(hubbed, reps.select("id", "n_shingles")))
+    j = F.lit(0).cast("long").alias("j")
+    rows = chunks.select("id", F.col("group").alias("g"), F.col("chunk").alias("i"), j)
+    rows = rows.union(chunks.select("group", "chunk").distinct().select(F.col("group").alias("id"), F.col("group").alias("g"), F.col("chunk").alias("i"), j))
+    links = cut_packed(grouped_links(rows, sets, percent))
+    found = cut_packed(components(links))
+    left, n_left = cut_counted(open_buckets(hubbed, chunks.join(found, "id", "full"), n_hubbed))
+    if n_left:
+        members = families_of(left).join(left.select("id", "component").distinct(), "id")
+        kept = cut_packed(thinned(members, sets, percent))
+        again, n_again = cut_counted(left.select("key", "id").join(kept, "id", "left_semi"))
+        families = cut_packed(families_of(hubs_of(again, n_again)))
+        found = cut_packed(components(links.union(cut_packed(block_links(families, sets, percent)))))
+    n_full = scan.count()
+    reps_of = heavy_join(scan.where("doc_id IS NOT NULL").select("doc_id", *same), classes, same, "_n", n_full, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    return reps_of.union(scan.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long"))), found
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) -> DataFrame:

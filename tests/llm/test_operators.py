@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanwright.llm import chat, decontam, minhash, mixing, perfect_hash, pii, quality, sharding, suffix, tokens, toxicity
+from spanwright.llm import chat, common, decontam, minhash, mixing, perfect_hash, pii, quality, sharding, suffix, tokens, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns of operators' own results, with other types.
@@ -402,18 +402,24 @@ def plain_components(rows, words):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("large", [256, 2])
-def test_near_duplicates(spark, corpus, monkeypatch, large):
-    monkeypatch.setattr(minhash, "LARGE_FAMILY", large)
-    if large == 2:
+@pytest.mark.parametrize("small", [False, True])
+def test_near_duplicates(spark, corpus, monkeypatch, small):
+    """In chunks of many documents, and of so few that buckets stay open after the first round; a few keys hot."""
+    if small:
         monkeypatch.setattr(minhash, "BLOCK_DOCS", 4)
         monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 400)
+        monkeypatch.setattr(common, "HOT_KEYS", 3)
     rows, rnd, base = list(corpus), random.Random(7), prose(4000, 120).split(" ")
     for i in range(40):
         own = list(base)
         for _ in range(rnd.randrange(0, 6)):
             own[rnd.randrange(len(own))] = f"w{rnd.randrange(1000)}"
         rows.append((300 + i, " ".join(own), "en", "s", 1))
+    for i in range(40):  # a chain of groups, each near the next
+        own = prose(4002, 60).split(" ")
+        own[: i // 2] = [f"v{k}" for k in range(i // 2)]
+        own[50] = f"u{i}"
+        rows.append((500 + i, " ".join(own), "en", "s", 1))
     shared = prose(4001, 40)
     rows += [(400 + i, prose(i + 70, 60) + " " + shared, "en", "s", 1) for i in range(10)]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}
