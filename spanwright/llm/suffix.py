@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, text_of
+from .common import HOT_KEYS, arrow_map, cut, cut_counted, heavy_join, text_of
 from .minhash import _power
 from .perfect_hash import mix
 
@@ -248,11 +248,11 @@ def crowd_marks(items: DataFrame) -> list[DataFrame]:
     """Marks of entries of buckets over BUCKET entries, by halving the range of reaches until buckets are small or settled."""
     marks: list[DataFrame] = []
     for _ in range(REACH.bit_length() + 1):
-        items = cut(halved(items))
-        groups = items.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("kh", "u")).alias("first"))
-        sizes = groups.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("entries"))
-        groups = cut(groups.join(sizes, F.col("key") == F.col("_k")).select(F.col("key").alias("_key"), F.col("whole").alias("_whole"), "n", "first", "entries"))
-        placed = items.join(groups.where("n > 1 OR entries > 1"), (F.col("key") == F.col("_key")) & (F.col("whole") == F.col("_whole")))
+        items, n_items = cut_counted(halved(items))
+        groups, n_groups = cut_counted(items.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("kh", "u")).alias("first")))
+        sizes = cut(groups.groupBy("key").agg(F.count(F.lit(1)).alias("entries")).withColumn("_n", F.col("entries")))
+        groups = cut(heavy_join(groups, sizes, ["key"], "_n", n_groups).where("n > 1 OR entries > 1").withColumn("_n", F.col("n")))
+        placed = heavy_join(items, groups, ["key", "whole"], "_n", n_items)
         marks.append(placed.where("n > 1").select("kh", "u", "lo", "hi"))
         # Entries that agree on the whole half stand in for each other; the first takes part in the bucket.
         open_ = placed.where((F.col("entries") > 1) & (F.struct("kh", "u") == F.col("first"))).select("key", "kh", "u", "left", "right", "lo", "hi", "entries")
@@ -336,7 +336,11 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     for more in marks[1:]:
         every = every.union(more)
     a, b = within(F.col("pos"))
-    spans = met.join(every.withColumnsRenamed({"kh": "_kh", "u": "_u"}), (F.col("kh") == F.col("_kh")) & (F.col("u") == F.col("_u"))).groupBy("d", "x").agg(F.collect_list(F.struct(a.alias("from"), b.alias("to"))).alias("spans"))
+    # Entries that a HOT_KEYS-th of all anchors are at most HOT_KEYS; every string around them is repeated.
+    hot = F.broadcast(entries.where((F.col("n") > 1) & (F.col("n") * HOT_KEYS >= met.count())).select("kh", "u"))
+    whole = met.join(hot, ["kh", "u"]).select("d", "x", "pos", F.lit(0).alias("lo"), F.lit(REACH).alias("hi"))
+    others = met.join(hot, ["kh", "u"], "left_anti").join(every.join(hot, ["kh", "u"], "left_anti"), ["kh", "u"]).select("d", "x", "pos", "lo", "hi")
+    spans = whole.union(others).groupBy("d", "x").agg(F.collect_list(F.struct(a.alias("from"), b.alias("to"))).alias("spans"))
     found = _removed(held.select("d", "x", "text").join(spans, ["d", "x"]).select("d", "x", "text", "spans")).withColumnsRenamed({"d": "_d", "x": "_x"})
     copies = classes.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select(F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("n_bytes").alias("cn"))
     empty = hashlib.sha256().hexdigest()
