@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, cut, cut_counted, cut_packed, gapless, heavy_join
+from .common import arrow_map, cut, cut_counted, cut_packed, fresh, gapless, heavy_join
 from .perfect_hash import mix
 
 PERMUTATIONS, BAND_ROWS = 32, 3
@@ -355,9 +355,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay: one document of each component; of rows repeating a doc_id, one."""
-    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    left = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    name, number = fresh(docs, "_id"), fresh(docs, "_n")
+    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name))
+    left = docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
     if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         return left
     first = Window.partitionBy("doc_id").orderBy(*[F.col(c).cast("string") for c in docs.columns if c != "doc_id"])
-    return left.withColumn("_n", F.row_number().over(first)).where("_n = 1 OR doc_id IS NULL").drop("_n")
+    return left.withColumn(number, F.row_number().over(first)).where((F.col(number) == 1) | F.col("doc_id").isNull()).drop(number)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, gapless, let, n_words_of, running, small_side, text_of
+from .common import cut, fresh, gapless, let, n_words_of, running, small_side, text_of
 
 BLOCKS, MOST_EPOCHS, SHARDS = 16_384, 3, 16
 WEIGHTS = (1, 2, 3)
@@ -221,10 +221,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     Rows meet their draws by a hash of doc_id, source and text; rows alike in these are told apart by
     a copy number, and meet in one task.
     """
+    hashed, copy, n, drawn_n = (fresh(docs, x) for x in ("_key", "_copy", "_n", "_ns"))
     key = F.xxhash64("doc_id", "source", text_of())
-    drawn = draws(docs, weights, whole=True, key=key).select(F.col("key").alias("_key"), F.size("draws").alias("_n"))
-    counts = drawn.groupBy("_key").agg(F.sort_array(F.collect_list("_n"), asc=False).alias("_ns")).where(F.element_at("_ns", 1) > 0)
-    copies = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
-    kept = docs.where(n_words_of(text_of()) > 0).withColumn("_key", key).withColumn("_copy", F.row_number().over(copies))
-    kept = kept.join(counts, "_key").withColumn("_n", F.get("_ns", F.col("_copy") - 1)).where("_n > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    drawn = draws(docs, weights, whole=True, key=key).select(F.col("key").alias(hashed), F.size("draws").alias(n))
+    counts = drawn.groupBy(hashed).agg(F.sort_array(F.collect_list(n), asc=False).alias(drawn_n)).where(F.element_at(drawn_n, 1) > 0)
+    copies = Window.partitionBy(hashed).orderBy(F.xxhash64(*docs.columns))
+    kept = docs.where(n_words_of(text_of()) > 0).withColumn(hashed, key).withColumn(copy, F.row_number().over(copies))
+    kept = kept.join(counts, hashed).withColumn(n, F.get(drawn_n, F.col(copy) - 1)).where(F.col(n) > 0)
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

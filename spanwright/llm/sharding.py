@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, gapless, heavy_join, running, small_side, text_of
+from .common import cut, fresh, gapless, heavy_join, running, small_side, text_of
 
 SHARDS, OVERHEAD = 24, 8
 DIGIT_BITS = 12
@@ -179,9 +179,10 @@ def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     Rows meet their places by doc_id, size and checksum, by which shard and slots were dealt.
     """
     keys = ["doc_id", "size", "text_crc32"]
-    places = sharded(docs, shards).groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg(F.min("shard").alias("shard"), F.sort_array(F.collect_list("slot")).alias("_slots"))
     own = [c for c in docs.columns if c not in ("copy", "size", "text_crc32", "shard", "slot")]
+    names, slots = [fresh(docs, f"_{c}") for c in keys], fresh(docs, "_slots")
+    places = sharded(docs, shards).groupBy(*[F.col(c).alias(n) for c, n in zip(keys, names, strict=True)]).agg(F.min("shard").alias("shard"), F.sort_array(F.collect_list("slot")).alias(slots))
     rows = docs.select(*own, (F.octet_length(text_of()) + OVERHEAD).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"))
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*[c for c in own if c != "doc_id"]))) - 1)
-    met = rows.join(places, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("size") == F.col("_size")) & (F.col("text_crc32") == F.col("_text_crc32")))
-    return met.select(*own, "copy", "size", "text_crc32", "shard", F.get("_slots", F.col("copy")).alias("slot"))
+    met = rows.join(places, F.col("doc_id").eqNullSafe(F.col(names[0])) & (F.col("size") == F.col(names[1])) & (F.col("text_crc32") == F.col(names[2])))
+    return met.select(*own, "copy", "size", "text_crc32", "shard", F.get(slots, F.col("copy")).alias("slot"))

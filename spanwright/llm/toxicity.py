@@ -1,7 +1,7 @@
 """Toxicity with noisy-channel deobfuscation.
 
 A character trigram model is counted over the whole corpus. Tokens whose lattice has more than one
-reading (look-alike signs or digits among letters or at an edge, a repeated letter, letters spelt out
+reading (look-alike signs, digits or letters of other scripts among letters or at an edge, a repeated letter, letters spelt out
 one by one) become lattices: each sign may stand for itself, for letters it resembles, or for nothing,
 and a repeated letter may be dropped. A Viterbi search under the trigram model and the channel's costs
 picks the restored word. Restored words are scored by a logistic model over a vocabulary learned from
@@ -12,7 +12,8 @@ likely word. A doubled letter alone is looked at only in words that are not like
 only where the word without repeats is one of the vocabulary's: no other reading can change a score.
 
 Defined cases: null and empty texts get the model's bias as score; a label row whose document is
-missing is unused; labels repeated for a document count once, toxic holding; without labels of both
+missing is unused; labels repeated for a document count once, toxic holding, and
+of rows that repeat a doc_id one is learned from; without labels of both
 kinds every score is 0; rows that repeat a doc_id are scored each; empty tables give no rows; other
 columns are ignored. Labels, lang, source and doc_id are not inputs of a score.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, cut
+from .common import arrow_map, bound_batches, cut, fresh
 
 #: Most labelled documents that the classifier is fitted on, and the words it may use.
 SAMPLE_DOCS, VOCABULARY = 20_000, 1_000
@@ -42,9 +44,11 @@ FOLDS = 5
 
 #: Signs and the letters they may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
+#: Letters of other scripts and the Latin letters that they look like.
+OTHER_SCRIPTS = {"а": "a", "в": "b", "е": "e", "ё": "e", "ѕ": "s", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "һ": "h", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w"}
 SEPARATORS = ".-_*~'`^:/\\"
 _EDGE = re.compile(r"^(?:([^\w\s])\1+|[.,;:?\"'()\[\]{}<>&%#*-])+|(?:([^\w\s])\2+|[.,;:?!\"'()\[\]{}<>&%#*-])+$")
-_SUSPECT = re.compile(r"[^\W\d_][^\w\s]|[^\w\s][^\W\d_]|[^\W_]*[0-9_][^\W\d_]|[^\W\d_][0-9_]|([^\W\d_])\1\1")
+_SUSPECT = re.compile(r"[^\W\d_][^\w\s]|[^\w\s][^\W\d_]|[^\W_]*[0-9_][^\W\d_]|[^\W\d_][0-9_]|([^\W\d_])\1\1|[a-zß-ÿ][\u0370-\u052f]|[\u0370-\u052f][a-zß-ÿ]")
 _SPELT = re.compile(r"(?<![^\s])(?:[^\s](?:\s+|[.\-_])){2,}[^\s](?![^\s])")
 _DOUBLED = re.compile(r"([^\W\d_])\1")
 _REPEATS = re.compile(r"(.)\1+")
@@ -120,6 +124,8 @@ class Restorer:
         for k, c in enumerate(token):
             if c.isalpha():
                 own = [(c, 0.0)]
+                if c in OTHER_SCRIPTS:
+                    own.append((OTHER_SCRIPTS[c], COSTS["lookalike"]))
                 if k and token[k - 1] == c:
                     own.append(("", COSTS["repeat"]))
             else:
@@ -209,7 +215,7 @@ class Restorer:
 
     def words(self, text: str) -> set[str]:
         """Distinct restored words of a text."""
-        low = text.lower()
+        low = text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower()  # letters of other widths and styles
         known = self.known
         if len(known) > 300_000:
             known.clear()
@@ -285,7 +291,7 @@ def sample_words(docs: DataFrame, labels: DataFrame, costs: np.ndarray) -> DataF
                 words = [sorted(restorer.words(t or "")) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
 
-    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("doc_id", F.col("_toxic").cast("int").alias("toxic"), "text")
+    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_toxic").cast("int").alias("toxic")).select("doc_id", "toxic", "text")
     return arrow_map(picked, restore, "doc_id long, toxic int, words array<string>")
 
 
@@ -339,5 +345,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the model does not reject."""
-    score = scorer(fit(docs, labels), docs.sparkSession)
-    return docs.withColumn("_toxicity", score(F.col("text").cast("string"))).where("_toxicity < 0.5").drop("_toxicity")
+    score, name = scorer(fit(docs, labels), docs.sparkSession), fresh(docs, "_toxicity")
+    return docs.withColumn(name, score(F.col("text").cast("string"))).where(F.col(name) < 0.5).drop(name)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -305,7 +306,7 @@ def test_toxicity_learns_and_restores(spark):
         text = prose(i, 40) + (f" {bad[i % 9 // 3]} " if toxic else " ") + prose(i + 1, 10)
         rows.append((i, text, "en", "s", 1))
         labels.append((i, 1, int(toxic)))
-    hidden = ["m0r0n1c", "w o r t h l e s s", "scuuuumbag", "$cumbag", "wor-th.less"]
+    hidden = ["m0r0n1c", "w o r t h l e s s", "scuuuumbag", "$cumbag", "wor-th.less", "m\u043er\u043enic", "w\u03bfrthl\u0435ss", "\uff53\uff43\uff55\uff4d\uff42\uff41\uff47"]
     rows += [(1000 + k, prose(k, 30) + " " + w + " " + prose(k + 50, 30), "en", "s", 1) for k, w in enumerate(hidden)]
     rows += [(2000, None, None, None, None), (2001, "", "en", "s", 0), (0, prose(3), "en", "s", 1)]
     table = spark.createDataFrame([*labels, (999_999, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
@@ -335,6 +336,26 @@ def test_toxicity_restores_more_disguises(spark):
     assert all(by[i] == int(i % 4 == 0) for i in range(400))
 
 
+def test_viterbi_is_the_cheapest_of_all_readings():
+    rng, rnd = np.random.default_rng(2), random.Random(2)
+    restorer = toxicity.Restorer(rng.uniform(0.1, 5, (64, 64, 64)))
+    for _ in range(200):
+        token = "".join(rnd.choice("ab01$.-!eéо") for _ in range(rnd.randrange(1, 6)))
+        best = None
+        for path in itertools.product(*restorer.options(token)):
+            a = b = price = 0
+            for sign, extra in path:
+                price += extra
+                if sign:
+                    c = 0 if sign == " " else int(toxicity.classes(sign)[0])
+                    price += restorer.costs[a][b][c]
+                    a, b = b, c
+            price += restorer.costs[a][b][0]
+            if best is None or price < best[0]:
+                best = (price, "".join(s for s, _ in path))
+        assert "".join(restorer.decode(token)) == best[1].replace(" ", ""), token
+
+
 def plain_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
@@ -666,3 +687,28 @@ def test_repeated_rows_everywhere(spark):
     assert sorted(got, key=str) == sorted([(1, n, 1), (1, n, 1), (2, 0, 0), (2, 0, 0), (None, n, 1)], key=str)
     assert len(pii.pii_spans(docs_of(spark, rows)).collect()) == 5
     assert len(sharding.sharded(docs_of(spark, rows)).collect()) == 5
+
+
+def test_pipeline_stages_on_odd_rows(spark, corpus, tmp_path):
+    """Nulls, repeated and empty rows, empty tables, and columns named as the stages' own."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    bench = spark.createDataFrame([(1, prose(500, 30)), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i == 1)) for i in range(12)] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [*corpus, corpus[2], corpus[2], (None, prose(77, 60), "en", "s1", 1), (None, prose(78, 60), None, None, None), (None, None, None, None, None), (61, prose(1, 20) + " " + prose(500, 30), "en", "s", 1)]
+    clash = {k: F.lit(k) for k in ("_id", "_n", "_ns", "_key", "_copy", "_toxicity", "_slots", "_size", "_doc_id", "node", "row")}
+    docs = spark.createDataFrame(rows, DOC).withColumns(clash)
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, table, str(tmp_path))
+            told = [tuple(r) for r in got.select(*docs.columns).collect()]
+            known = {tuple(r) for r in table.collect()}
+            assert set(told) <= known, name
+            assert name == "sharding" or got.columns == docs.columns
+            if name == "decontamination" and known:
+                assert {r[0] for r in known} - {r[0] for r in told} == {61}
+            if name in ("toxicity", "sharding"):
+                assert len(told) == table.count()
+            if name == "near_dedup" and known:
+                assert len([r for r in told if r[0] in (0, 21)]) == 1 and len([r for r in told if r[0] is None]) == 3

@@ -26,4 +26,5 @@ def test_pipeline_stages(spark, sf_dir):
         assert now and now <= before, name
         docs, before = out, now
     result = c.run(spark, sf_dir)
-    assert result.count() > 0 and set(result.columns) == {"doc_id", "size", "text_crc32", "shard", "slot"}
+    assert result.count() > 0 and result.columns == [*columns, "copy", "size", "text_crc32", "shard", "slot"]
+    assert result.select("shard", "slot").distinct().count() == result.count()
