@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as
 Parquet in the shared folder and reads them again as the next one's docs.
+
+Defined cases, for every stage: null and empty texts are clean, alike with nothing and weigh 8 bytes, but the
+mix never takes them; rows without a doc_id are documents of their own; of rows that repeat a doc_id near-dedup
+keeps one, and the mix may repeat rows again; empty tables give no rows; other columns go along unchanged.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document: doc_id, size, text_crc32, shard, slot."""
-    return sharding.sharded(docs)
+    """The documents with their places: copy (0, 1, ... among rows alike), size, text_crc32, shard and slot."""
+    return sharding.sharded_documents(docs)
 
 
 STAGES = [
