@@ -38,6 +38,7 @@ class Limits:
     max_queries: int = 100
     max_query_chars: int = 500
     max_calls: int = 100_000
+    max_bytes: int = 2 << 30
     min_duration_s: float = 0.5
     max_duration_s: float = 86_400.0
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,10 +14,15 @@ def short_list(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def spread(spans: DataFrame, lo: Column, hi: Column, bucket: float) -> DataFrame:
+    """spans once for each bucket of time (`_b`) that they touch."""
+    return spans.withColumn("_b", F.explode(F.sequence(F.floor(lo / bucket), F.floor(F.greatest(lo, hi) / bucket))))
+
+
 def points_in_spans(points: DataFrame, spans: DataFrame, key: str, at: str, lo: str, hi: str, bucket: int) -> DataFrame:
     """points inner-joined to the spans that hold them, ends included: an equi join on the key and the buckets a span touches."""
     p = points.withColumn("_b", F.floor(F.col(at) / bucket))
-    s = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))))
+    s = spread(spans, F.col(lo), F.col(hi), bucket)
     return p.join(s, [key, "_b"]).where((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))).drop("_b")
 
 
@@ -54,23 +59,36 @@ def excerpt(events: DataFrame, keys: list[str], length: float, duration: float)
 
 
 def nearest_start(truths: DataFrame, preds: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, t_id, start_error, end_error to the prediction whose start is nearest (first in order on ties)."""
-    t = truths.select(*keys, F.col("event_id").alias("t_id"), F.col("start_s").alias("t_start"), F.col("end_s").alias("t_end"))
-    p = preds.select(*keys, F.col("start_s").alias("p_start"), F.col("end_s").alias("p_end"), F.col("event_id").alias("p_id"))
-    near = F.min(F.struct(F.abs(F.col("p_start") - F.col("t_start")).alias("d"), F.col("p_start").alias("s"), F.col("p_end").alias("e"), F.col("p_id").alias("i")))
-    m = t.join(p, keys).groupBy(*keys, "t_id", "t_start", "t_end").agg(near.alias("m"))
-    return m.select(*keys, "t_id", rounded(F.abs(F.col("m.s") - F.col("t_start")), 3).alias("start_error"), rounded(F.abs(F.col("m.e") - F.col("t_end")), 3).alias("end_error"))
+    """keys, t_id, start_error, end_error to the prediction whose start is nearest (first in order on ties).
+
+    Both sides are laid in one order of starts, where the nearest is the last prediction before or the first after.
+    """
+    p = preds.groupBy(*keys, F.col("start_s").alias("at")).agg(F.min(F.struct("start_s", "end_s", "event_id")).alias("p"))
+    t = truths.select(*keys, F.col("start_s").alias("at"), F.struct(F.col("event_id").alias("t_id"), "start_s", "end_s").alias("t"))
+    laid = p.withColumn("t", F.lit(None).cast(t.schema["t"].dataType)).unionByName(t.withColumn("p", F.lit(None).cast(p.schema["p"].dataType)))
+    order = Window.partitionBy(*keys).orderBy("at", F.col("t").isNotNull())
+    before = F.last("p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("p", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    near = F.array_min(F.transform(F.array_compact(F.array("_before", "_after")), lambda x: F.struct(F.abs(x["start_s"] - F.col("t.start_s")).alias("d"), x["start_s"].alias("s"), x["end_s"].alias("e"), x["event_id"].alias("i"))))
+    m = laid.withColumns({"_before": before, "_after": after}).where(F.col("t").isNotNull() & (F.col("_before").isNotNull() | F.col("_after").isNotNull())).select(*keys, "t", near.alias("m"))
+    return m.select(*keys, "t.t_id", rounded(F.abs(F.col("m.s") - F.col("t.start_s")), 3).alias("start_error"), rounded(F.abs(F.col("m.e") - F.col("t.end_s")), 3).alias("end_error"))
 
 
 def transition_hits(labels: DataFrame, changes: DataFrame, tolerance_s: float) -> DataFrame:
-    """video, event_id, n_within (changes inside the label widened by the tolerance), n_strict, nearest (negative: inside)."""
-    both = labels.select("video", "event_id", "start_s", "end_s").join(changes.select("video", "at"), "video", "left")
-    at, s, e = F.col("at"), F.col("start_s"), F.col("end_s")
-    return both.groupBy("video", "event_id").agg(
-        F.count_if((at >= s - tolerance_s) & (at <= e + tolerance_s)).alias("n_within"),
-        F.count_if((at >= s) & (at <= e)).alias("n_strict"),
-        rounded(F.min(F.when(at < s, s - at).otherwise(at - e)), 3).alias("nearest"),
-    )
+    """video, event_id, n_within (changes inside the label widened by the tolerance), n_strict, nearest (negative: inside).
+
+    Each label asks at four times how many changes lie before, in one order of a video's changes and questions.
+    """
+    s, e = F.col("start_s"), F.col("end_s")
+    asked = F.array(*[F.struct(F.lit(k).alias("k"), at.alias("at"), F.lit(side).alias("side")) for k, (at, side) in enumerate(((s - tolerance_s, 0), (e + tolerance_s, 2), (s, 0), (e, 2)))])
+    probes = labels.select("video", "event_id", s, e, F.explode(asked).alias("q")).select("video", "event_id", "start_s", "end_s", "q.*")
+    laid = probes.unionByName(changes.select("video", "at", F.lit(1).alias("side")), allowMissingColumns=True)
+    order = Window.partitionBy("video").orderBy("at", "side")
+    change, ahead = F.when(F.col("side") == 1, F.col("at")), order.rowsBetween(Window.unboundedPreceding, 0)
+    told = laid.withColumns({"_n": F.count(change).over(ahead), "_last": F.last(change, ignorenulls=True).over(ahead), "_next": F.first(change, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))})
+    at = lambda k, name: F.max(F.when(F.col("k") == k, F.col(name)))
+    sums = told.where("k IS NOT NULL").groupBy("video", "event_id", "start_s", "end_s").agg((at(1, "_n") - at(0, "_n")).alias("n_within"), (at(3, "_n") - at(2, "_n")).alias("n_strict"), at(2, "_last").alias("_last"), at(2, "_next").alias("_next"))
+    return sums.select("video", "event_id", F.greatest("n_within", F.lit(0)).alias("n_within"), F.greatest("n_strict", F.lit(0)).alias("n_strict"), rounded(F.least(s - F.col("_last"), F.col("_next") - e), 3).alias("nearest"))
 
 
 def run_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.intervals import relative_error, rounded, tiou
+from .joins import spread
 
 KEYS = ["video", "description"]
 CONTROL_AXES = ("positive_control",)
 THRESHOLDS = (0.3, 0.5, 0.7)
 
 
-def matched(preds: DataFrame, truths: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """One row a truth: keys, t_start, t_end, best tiou (0 if none) and the first prediction that has it (b_start, b_end)."""
+def matched(preds: DataFrame, truths: DataFrame, keys: list[str] = KEYS, bucket: int = 16) -> DataFrame:
+    """One row a truth: keys, t_start, t_end, best tiou (0 if none) and the first prediction that has it (b_start, b_end; of
+    those that share a bucket of time with the truth, as no other can overlap it)."""
     t = truths.select(*keys, F.col("start_s").alias("t_start"), F.col("end_s").alias("t_end"), F.col("event_id").alias("t_id"))
     p = preds.select(*keys, F.col("start_s").alias("p_start"), F.col("end_s").alias("p_end"), F.col("event_id").alias("p_id"))
-    both = t.join(p, keys, "left").withColumn("iou", F.coalesce(tiou("p_start", "p_end", "t_start", "t_end"), F.lit(0.0)))
+    t, p = spread(t, F.col("t_start"), F.col("t_end"), bucket), spread(p, F.col("p_start"), F.col("p_end"), bucket)
+    both = t.join(p, [*keys, "_b"], "left").withColumn("iou", F.coalesce(tiou("p_start", "p_end", "t_start", "t_end"), F.lit(0.0)))
     best = F.max(F.when(F.col("p_id").isNotNull(), F.struct(F.col("iou"), (-F.col("p_start")).alias("a"), (-F.col("p_end")).alias("b"), (-F.col("p_id")).alias("c"))))
     return both.groupBy(*keys, "t_id", "t_start", "t_end").agg(best.alias("m")).select(*keys, "t_id", "t_start", "t_end", F.coalesce("m.iou", F.lit(0.0)).alias("iou"), (-F.col("m.a")).alias("b_start"), (-F.col("m.b")).alias("b_end"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.intervals import rounded
+from .joins import spread
 
 
 def label_problems(labels: DataFrame, durations: DataFrame) -> DataFrame:
@@ -52,12 +53,14 @@ def zone(t: Column, start: Column, end: Column, margin: float = 0.35) -> Column:
     return F.when((t >= start + m) & (t <= end - m), "in").when((t >= start - margin) & (t <= end + margin), "edge").otherwise("out")
 
 
-def zones(points: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
+def zones(points: DataFrame, events: DataFrame, keys: list[str], margin: float = 0.35, bucket: int = 16) -> DataFrame:
     """keys, point_id, zone: by the first event, in order, that the point is in or at the edge of."""
     e = events.select(*keys, F.col("start_s").alias("_s"), F.col("end_s").alias("_e"), F.col("event_id").alias("_i"))
-    z = zone(F.col("t"), F.col("_s"), F.col("_e"))
+    e = spread(e, F.col("_s") - margin, F.col("_e") + margin, bucket)
+    z = zone(F.col("t"), F.col("_s"), F.col("_e"), margin)
     first = F.min(F.when(z != "out", F.struct("_s", "_e", "_i", z.alias("z"))))
-    return points.join(e, keys, "left").groupBy(*keys, "point_id", "t").agg(F.coalesce(first["z"], F.lit("out")).alias("zone"))
+    near = points.withColumn("_b", F.floor(F.col("t") / bucket)).join(e, [*keys, "_b"], "left")
+    return near.groupBy(*keys, "point_id", "t").agg(F.coalesce(first["z"], F.lit("out")).alias("zone"))
 
 
 def sample_rates(events: DataFrame, keys: list[str]) -> DataFrame:

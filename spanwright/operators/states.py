@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.intervals import edge_of, rounded
+from .joins import spread
 
 MAX_BRACKET_S, SPAN_S, STEP_S = 4.0, 2.0, 1.0
+BUCKET_S = 32
 
 
 def transitions(polls: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,14 +20,14 @@ def transitions(polls: DataFrame, keys: list[str]) -> DataFrame:
     return known.where("_s <> state").select(*keys, rounded((F.col("_t") + F.col("t")) / 2, 3).alias("at"), F.col("_s").alias("from_state"), F.col("state").alias("to_state"), F.col("_t").alias("lo"), F.col("t").alias("hi"))
 
 
-def boundaries(polls: DataFrame, keys: list[str], target: str) -> DataFrame:
+def boundaries(polls: DataFrame, keys: list[str], target: str | Column) -> DataFrame:
     """keys, first, last, partial_before, partial_after over known states."""
     known = polls.where(F.col("state").isNotNull()).groupBy(*keys).agg(F.min_by("state", "t").alias("first"), F.max_by("state", "t").alias("last"))
     return known.withColumns({"partial_before": F.col("first") == target, "partial_after": F.col("last") == target})
 
 
-def state_spans(polls: DataFrame, media: DataFrame, keys: list[str], target: str, max_bracket_s: float = MAX_BRACKET_S, span_s: float = SPAN_S) -> DataFrame:
-    """keys, start_s, end_s, partial, widest, duration_s: stays in the target state.
+def state_spans(polls: DataFrame, media: DataFrame, keys: list[str], target: str | Column, max_bracket_s: float = MAX_BRACKET_S, span_s: float = SPAN_S) -> DataFrame:
+    """keys, start_s, end_s, partial, widest, duration_s: stays in the target state (a literal, or a column among the keys).
 
     With two states every entry is followed by an exit, so lead() pairs them; a timeline that begins in
     the target opens at 0, one that ends in it closes at the duration.
@@ -48,12 +50,14 @@ def state_spans(polls: DataFrame, media: DataFrame, keys: list[str], target: str
     )
 
 
-def state_events(polls: DataFrame, media: DataFrame, keys: list[str], target: str, max_bracket_s: float = MAX_BRACKET_S, span_s: float = SPAN_S, step_s: float = STEP_S) -> DataFrame:
+def state_events(polls: DataFrame, media: DataFrame, keys: list[str], target: str | Column, max_bracket_s: float = MAX_BRACKET_S, span_s: float = SPAN_S, step_s: float = STEP_S) -> DataFrame:
     """keys, start_s, end_s, confidence, evidence, partial, agreement, coverage: confidence is agreement x sharpness x coverage."""
     spans = state_spans(polls, media, keys, target, max_bracket_s, span_s)
-    known = polls.where(F.col("state").isNotNull()).select(*[F.col(k).alias(f"_{k}") for k in keys], "t", "state", "text")
+    known = polls.where(F.col("state").isNotNull()).select(*[F.col(k).alias(f"_{k}") for k in keys], "t", "state", "text", F.floor(F.col("t") / BUCKET_S).alias("_at"))
     on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    inside = spans.join(known, [*on, (F.col("t") >= F.col("start_s")) & (F.col("t") <= F.col("end_s"))], "left")
+    # A span meets the polls of the buckets that it touches; a bucket without any leaves a row of nulls, which counts for nothing.
+    met = spread(spans, F.col("start_s"), F.col("end_s"), BUCKET_S)
+    inside = met.join(known, [*on, F.col("_b") == F.col("_at"), (F.col("t") >= F.col("start_s")) & (F.col("t") <= F.col("end_s"))], "left")
     own = [*keys, "start_s", "end_s", "partial", "widest", "duration_s"]
     supports = F.col("state") == target
     # Coverage: each supporting poll saw [t, t + span]; what earlier ones saw already does not count again.

@@ -3,16 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import BackendUnavailable
+from ..errors import BackendUnavailable, Misconfigured
 from ..operators.joins import lookup_recordings
 from ..shipping import ship_package
 
-Backend = Callable[[DataFrame], DataFrame]
+Transform = Callable[[DataFrame], DataFrame]
+Call = Callable[[pd.DataFrame], pd.Series]
+
+
+@dataclass(frozen=True)
+class Backend:
+    """What a model can do: requests to requests with ``raw`` (extract), or polls to polls with ``text`` (caption, one subject
+    a row; caption_many, all subjects of a poll in one text), or requests to requests with ``p_yes`` (detect)."""
+
+    name: str
+    extract: Transform
+    caption: Transform | None = None
+    caption_many: Transform | None = None
+    detect: Transform | None = None
+
+    def __call__(self, requests: DataFrame) -> DataFrame:
+        return self.extract(requests)
+
+    def able(self, what: str) -> Transform:
+        """The named call; a run that needs one the model lacks is refused before it starts."""
+        call = getattr(self, what)
+        if call is None:
+            raise Misconfigured(f"the {self.name} backend cannot {what}")
+        return call
 
 
 def stub() -> Backend:
@@ -25,7 +49,7 @@ def stub() -> Backend:
         told = F.format_string('{"events": [{"start_s": %.3f, "end_s": %.3f, "confidence": %.2f, "evidence": "stub"}]}', start, start + span / 4, (h % 100) / 100.0)
         return requests.withColumn("raw", F.when(h % 3 == 0, told).otherwise('{"events": []}')).withColumn("stub", F.lit(True))
 
-    return respond
+    return Backend("stub", respond)
 
 
 def replay(recordings: DataFrame) -> Backend:
@@ -35,27 +59,38 @@ def replay(recordings: DataFrame) -> Backend:
         whole = ["video", "prompt_variant", "index", "query"]
         return lookup_recordings(requests, recordings, whole, ["video", "index", "query"]).withColumn("stub", F.lit(False))
 
-    return respond
+    return Backend("replay", respond)
 
 
-def served(call: Callable[[pd.DataFrame], pd.Series]) -> Backend:
-    """A model behind a function from a batch of requests to their raw answers, called on the executors."""
+def asked(call: Call, answer: str, kind: str) -> Transform:
+    """Rows with a column more, that a function on the executors gives for each batch."""
 
-    def respond(requests: DataFrame) -> DataFrame:
-        ship_package(requests.sparkSession)
-        names = requests.columns
+    def respond(rows: DataFrame) -> DataFrame:
+        ship_package(rows.sparkSession)
+        names = rows.columns
 
         def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in batches:
-                yield part[names].assign(raw=call(part))
+                yield part[names].assign(**{answer: call(part)})
 
-        fields = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes)
-        return requests.mapInPandas(ask, f"{fields}, raw STRING").withColumn("stub", F.lit(False))
+        fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+        return rows.mapInPandas(ask, f"{fields}, `{answer}` {kind}").withColumn("stub", F.lit(False))
 
     return respond
 
 
-def make_backend(kind: str, recordings: DataFrame | None = None, call: Callable[[pd.DataFrame], pd.Series] | None = None) -> Backend:
+def served(extract: Call, caption: Call | None = None, caption_many: Call | None = None, detect: Call | None = None) -> Backend:
+    """A model behind functions from a batch of rows to their answers, called on the executors."""
+    more = {name: asked(call, answer, kind) for name, call, answer, kind in (("caption", caption, "text", "STRING"), ("caption_many", caption_many, "text", "STRING"), ("detect", detect, "p_yes", "DOUBLE")) if call}
+    return Backend("served", asked(extract, "raw", "STRING"), **more)
+
+
+def detected(requests: DataFrame, backend: Backend, threshold: float = 0.5) -> DataFrame:
+    """The requests worth asking about: those that the cheap question is answered to with at least the threshold."""
+    return backend.able("detect")(requests).where(F.col("p_yes") >= threshold).select(*requests.columns)
+
+
+def make_backend(kind: str, recordings: DataFrame | None = None, call: Call | None = None) -> Backend:
     """auto: the served model if there is one, else recordings, else the stub."""
     if kind in ("auto", "served") and call is not None:
         return served(call)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..errors import BudgetExceeded, InvalidInput
+from ..errors import BudgetExceeded, InvalidInput, UnprocessableMedia
 from ..functions.text import clean, parse_state, subject
 from ..operators import grids, merge, metrics, quality, responses, states
 from .backends import Backend
@@ -27,7 +27,14 @@ def checked_queries(queries: DataFrame, config: Config) -> DataFrame:
 
 
 def media_in_bounds(media: DataFrame, config: Config) -> DataFrame:
-    return media.where(F.col("duration_s").between(config.limits.min_duration_s, config.limits.max_duration_s))
+    """media (video, duration_s, and size_bytes where it is known), refused if any clip is out of bounds."""
+    bad = ~F.col("duration_s").between(config.limits.min_duration_s, config.limits.max_duration_s) | F.col("duration_s").isNull()
+    if "size_bytes" in media.columns:
+        bad = bad | (F.col("size_bytes") > config.limits.max_bytes)
+    found = media.where(bad).select("video").limit(5).collect()
+    if found:
+        raise UnprocessableMedia(f"clips out of bounds: {[r['video'] for r in found]}")
+    return media
 
 
 def find_by_windows(media: DataFrame, frames: DataFrame | None, queries: DataFrame, config: Config, backend: Backend, variant: str = "overlay") -> DataFrame:
@@ -46,28 +53,54 @@ def find_by_windows(media: DataFrame, frames: DataFrame | None, queries: DataFra
     return merge.partial_flag(events, grids.window_edges(windows), media)
 
 
-def polls_of(captions: DataFrame, state_a: str, state_b: str) -> DataFrame:
-    """captions (video, t, text) as polls of a pair of states."""
-    return captions.select("video", "t", "text", parse_state(clean("text"), state_a, state_b).alias("state"))
+def poll_requests(media: DataFrame, groups: DataFrame, config: Config) -> DataFrame:
+    """video, subject, t, span_s: a poll of every group's subject at every time of the grid; a plan over the limit is refused."""
+    grid = grids.poll_grid(media, config.states.step_s, config.states.span_s)
+    subjects = groups.select("subject").distinct()
+    n = grid.count() * subjects.count()
+    if n > config.limits.max_calls:
+        raise BudgetExceeded(f"the plan makes {n} calls, the limit is {config.limits.max_calls}")
+    return grid.crossJoin(F.broadcast(subjects)).withColumn("span_s", F.lit(config.states.span_s))  # at most max_queries subjects
 
 
-def find_by_states(media: DataFrame, captions: DataFrame, queries: DataFrame, states_map: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(events, declined). captions: video, subject, t, text. Queries without a state pair are declined, not empty."""
-    routed = states.route(checked_queries(queries, config).withColumnRenamed("query", "description"), states_map)
+def find_by_states(media: DataFrame, captions: DataFrame | None, queries: DataFrame, states_map: DataFrame, config: Config, backend: Backend | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, declined). captions: video, subject, t, text; without them the backend is asked for them. Queries without a
+    state pair are declined, not empty. Descriptions of the same two states share one sweep of polls."""
+    caption = None if captions is not None or backend is None else backend.able("caption")
+    named = checked_queries(queries, config).withColumnRenamed("query", "description").withColumn("ord", F.monotonically_increasing_id())
+    routed = states.route(named, states_map)
     declined = routed.where("state_a IS NULL").select("description")
-    out = None
-    pairs = routed.where("state_a IS NOT NULL").select("description", "state_a", "state_b", subject("state_a").alias("subject")).collect()  # at most max_queries rows
-    for row in pairs:
-        own = captions.where(F.col("subject") == row["subject"])
-        polls = polls_of(own, row["state_a"], row["state_b"])
-        found = states.state_events(polls, media, ["video"], row["state_b"], config.states.max_bracket_s, config.states.span_s, config.states.step_s).withColumn("description", F.lit(row["description"]))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    groups = states.state_groups(routed).withColumn("subject", subject("state_a"))
+    pairs = groups.select("group_key", "state_a", "state_b").collect()  # at most max_queries rows
+    if not pairs:
         raise InvalidInput("no query can be answered by the states map")
-    return out, declined
+    if captions is None:
+        if caption is None:
+            raise InvalidInput("neither captions nor a backend that makes them")
+        captions = caption(poll_requests(media_in_bounds(media, config), groups, config))
+    said, state = clean("text"), F.lit(None).cast("string")
+    for row in pairs:
+        state = F.when(F.col("group_key") == row["group_key"], parse_state(said, row["state_a"], row["state_b"])).otherwise(state)
+    polls = captions.join(F.broadcast(groups.select("group_key", "subject")), "subject").select("video", "group_key", "t", "text", state.alias("state"))
+    wanted = groups.select("group_key", F.explode("descriptions").alias("description")).join(routed.select("description", F.col("state_b").alias("target")), "description")
+    keys = ["video", "description", "target"]
+    events = states.state_events(polls.join(F.broadcast(wanted), "group_key"), media, keys, F.col("target"), config.states.max_bracket_s, config.states.span_s, config.states.step_s)
+    return events.drop("target"), declined
 
 
-def evaluate(preds: DataFrame, truths: DataFrame, axes: DataFrame) -> dict[str, DataFrame]:
-    """The report's parts. Control clips leave the headline; a set that mixes them with others should be told by mixed_controls()."""
+def evaluate(preds: DataFrame, truths: DataFrame, axes: DataFrame, runs: DataFrame | None = None, limit: int | None = None) -> dict[str, DataFrame]:
+    """The report's parts. runs (video, stub): the clips that were run; a stub's are not scored, and truths of other clips do not
+    count. limit: the first clips in name order. Control clips leave the headline; a set that mixes them with others should be
+    told by mixed_controls()."""
+    if runs is not None:
+        if runs.where("stub").limit(1).count():
+            raise InvalidInput("a stub run is not scored")
+        planned = first_clips(runs.select("video").distinct(), limit)
+        preds, truths, axes = (x.join(planned, "video", "left_semi") for x in (preds, truths, axes))
     p, t = metrics.without_controls(preds, axes), metrics.without_controls(truths, axes)
     return {"overall": metrics.metric_bundle(p, t), "by_axis": metrics.by_axis(p, t, axes), "mixed_controls": metrics.mixed_controls(axes)}
+
+
+def first_clips(clips: DataFrame, limit: int | None) -> DataFrame:
+    """The first clips in name order; all without a limit."""
+    return clips if limit is None else clips.orderBy("video").limit(limit)

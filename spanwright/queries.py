@@ -356,8 +356,8 @@ def state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Signals.
 
-SIGNAL = f"""px AS (SELECT vec_id::DOUBLE AS t, embedding AS arr, lag(embedding) OVER (ORDER BY vec_id) AS old FROM embeddings),
-sig AS (SELECT 0::BIGINT AS video, t, {r("len(list_filter(range(1, len(arr) + 1), lambda i: abs(arr[i] - old[i]) > 0.25)) / len(arr) * 100", 4)} AS moved_pct FROM px WHERE old IS NOT NULL)"""
+SIGNAL = f"""px AS (SELECT vec_id // 50 AS video, (vec_id % 50)::DOUBLE AS t, embedding AS arr, lag(embedding) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS old FROM embeddings),
+sig AS (SELECT video, t, {r("len(list_filter(range(1, len(arr) + 1), lambda i: abs(arr[i] - old[i]) > 0.25)) / len(arr) * 100", 4)} AS moved_pct FROM px WHERE old IS NOT NULL)"""
 
 
 def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,14 +370,14 @@ def change_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT 0::BIGINT AS video, unnest(picks) AS t FROM nms WHERE k = (SELECT count(*) FROM ranked)",
+    "SELECT video, unnest(picks) AS t FROM nms WHERE k = (SELECT count(*) FROM ranked r WHERE r.video = nms.video)",
     SIGNAL
-    + """, ranked AS (SELECT t, row_number() OVER (ORDER BY moved_pct DESC, t) AS k FROM sig),
-nms AS (SELECT 0::BIGINT AS k, []::DOUBLE[] AS picks
-  UNION ALL SELECT r.k, CASE WHEN len(picks) >= 12 OR len(list_filter(picks, lambda p: abs(p - r.t) < 2)) > 0 THEN picks ELSE list_append(picks, r.t) END FROM nms JOIN ranked r ON r.k = nms.k + 1)""",
+    + """, ranked AS (SELECT video, t, row_number() OVER (PARTITION BY video ORDER BY moved_pct DESC, t) AS k FROM sig),
+nms AS (SELECT DISTINCT video, 0::BIGINT AS k, []::DOUBLE[] AS picks FROM sig
+  UNION ALL SELECT r.video, r.k, CASE WHEN len(picks) >= 4 OR len(list_filter(picks, lambda p: abs(p - r.t) < 2)) > 0 THEN picks ELSE list_append(picks, r.t) END FROM nms JOIN ranked r ON r.video = nms.video AND r.k = nms.k + 1)""",
 )
 def change_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.peaks(_signal(spark, sf_dir), 12)
+    return signal.peaks(_signal(spark, sf_dir), 4)
 
 
 @query(f"SELECT video, max(moved_pct) AS peak, {r('avg(moved_pct)', 4)} AS mean, {r('avg((moved_pct > 18)::INT)', 4)} AS active_share, CASE WHEN {r('avg(moved_pct)', 4)} < 0.5 THEN 'static' WHEN {r('avg(moved_pct)', 4)} > 1.5 THEN 'active' ELSE 'faint' END AS verdict FROM sig GROUP BY video", SIGNAL)

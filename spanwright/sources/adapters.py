@@ -61,11 +61,17 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(F.col("event_type").isin("purchase", "signup"), "open").when(F.col("event_type").isin("click", "view"), "closed")
-    return frames(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", state.alias("state"), F.col("event_type").alias("text")), "event_id").select("video", "event_id", "t", "state", "text")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), "event_id", rounded(hours(), 3).alias("t"), state.alias("state"), F.col("event_type").alias("text"))
+
+
+#: Vectors of a clip.
+CLIP_FRAMES = 50
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.lit(0).cast("long").alias("video"), F.col("vec_id").cast("double").alias("t"), F.col("embedding").alias("arr"))
+    """video (a run of CLIP_FRAMES vectors), t, arr."""
+    video = F.floor(F.col("vec_id") / CLIP_FRAMES)
+    return table(spark, sf_dir, "embeddings").select(video.alias("video"), (F.col("vec_id") - video * CLIP_FRAMES).cast("double").alias("t"), F.col("embedding").alias("arr"))
 
 
 CAPTIONS = (
