@@ -40,7 +40,7 @@ class Limits:
     max_calls: int = 100_000
     max_bytes: int = 2 << 30
     min_duration_s: float = 0.5
-    max_duration_s: float = 86_400.0
+    max_duration_s: float = 1_800.0
 
 
 @dataclass(frozen=True)

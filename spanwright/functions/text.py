@@ -132,3 +132,25 @@ def two_way_softmax(yes: Column | str, no: Column | str, missing: float = -60.0)
 
 def tile_width(height: Column | str) -> Column:
     return F.coalesce(F.greatest(F.lit(480), F.least(F.lit(1280), F.bround(1920 * 150 / F.nullif(col(height), F.lit(0))).cast("int"))), F.lit(720))
+
+
+def slug(text: Column | str, most: int = 34) -> Column:
+    """The beginning of a description as a part of a file name."""
+    return F.replace(F.substring(col(text), 1, most), F.lit(" "), F.lit("-"))
+
+
+def day_of(name: Column | str) -> Column:
+    """Month and day of a recording's dotted name, YYYY-MM-DD first; "" for a name without dots."""
+    return F.when(F.contains(col(name), F.lit(".")), F.substring(F.substring_index(col(name), ".", 1), 6, 100)).otherwise("")
+
+
+def scene_of(name: Column | str) -> Column:
+    """Day and camera of a dotted name: of its last three parts, the two before the suffix; a short name's first letters otherwise."""
+    parts = F.split(col(name), r"\.")
+    return F.when(F.size(parts) >= 3, F.concat_ws("_", day_of(name), F.array_join(F.slice(parts, F.size(parts) - 2, 2), "."))).otherwise(F.substring(col(name), 1, 12))
+
+
+def clip_tag(name: Column | str) -> Column:
+    """Day and the part before the last two of a dotted name."""
+    parts = F.split(col(name), r"\.")
+    return F.concat_ws("_", day_of(name), F.try_element_at(parts, F.lit(-3)))

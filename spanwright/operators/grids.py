@@ -94,3 +94,16 @@ def subsample(rows: DataFrame, keys: list[str], most: int, order: str = "t") ->
 def expand_requests(windows: DataFrame, queries: DataFrame, variant: str) -> DataFrame:
     """windows x queries: the request relation of a run. queries is the list that the user typed."""
     return windows.crossJoin(short_list(queries)).withColumn("prompt_variant", F.lit(variant))
+
+
+def triggered_grid(signal: DataFrame, media: DataFrame, top_k: int, min_pct: float, min_gap_s: float, span_s: float = SPAN_S) -> DataFrame:
+    """video, t: polls at the greatest changes of a signal (video, t, moved_pct), those whose span ends inside the clip."""
+    from .signal import peaks
+
+    return peaks(signal, top_k, min_pct, min_gap_s).join(media.select("video", "duration_s"), "video").where(F.col("t") + span_s <= F.col("duration_s")).select("video", "t")
+
+
+def states_cost(media: DataFrame, n_groups: int, step_s: float = STEP_S, span_s: float = SPAN_S) -> DataFrame:
+    """video, polls, model_calls of a states run: every group of states is polled at every time of the grid."""
+    polls = F.when(F.col("duration_s") >= span_s, F.floor((F.col("duration_s") - span_s) / step_s + 1e-9) + 1).otherwise(0).cast("long")
+    return media.select("video", polls.alias("polls"), (polls * n_groups).alias("model_calls"))

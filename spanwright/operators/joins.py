@@ -106,3 +106,26 @@ def lookup_recordings(requests: DataFrame, recordings: DataFrame, keys: list[str
 
     exact = requests.join(first(keys, "_exact"), keys, "left")
     return exact.join(first(fallback, "_other"), fallback, "left").withColumn("raw", F.coalesce("_exact", "_other")).drop("_exact", "_other")
+
+
+def last_of(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """keys and value of the last row of each key: of duplicates, the last wins."""
+    return rows.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def transition_tally(hits: DataFrame, labels: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """One row: scored, hits, strict_hits, partial_before, partial_after, skipped.
+
+    hits: transition_hits() of the labels; labels (video, event_id, routed): those without a state pair are skipped, not scored;
+    boundaries (video, partial_before, partial_after) of the polled timelines.
+    """
+    both = labels.join(hits, ["video", "event_id"], "left").join(boundaries.select("video", "partial_before", "partial_after"), "video", "left")
+    routed = F.col("routed")
+    return both.agg(
+        F.count_if(routed).alias("scored"),
+        F.count_if(routed & (F.col("n_within") > 0)).alias("hits"),
+        F.count_if(routed & (F.col("n_strict") > 0)).alias("strict_hits"),
+        F.count_if(routed & F.col("partial_before")).alias("partial_before"),
+        F.count_if(routed & F.col("partial_after")).alias("partial_after"),
+        F.count_if(~routed).alias("skipped"),
+    )

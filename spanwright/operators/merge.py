@@ -72,3 +72,8 @@ def partial_flag(events: DataFrame, edges: DataFrame, media: DataFrame, toleranc
     flagged = placed.join(near, "_id", "left")
     partial = F.when((F.col("start_s") <= tolerance) | (F.col("end_s") >= F.col("duration_s") - tolerance), True).when(F.size("source_windows") > 1, False).otherwise(F.coalesce("_near", F.lit(False)))
     return flagged.withColumn("partial", partial).drop("_id", "_near", "duration_s")
+
+
+def in_order(events: DataFrame) -> DataFrame:
+    """events by video, start and end, then description."""
+    return events.orderBy("video", "start_s", "end_s", "description")

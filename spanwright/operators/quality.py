@@ -183,3 +183,53 @@ def averaged_probabilities(asked: DataFrame, keys: list[str]) -> DataFrame:
 def refuse_stubs(runs: DataFrame) -> DataFrame:
     """runs (stub, ...), failing at run time on a stub's: its scores would mean nothing."""
     return runs.withColumn("stub", F.when(~F.col("stub"), F.col("stub")).otherwise(F.raise_error(F.lit("a stub run is not scored")).cast("boolean")))
+
+
+def clip_problems(clips: DataFrame) -> DataFrame:
+    """video, problem of clips (video, axis): a clip listed twice, a clip without an axis."""
+    listed = clips.groupBy("video").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.coalesce(F.trim("axis"), F.lit("")) == "").alias("_blank"))
+    found = F.array_compact(F.array(F.when(F.col("_n") > 1, F.lit("duplicate clip")), F.when(F.col("_blank") > 0, F.lit("no axis"))))
+    return listed.select("video", F.explode(found).alias("problem"))
+
+
+def assigned_axis(width: Column | str, axis: Column | str, least_width: int = 640) -> Column:
+    """The axis of a clip: small pictures are an axis of their own."""
+    return F.when((F.col(width) if isinstance(width, str) else width) < least_width, "low_resolution").otherwise(F.col(axis) if isinstance(axis, str) else axis)
+
+
+def synthetic_labels(clips: DataFrame, scenes: list[tuple[str, str, float, float]]) -> DataFrame:
+    """video, description, axis, start_s, end_s: the scenes' exact truths in every clip (video, scale), its scale multiplying all times."""
+    told = F.array(*[F.struct(F.lit(d).alias("description"), F.lit(a).alias("axis"), F.lit(s).alias("s"), F.lit(e).alias("e")) for d, a, s, e in scenes])
+    rows = clips.select("video", "scale", F.explode(told).alias("x"))
+    return rows.select("video", "x.description", "x.axis", rounded(F.col("x.s") * F.col("scale"), 3).alias("start_s"), rounded(F.col("x.e") * F.col("scale"), 3).alias("end_s"))
+
+
+def probe_report(observations: DataFrame, errors: DataFrame, by: list[str]) -> DataFrame:
+    """by, cases, emit_share, parse_failures, rejected, clamped, mean_latency_s, mean_frames, and the statistics of probe_summary().
+
+    observations: by, n_reported, failed, rejected, clamped, latency_s, frames; one row a case.
+    """
+    told = observations.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("cases"),
+        rounded(F.avg((F.col("n_reported") > 0).cast("double")), 4).alias("emit_share"),
+        F.count_if("failed").alias("parse_failures"),
+        F.sum("rejected").alias("rejected"),
+        F.sum("clamped").alias("clamped"),
+        rounded(F.avg("latency_s"), 4).alias("mean_latency_s"),
+        rounded(F.avg("frames"), 4).alias("mean_frames"),
+    )
+    return told.join(probe_summary(errors, by), by, "left")
+
+
+def finding(summary: DataFrame, by: list[str], error: str = "median_error") -> DataFrame:
+    """One row, text: the best combination and its error, or that no combination reported anything."""
+    best = best_combination(summary, by, error)
+    named = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in by])
+    told = F.concat(F.lit("best: "), named, F.lit(" with an error of "), F.format_string("%.2f", F.col(error)), F.lit(" s"))
+    return best.select(F.when(F.col(error).isNotNull(), told).otherwise("no combination reported an event").alias("text"))
+
+
+def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in order, with n_left: how many are cut off (a warning where it is not 0)."""
+    left = rows.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("n_left"))
+    return rows.orderBy(*order).limit(n).crossJoin(F.broadcast(left))  # one row

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ANSWER = 'Answer with JSON: {{"events": [{{"start_s": <seconds>, "end_s": <seconds>, "confidence": <0-1>, "evidence": "<short phrase>"}}]}}, or {{"events": []}} if it does not happen.'.replace("{{", "{").replace("}}", "}")
+_ANSWER = 'Answer with JSON: {"events": [{"start_s": <seconds>, "end_s": <seconds>, "confidence": <0-1>, "evidence": "<short phrase>"}]}, or {"events": []} if it does not happen.'
 
 #: name, system prompt, user template; {query}, {start} and {end} are filled in.
 VARIANTS = (

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import text as X
 from .functions.intervals import rounded
@@ -737,3 +738,139 @@ def request_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = A.truths(spark, sf_dir).select(F.col("description").alias("query")).distinct()
     requests = grids.expand_requests(grids.plan_windows(A.media(spark, sf_dir)), asked, "terse")
     return prompts.with_prompts(requests).select("video", "index", "query", "user_prompt")
+
+
+# What a run plans, keeps and tells.
+
+CLIP_SQL = SIGNAL + ", clips AS (SELECT video, max(t) + 1 AS duration_s FROM px GROUP BY video)"
+
+
+@query(
+    "SELECT n.video, u.t FROM (SELECT video, unnest(picks) AS t FROM nms WHERE k = (SELECT count(*) FROM ranked r WHERE r.video = nms.video)) u JOIN clips n ON n.video = u.video WHERE u.t + 2 <= n.duration_s",
+    CLIP_SQL
+    + """, ranked AS (SELECT video, t, row_number() OVER (PARTITION BY video ORDER BY moved_pct DESC, t) AS k FROM sig WHERE moved_pct >= 5),
+nms AS (SELECT DISTINCT video, 0::BIGINT AS k, []::DOUBLE[] AS picks FROM sig
+  UNION ALL SELECT r.video, r.k, CASE WHEN len(picks) >= 6 OR len(list_filter(picks, lambda p: abs(p - r.t) < 3)) > 0 THEN picks ELSE list_append(picks, r.t) END FROM nms JOIN ranked r ON r.video = nms.video AND r.k = nms.k + 1)""",
+)
+def triggered_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polls where the picture changes most."""
+    clips = A.pixels(spark, sf_dir).groupBy("video").agg((F.max("t") + 1).alias("duration_s"))
+    return grids.triggered_grid(_signal(spark, sf_dir), clips, 6, 5.0, 3.0)
+
+
+@query("SELECT video, 719::BIGINT AS polls, 719::BIGINT * 4 AS model_calls FROM media")
+def states_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.states_cost(A.media(spark, sf_dir), 4)
+
+
+@query("SELECT video, event_id FROM candidates WHERE confidence >= 0.5")
+def detected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that a cheap yes-or-no question keeps."""
+    from .plans import backends
+
+    asked = A.candidates(spark, sf_dir).select("video", "event_id", "confidence")
+    seer = backends.Backend("told", lambda x: x, detect=lambda x: x.withColumn("p_yes", F.col("confidence")))
+    return backends.detected(asked, seer).select("video", "event_id")
+
+
+@query("SELECT video, problem FROM (SELECT o_custkey AS video, count(*) AS n, count(*) FILTER (o_orderpriority = '5-LOW') AS blank FROM orders GROUP BY o_custkey), LATERAL (SELECT unnest(list_filter([CASE WHEN n > 1 THEN 'duplicate clip' END, CASE WHEN blank > 0 THEN 'no axis' END], lambda x: x IS NOT NULL)) AS problem)")
+def clip_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("video"), F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("axis"))
+    return quality.clip_problems(clips)
+
+
+@query("SELECT p_partkey AS video, CASE WHEN p_size * 20 < 640 THEN 'low_resolution' ELSE p_brand END AS axis FROM part")
+def assigned_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("video"), quality.assigned_axis(F.col("p_size") * 20, "p_brand").alias("axis"))
+
+
+#: Scenes with exact truths: description, axis, start and end in seconds.
+SCENES = [("a ball rolls from left to right", "baseline", 1.0, 4.0), ("a lamp is switched on", "short", 6.5, 7.0), ("a box stays where it is", "absence_of_motion", 8.0, 14.0)]
+_SCENES = ", ".join(f"('{d}', '{a}', {s}, {e})" for d, a, s, e in SCENES)
+
+
+@query(f"SELECT m.video, x.description, x.axis, {r('x.s * (1 + m.video % 3)', 3)} AS start_s, {r('x.e * (1 + m.video % 3)', 3)} AS end_s FROM media m, (VALUES {_SCENES}) x(description, axis, s, e)")
+def synthetic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips = A.media(spark, sf_dir).select("video", (F.col("video") % 3 + 1).cast("double").alias("scale"))
+    return quality.synthetic_labels(clips, SCENES)
+
+
+@query("SELECT a.activity_id, a.clip, a.activity, s.median_height, CASE WHEN s.median_height IS NULL OR s.median_height = 0 THEN 720 ELSE greatest(480, least(1280, round_even(1920 * 150 / s.median_height, 0)))::INT END AS width FROM act a LEFT JOIN (SELECT clip, activity, arg_max(median_height, activity_id) AS median_height FROM screened GROUP BY clip, activity) s ON s.clip = a.clip AND s.activity = a.activity", ACTORS)
+def actor_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights told for an activity's clip and name, the last one winning, and the width of its tile."""
+    acts = A.activities(spark, sf_dir)
+    told = joins.last_of(joins.screen_actors(A.boxes(spark, sf_dir), acts), ["clip", "activity"], ["activity_id"], "median_height")
+    return acts.join(told, ["clip", "activity"], "left").select("activity_id", "clip", "activity", "median_height", X.tile_width("median_height").alias("width"))
+
+
+@query(
+    f"""SELECT count(*) FILTER (routed) AS scored, count(*) FILTER (routed AND n_within > 0) AS hits, count(*) FILTER (routed AND n_strict > 0) AS strict_hits, count(*) FILTER (routed AND pb) AS partial_before, count(*) FILTER (routed AND pa) AS partial_after, count(*) FILTER (NOT routed) AS skipped
+FROM (SELECT t.video, t.event_id, t.description <> 'view' AS routed, count(*) FILTER ("at" >= start_s - 1 AND "at" <= end_s + 1) AS n_within, count(*) FILTER ("at" >= start_s AND "at" <= end_s) AS n_strict FROM truths t LEFT JOIN changes c ON c.video = t.video GROUP BY ALL) h
+LEFT JOIN (SELECT video, arg_min(state, t) = 'open' AS pb, arg_max(state, t) = 'open' AS pa FROM polls WHERE state IS NOT NULL GROUP BY video) b ON b.video = h.video""",
+    CHANGES,
+)
+def transition_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    polls, labels = A.polls(spark, sf_dir), A.truths(spark, sf_dir)
+    hits = joins.transition_hits(labels, states.transitions(polls, ["video"]), 1.0)
+    return joins.transition_tally(hits, labels.select("video", "event_id", (F.col("description") != "view").alias("routed")), states.boundaries(polls, ["video"], "open"))
+
+
+@query(
+    f"""SELECT o.prompt, cases, emit_share, parse_failures, rejected, clamped, mean_latency_s, mean_frames, n, median_error, mean_error, p90_error
+FROM (SELECT event_id % 3 AS prompt, count(*) AS cases, {r('avg((e_start IS NOT NULL)::INT)', 4)} AS emit_share, count(*) FILTER (error IS NOT NULL) AS parse_failures, sum((coalesce(e_start > 9000, false))::INT)::BIGINT AS rejected, 0::BIGINT AS clamped, {r('avg((event_id % 7)::DOUBLE)', 4)} AS mean_latency_s, {r('avg((event_id % 12)::DOUBLE)', 4)} AS mean_frames FROM parsed GROUP BY 1) o
+LEFT JOIN (SELECT prompt, count(*) AS n, {r('median(error)', 4)} AS median_error, {r('avg(error)', 4)} AS mean_error, CASE WHEN count(*) >= 10 THEN list_sort(list(error))[floor(count(*) * 0.9)::INT + 1] END AS p90_error FROM (SELECT event_id % 3 AS prompt, {r('abs(e_start - w_start)', 3)} AS error FROM parsed WHERE e_start < 9000) GROUP BY prompt) s ON s.prompt = o.prompt""",
+    f"{RAW}, {PARSED}",
+)
+def probe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probe's observations by prompt: how much was reported, refused and lost, and the errors of the starts."""
+    first = F.get("events", 0)["start_s"]
+    told = responses.parse_responses(A.raw_responses(spark, sf_dir)).select((F.col("event_id") % 3).alias("prompt"), "event_id", "start_s", F.size("events").alias("n_reported"), F.col("error").isNotNull().alias("failed"), first.alias("e_start"))
+    seen = told.withColumns({"rejected": F.coalesce(F.col("e_start") > 9000, F.lit(False)).cast("long"), "clamped": F.lit(0).cast("long"), "latency_s": (F.col("event_id") % 7).cast("double"), "frames": (F.col("event_id") % 12).cast("double")})
+    errors = told.where("e_start < 9000").select("prompt", rounded(F.abs(F.col("e_start") - F.col("start_s")), 3).alias("error"))
+    return quality.probe_report(seen, errors, ["prompt"])
+
+
+@query("SELECT video, event_id, row_number() OVER (PARTITION BY video ORDER BY start_s, end_s, description, event_id) AS place FROM preds")
+def output_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions in the order that a result lists them."""
+    own = Window.partitionBy("video").orderBy("start_s", "end_s", "description", "event_id")
+    return merge.in_order(A.preds(spark, sf_dir)).select("video", "event_id", F.row_number().over(own).alias("place"))
+
+
+@query("SELECT t.* FROM truths t WHERE t.video IN (SELECT video FROM media ORDER BY video LIMIT 8)")
+def first_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truths of the first clips in name order."""
+    from .plans import find
+
+    return A.truths(spark, sf_dir).join(find.first_clips(A.media(spark, sf_dir).select("video"), 8), "video", "left_semi")
+
+
+@query("SELECT clip, best FROM (SELECT clip, max(max_height) AS best FROM screened GROUP BY clip) ORDER BY best DESC, clip LIMIT 10", ACTORS)
+def top_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's best clips."""
+    ranked = joins.screen_clips(joins.screen_actors(A.boxes(spark, sf_dir), A.activities(spark, sf_dir)))
+    return ranked.orderBy(F.desc("best"), "clip").limit(10).select("clip", "best")
+
+
+@query("SELECT s_name AS source, (SELECT greatest(count(*) - 25, 0) FROM supplier) AS n_left FROM supplier ORDER BY s_name LIMIT 25")
+def first_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sources, and how many are cut off."""
+    return quality.first_rows(A.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("source")), ["source"], 25)
+
+
+@query("SELECT o_orderkey AS id, replace(left(o_orderpriority || ' of ' || o_orderstatus, 34), ' ', '-') AS slug, substr(d, 6) AS day, substr(d, 6) || '_' || 'school.G' || (o_custkey % 400) AS scene, substr(d, 6) || '_school' AS tag FROM (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)")
+def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slugs, days, scenes and tags of dotted names."""
+    name = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".11-05-00.11-10-00.school.G"), F.col("o_custkey") % 400, F.lit(".avi"))
+    named = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat("o_orderpriority", F.lit(" of "), "o_orderstatus").alias("text"), name.alias("name"))
+    return named.select("id", X.slug("text").alias("slug"), X.day_of("name").alias("day"), X.scene_of("name").alias("scene"), X.clip_tag("name").alias("tag"))
+
+
+@query("SELECT video, description, start_s, end_s FROM truths")
+def labels_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as JSON files and back."""
+    from .sources import files
+
+    folder = files.scratch_folder(spark, "labels")
+    A.truths(spark, sf_dir).select("video", "description", "start_s", "end_s").write.json(folder)
+    return spark.read.schema("video LONG, description STRING, start_s DOUBLE, end_s DOUBLE").json(folder)

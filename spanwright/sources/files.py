@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -105,3 +109,22 @@ def source_names(start: Column, stop: Column, prefix: str) -> Column:
     """Candidate names of a recording: by its end hour first, then its start hour if that differs."""
     hour = lambda x: F.substring(x, 1, 2)
     return F.array_distinct(F.array(F.concat(F.lit(prefix + "/"), hour(stop)), F.concat(F.lit(prefix + "/"), hour(start))))
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, or, in local mode only, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spanwright-")
+    return f"{base.rstrip('/')}/spanwright-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def results_if_present(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of result files; none where there is no such file, and none of a file that is not JSON."""
+    try:
+        found = spark.read.schema(f"{schema}, _corrupt STRING").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    return found.where("_corrupt IS NULL").drop("_corrupt")

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwright import config as C
+from spanwright import errors as E
 from spanwright.errors import BudgetExceeded, InvalidInput, Misconfigured
+from spanwright.operators import quality
 from spanwright.plans import backends, find
 from spanwright.sources import adapters as A
 from spanwright.sources import files
@@ -106,3 +108,67 @@ def test_contract(spark, tmp_path):
     (tmp_path / "bad.json").write_text(json.dumps({"video": "b", "duration_s": 1.5, "queries": ["x"], "events": [event | {"start_s": 1.2}, event]}))
     got = {(r.video, r.violation) for r in files.result_violations(spark, str(tmp_path / "*.json")).collect()}
     assert got == {("b", "an event outside the contract"), ("b", "events out of order")}
+
+
+def test_states_run_asks_the_backend(spark):
+    """Reversed pairs share one sweep, the target is each description's own, and a run that cannot be made is refused."""
+    media = spark.createDataFrame([(1, 20.0)], "video long, duration_s double")
+    queries = spark.createDataFrame([("a door opens",), ("a door closes",), ("a dog barks",)], "query string")
+    shut, wide = "the door is closed", "the door is open"
+    pairs = spark.createDataFrame([("a door opens", shut, wide), ("a door closes", wide, shut)], "description string, state_a string, state_b string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def caption(part):
+        asked.add(len(part))
+        return pd.Series(["The door is open." if 4 <= t <= 8 else "The door is closed." for t in part["t"]])
+
+    seer = backends.served(lambda part: pd.Series(["{}"] * len(part)), caption=caption)
+    events, declined = find.find_by_states(media, None, queries, pairs, C.Config(), seer)
+    got = sorted((e.description, e.start_s, e.end_s) for e in events.collect())
+    assert got == [("a door closes", 0.0, 3.5), ("a door closes", 8.5, 20.0), ("a door opens", 3.5, 8.5)]
+    assert [r.description for r in declined.collect()] == ["a dog barks"]
+    with pytest.raises(E.BudgetExceeded):
+        find.find_by_states(media, None, queries, pairs, C.with_overrides(C.Config(), limits__max_calls=3), seer)
+    with pytest.raises(E.Misconfigured):
+        find.find_by_states(media, None, queries, pairs, C.Config(), backends.stub())
+    with pytest.raises(E.InvalidInput):
+        find.find_by_states(media, None, queries, pairs, C.Config())
+
+
+def test_media_bounds_are_errors(spark):
+    clips = spark.createDataFrame([(1, 20.0, 10), (2, 30.0, 5 << 30)], "video long, duration_s double, size_bytes long")
+    assert find.media_in_bounds(clips.where("video = 1"), C.Config()).count() == 1
+    for bad in (clips, clips.select("video", (F.col("duration_s") * 1e6).alias("duration_s"))):
+        with pytest.raises(E.UnprocessableMedia):
+            find.media_in_bounds(bad, C.Config())
+
+
+def test_evaluation_guards(spark, sf_dir):
+    preds, truths, axes = A.preds(spark, sf_dir), A.truths(spark, sf_dir), A.axes(spark, sf_dir)
+    runs = axes.select("video", F.lit(False).alias("stub"))
+    few = find.evaluate(preds, truths, axes, runs, limit=3)["overall"].first()
+    videos = [r.video for r in axes.orderBy("video").limit(3).collect()]
+    own = lambda x: x.where(F.col("video").isin(videos))
+    assert few == find.evaluate(own(preds), own(truths), own(axes))["overall"].first()
+    with pytest.raises(E.InvalidInput):
+        find.evaluate(preds, truths, axes, runs.withColumn("stub", F.col("video") == videos[0]))
+
+
+def test_results_that_are_missing_or_broken(spark, tmp_path):
+    schema = "model STRING, score DOUBLE"
+    assert files.results_if_present(spark, str(tmp_path / "*.json"), schema).count() == 0
+    (tmp_path / "a.json").write_text('{"model": "a", "score": 0.5}')
+    (tmp_path / "b.json").write_text("not json")
+    assert [tuple(r) for r in files.results_if_present(spark, str(tmp_path / "*.json"), schema).collect()] == [("a", 0.5)]
+
+
+def test_finding(spark):
+    rows = spark.createDataFrame([("a", 1, 3.0), ("b", 2, 1.25), ("c", 3, None)], "prompt string, fps int, median_error double")
+    assert quality.finding(rows, ["prompt", "fps"]).first().text == "best: prompt=b fps=2 with an error of 1.25 s"
+    assert quality.finding(rows.where("prompt = 'c'"), ["prompt", "fps"]).first().text == "no combination reported an event"
+
+
+def test_detection_threshold(spark):
+    asked = spark.createDataFrame([(k, k / 4) for k in range(5)], "k long, p double")
+    seer = backends.Backend("told", lambda x: x, detect=lambda x: x.withColumn("p_yes", F.col("p")))
+    assert sorted(r.k for r in backends.detected(asked, seer).collect()) == [2, 3, 4]
