@@ -16,8 +16,13 @@ from ..shipping import ship_package
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
-#: Keys that are taken for hot at most.
-HOT_KEYS = 10_000
+#: Keys that are taken for hot at most, and the rows that a hot key has at least.
+HOT_KEYS, LEAST_HOT = 10_000, 1_000
+
+
+def hot_key(weight: Column, rows: int) -> Column:
+    """Whether a key of `weight` rows out of `rows` is hot; at most HOT_KEYS keys are."""
+    return (weight >= LEAST_HOT) & (weight * HOT_KEYS >= rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +78,7 @@ def heavy_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, n_
     Keys with a HOT_KEYS-th of left's n_left rows are at most HOT_KEYS, whatever the data: they are broadcast, and
     left's rows of them stay where they are. No other key is hot. Both sides should be cut() already.
     """
-    hot, kept = F.col(weight) * HOT_KEYS >= n_left, [c for c in right.columns if c not in (*on, weight)]
+    hot, kept = hot_key(F.col(weight), n_left), [c for c in right.columns if c not in (*on, weight)]
     few = right.where(hot).select(*on, *kept)
     cold = left.join(F.broadcast(few.select(*on)), on, "left_anti").join(right.where(~hot).select(*on, *kept), on, how)
     return left.join(F.broadcast(few), on).select(*left.columns, *kept).unionByName(cold.select(*left.columns, *kept))

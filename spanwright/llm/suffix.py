@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, arrow_map, cut, cut_counted, heavy_join, text_of
+from .common import arrow_map, cut, cut_counted, heavy_join, hot_key, text_of
 from .minhash import _power
 from .perfect_hash import mix
 
@@ -336,8 +336,8 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     for more in marks[1:]:
         every = every.union(more)
     a, b = within(F.col("pos"))
-    # Entries that a HOT_KEYS-th of all anchors are at most HOT_KEYS; every string around them is repeated.
-    hot = F.broadcast(entries.where((F.col("n") > 1) & (F.col("n") * HOT_KEYS >= met.count())).select("kh", "u"))
+    # Hot entries are few; every string around them is repeated.
+    hot = F.broadcast(entries.where((F.col("n") > 1) & hot_key(F.col("n"), met.count())).select("kh", "u"))
     whole = met.join(hot, ["kh", "u"]).select("d", "x", "pos", F.lit(0).alias("lo"), F.lit(REACH).alias("hi"))
     others = met.join(hot, ["kh", "u"], "left_anti").join(every.join(hot, ["kh", "u"], "left_anti"), ["kh", "u"]).select("d", "x", "pos", "lo", "hi")
     spans = whole.union(others).groupBy("d", "x").agg(F.collect_list(F.struct(a.alias("from"), b.alias("to"))).alias("spans"))

@@ -430,6 +430,7 @@ def test_near_duplicates(spark, corpus, monkeypatch, small):
         monkeypatch.setattr(minhash, "BLOCK_DOCS", 4)
         monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 400)
         monkeypatch.setattr(common, "HOT_KEYS", 3)
+        monkeypatch.setattr(common, "LEAST_HOT", 1)
     rows, rnd, base = list(corpus), random.Random(7), prose(4000, 120).split(" ")
     for i in range(40):
         own = list(base)
