@@ -115,6 +115,41 @@ FROM judged
 """
 
 
+OP4_SQL = r"""
+WITH texts AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+sized AS MATERIALIZED (SELECT *, octet_length(b) AS n FROM texts),
+starts AS MATERIALIZED (SELECT r, i, md5_number(hex(array_slice(b, i, i + 199))) AS h FROM (SELECT r, b, unnest(range(1, n - 198)) AS i FROM sized WHERE n >= 200)),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM starts JOIN (SELECT h FROM starts GROUP BY h HAVING count(*) > 1) USING (h)),
+runs AS (SELECT r, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM hit),
+spans AS (SELECT r, k, min(i) AS a, max(i) + 200 AS z FROM runs GROUP BY r, k),
+kept AS (
+  SELECT r, sum(z - a) AS gone, count(*) AS spans,
+         string_agg(hex(array_slice(b, coalesce(last, 1), a - 1)), '' ORDER BY a) || hex(array_slice(any_value(b), max(z), any_value(n))) AS h
+  FROM (SELECT *, lag(z) OVER (PARTITION BY r ORDER BY a) AS last FROM spans JOIN sized USING (r)) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(coalesce(unhex(h), b)) AS kept_sha256
+FROM sized LEFT JOIN kept USING (r)
+"""
+
+
+OP8_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s
+  FROM texts),
+shingles AS MATERIALIZED (SELECT doc_id, len(s) AS n, md5_number(unnest(s)) AS h FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached AS (SELECT x AS doc_id, x AS other FROM links UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON r.other = l.x),
+least AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(other, doc_id) AS component_id, coalesce(other, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN least USING (doc_id)
+"""
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -167,4 +202,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_reconstruction": OP2_SQL, "op5_quality_rules": OP5_SQL}
+    return {"op2_chat_reconstruction": OP2_SQL, "op4_repeated_passages": OP4_SQL, "op5_quality_rules": OP5_SQL, "op8_near_duplicates": OP8_SQL}
