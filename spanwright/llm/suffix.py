@@ -252,12 +252,15 @@ def crowd_marks(items: DataFrame) -> list[DataFrame]:
         groups, n_groups = cut_counted(items.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("kh", "u")).alias("first")))
         sizes = cut(groups.groupBy("key").agg(F.count(F.lit(1)).alias("entries")).withColumn("_n", F.col("entries")))
         groups = cut(heavy_join(groups, sizes, ["key"], "_n", n_groups).where("n > 1 OR entries > 1").withColumn("_n", F.col("n")))
-        placed = heavy_join(items, groups, ["key", "whole"], "_n", n_items)
-        marks.append(placed.where("n > 1").select("kh", "u", "lo", "hi"))
         # Entries that agree on the whole half stand in for each other; the first takes part in the bucket.
-        open_ = placed.where((F.col("entries") > 1) & (F.struct("kh", "u") == F.col("first"))).select("key", "kh", "u", "left", "right", "lo", "hi", "entries")
+        goes_on = (F.col("entries") > 1) & (F.struct("kh", "u") == F.col("first"))
+        placed = heavy_join(items, groups, ["key", "whole"], "_n", n_items).withColumn("open", goes_on)
+        # Written out, as marks, small buckets and the next halves all read it; only entries that go on keep their bytes.
+        placed = cut(placed.select("key", "kh", "u", "lo", "hi", "n", "entries", "open", *[F.when(F.col("open"), F.col(c)).alias(c) for c in ("left", "right")]))
+        marks.append(placed.where("n > 1").select("kh", "u", "lo", "hi"))
+        open_ = placed.where("open").select("key", "kh", "u", "left", "right", "lo", "hi", "entries")
         marks.append(bucket_marks(open_.where(F.col("entries") <= BUCKET)))
-        items = cut(open_.where(F.col("entries") > BUCKET).select("kh", "u", "left", "right", "lo", "hi"))
+        items = open_.where(F.col("entries") > BUCKET).select("kh", "u", "left", "right", "lo", "hi")
         if not items.limit(1).count():
             break
     return marks
