@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with production parameters, and their oracle SQL."""
+"""Registered queries of the operators, with production parameters, and their oracle SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, minhash, mixing, pii, quality, sharding, suffix, tokens, toxicity
+from . import chat, decontam, divergence, minhash, mixing, pii, quality, runs, sharding, suffix, tokens, toxicity, warc
 from .common import table
 
 #: op1: the vocabulary and the end id.
@@ -186,6 +186,91 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP11_SQL = r"""
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+hashed AS (SELECT page_id, octet_length(encode(body))::BIGINT AS n, sha1(body) AS hex FROM bodies),
+firsts AS (SELECT hex, n, min(page_id) AS first FROM hashed GROUP BY hex, n)
+SELECT page_id, n AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM hashed JOIN firsts USING (hex, n)
+"""
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+grp AS MATERIALIZED (
+  SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v, lang_total
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN totals USING (lang, source) LEFT JOIN langs USING (lang)),
+shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (g.total + 5 * g.v) AS p,
+         1 + (1000000000::HUGEINT * (k.lang_n + 5)) // (g.lang_total + 5 * g.v) AS q
+  FROM grp g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_concat([b], range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(0, 256)) AS b))),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS h
+  FROM documents CROSS JOIN crc),
+shaped AS (SELECT r, doc_id, w, len(w) AS n, h, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM docs),
+texts AS MATERIALIZED (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+    list_transform(range(0, n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) ELSE i END]) ELSE w END AS w FROM shaped),
+words AS MATERIALIZED (SELECT r, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM texts WHERE n > 0),
+fives AS (
+  SELECT r, n, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS g
+  FROM words WHERE n >= 6 WINDOW o AS (PARTITION BY r ORDER BY i)),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS q FROM fives x JOIN fives y ON x.r = y.r AND x.g = y.g AND y.i > x.i AND y.i - x.i <= x.n // 4),
+stretches AS (SELECT r, q, min(i) AS start, max(i) + 5 - min(i) + q AS length FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM pairs) GROUP BY r, q, k),
+runs AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+sums AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told,
+         min(struct_pack(l := -length, s := start, p := period)) AS m FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.i) AS text FROM words LEFT JOIN gone ON words.r = gone.r AND words.i = gone.i WHERE gone.i IS NULL GROUP BY words.r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, m.s AS start, -m.l AS length, m.p AS period, 1000 * -m.l // m.p AS exponent_milli,
+       sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM texts LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+def op11_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = warc.archived(pages)
+    captures = warc.lookup(pages.select(warc.url_key(F.col("url").cast("string")).alias("key")), folder)
+    told = warc.resolved(warc.read_records(captures, folder, payload=False))
+    return told.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), alter=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
@@ -198,8 +283,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_mixing": op9_mixing,
         "op10_sharding": op10_sharding,
+        "op11_warc_index": op11_warc_index,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_reconstruction": OP2_SQL, "op4_repeated_passages": OP4_SQL, "op5_quality_rules": OP5_SQL, "op8_near_duplicates": OP8_SQL}
+    return {"op2_chat_reconstruction": OP2_SQL, "op4_repeated_passages": OP4_SQL, "op5_quality_rules": OP5_SQL, "op8_near_duplicates": OP8_SQL, "op11_warc_index": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_periodic_runs": OP13_SQL}

@@ -9,7 +9,7 @@ def test_query_matches_sql(spark, sf_dir, name):
     same(Q.queries()[name](spark, sf_dir).toPandas(), connect(sf_dir).sql(Q.oracle_sql()[name]).df())
 
 
-def test_ten_queries():
+def test_all_queries():
     assert [n.split("_")[0] for n in Q.queries()] == [f"op{n}" for n in range(1, 11)]
 
 
