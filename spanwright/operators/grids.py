@@ -64,16 +64,26 @@ def downsample(frames: DataFrame, step_s: float, start_s: float = 0.0, end_s: fl
     return kept.withColumn("_cell", cell).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_cell")
 
 
-def assign_frames(frames: DataFrame, duration_s: float, max_frames: int, window_s: float = WINDOW_S, stride_s: float = STRIDE_S) -> DataFrame:
+def assign_frames(frames: DataFrame, media: DataFrame, max_frames: int, window_s: float = WINDOW_S, stride_s: float = STRIDE_S) -> DataFrame:
     """video, index, t and the frames' other columns: frames of every window, thinned evenly over a cap.
 
-    Window numbers come from arithmetic on t, so no join with the windows is needed.
+    Window numbers come from arithmetic on t and the clip's own duration (media: video, duration_s), so no join with the windows
+    is needed; frames of clips that media lacks, and frames after a clip's end, are in no window.
     """
-    n = int(max(0, -(-(duration_s - window_s) // stride_s))) if duration_s > window_s else 0
+    if max_frames <= 0:
+        raise ValueError("the cap on frames must be positive")
+    own = ["_n", "_d"]
+    clips = media.select("video", n_windows(F.col("duration_s"), window_s, stride_s).alias("_n"), F.col("duration_s").alias("_d"))
     lo = F.greatest(F.lit(0), F.ceil((F.col("t") - window_s - SLACK) / stride_s)).cast("int")
-    hi = F.least(F.lit(n), F.floor((F.col("t") + SLACK) / stride_s)).cast("int")
-    spread = frames.where((F.col("t") <= duration_s + SLACK) & (hi >= lo)).withColumn("index", F.explode(F.sequence(lo, hi)))
-    return subsample(spread, ["video", "index"], max_frames)
+    hi = F.least(F.col("_n") - 1, F.floor((F.col("t") + SLACK) / stride_s)).cast("int")
+    held = frames.join(clips, "video").where((F.col("_n") > 0) & (F.col("t") >= -SLACK) & (F.col("t") <= rounded(F.col("_d"), 3) + SLACK) & (hi >= lo))
+    return subsample(held.withColumn("index", F.explode(F.sequence(lo, hi))).drop(*own), ["video", "index"], max_frames)
+
+
+def with_frames(windows: DataFrame, frames: DataFrame, media: DataFrame, max_frames: int, window_s: float = WINDOW_S, stride_s: float = STRIDE_S) -> DataFrame:
+    """windows with frame_times: the times of the frames that a model is shown for the window, in order, at most max_frames."""
+    shown = assign_frames(frames.select("video", "t"), media, max_frames, window_s, stride_s).groupBy("video", "index").agg(F.array_sort(F.collect_list("t")).alias("frame_times"))
+    return windows.join(shown, ["video", "index"], "left").withColumn("frame_times", F.coalesce("frame_times", F.array().cast("array<double>")))
 
 
 def subsample(rows: DataFrame, keys: list[str], most: int, order: str = "t") -> DataFrame:

@@ -13,11 +13,15 @@ MAX_BRACKET_S, SPAN_S, STEP_S = 4.0, 2.0, 1.0
 BUCKET_S = 32
 
 
-def transitions(polls: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, at, from_state, to_state, lo, hi: changes between consecutive known states. A null state says nothing."""
+def transitions(polls: DataFrame, keys: list[str], carry_s: float | None = None) -> DataFrame:
+    """keys, at, from_state, to_state, lo, hi: changes between consecutive known states. A null state says nothing.
+
+    carry_s: how long a state may be carried over unobserved time; a change across a longer gap is none.
+    """
     order = Window.partitionBy(*keys).orderBy("t")
     known = polls.where(F.col("state").isNotNull()).select(*keys, "t", "state", F.lag("state").over(order).alias("_s"), F.lag("t").over(order).alias("_t"))
-    return known.where("_s <> state").select(*keys, rounded((F.col("_t") + F.col("t")) / 2, 3).alias("at"), F.col("_s").alias("from_state"), F.col("state").alias("to_state"), F.col("_t").alias("lo"), F.col("t").alias("hi"))
+    changed = known.where("_s <> state" if carry_s is None else F.expr("_s <> state") & (F.col("t") - F.col("_t") <= carry_s))
+    return changed.select(*keys, rounded((F.col("_t") + F.col("t")) / 2, 3).alias("at"), F.col("_s").alias("from_state"), F.col("state").alias("to_state"), F.col("_t").alias("lo"), F.col("t").alias("hi"))
 
 
 def boundaries(polls: DataFrame, keys: list[str], target: str | Column) -> DataFrame:

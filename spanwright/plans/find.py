@@ -38,16 +38,23 @@ def media_in_bounds(media: DataFrame, config: Config) -> DataFrame:
 
 
 def find_by_windows(media: DataFrame, frames: DataFrame | None, queries: DataFrame, config: Config, backend: Backend, variant: str = "overlay") -> DataFrame:
-    """Events of every clip and query: windows x queries, asked, parsed, reconciled, merged."""
+    """Events of every clip and query: windows x queries, asked, parsed, reconciled, merged.
+
+    frames (video, t): each request carries frame_times, the times of the frames that its window shows, thinned to the config's
+    cap; an answer is reconciled with the same frames.
+    """
     asked = checked_queries(queries, config)
     w = config.windows
     windows = grids.plan_windows(media_in_bounds(media, config), w.window_s, w.stride_s)
     if windows.count() * asked.count() > config.limits.max_calls:
         raise BudgetExceeded("the plan makes more calls than the limit")
-    requests = with_prompts(grids.expand_requests(windows, asked, variant))
-    parsed = responses.parse_responses(backend(requests).select("video", "query", "index", "start_s", "end_s", "raw"))
-    rows = parsed.select("video", "query", "index", F.col("start_s").alias("w_start"), F.col("end_s").alias("w_end"), F.posexplode("events").alias("k", "e")).select("video", "query", "index", "w_start", "w_end", "k", F.col("e.start_s").alias("e_start"), F.col("e.end_s").alias("e_end"), "e.confidence", "e.evidence")
-    kept = responses.reconcile(rows, frames).where("reason IS NULL")
+    shown = windows if frames is None else grids.with_frames(windows, frames, media, w.max_frames, w.window_s, w.stride_s)
+    carried = ["frame_times"] if frames is not None else []
+    requests = with_prompts(grids.expand_requests(shown, asked, variant))
+    parsed = responses.parse_responses(backend(requests).select("video", "query", "index", "start_s", "end_s", "raw", *carried))
+    rows = parsed.select("video", "query", "index", F.col("start_s").alias("w_start"), F.col("end_s").alias("w_end"), *carried, F.posexplode("events").alias("k", "e"))
+    rows = rows.select("video", "query", "index", "w_start", "w_end", "k", *carried, F.col("e.start_s").alias("e_start"), F.col("e.end_s").alias("e_end"), "e.confidence", "e.evidence")
+    kept = responses.reconcile(rows).where("reason IS NULL")
     cands = kept.select("video", F.col("query").alias("description"), (F.col("index") * 1000 + F.col("k")).cast("long").alias("event_id"), "start_s", "end_s", "confidence", "evidence", F.col("index").alias("window_index"))
     events = merge.merge(cands, ["video", "description"], config.merge.gap_s, config.merge.max_span_s, iou=config.merge.iou)
     return merge.partial_flag(events, grids.window_edges(windows), media)

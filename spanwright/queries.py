@@ -152,7 +152,7 @@ def downsample_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 n AS (SELECT *, row_number() OVER (PARTITION BY video, index ORDER BY t) - 1 AS r, count(*) OVER (PARTITION BY video, index) AS n FROM j)""",
 )
 def assign_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.assign_frames(A.frames(spark, sf_dir), A.DURATION, 3).select("video", "index", "event_id", "t")
+    return grids.assign_frames(A.frames(spark, sf_dir), A.media(spark, sf_dir), 3).select("video", "index", "event_id", "t")
 
 
 @query("SELECT video, index, query FROM windows, (SELECT DISTINCT description AS query FROM truths)")
@@ -874,3 +874,6 @@ def labels_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = files.scratch_folder(spark, "labels")
     A.truths(spark, sf_dir).select("video", "description", "start_s", "end_s").write.json(folder)
     return spark.read.schema("video LONG, description STRING, start_s DOUBLE, end_s DOUBLE").json(folder)
+
+
+from . import source_queries  # noqa: E402, F401  registers its queries

@@ -55,13 +55,30 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("video")).distinct().withColumn("duration_s", F.lit(DURATION))
 
 
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video, duration_s: clips of different lengths, from none to longer than all their frames."""
+    video = F.col("user_id")
+    length = F.when(video % 11 == 0, 0.0).otherwise((video % 7) * 130.0 + (video % 4) * 0.25 + 1.5)
+    return table(spark, sf_dir, "events").select(video.alias("video"), length.alias("duration_s")).distinct()
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), "event_id", rounded(hours(), 3).alias("t"))
 
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polls_of(table(spark, sf_dir, "events"))
+
+
+def poll_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """polls as a stream of the table's files."""
+    schema = table(spark, sf_dir, "events").schema
+    return polls_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"))  # a pattern may name a file or a folder, a plain path only a folder
+
+
+def polls_of(events: DataFrame) -> DataFrame:
     state = F.when(F.col("event_type").isin("purchase", "signup"), "open").when(F.col("event_type").isin("click", "view"), "closed")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), "event_id", rounded(hours(), 3).alias("t"), state.alias("state"), F.col("event_type").alias("text"))
+    return events.select(F.col("user_id").alias("video"), "event_id", rounded(hours(), 3).alias("t"), state.alias("state"), F.col("event_type").alias("text"))
 
 
 #: Vectors of a clip.

@@ -2,41 +2,112 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..errors import Misconfigured
 from ..shipping import ship_package
 
 TRANSITION = "video LONG, at DOUBLE, from_state STRING, to_state STRING, lo DOUBLE, hi DOUBLE"
+#: Keyed state with timers needs this store.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_transitions(polls: DataFrame) -> DataFrame:
-    """Transitions of a stream of polls (video, t, state): each clip's last known state is carried from batch to batch.
+class Timeline(StatefulProcessor):
+    """A clip's polls, held until the watermark passes them, then met in order with the last known state.
 
-    Inside a batch a clip's polls are put in order; a poll older than the carried one is late and says nothing.
+    State of a clip: the last known poll (ms, t, state), and the polls that the watermark has not passed. A timer stands at the
+    first of those; without any, at the end of the time that the last state may be carried, where the clip's state goes.
     """
-    ship_package(polls.sparkSession)
 
-    def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).dropna(subset=["state"]).sort_values("t")
-        last = state.get if state.exists else (None, None)
+    def __init__(self, carry_s: float | None) -> None:
+        self.carry_s = carry_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms LONG, t DOUBLE, state STRING")
+        self.waiting = handle.getListState("waiting", "ms LONG, t DOUBLE, state STRING")
+
+    def _wake(self, ms: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(ms)
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = [(int(ms), float(t), str(s)) for part in rows for ms, t, s in zip(part["ms"], part["t"], part["state"], strict=True)]
+        if found:
+            self.waiting.appendList(found)
+            first = min(x[0] for x in found)
+            due = [int(x) for x in self.handle.listTimers()]
+            # A timer for the last state's end gives way: the polls that wait are met first.
+            held = len(due) == 1 and self.last.exists() and self.carry_s is not None and due[0] == self._end(self.last.get())
+            self._wake(first if held or not due else min(first, *due))
+        return iter([])
+
+    def _end(self, last: tuple) -> int:
+        return int(last[0] + self.carry_s * 1000) + 1
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted((int(r[0]), float(r[1]), str(r[2])) for r in self.waiting.get()) if self.waiting.exists() else []
+        due, later = [r for r in rows if r[0] < passed], [r for r in rows if r[0] >= passed]
+        last = tuple(self.last.get()) if self.last.exists() else None
         out = []
-        for t, now in zip(rows["t"], rows["state"], strict=True):
-            if last[0] is not None and t < last[0]:
-                continue
-            if last[1] is not None and now != last[1]:
-                out.append((key[0], int((last[0] + t) / 2 * 1000 + 0.5) / 1000, last[1], now, last[0], t))
-            last = (float(t), now)
-        if last[0] is not None:
-            state.update(last)
+        for row in due:
+            if last is not None and row[2] != last[2] and (self.carry_s is None or row[1] - last[1] <= self.carry_s):
+                out.append((key[0], int((last[1] + row[1]) / 2 * 1000 + 0.5) / 1000, last[2], row[2], last[1], row[1]))
+            last = row
+        if later:
+            self.waiting.put(later)
+        elif rows:
+            self.waiting.clear()
+        if last is not None:
+            if self.carry_s is not None and self._end(last) < passed and not later:
+                self.last.clear()
+            else:
+                self.last.update(last)
+                if not later and self.carry_s is not None:
+                    self._wake(self._end(last))
+        if later:
+            self._wake(later[0][0])
         yield pd.DataFrame(out, columns=["video", "at", "from_state", "to_state", "lo", "hi"])
 
-    return polls.select("video", "t", "state").groupBy("video").applyInPandasWithState(step, TRANSITION, "t DOUBLE, state STRING", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def stream_transitions(polls: DataFrame, late: str = "1 minute", carry_s: float | None = None) -> DataFrame:
+    """Transitions of a stream of polls (video, t in seconds, state), each told once the watermark has passed its second poll.
+
+    Event time is t, counted from 1970. Polls that come at most `late` behind the newest are put in their place, later ones are dropped. A state is carried over at
+    most carry_s of unobserved time: a change across a longer gap is none, and the state of a clip that is silent for longer is
+    removed. The same rows as operators.states.transitions() over all polls that the watermark has passed.
+    """
+    spark = polls.sparkSession
+    if spark.conf.get(STORE, "") != ROCKSDB:
+        raise Misconfigured(f"state with timers needs {STORE}={ROCKSDB}")
+    ship_package(spark)
+    known = polls.where("state IS NOT NULL AND t IS NOT NULL").select("video", "t", "state", F.floor(F.col("t") * 1000).cast("long").alias("ms"))
+    known = known.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", late)
+    return known.groupBy("video").transformWithStateInPandas(Timeline(carry_s), TRANSITION, "Append", "EventTime")
+
+
+def run_to_end(spark: SparkSession, stream: Callable[[], DataFrame], folder: str) -> DataFrame:
+    """Run the stream that a function makes over what its sources hold now, into Parquet below folder; all rows written there."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        rows = stream()
+        rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
 def stream_counts(events: DataFrame, late: str = "1 day", width: str = "12 hours", slide: str = "9 hours") -> DataFrame:

@@ -72,24 +72,46 @@ def test_readers(spark, tmp_path):
     assert [(r.raw, r.n) for r in files.read_recordings(spark, str(tmp_path / "r*.json")).collect()] == [("1", 2)]
 
 
+def stream_of(spark, folder, late, carry_s):
+    schema = "video long, t double, state string"
+    return lambda: timelines.stream_transitions(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(folder / "in")), late, carry_s)
+
+
 def test_stream_transitions_equal_batch(spark, sf_dir, tmp_path):
     from spanwright.operators import states
 
     polls = A.polls(spark, sf_dir).select("video", "t", "state")
-    polls.where("t < 300").coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
-    schema = polls.schema
-    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
-
-    def run():
-        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-        timelines.stream_transitions(source).writeStream.format("parquet").option("checkpointLocation", mark).option("path", out).trigger(availableNow=True).start().awaitTermination()
-
-    run()
-    polls.where("t >= 300").coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
-    run()
-    got = sorted((r.video, r.lo, r.hi, r.to_state) for r in spark.read.parquet(out).collect())
-    want = sorted((r.video, r.lo, r.hi, r.to_state) for r in states.transitions(polls, ["video"]).collect())
-    assert got == want
+    # Each poll comes at most 100 s late; the last rows push the watermark beyond all others.
+    wave = (F.floor((F.col("t") + F.pmod(F.hash("video", "t"), F.lit(100))) / 250)).cast("int")
+    waves = polls.withColumn("wave", wave).cache()
+    for k in range(4):
+        waves.where(F.col("wave") == k).select("video", "t", "state").coalesce(1).write.parquet(str(tmp_path / "in" / f"w{k}"))
+        got = timelines.run_to_end(spark, stream_of(spark, tmp_path, "100 seconds", 30.0), str(tmp_path / "out"))
+    spark.createDataFrame([(-1, 5_000.0, "x")], "video long, t double, state string").coalesce(1).write.parquet(str(tmp_path / "in" / "end"))
+    got = timelines.run_to_end(spark, stream_of(spark, tmp_path, "100 seconds", 30.0), str(tmp_path / "out"))
+    rows = sorted((r.video, r.lo, r.hi, r.to_state) for r in got.collect())
+    want = sorted((r.video, r.lo, r.hi, r.to_state) for r in states.transitions(polls, ["video"], 30.0).collect())
+    assert rows == want and len(want) < states.transitions(polls, ["video"]).count()
+
+
+def test_stream_transitions_place_late_polls_and_forget_silent_clips(spark, tmp_path):
+    def step(*rows):
+        spark.createDataFrame(rows, "video long, t double, state string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        found = timelines.run_to_end(spark, stream_of(spark, tmp_path, "10 seconds", 20.0), str(tmp_path / "out"))
+        held = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "out" / "progress"))
+        return {(r.video, r.lo, r.hi) for r in found.collect()}, {r.v for r in held.select(F.col("key.video").alias("v")).collect()}
+
+    assert step((1, 1.0, "a"), (1, 3.0, "b"), (2, 1.0, "a"), (3, 5.0, "x")) == (set(), set())
+    # The poll at 2 s comes after that at 3 s and before the watermark: the change is between 1 s and 2 s.
+    told, held = step((1, 2.0, "b"), (1, 2.5, None), (3, 22.0, "y"))
+    assert told == {(1, 1.0, 2.0)} and held == {1, 2, 3}
+    # Clip 2 changes after a gap over 20 s, which is no transition; clip 1 is silent and forgotten; a poll at 5 s is too late.
+    told, held = step((2, 30.0, "b"), (9, 45.0, "z"))
+    assert told == {(1, 1.0, 2.0), (3, 5.0, 22.0)} and held == {2, 3}
+    told, held = step((1, 5.0, "q"), (9, 200.0, "z"))
+    assert told == {(1, 1.0, 2.0), (3, 5.0, 22.0)} and not held & {1, 2, 3}
+    with pytest.raises(Misconfigured):
+        timelines.stream_transitions(spark.readStream.schema("video long, t double, state string").parquet(str(tmp_path / "in")))
 
 
 def test_stream_windows(spark, tmp_path):
