@@ -41,6 +41,8 @@ from .common import arrow_map, cut, cut_counted, heavy_join, new_folder
 FILE_BYTES, BLOCK_LINES, BLOCK_BYTES = 1 << 30, 1_024, 1 << 20
 #: Captures of an index part on average, parts at most, bytes of a part's first key in the manifest.
 PART_LINES, MAX_PARTS, PREFIX = 100_000, 4_096, 512
+#: Captures that a task hands on at once.
+ROWS = 4_096
 DATE = "1970-01-01T00:00:00Z"
 
 CAPTURE = "key string, page_id long, url string, record_type string, digest string, target string, file string, offset long, length int"
@@ -149,7 +151,7 @@ def to_write(pages: DataFrame, least_bytes: int) -> DataFrame:
     return functools.reduce(DataFrame.union, parts).withColumn("key", url_key(F.col("url")))
 
 
-def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
+def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) as WARC files below folder; their captures, read back from folder/captures."""
     spark = pages.sparkSession
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
@@ -161,7 +163,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFr
             found = []
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                if out is None or at >= FILE_BYTES:
+                if out is None or at >= file_bytes:
                     if out is not None:
                         out.close()
                     name, at = f"pages-{uuid.uuid4().hex}.warc.gz", 0
@@ -181,12 +183,12 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFr
     return spark.read.parquet(f"{folder}/captures")
 
 
-def build_index(captures: DataFrame, folder: str) -> None:
+def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES, part_lines: int = PART_LINES) -> None:
     """The two-level index of captures: part files below folder, and the manifest in folder/manifest."""
     n = captures.count()
-    parts = max(1, min(MAX_PARTS, -(-n // PART_LINES)))
+    parts = max(1, min(MAX_PARTS, -(-n // part_lines)))
     # More parts than tasks are wanted only for large archives; small ones still use every task.
-    parts = max(parts, min(MAX_PARTS, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK_LINES) or 1))
+    parts = max(parts, min(MAX_PARTS, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // block_lines) or 1))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
@@ -210,7 +212,7 @@ def build_index(captures: DataFrame, folder: str) -> None:
                 line = json.dumps([row[f] for f in _FIELDS])
                 lines.append(line)
                 n, size = n + 1, size + len(line)
-                if len(lines) >= BLOCK_LINES or size >= BLOCK_BYTES:
+                if len(lines) >= block_lines or size >= BLOCK_BYTES:
                     close_block()
         if out is not None:
             close_block()
@@ -267,14 +269,19 @@ def lookup(keys: DataFrame, folder: str) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for p, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [dict(zip(_FIELDS, x, strict=True)) for x in captures_in_part(folder, parts[p], key.encode("utf-8", "surrogatepass"))]
-                if rows:
-                    yield batch_of(rows, CAPTURE)
+                for found in captures_in_part(folder, parts[p], key.encode("utf-8", "surrogatepass")):
+                    rows.append(dict(zip(_FIELDS, found, strict=True)))
+                    if len(rows) >= ROWS:
+                        yield batch_of(rows, CAPTURE)
+                        rows = []
+            yield batch_of(rows, CAPTURE)
 
     dealt = arrow_map(keys.select("key").where("key IS NOT NULL").distinct(), deal, "part int, key string")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return arrow_map(dealt.repartitionByRange(n, "part", "key").sortWithinPartitions("part", "key"), search, CAPTURE)
+    # Written out, as dealing the captures to readers by file and offset looks at them twice.
+    return cut(arrow_map(cut(dealt).repartitionByRange(n, "part", "key").sortWithinPartitions("part", "key"), search, CAPTURE))
 
 
 def read_records(captures: DataFrame, folder: str, payload: bool = True) -> DataFrame:
