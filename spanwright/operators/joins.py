@@ -37,25 +37,39 @@ def screen_clips(screened: DataFrame) -> DataFrame:
     return screened.groupBy("clip").agg(F.median("median_height").alias("median_height"), F.max("max_height").alias("best"), F.array_join(F.sort_array(F.collect_set("activity")), ",").alias("activities"), F.count(F.lit(1)).alias("n"))
 
 
-def best_window(events: DataFrame, key: str, length: float, lead: float = 3.0, duration: float = 720.0, order: str = "event_id") -> DataFrame:
-    """key, start_s, contained: of windows beginning `lead` before an event, the first that wholly holds most events."""
-    begin = F.greatest(F.lit(0.0), F.least(F.col("start_s") - lead, F.lit(max(0.0, duration - length))))
-    bucket = int(max(1, length))
-    tried = events.select(key, F.col(order).alias("_ord"), begin.alias("w"))
-    spread = tried.withColumn("_b", F.explode(F.sequence(F.floor(F.col("w") / bucket), F.floor((F.col("w") + length) / bucket))))
-    held = events.select(key, "start_s", "end_s", F.floor(F.col("start_s") / bucket).alias("_b"))
-    counts = spread.join(held, [key, "_b"], "left").groupBy(key, "_ord", "w").agg(F.count_if((F.col("start_s") >= F.col("w")) & (F.col("end_s") <= F.col("w") + length)).alias("n"))
+def best_window(events: DataFrame, media: DataFrame, key: str, length: float, lead: float = 3.0, order: str = "event_id") -> DataFrame:
+    """key, start_s, contained: of windows beginning `lead` before an event, the first that wholly holds most events.
+
+    media: key and duration_s; a window ends inside its clip where the clip is long enough. Events longer than the window are in
+    none; of the others those that end inside a window less those that begin before it are held, so one order of starts, ends and
+    windows tells all counts.
+    """
+    room = F.greatest(F.lit(0.0), F.col("duration_s") - length)
+    own = events.join(media.select(key, "duration_s"), key).withColumn("w", F.greatest(F.lit(0.0), F.least(F.col("start_s") - lead, room)))
+    point = lambda at, side, n: F.struct(at.alias("at"), F.lit(side).alias("side"), F.lit(n).alias("n"))
+    fits = F.col("end_s") - F.col("start_s") <= length
+    points = F.concat(
+        F.array(point(F.col("w"), 0, 0), point(F.col("w") + length, 3, 0)),
+        F.when(fits, F.array(point(F.col("start_s"), 1, 1), point(F.col("end_s"), 2, 1))).otherwise(F.array().cast("array<struct<at:double,side:int,n:int>>")),
+    )
+    laid = own.select(key, F.col(order).alias("_ord"), "w", F.explode(points).alias("p")).select(key, "_ord", "w", "p.*")
+    sweep = Window.partitionBy(key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).over(sweep)
+    told = laid.withColumns({"_begun": count(1), "_ended": count(2)}).where("side IN (0, 3)")
+    sums = told.groupBy(key, "_ord", "w").agg((F.max(F.when(F.col("side") == 3, F.col("_ended"))) - F.max(F.when(F.col("side") == 0, F.col("_begun")))).alias("n"))
     first = Window.partitionBy(key).orderBy(F.desc("n"), "w", "_ord")
-    return counts.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(key, F.col("w").alias("start_s"), F.col("n").alias("contained"))
+    return sums.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(key, F.col("w").alias("start_s"), F.col("n").alias("contained"))
 
 
-def excerpt(events: DataFrame, keys: list[str], length: float, duration: float) -> DataFrame:
-    """keys, start_s, end_s: an excerpt centred on a key's events, pushed inside the clip from the right, then the left."""
-    ends = events.groupBy(*keys).agg(F.min("start_s").alias("_lo"), F.max("end_s").alias("_hi"))
-    middle = (F.col("_lo") + F.col("_hi")) / 2 - F.greatest(F.lit(length), F.col("_hi") - F.col("_lo")) / 2
+def excerpt(events: DataFrame, media: DataFrame, key: str, groups: list[str], length: float) -> DataFrame:
+    """groups, start_s, end_s: an excerpt centred on a group's events, pushed inside its clip from the right, then the left.
+
+    media: key (one of groups) and duration_s.
+    """
+    ends = events.groupBy(*groups).agg(F.min("start_s").alias("_lo"), F.max("end_s").alias("_hi")).join(media.select(key, "duration_s"), key)
     wide = F.greatest(F.lit(length), F.col("_hi") - F.col("_lo"))
-    start = F.greatest(F.lit(0.0), F.least(middle, F.lit(duration) - wide))
-    return ends.select(*keys, rounded(start, 3).alias("start_s"), rounded(F.least(F.lit(duration), start + wide), 3).alias("end_s"))
+    start = F.greatest(F.lit(0.0), F.least((F.col("_lo") + F.col("_hi")) / 2 - wide / 2, F.col("duration_s") - wide))
+    return ends.select(*groups, rounded(start, 3).alias("start_s"), rounded(F.least(F.col("duration_s"), start + wide), 3).alias("end_s"))
 
 
 def nearest_start(truths: DataFrame, preds: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.intervals import noisy_or, rounded
+from .folds import fold_column
 
 GAP_S, MAX_SPAN_S, IOU, EDGE_S = 0.5, 60.0, 0.3, 0.25
 
@@ -24,40 +29,44 @@ def islands(cands: DataFrame, keys: list[str], gap_s: float = GAP_S, order: str
     return cands.withColumn("_break", breaks).withColumn("island", F.sum("_break").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).drop("_break")
 
 
-def merge_groups(cands: DataFrame, keys: list[str], gap_s: float = GAP_S, max_span_s: float = MAX_SPAN_S, order: str = "event_id", iou: float = IOU) -> DataFrame:
-    """cands' columns with ``island`` and ``grp``, the merged group inside the island.
+def group_numbers(gap_s: float, max_span_s: float, iou: float) -> Callable[[float, float], int]:
+    """The number of each candidate's group, of candidates in order: a group ends at a gap, or where it would become too long."""
+    lo = hi = math.nan
+    n = -1
 
-    The span cap resets a group at a place that depends on where the group began, so it is a fold over
-    the island's candidates in order; islands fold in parallel.
-    """
-    payload = [c for c in cands.columns if c not in keys]
-    item = F.struct("start_s", "end_s", F.col(order).alias("_ord"), F.struct(*payload).alias("row"))
-    runs = islands(cands, keys, gap_s, order, iou).groupBy(*keys, "island").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("out"))
+    def step(start: float, end: float) -> int:
+        nonlocal lo, hi, n
+        if n >= 0 and (iou <= 0 or start - hi <= gap_s) and max(hi, end) - lo <= max_span_s:
+            hi = max(hi, end)
+        else:
+            lo, hi, n = start, end, n + 1
+        return n
+
+    return step
 
-    def step(a: Column, x: Column) -> Column:
-        near = (x["start_s"] - a["hi"] <= gap_s) if iou > 0 else F.lit(True)
-        joins = F.coalesce(near & (F.greatest(a["hi"], x["end_s"]) - a["lo"] <= max_span_s), F.lit(False))
-        n = F.when(joins, a["n"]).otherwise(a["n"] + 1)
-        return F.struct(F.when(joins, a["lo"]).otherwise(x["start_s"]).alias("lo"), F.when(joins, F.greatest(a["hi"], x["end_s"])).otherwise(x["end_s"]).alias("hi"), n.alias("n"), F.concat(a["out"], F.array(n)).alias("out"))
 
-    numbered = runs.withColumn("numbers", F.aggregate("items", start, step)["out"])
-    pairs = F.arrays_zip(F.col("items"), F.col("numbers"))
-    return numbered.select(*keys, "island", F.explode(pairs).alias("p")).select(*keys, "island", F.col("p.numbers").alias("grp"), "p.items.row.*")
+def merge_groups(cands: DataFrame, keys: list[str], gap_s: float = GAP_S, max_span_s: float = MAX_SPAN_S, order: str = "event_id", iou: float = IOU) -> DataFrame:
+    """cands with ``grp``, the number of the merged group inside its key. With iou = 0 any gap may be merged over.
+
+    The span cap resets a group at a place that depends on where the group began, so it is a fold over the key's candidates in
+    order; its state is one group's bounds.
+    """
+    ordered = [F.col(c) for c in ("start_s", "end_s", order)]
+    return fold_column(cands, keys, ordered, ["start_s", "end_s"], "grp", "int", partial(group_numbers, gap_s, max_span_s, iou))
 
 
 def merge(cands: DataFrame, keys: list[str], gap_s: float = GAP_S, max_span_s: float = MAX_SPAN_S, order: str = "event_id", iou: float = IOU) -> DataFrame:
     """Merged events: keys, start_s, end_s, confidence, evidence (of the most confident, first in order), source_windows, n_merged."""
     groups = merge_groups(cands, keys, gap_s, max_span_s, order, iou)
     best = F.struct(F.col("confidence"), -F.col("start_s"), -F.col("end_s"), -F.col(order))
-    return groups.groupBy(*keys, "island", "grp").agg(
+    return groups.groupBy(*keys, "grp").agg(
         rounded(F.min("start_s"), 3).alias("start_s"),
         rounded(F.max("end_s"), 3).alias("end_s"),
         noisy_or("confidence").alias("confidence"),
         F.max_by("evidence", best).alias("evidence"),
         F.sort_array(F.collect_set("window_index")).alias("source_windows"),
         F.count(F.lit(1)).alias("n_merged"),
-    ).drop("island", "grp")
+    ).drop("grp")
 
 
 def partial_flag(events: DataFrame, edges: DataFrame, media: DataFrame, tolerance: float = EDGE_S) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.intervals import relative_error, rounded, tiou
+from .folds import fold_column
 from .joins import spread
 
 KEYS = ["video", "description"]
@@ -49,22 +52,38 @@ def recall_at_1(preds: DataFrame, truths: DataFrame, thresholds: tuple[float, ..
     return sums.select("n", rows.alias("r")).select("r.threshold", F.when(F.col("n") > 0, rounded(F.col("r.k") / F.col("n"), 4)).otherwise(0.0).alias("recall"))
 
 
-def greedy_matches(preds: DataFrame, truths: DataFrame, threshold: float, keys: list[str] = KEYS) -> DataFrame:
-    """keys and tp: one-to-one matches, predictions by falling confidence, each taking its best truth left.
+def first_free() -> Callable[[int, int], bool]:
+    """Whether a pair is matched, of pairs by falling confidence, then falling overlap: both its sides are free."""
+    taken: set[int] = set()
+    last: int | None = None
 
-    A fold inside each key; keys run in parallel.
-    """
-    p = preds.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("c"), F.col("start_s").alias("s"), F.col("end_s").alias("e"), F.col("event_id").alias("i")))).alias("ps"))
-    t = truths.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("start_s").alias("s"), F.col("end_s").alias("e"), F.col("event_id").alias("i")))).alias("ts"))
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).alias("tp"))
+    def step(pred: int, truth: int) -> bool:
+        nonlocal last
+        if pred == last or truth in taken:
+            return False
+        taken.add(truth)
+        last = pred
+        return True
+
+    return step
 
-    def step(a: Column, x: Column) -> Column:
-        scored = F.transform("ts", lambda g, j: F.struct(tiou(x["s"], x["e"], g["s"], g["e"]).alias("iou"), (-j).alias("j")))
-        best = F.array_max(F.filter(scored, lambda s: (s["iou"] > 0) & ~F.array_contains(a["used"], -s["j"])))
-        hit = F.coalesce(best["iou"] >= threshold, F.lit(False))
-        return F.struct(F.when(hit, F.concat(a["used"], F.array(-best["j"]))).otherwise(a["used"]).alias("used"), F.when(hit, a["tp"] + 1).otherwise(a["tp"]).alias("tp"))
 
-    return p.join(t, keys).select(*keys, F.aggregate("ps", start, step)["tp"].alias("tp"))
+def greedy_matches(preds: DataFrame, truths: DataFrame, threshold: float, keys: list[str] = KEYS, bucket: int = 16) -> DataFrame:
+    """keys and tp: one-to-one matches, predictions by falling confidence, each taking its best truth left.
+
+    A prediction's best free truth counts if it overlaps enough, so only pairs that do are made, by buckets of time; they are
+    folded in order, with the truths taken so far as a key's state.
+    """
+    p = preds.select(*keys, F.col("start_s").alias("p_start"), F.col("end_s").alias("p_end"), (-F.col("confidence")).alias("_c"), F.col("event_id").alias("_p"))
+    t = truths.select(*keys, F.col("start_s").alias("t_start"), F.col("end_s").alias("t_end"), F.col("event_id").alias("_t"))
+    both = spread(p, F.col("p_start"), F.col("p_end"), bucket).join(spread(t, F.col("t_start"), F.col("t_end"), bucket), [*keys, "_b"])
+    # Of the buckets that two spans share, the first has the pair.
+    here = F.col("_b") == F.floor(F.greatest("p_start", "t_start") / bucket)
+    iou = tiou("p_start", "p_end", "t_start", "t_end")
+    pairs = both.where(here).withColumn("_iou", iou).where((F.col("_iou") > 0) & (F.col("_iou") >= threshold))
+    order = [F.col(c) for c in ("_c", "p_start", "p_end", "_p")] + [F.desc("_iou"), *[F.col(c) for c in ("t_start", "t_end", "_t")]]
+    told = fold_column(pairs.select(*keys, "_c", "p_start", "p_end", "_p", "_iou", "t_start", "t_end", "_t"), keys, order, ["_p", "_t"], "_match", "boolean", first_free)
+    return told.groupBy(*keys).agg(F.count_if("_match").alias("tp"))
 
 
 def detection_pr(preds: DataFrame, truths: DataFrame, threshold: float = 0.5, keys: list[str] = KEYS) -> DataFrame:

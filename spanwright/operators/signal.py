@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_left
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.intervals import rounded
+from .folds import fold_column
 
 
 def change_signal(frames: DataFrame, noise: float, keys: list[str] | None = None) -> DataFrame:
@@ -18,20 +23,36 @@ def change_signal(frames: DataFrame, noise: float, keys: list[str] | None = None
     return pairs.select(*keys, rounded("t", 3).alias("t"), rounded(moved / F.size("arr") * 100, 4).alias("moved_pct"))
 
 
+def apart(min_gap_s: float) -> Callable[[float], bool]:
+    """Whether a time is picked, of times strongest first: none of those picked before is nearer than the gap."""
+    picked: list[float] = []
+
+    def step(t: float) -> bool:
+        k = bisect_left(picked, t)
+        if (k and abs(picked[k - 1] - t) < min_gap_s) or (k < len(picked) and abs(picked[k] - t) < min_gap_s):
+            return False
+        picked.insert(k, t)
+        return True
+
+    return step
+
+
 def peaks(signal: DataFrame, top_k: int | None, min_pct: float = 0.0, min_gap_s: float = 2.0, keys: list[str] | None = None) -> DataFrame:
     """keys, t: greedy non-maximum suppression, strongest first (earlier on ties), nothing within min_gap_s of a pick.
 
-    Picks depend on earlier picks, so it is a fold over a key's samples; once top_k are held the fold only passes.
+    Where no strong sample lies within the gap the signal is cut into blocks, which cannot suppress each other's samples. A block
+    is a fold over its samples by strength that holds its picks; the top_k strongest picks of all blocks are those of the whole.
     """
     keys = keys or ["video"]
-    strong = signal.where(F.col("moved_pct") >= min_pct)
-    runs = strong.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("moved_pct")).alias("m"), "t"))).alias("s"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = F.size(a) >= top_k if top_k else F.lit(False)
-        return F.when(full | F.exists(a, lambda p: F.abs(p - x["t"]) < min_gap_s), a).otherwise(F.concat(a, F.array(x["t"])))
-
-    return runs.select(*keys, F.explode(F.array_sort(F.aggregate("s", F.array().cast("array<double>"), step))).alias("t"))
+    strong = signal.where((F.col("moved_pct") >= min_pct) & F.col("t").isNotNull()).select(*keys, "t", "moved_pct")
+    order = Window.partitionBy(*keys).orderBy("t")
+    begins = F.when(F.col("t") - F.lag("t").over(order) < min_gap_s, 0).otherwise(1)
+    blocks = strong.withColumn("_new", begins).withColumn("_block", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    picks = fold_column(blocks, [*keys, "_block"], [F.desc("moved_pct"), F.col("t")], ["t"], "_picked", "boolean", partial(apart, min_gap_s)).where("_picked")
+    if top_k:
+        strongest = Window.partitionBy(*keys).orderBy(F.desc("moved_pct"), "t")
+        picks = picks.withColumn("_r", F.row_number().over(strongest)).where(F.col("_r") <= top_k)
+    return picks.select(*keys, "t")
 
 
 def clip_activity(signal: DataFrame, active_pct: float, keys: list[str] | None = None) -> DataFrame:

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.intervals import edge_of, rounded
-from .joins import spread
 
 MAX_BRACKET_S, SPAN_S, STEP_S = 4.0, 2.0, 1.0
-BUCKET_S = 32
 
 
 def transitions(polls: DataFrame, keys: list[str], carry_s: float | None = None) -> DataFrame:
@@ -54,26 +52,47 @@ def state_spans(polls: DataFrame, media: DataFrame, keys: list[str], target: str
     )
 
 
+#: Parts of a second in which lengths of time are summed, so that differences of sums are exact.
+TICKS = 1_000_000
+
+
+def sums_in_spans(polls: DataFrame, spans: DataFrame, keys: list[str], span_s: float) -> DataFrame:
+    """spans with _n (informative polls inside), _k (those that are _on), _text (of the first of them) and _seen (seconds of the span
+    that they saw, each seeing span_s from its time).
+
+    One order of a key's polls and of the spans' two ends; every end reads the running sums beside it, so the cost is linear in
+    polls and spans. What a poll adds to the time seen is the way to the next one that is _on, at most span_s; only the last one
+    in a span is cut by the span's end instead.
+    """
+    order = Window.partitionBy(*keys).orderBy("t")
+    on = polls.where(F.col("state").isNotNull() & F.col("_on")).select(*keys, "t", F.lit(True).alias("_on"), "text", F.least(F.lead("t").over(order) - F.col("t"), F.lit(span_s)).alias("_gain"))
+    off = polls.where(F.col("state").isNotNull() & ~F.col("_on")).select(*keys, "t", F.lit(False).alias("_on"))
+    known = on.withColumn("_gain", F.round(F.coalesce("_gain", F.lit(span_s)) * TICKS).cast("long")).unionByName(off, allowMissingColumns=True).withColumn("_side", F.lit(1))
+    ends = F.array(F.struct(F.col("start_s").alias("t"), F.lit(0).alias("_side")), F.struct(F.col("end_s").alias("t"), F.lit(2).alias("_side")))
+    own = [c for c in spans.columns if c not in keys]
+    asked = spans.withColumn("_q", F.explode(ends)).select(*keys, F.struct(*own).alias("_span"), "_q.*")
+    laid = known.unionByName(asked, allowMissingColumns=True)
+    sweep = Window.partitionBy(*keys).orderBy("t", "_side")
+    back, ahead = sweep.rowsBetween(Window.unboundedPreceding, 0), sweep.rowsBetween(0, Window.unboundedFollowing)
+    seen = F.when(F.col("_on"), F.struct("t", "_gain", "text"))
+    told = laid.withColumns({"_n": F.count("_on").over(back), "_k": F.count_if("_on").over(back), "_g": F.coalesce(F.sum("_gain").over(back), F.lit(0)), "_last": F.last(seen, ignorenulls=True).over(back), "_next": F.first(seen, ignorenulls=True).over(ahead)})
+    # The two ends of a span stand beside each other again by its own columns.
+    at = lambda side, c: F.max(F.when(F.col("_side") == side, F.col(c)))
+    both = told.where("_side <> 1").groupBy(*keys, "_span").agg(*[(at(2, c) - at(0, c)).alias(c) for c in ("_n", "_k", "_g")], at(2, "_last").alias("_last"), at(0, "_next").alias("_next"))
+    any_on = F.col("_k") > 0
+    tail = F.round(F.least(F.lit(span_s), F.col("_span.end_s") - F.col("_last.t")) * TICKS).cast("long")
+    ticks = F.col("_g") - F.col("_last._gain") + tail
+    return both.select(*keys, "_span.*", "_n", "_k", F.when(any_on, ticks / TICKS).otherwise(0.0).alias("_seen"), F.when(any_on, F.col("_next.text")).alias("_text"))
+
+
 def state_events(polls: DataFrame, media: DataFrame, keys: list[str], target: str | Column, max_bracket_s: float = MAX_BRACKET_S, span_s: float = SPAN_S, step_s: float = STEP_S) -> DataFrame:
     """keys, start_s, end_s, confidence, evidence, partial, agreement, coverage: confidence is agreement x sharpness x coverage."""
     spans = state_spans(polls, media, keys, target, max_bracket_s, span_s)
-    known = polls.where(F.col("state").isNotNull()).select(*[F.col(k).alias(f"_{k}") for k in keys], "t", "state", "text", F.floor(F.col("t") / BUCKET_S).alias("_at"))
-    on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    # A span meets the polls of the buckets that it touches; a bucket without any leaves a row of nulls, which counts for nothing.
-    met = spread(spans, F.col("start_s"), F.col("end_s"), BUCKET_S)
-    inside = met.join(known, [*on, F.col("_b") == F.col("_at"), (F.col("t") >= F.col("start_s")) & (F.col("t") <= F.col("end_s"))], "left")
-    own = [*keys, "start_s", "end_s", "partial", "widest", "duration_s"]
-    supports = F.col("state") == target
-    # Coverage: each supporting poll saw [t, t + span]; what earlier ones saw already does not count again.
-    before = Window.partitionBy(*own).orderBy(F.when(supports, F.col("t")).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    up = F.when(supports, F.least(F.col("t") + span_s, F.col("end_s")))
-    seen = inside.withColumn("_up", up).withColumn("_hi", F.coalesce(F.max("_up").over(before), F.col("start_s")))
-    new = F.greatest(F.lit(0.0), F.col("_up") - F.greatest(F.col("t"), F.col("_hi"), F.col("start_s")))
-    sums = seen.groupBy(*own).agg(F.count("state").alias("_n"), F.count_if(supports).alias("_k"), F.sum(new).alias("_seen"), F.min_by("text", F.when(supports, F.col("t"))).alias("_text"))
+    sums = sums_in_spans(polls.withColumn("_on", F.col("state") == target), spans, keys, span_s)
     length = F.col("end_s") - F.col("start_s")
     agree = F.when(F.col("_n") > 0, F.col("_k") / F.col("_n")).otherwise(0.0)
     sharp = F.when(F.col("widest") > 0, step_s / F.greatest(F.lit(step_s), F.col("widest"))).otherwise(1.0)
-    cover = F.when(length <= 0, 1.0).otherwise(F.least(F.lit(1.0), rounded(F.coalesce("_seen", F.lit(0.0)) / length, 4)))
+    cover = F.when(length <= 0, 1.0).otherwise(F.least(F.lit(1.0), rounded(F.col("_seen") / length, 4)))
     return sums.select(
         *keys,
         rounded("start_s", 3).alias("start_s"),

@@ -106,7 +106,7 @@ oi AS (SELECT o_custkey AS video, o_orderkey AS order_id, date_diff('day', DATE
 def order_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capped merge at bench scale: order spans by customer, gap 30 days, cap 365."""
     groups = merge.merge_groups(A.order_intervals(spark, sf_dir), ["video"], 30.0, 365.0, "order_id")
-    return groups.groupBy("video", "island", "grp").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("n_merged")).drop("island", "grp")
+    return groups.groupBy("video", "grp").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("n_merged")).drop("grp")
 
 
 # Grids.
@@ -508,7 +508,7 @@ def screen_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 counted AS (SELECT a.video, a.event_id, a.w, count(b.event_id) AS n FROM tried a LEFT JOIN truths b ON b.video = a.video AND b.start_s >= a.w AND b.end_s <= a.w + 120 GROUP BY a.video, a.event_id, a.w)""",
 )
 def best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.best_window(A.truths(spark, sf_dir), "video", 120.0)
+    return joins.best_window(A.truths(spark, sf_dir), A.media(spark, sf_dir), "video", 120.0)
 
 
 @query(
@@ -516,7 +516,7 @@ def best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ends AS (SELECT video, description, min(start_s) AS lo, max(end_s) AS hi FROM truths GROUP BY video, description)",
 )
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.excerpt(A.truths(spark, sf_dir), ["video", "description"], 60.0, 800.0)
+    return joins.excerpt(A.truths(spark, sf_dir), A.media(spark, sf_dir).withColumn("duration_s", F.col("duration_s") + 80), "video", ["video", "description"], 60.0)
 
 
 NEAREST = f"""near AS (SELECT t.video, t.description, t.event_id AS t_id, {r('abs(p.start_s - t.start_s)', 3)} AS start_error, {r('abs(p.end_s - t.end_s)', 3)} AS end_error,
