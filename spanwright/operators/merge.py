@@ -86,3 +86,16 @@ def partial_flag(events: DataFrame, edges: DataFrame, media: DataFrame, toleranc
 def in_order(events: DataFrame) -> DataFrame:
     """events by video, start and end, then description."""
     return events.orderBy("video", "start_s", "end_s", "description")
+
+
+def placed(events: DataFrame, folder: str) -> DataFrame:
+    """events with place, 0, 1, ... in the order of in_order(), and the rows of folder, a new one, in that order.
+
+    The sorted rows are written once; a file's rows are numbered from where the files before it end, one number a file.
+    """
+    spark = events.sparkSession
+    in_order(events).withColumns({"_file": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}).write.parquet(folder)
+    held = spark.read.parquet(folder)
+    sizes = held.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
+    return held.join(F.broadcast(sizes.select("_file", "_first", ahead.alias("_ahead"))), "_file").withColumn("place", F.col("_ahead") + F.col("_row") - F.col("_first")).select(*events.columns, "place")

@@ -111,6 +111,32 @@ def offset_sweep(events: DataFrame, offsets: tuple[float, ...], window_s: float,
     return rows.select(key, "offset_s", ((F.col("start_s") >= F.col("_w")) & (F.col("end_s") <= F.col("_w") + window_s)).alias("contains"), rounded((F.col("start_s") - F.col("_w")) / window_s, 4).alias("position"))
 
 
+def offset_windows(cases: DataFrame, offsets: tuple[float, ...], window_s: float) -> DataFrame:
+    """cases (start_s, end_s of the truth, ...) x windows that begin at the listed offsets: lo, hi, and whether the truth overlaps it."""
+    rows = cases.withColumn("lo", F.explode(F.array(*[F.lit(float(x)) for x in offsets]))).withColumn("hi", F.col("lo") + window_s)
+    return rows.withColumn("contains", (F.col("start_s") < F.col("hi")) & (F.col("end_s") > F.col("lo")))
+
+
+#: A reported start is near the end of its window from this part of it on; slides above and below these follow the window or the event.
+NEAR_END, FOLLOWS_WINDOW, FOLLOWS_EVENT = 0.75, 0.7, 0.3
+
+
+def slides(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_answered, n_near_end, slide, verdict: how far the reported start moves with the window that a model is shown.
+
+    answers: keys, lo, hi, reported (start of the first event, null: none); one row a window. The slide is the movement of the
+    starts over that of the windows, and null for fewer than two answers at different offsets, which show nothing.
+    """
+    told = F.col("reported").isNotNull()
+    near = told & ((F.col("reported") - F.col("lo")) / F.greatest(F.lit(1e-6), F.col("hi") - F.col("lo")) >= NEAR_END)
+    at, start = F.when(told, F.col("lo")), F.col("reported")
+    sums = answers.groupBy(*keys).agg(F.count_if(told).alias("n_answered"), F.count_if(near).alias("n_near_end"), (F.max(at) - F.min(at)).alias("_moved"), (F.max(start) - F.min(start)).alias("_went"))
+    slide = F.when((F.col("n_answered") >= 2) & (F.col("_moved") >= 1e-6), rounded(F.col("_went") / F.col("_moved"), 4))
+    judged = F.when(F.col("slide") > FOLLOWS_WINDOW, "window").when(F.col("slide") < FOLLOWS_EVENT, "event").otherwise("mixed")
+    verdict = F.when(F.col("n_answered") == 0, "no answer").when(F.col("slide").isNull(), "one offset").otherwise(judged)
+    return sums.withColumn("slide", slide).select(*keys, "n_answered", "n_near_end", "slide", verdict.alias("verdict"))
+
+
 QUIET_PCT, ACTIVE_PCT = 0.5, 1.5
 
 
@@ -221,6 +247,11 @@ def probe_report(observations: DataFrame, errors: DataFrame, by: list[str]) -> D
     return told.join(probe_summary(errors, by), by, "left")
 
 
+def observed(reconciled: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, rejected, clamped: what reconciling did to each case's reported events (reason, clamped)."""
+    return reconciled.groupBy(*keys).agg(F.count_if(F.col("reason").isNotNull()).alias("rejected"), F.count_if("clamped").alias("clamped"))
+
+
 def finding(summary: DataFrame, by: list[str], error: str = "median_error") -> DataFrame:
     """One row, text: the best combination and its error, or that no combination reported anything."""
     best = best_combination(summary, by, error)

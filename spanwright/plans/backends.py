@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import BackendUnavailable, Misconfigured
 from ..operators.joins import lookup_recordings
 from ..shipping import ship_package
+from ..sources.recordings import described
 
 Transform = Callable[[DataFrame], DataFrame]
 Call = Callable[[pd.DataFrame], pd.Series]
@@ -27,6 +29,9 @@ class Backend:
     caption: Transform | None = None
     caption_many: Transform | None = None
     detect: Transform | None = None
+    model: str | None = None
+    served_models: Callable[[], list[str]] | None = None
+    about: Callable[[], dict] | None = None
 
     def __call__(self, requests: DataFrame) -> DataFrame:
         return self.extract(requests)
@@ -39,6 +44,23 @@ class Backend:
         return call
 
 
+    def describe(self) -> dict:
+        """The backend's name, whether it is a stub, its model, what it can do, and what it tells of itself."""
+        able = [k for k in ("extract", "caption", "caption_many", "detect") if getattr(self, k) is not None]
+        return {"backend": self.name, "stub": self.name == "stub", "model": self.model, "able": able} | (self.about() if self.about else {})
+
+    def check(self) -> None:
+        """Refuse an endpoint that does not serve the model, to which its answers would be put down."""
+        if self.served_models is None:
+            return
+        try:
+            found = self.served_models()
+        except Exception as e:
+            raise BackendUnavailable(f"the model endpoint cannot be reached: {e}") from e
+        if self.model not in found:
+            raise BackendUnavailable(f"the endpoint serves {found or 'nothing'}, the model is {self.model}; serve that model, or name one of those")
+
+
 def stub() -> Backend:
     """Responses from a hash of the request: the same on every run, and marked as a stub."""
 
@@ -59,11 +81,38 @@ def replay(recordings: DataFrame) -> Backend:
         whole = ["video", "prompt_variant", "index", "query"]
         return lookup_recordings(requests, recordings, whole, ["video", "index", "query"]).withColumn("stub", F.lit(False))
 
-    return Backend("replay", respond)
+    def about() -> dict:
+        if "read_error" not in recordings.columns:
+            return {"recordings": recordings.count()}
+        return described(recordings).first().asDict()
+
+    return Backend("replay", respond, about=about)
+
+
+def answers(call: Call, part: pd.DataFrame, attempts: int, timeout_s: float | None) -> tuple[list, list]:
+    """Answers and errors of a batch of rows. A call that fails or takes too long is tried again, then row by row."""
+    errors: list[str | None] = []
+    for _ in range(attempts):
+        pool = ThreadPoolExecutor(1)
+        try:
+            return list(pool.submit(call, part).result(timeout_s)), [None] * len(part)
+        except TimeoutError:
+            errors = [f"timeout: no answer within {timeout_s} s"]
+        except Exception as e:  # a model's errors are of any kind; they are told in the row
+            errors = [f"{type(e).__name__}: {e}"]
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+    if len(part) == 1:
+        return [None], errors
+    rows = [answers(call, part.iloc[k : k + 1], attempts, timeout_s) for k in range(len(part))]
+    return [a for told, _ in rows for a in told], [e for _, bad in rows for e in bad]
+
 
+def asked(call: Call, answer: str, kind: str, attempts: int = 1, timeout_s: float | None = None) -> Transform:
+    """Rows with two columns more: the answer that a function on the executors gives for each batch, and call_error.
 
-def asked(call: Call, answer: str, kind: str) -> Transform:
-    """Rows with a column more, that a function on the executors gives for each batch."""
+    A row whose call fails has no answer and its error, and other rows keep theirs.
+    """
 
     def respond(rows: DataFrame) -> DataFrame:
         ship_package(rows.sparkSession)
@@ -71,18 +120,19 @@ def asked(call: Call, answer: str, kind: str) -> Transform:
 
         def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in batches:
-                yield part[names].assign(**{answer: call(part)})
+                told, errors = answers(call, part[names], attempts, timeout_s) if len(part) else ([], [])
+                yield part[names].assign(**{answer: pd.Series(told, part.index, object), "call_error": pd.Series(errors, part.index, object)})
 
         fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-        return rows.mapInPandas(ask, f"{fields}, `{answer}` {kind}").withColumn("stub", F.lit(False))
+        return rows.mapInPandas(ask, f"{fields}, `{answer}` {kind}, call_error STRING").withColumn("stub", F.lit(False))
 
     return respond
 
 
-def served(extract: Call, caption: Call | None = None, caption_many: Call | None = None, detect: Call | None = None) -> Backend:
+def served(extract: Call, caption: Call | None = None, caption_many: Call | None = None, detect: Call | None = None, model: str | None = None, served_models: Callable[[], list[str]] | None = None, attempts: int = 1, timeout_s: float | None = None) -> Backend:
     """A model behind functions from a batch of rows to their answers, called on the executors."""
-    more = {name: asked(call, answer, kind) for name, call, answer, kind in (("caption", caption, "text", "STRING"), ("caption_many", caption_many, "text", "STRING"), ("detect", detect, "p_yes", "DOUBLE")) if call}
-    return Backend("served", asked(extract, "raw", "STRING"), **more)
+    more = {name: asked(call, answer, kind, attempts, timeout_s) for name, call, answer, kind in (("caption", caption, "text", "STRING"), ("caption_many", caption_many, "text", "STRING"), ("detect", detect, "p_yes", "DOUBLE")) if call}
+    return Backend("served", asked(extract, "raw", "STRING", attempts, timeout_s), **more, model=model, served_models=served_models)
 
 
 def detected(requests: DataFrame, backend: Backend, threshold: float = 0.5) -> DataFrame:

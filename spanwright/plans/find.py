@@ -26,14 +26,19 @@ def checked_queries(queries: DataFrame, config: Config) -> DataFrame:
     return named
 
 
+def media_violations(media: DataFrame, config: Config) -> DataFrame:
+    """video, reason of the clips (video, duration_s, and size_bytes where it is known) that a run refuses."""
+    d, limits = F.col("duration_s"), config.limits
+    size = F.col("size_bytes") if "size_bytes" in media.columns else F.lit(None).cast("long")
+    reason = F.when(d.isNull(), "unreadable").when(d < limits.min_duration_s, "too short").when(d > limits.max_duration_s, "too long").when(size > limits.max_bytes, "too large")
+    return media.select("video", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def media_in_bounds(media: DataFrame, config: Config) -> DataFrame:
-    """media (video, duration_s, and size_bytes where it is known), refused if any clip is out of bounds."""
-    bad = ~F.col("duration_s").between(config.limits.min_duration_s, config.limits.max_duration_s) | F.col("duration_s").isNull()
-    if "size_bytes" in media.columns:
-        bad = bad | (F.col("size_bytes") > config.limits.max_bytes)
-    found = media.where(bad).select("video").limit(5).collect()
+    """media, refused if any clip is out of bounds."""
+    found = media_violations(media, config).limit(5).collect()
     if found:
-        raise UnprocessableMedia(f"clips out of bounds: {[r['video'] for r in found]}")
+        raise UnprocessableMedia(f"clips out of bounds: {[(r['video'], r['reason']) for r in found]}")
     return media
 
 
@@ -79,12 +84,13 @@ def find_by_states(media: DataFrame, captions: DataFrame | None, queries: DataFr
     declined = routed.where("state_a IS NULL").select("description")
     groups = states.state_groups(routed).withColumn("subject", subject("state_a"))
     pairs = groups.select("group_key", "state_a", "state_b").collect()  # at most max_queries rows
+    media = media_in_bounds(media, config)
     if not pairs:
         raise InvalidInput("no query can be answered by the states map")
     if captions is None:
         if caption is None:
             raise InvalidInput("neither captions nor a backend that makes them")
-        captions = caption(poll_requests(media_in_bounds(media, config), groups, config))
+        captions = caption(poll_requests(media, groups, config))
     said, state = clean("text"), F.lit(None).cast("string")
     for row in pairs:
         state = F.when(F.col("group_key") == row["group_key"], parse_state(said, row["state_a"], row["state_b"])).otherwise(state)

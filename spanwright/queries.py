@@ -817,24 +817,31 @@ def transition_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT o.prompt, cases, emit_share, parse_failures, rejected, clamped, mean_latency_s, mean_frames, n, median_error, mean_error, p90_error
-FROM (SELECT event_id % 3 AS prompt, count(*) AS cases, {r('avg((e_start IS NOT NULL)::INT)', 4)} AS emit_share, count(*) FILTER (error IS NOT NULL) AS parse_failures, sum((coalesce(e_start > 9000, false))::INT)::BIGINT AS rejected, 0::BIGINT AS clamped, {r('avg((event_id % 7)::DOUBLE)', 4)} AS mean_latency_s, {r('avg((event_id % 12)::DOUBLE)', 4)} AS mean_frames FROM parsed GROUP BY 1) o
-LEFT JOIN (SELECT prompt, count(*) AS n, {r('median(error)', 4)} AS median_error, {r('avg(error)', 4)} AS mean_error, CASE WHEN count(*) >= 10 THEN list_sort(list(error))[floor(count(*) * 0.9)::INT + 1] END AS p90_error FROM (SELECT event_id % 3 AS prompt, {r('abs(e_start - w_start)', 3)} AS error FROM parsed WHERE e_start < 9000) GROUP BY prompt) s ON s.prompt = o.prompt""",
-    f"{RAW}, {PARSED}",
+FROM (SELECT event_id % 3 AS prompt, count(*) AS cases, {r('avg((e_start IS NOT NULL)::INT)', 4)} AS emit_share, count(*) FILTER (error IS NOT NULL) AS parse_failures, sum((reason IS NOT NULL)::INT)::BIGINT AS rejected, sum((e_start IS NOT NULL AND reason IS NULL AND (e_start < w_start - 1e-6 OR e_end > w_end + 1e-6))::INT)::BIGINT AS clamped, {r('avg((event_id % 7)::DOUBLE)', 4)} AS mean_latency_s, {r('avg((event_id % 12)::DOUBLE)', 4)} AS mean_frames FROM judged GROUP BY 1) o
+LEFT JOIN (SELECT prompt, count(*) AS n, {r('median(error)', 4)} AS median_error, {r('avg(error)', 4)} AS mean_error, CASE WHEN count(*) >= 10 THEN list_sort(list(error))[floor(count(*) * 0.9)::INT + 1] END AS p90_error FROM (SELECT event_id % 3 AS prompt, {r(f"abs({r('greatest(w_start, least(e_start, w_end))', 3)} - s)", 3)} AS error FROM judged WHERE e_start IS NOT NULL AND reason IS NULL) GROUP BY prompt) x ON x.prompt = o.prompt""",
+    f"""{RAW}, {PARSED}, moved AS (SELECT p.*, w_start + 1 AS s FROM parsed p), shifted AS (SELECT * REPLACE (w_start + 1.25 * (event_id % 3) AS w_start) FROM moved),
+judged AS (SELECT *, CASE WHEN e_start IS NULL THEN NULL WHEN e_end - e_start < 1e-3 THEN 'zero_length' WHEN (e_end - e_start) / greatest(1e-6, w_end - w_start) >= 0.95 THEN 'whole_window' WHEN e_start > w_end + 1 OR e_end < w_start - 1 THEN 'out_of_window'
+  WHEN NOT e_start BETWEEN w_start AND w_end AND NOT EXISTS (SELECT 1 FROM frames f WHERE f.video = shifted.video AND abs(f.t - e_start) <= 0.5) THEN 'no_frame' END AS reason FROM shifted)""",
 )
 def probe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A probe's observations by prompt: how much was reported, refused and lost, and the errors of the starts."""
-    first = F.get("events", 0)["start_s"]
-    told = responses.parse_responses(A.raw_responses(spark, sf_dir)).select((F.col("event_id") % 3).alias("prompt"), "event_id", "start_s", F.size("events").alias("n_reported"), F.col("error").isNotNull().alias("failed"), first.alias("e_start"))
-    seen = told.withColumns({"rejected": F.coalesce(F.col("e_start") > 9000, F.lit(False)).cast("long"), "clamped": F.lit(0).cast("long"), "latency_s": (F.col("event_id") % 7).cast("double"), "frames": (F.col("event_id") % 12).cast("double")})
-    errors = told.where("e_start < 9000").select("prompt", rounded(F.abs(F.col("e_start") - F.col("start_s")), 3).alias("error"))
+    """A probe's observations by prompt: how much was reported, refused and moved in reconciling, and lost, and the errors of the starts."""
+    prompt = (F.col("event_id") % 3).alias("prompt")
+    parsed = responses.parse_responses(A.raw_responses(spark, sf_dir)).withColumns({"truth": F.col("start_s") + 1, "w_start": F.col("start_s") + 1.25 * (F.col("event_id") % 3), "w_end": F.col("end_s")})
+    rows = parsed.select("video", "event_id", "truth", "w_start", "w_end", F.explode("events").alias("e")).select("video", "event_id", "truth", "w_start", "w_end", F.col("e.start_s").alias("e_start"), F.col("e.end_s").alias("e_end"))
+    judged = responses.reconcile(rows, A.frames(spark, sf_dir))
+    seen = parsed.select(prompt, "event_id", F.size("events").alias("n_reported"), F.col("error").isNotNull().alias("failed"), (F.col("event_id") % 7).cast("double").alias("latency_s"), (F.col("event_id") % 12).cast("double").alias("frames"))
+    seen = seen.join(quality.observed(judged, ["event_id"]), "event_id", "left").fillna(0, ["rejected", "clamped"])
+    errors = judged.where("reason IS NULL").select(prompt, rounded(F.abs(F.col("start_s") - F.col("truth")), 3).alias("error"))
     return quality.probe_report(seen, errors, ["prompt"])
 
 
 @query("SELECT video, event_id, row_number() OVER (PARTITION BY video ORDER BY start_s, end_s, description, event_id) AS place FROM preds")
 def output_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions in the order that a result lists them."""
-    own = Window.partitionBy("video").orderBy("start_s", "end_s", "description", "event_id")
-    return merge.in_order(A.preds(spark, sf_dir)).select("video", "event_id", F.row_number().over(own).alias("place"))
+    """Predictions in the order that a result lists them: written in it, and numbered as they stand there."""
+    from .sources import files
+
+    placed = merge.placed(A.preds(spark, sf_dir), files.scratch_folder(spark, "order"))
+    return placed.select("video", "event_id", (F.col("place") - F.min("place").over(Window.partitionBy("video")) + 1).cast("int").alias("place"))
 
 
 @query("SELECT t.* FROM truths t WHERE t.video IN (SELECT video FROM media ORDER BY video LIMIT 8)")
@@ -872,8 +879,8 @@ def labels_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources import files
 
     folder = files.scratch_folder(spark, "labels")
-    A.truths(spark, sf_dir).select("video", "description", "start_s", "end_s").write.json(folder)
-    return spark.read.schema("video LONG, description STRING, start_s DOUBLE, end_s DOUBLE").json(folder)
+    files.write_labels(A.truths(spark, sf_dir), A.axes(spark, sf_dir), folder)
+    return files.read_labels(spark, folder, lines=True)[0].select(F.col("video").cast("long").alias("video"), "description", "start_s", "end_s")
 
 
 from . import source_queries  # noqa: E402, F401  registers its queries

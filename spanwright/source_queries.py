@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from .operators import grids
+from .config import Config, with_overrides
+from .functions import text as X
+from .operators import grids, quality
+from .plans import find, prompts
 from .queries import query, r
 from .sources import adapters as A
 from .sources import contract, files, recordings
@@ -97,3 +100,141 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, value in (("{s}", F.format_string("%.3f", "start_s")), ("{e}", F.format_string("%.3f", "end_s")), ("{c}", F.format_string("%.2f", "confidence"))):
         text = F.replace(text, F.lit(name), value)
     return contract.violations(A.candidates(spark, sf_dir).select("event_id", text.alias("text"))).select("event_id", "path", "kind")
+
+
+# Questions of a run.
+
+
+@query(
+    f"""SELECT video, description, n_answered, n_near_end, slide, CASE WHEN n_answered = 0 THEN 'no answer' WHEN slide IS NULL THEN 'one offset' WHEN slide > 0.7 THEN 'window' WHEN slide < 0.3 THEN 'event' ELSE 'mixed' END AS verdict FROM (
+  SELECT video, description, count(told) AS n_answered, count(*) FILTER (told IS NOT NULL AND (told - lo) / 60 >= 0.75) AS n_near_end,
+         CASE WHEN count(told) >= 2 AND max(lo) FILTER (told IS NOT NULL) - min(lo) FILTER (told IS NOT NULL) >= 1e-6 THEN {r('(max(told) - min(told)) / (max(lo) FILTER (told IS NOT NULL) - min(lo) FILTER (told IS NOT NULL))', 4)} END AS slide
+  FROM answered GROUP BY video, description)""",
+    """cases AS (SELECT DISTINCT video, description FROM truths),
+answered AS (SELECT c.video, c.description, o::DOUBLE AS lo, min(p.start_s) AS told FROM cases c CROSS JOIN (SELECT unnest([0, 30, 90, 150]) AS o)
+             LEFT JOIN preds p ON p.video = c.video AND p.description = c.description AND p.start_s >= o AND p.start_s < o + 60 GROUP BY c.video, c.description, o)""",
+)
+def slide_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether answers follow the window that is shown: the first prediction in windows at four offsets."""
+    keys = ["video", "description"]
+    cases = A.truths(spark, sf_dir).groupBy(*keys).agg(F.min("start_s").alias("start_s"), F.min("end_s").alias("end_s"))
+    windows = quality.offset_windows(cases, (0, 30, 90, 150), 60.0).select(*keys, "lo", "hi")
+    told = A.preds(spark, sf_dir).select(*keys, "start_s")
+    held = windows.join(told, keys, "left").withColumn("reported", F.when((F.col("start_s") >= F.col("lo")) & (F.col("start_s") < F.col("hi")), F.col("start_s")))
+    return quality.slides(held.groupBy(*keys, "lo", "hi").agg(F.min("reported").alias("reported")), keys)
+
+
+_FILLED = "replace(replace(replace(template, '{query}', description), '{start}', printf('%.3f', start_s)), '{end}', printf('%.3f', end_s))"
+_VARIANTS = ", ".join("('" + "', '".join(x.replace("'", "''") for x in v) + "')" for v in prompts.VARIANTS)
+
+
+@query(f"SELECT event_id, prompt_variant, system AS system_prompt, {_FILLED} AS user_prompt FROM truths, variants", f"variants(prompt_variant, system, template) AS (VALUES {_VARIANTS})")
+def variant_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both prompts of a case under each of the five variants."""
+    named = F.explode(F.array(*[F.lit(v[0]) for v in prompts.VARIANTS]))
+    asked = A.truths(spark, sf_dir).select("event_id", F.col("description").alias("query"), "start_s", "end_s", named.alias("prompt_variant"))
+    return prompts.with_prompts(asked).select("event_id", "prompt_variant", "system_prompt", "user_prompt")
+
+
+@query("SELECT video, CASE WHEN duration_s < 100 THEN 'too short' ELSE 'too long' END AS reason FROM clips WHERE duration_s < 100 OR duration_s > 700", CLIPS)
+def media_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips that a run with limits of 100 and 700 seconds refuses."""
+    return find.media_violations(A.clips(spark, sf_dir), with_overrides(Config(), limits__min_duration_s=100.0, limits__max_duration_s=700.0))
+
+
+@query(
+    f"""SELECT n_truths, n_predictions, {r('hits / n_truths', 4)} AS r_at_1_3 FROM (SELECT count(*) AS n_truths, count(*) FILTER (iou >= 0.3) AS hits FROM (
+  SELECT greatest(0, least(p.end_s, t.end_s) - greatest(p.start_s, t.start_s)) / nullif(greatest(p.end_s, t.end_s) - least(p.start_s, t.start_s), 0) AS iou FROM scored_t t LEFT JOIN tops p USING (video, description))), (SELECT count(*) AS n_predictions FROM scored_p)""",
+    """planned AS (SELECT video FROM media ORDER BY video LIMIT 40), scored AS (SELECT video FROM planned JOIN axes USING (video) WHERE axis <> 'positive_control'),
+scored_t AS (SELECT * FROM truths WHERE video IN (SELECT video FROM scored)), scored_p AS (SELECT * FROM preds WHERE video IN (SELECT video FROM scored)),
+tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video, description ORDER BY confidence DESC, start_s, end_s, event_id) AS k FROM scored_p) WHERE k = 1)""",
+)
+def planned_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headline of a limited run: truths of its clips only, without control clips; a stub's runs would be refused."""
+    runs = A.media(spark, sf_dir).select("video", F.lit(False).alias("stub"))
+    report = find.evaluate(A.preds(spark, sf_dir), A.truths(spark, sf_dir), A.axes(spark, sf_dir), runs, 40)
+    return report["overall"].select("n_truths", "n_predictions", "r_at_1_3")
+
+
+# Files of other tools, written from the tables as these tools write them.
+
+
+@query(f"SELECT video::VARCHAR AS video, description, any_value(axis) AS axis, count(*) AS n, min(start_s) AS first, max(end_s) AS last FROM truths JOIN axes USING (video) GROUP BY video, description")
+def probe_cases_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probe cases from label files: a clip's description with its events and axis."""
+    folder = files.scratch_folder(spark, "cases")
+    files.write_labels(A.truths(spark, sf_dir), A.axes(spark, sf_dir), folder)
+    return files.read_cases(spark, folder, lines=True).select("video", "description", "axis", F.size("events").cast("long").alias("n"), F.array_min(F.transform("events", lambda e: e["start_s"])).alias("first"), F.array_max(F.transform("events", lambda e: e["end_s"])).alias("last"))
+
+
+@query("SELECT p_name AS description, p_brand AS state_a, p_type AS state_b FROM part WHERE p_partkey % 5 <> 0")
+def states_map_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A states map from JSON objects, whose keys with a leading underscore are comments."""
+    folder = files.scratch_folder(spark, "states")
+    parts = A.table(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("_"), "p_name")).otherwise(F.col("p_name"))
+    parts.select(F.to_json(F.create_map(name, F.array("p_brand", "p_type"))).alias("value")).write.text(folder)
+    return files.read_states_map(spark, folder, lines=True)
+
+
+@query("SELECT 'org/' || s_name AS model, CASE WHEN s_suppkey % 2 = 0 THEN 'yes' ELSE 'no' END AS gated, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey * 1024)::INT END AS max_model_len, (s_suppkey % 80)::INT AS min_vram_gib, 'n' || s_nationkey AS role FROM supplier WHERE s_suppkey % 3 <> 0")
+def registry_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model registry of tab-separated lines with comments, blank lines and a header."""
+    folder = files.scratch_folder(spark, "registry")
+    k = F.col("s_suppkey")
+    line = F.concat_ws("\t", F.concat(F.lit("org/"), "s_name"), F.when(k % 2 == 0, "yes").otherwise("no"), F.when(k % 7 != 0, (k * 1024).cast("string")).otherwise("unknown"), (k % 80).cast("string"), F.concat(F.lit("n"), "s_nationkey"))
+    odd = F.when(k % 2 == 0, F.concat(F.lit("# "), line)).otherwise("id\tgated\tmax_model_len\tmin_vram_gib\trole")
+    A.table(spark, sf_dir, "supplier").select(F.when(k % 3 == 0, odd).otherwise(line).alias("value")).write.text(folder)
+    return files.read_registry(spark, folder)
+
+
+@query(
+    f"SELECT o_orderpriority AS activity, count(*) AS n, sum(f0)::BIGINT AS f0, sum(f1)::BIGINT AS f1, max({r('f0 / 30.0::DOUBLE', 3)}) AS last_start FROM (SELECT translate(upper(substr(o_orderpriority, 3)), ' ', '_') AS o_orderpriority, o_custkey AS f0, o_custkey + 30 AS f1 FROM orders WHERE o_orderkey % 3 <> 0) GROUP BY o_orderpriority",
+)
+def activities_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activities from annotation lines; other lines are skipped."""
+    folder = files.scratch_folder(spark, "activities")
+    name = F.translate(F.upper(F.substring("o_orderpriority", 3, 100)), " ", "_")
+    line = F.format_string("- { act: {act3: { %s: 1.0}, id2: %d, timespan: [{tsr0: [%d, %d]}]}}", name, "o_orderkey", "o_custkey", F.col("o_custkey") + 30)
+    A.table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, "- { meta: no activity }").otherwise(line).alias("value")).write.text(folder)
+    told = files.read_activities(spark, folder, 30.0)
+    return told.groupBy("activity").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("f0").cast("long")).alias("f0"), F.sum(F.col("f1").cast("long")).alias("f1"), F.max("start_s").alias("last_start"))
+
+
+@query("SELECT frame::INT AS frame, count(*) AS n, max(abs(height))::DOUBLE AS most FROM (SELECT l_partkey % 500 AS frame, (l_quantity * 7)::INT AS height FROM lineitem) GROUP BY frame")
+def geometry_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of boxes from annotation lines, upside down or not."""
+    folder = files.scratch_folder(spark, "geometry")
+    top = F.when(F.col("l_linenumber") % 2 == 0, F.lit(5)).otherwise(5 + (F.col("l_quantity") * 7).cast("int"))
+    foot = F.when(F.col("l_linenumber") % 2 == 0, 5 + (F.col("l_quantity") * 7).cast("int")).otherwise(F.lit(5))
+    line = F.format_string("- { geom: {id1: %d, ts0: %d, g0: 3 %d 40 %d}}", "l_orderkey", (F.col("l_partkey") % 500), top, foot)
+    A.table(spark, sf_dir, "lineitem").select(line.alias("value")).write.text(folder)
+    return files.read_geometry(spark, folder).groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.max("height").alias("most"))
+
+
+@query("SELECT video, count(*) AS n, min(start_s) AS first FROM preds WHERE video % 3 <> 0 GROUP BY video")
+def results_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of runs from a report's files; files that are no JSON, and folders that are missing, count as absent."""
+    folder = files.scratch_folder(spark, "report")
+    kept = A.preds(spark, sf_dir).where("video % 3 <> 0").select("video", "start_s")
+    files.write_report(kept, None, folder)
+    broken = A.preds(spark, sf_dir).where("video % 3 = 0").select(F.concat(F.lit("{video: "), "video").alias("value"))
+    broken.write.text(f"{folder}/broken")
+    schema = "video LONG, start_s DOUBLE"
+    found = files.results_if_present(spark, [f"{folder}/events", f"{folder}/broken"], schema, lines=True).unionByName(files.results_if_present(spark, f"{folder}/missing", schema))
+    return found.groupBy("video").agg(F.count(F.lit(1)).alias("n"), F.min("start_s").alias("first"))
+
+
+@query("SELECT event_id, CASE WHEN lpad((event_id % 24)::VARCHAR, 2, '0') = lpad((video % 24)::VARCHAR, 2, '0') THEN 1 ELSE 2 END AS n, 'src/day/' || lpad((video % 24)::VARCHAR, 2, '0') AS first FROM candidates")
+def source_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a recording may be kept: by the hour of its end, then by that of its start."""
+    clock = lambda c: F.concat(F.lpad((F.col(c) % 24).cast("string"), 2, "0"), F.lit("-05-00"))
+    names = files.source_names(clock("event_id"), clock("video"), "src/day")
+    return A.candidates(spark, sf_dir).select("event_id", F.size(names).alias("n"), names[0].alias("first"))
+
+
+@query("SELECT event_id, count(*) AS n, min(q) AS first FROM (SELECT event_id, trim(unnest(string_split(description || ' ; ;' || evidence || ';', ';'))) AS q FROM candidates) WHERE q <> '' GROUP BY event_id")
+def query_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries from lists with semicolons."""
+    asked = X.query_list(F.concat("description", F.lit(" ; ;"), "evidence", F.lit(";")))
+    return A.candidates(spark, sf_dir).select("event_id", F.explode(asked).alias("q")).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("q").alias("first"))

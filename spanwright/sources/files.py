@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 LABELS = "video STRING, axis STRING, duration_s DOUBLE, events ARRAY<STRUCT<description: STRING, start_s: DOUBLE, end_s: DOUBLE>>"
-RECORDING = "model STRING, video STRING, prompt_variant STRING, query STRING, window STRUCT<index: INT, start_s: DOUBLE, end_s: DOUBLE>, raw STRING, reasoning STRING, latency_s DOUBLE, error STRING"
 RESULT = "video STRING, duration_s DOUBLE, queries ARRAY<STRING>, events ARRAY<STRUCT<description: STRING, start_s: DOUBLE, end_s: DOUBLE, confidence: DOUBLE, evidence: STRING, partial: BOOLEAN, source_windows: ARRAY<INT>>>"
-KEY = ["video", "prompt_variant", "index", "query"]
 
 
 def contract_json() -> str:
@@ -26,23 +24,31 @@ def media_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length")
 
 
-def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(truths, axes). A clip without events has an axis and no truth; keys beyond the schema are ignored."""
-    clips = spark.read.schema(LABELS).json(path, multiLine=True)
+def write_labels(truths: DataFrame, axes: DataFrame, path: str) -> None:
+    """One document a clip, one a line: its axis and its events (description, start_s, end_s), by start."""
+    event = F.struct("start_s", "end_s", "description")
+    nested = truths.groupBy("video").agg(F.sort_array(F.collect_list(event)).alias("events"))
+    labelled = axes.join(nested, "video", "left").select(F.col("video").cast("string").alias("video"), "axis", F.coalesce("events", F.array().cast("array<struct<start_s:double,end_s:double,description:string>>")).alias("events"))
+    labelled.write.mode("overwrite").json(path)
+
+
+def read_labels(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(truths, axes). A clip without events has an axis and no truth; keys beyond the schema are ignored. lines: one document a line."""
+    clips = spark.read.schema(LABELS).json(path, multiLine=not lines)
     truths = clips.select("video", F.posexplode("events").alias("ord", "e")).select("video", "e.description", F.col("ord").cast("long").alias("event_id"), "e.start_s", "e.end_s")
     return truths, clips.select("video", "axis").where("axis IS NOT NULL").distinct()
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
+def read_cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One probe case for each clip and description, with its intervals in order."""
-    truths, axes = read_labels(spark, path)
+    truths, axes = read_labels(spark, path, lines)
     cases = truths.groupBy("video", "description").agg(F.sort_array(F.collect_list(F.struct("start_s", "end_s"))).alias("events"))
     return cases.join(axes, "video", "left")
 
 
-def read_states_map(spark: SparkSession, path: str) -> DataFrame:
-    """description, state_a, state_b of a JSON object; keys that begin with _ are comments."""
-    text = spark.read.text(path, wholetext=True)
+def read_states_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """description, state_a, state_b of a JSON object (lines: one a line); keys that begin with _ are comments."""
+    text = spark.read.text(path, wholetext=not lines)
     pairs = text.select(F.explode(F.from_json("value", "MAP<STRING, STRING>")).alias("description", "v")).where(~F.startswith("description", F.lit("_")))
     states = F.from_json("v", "ARRAY<STRING>")
     return pairs.select("description", F.get(states, 0).alias("state_a"), F.get(states, 1).alias("state_b"))
@@ -53,16 +59,6 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", comment="#", schema="model STRING, gated STRING, max_model_len STRING, min_vram_gib STRING, role STRING").where("model IS NOT NULL AND model <> 'id'").select("model", "gated", F.col("max_model_len").try_cast("int").alias("max_model_len"), F.col("min_vram_gib").try_cast("int").alias("min_vram_gib"), "role")
 
 
-def read_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded exchanges, the first file of each key; n counts the key's files."""
-    rows = spark.read.schema(RECORDING).json(path, multiLine=True).withColumn("filename", F.input_file_name()).withColumn("index", F.col("window.index"))
-    return rows.groupBy(*KEY).agg(F.min_by(F.struct("raw", "reasoning", "error", "filename"), "filename").alias("r"), F.count(F.lit(1)).alias("n")).select(*KEY, "r.*", "n")
-
-
-def write_recordings(responses: DataFrame, path: str) -> None:
-    responses.write.mode("append").json(path)
-
-
 def _number(pattern: str, group: int, line: str = "value") -> Column:
     return F.regexp_extract(line, pattern, group).cast("double")
 
@@ -121,10 +117,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/spanwright-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def results_if_present(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of result files; none where there is no such file, and none of a file that is not JSON."""
+def results_if_present(spark: SparkSession, path: str | list[str], schema: str, lines: bool = False) -> DataFrame:
+    """Rows of result files (lines: one a line); none where there is no such file, and none of what is not JSON."""
     try:
-        found = spark.read.schema(f"{schema}, _corrupt STRING").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+        found = spark.read.schema(f"{schema}, _corrupt STRING").option("multiLine", not lines).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
     return found.where("_corrupt IS NULL").drop("_corrupt")

@@ -67,9 +67,6 @@ def test_readers(spark, tmp_path):
     assert [(r.activity, r.start_s, r.end_s) for r in files.read_activities(spark, str(tmp_path / "act.txt"), 30.0).collect()] == [("Opens_Door", 1.0, 3.0)]
     (tmp_path / "geom.txt").write_text("- { geom: {ts0: 12, g0: 1 20 5 80}}\n")
     assert [(r.frame, r.height) for r in files.read_geometry(spark, str(tmp_path / "geom.txt")).collect()] == [(12, 60.0)]
-    for n in ("1", "2"):
-        (tmp_path / f"r{n}.json").write_text(json.dumps({"video": "a", "prompt_variant": "overlay", "query": "q", "window": {"index": 0}, "raw": n}))
-    assert [(r.raw, r.n) for r in files.read_recordings(spark, str(tmp_path / "r*.json")).collect()] == [("1", 2)]
 
 
 def stream_of(spark, folder, late, carry_s):
