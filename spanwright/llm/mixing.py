@@ -208,11 +208,25 @@ def mixture(drawn: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mixed_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """row, doc_id, size, source_size, target and taken: the words of each document that the shards of the mix hold, repeats counted."""
+    """row, doc_id, size, source_size, target and taken: the words of each document that the mix holds, repeats counted; and of
+    each output shard, as the splitting tree deals them and its local shuffle lays them: shard_words (how many of the document's
+    words it holds) and shard_slots (the first slot with one of its pieces, null for none).
+    """
     drawn = cut(draws(docs, weights, shards, seed=seed))
-    held = mixture(drawn, seed).groupBy(F.col("row").alias("_row")).agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
-    told = drawn.join(held, F.col("row") == F.col("_row"), "left")
-    return told.select("row", "doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    pieces = mixture(drawn, seed).groupBy("row", "shard").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("words"), F.min("slot").alias("slot"))
+    by_shard = pieces.groupBy(F.col("row").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("shard", F.struct("words", "slot")))).alias("_held"), F.sum("words").alias("taken"))  # an entry a shard at most
+    told, none, every = drawn.join(by_shard, F.col("row") == F.col("_row"), "left"), F.lit(0).cast("long"), F.sequence(F.lit(0), F.lit(shards - 1))
+    held = lambda name: lambda s: F.try_element_at("_held", s)[name]
+    return told.select(
+        "row",
+        "doc_id",
+        "size",
+        F.coalesce("source_size", none).alias("source_size"),
+        "target",
+        F.coalesce("taken", none).alias("taken"),
+        F.transform(every, lambda s: F.coalesce(held("words")(s), none)).alias("shard_words"),
+        F.transform(every, held("slot")).alias("shard_slots"),
+    )
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
