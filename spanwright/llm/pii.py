@@ -5,15 +5,16 @@ entity may reveal it as well. An entity is a distinct email, address, card or ph
 group of them: an email's domain, an address's first three numbers, or all of a kind, so that words
 count which go with values that are rare each. Over the corpus, a term t discloses an entity e by
 the pointwise mutual information log2(n(e, t) * N / (n(e) * n(t))), all counted in documents and
-over whole texts. t is a span too (kind ``term``), wherever it stands and whether or not e is there,
+over whole texts. Of documents with entities, one of each class of near copies counts (five words, 0.8). t is a span too (kind ``term``), wherever it stands and whether or not e is there,
 if at least LEAST_SUPPORT documents hold the pair, e is in at least LEAST_SHARE of t's documents, and
 the information reaches DISCLOSURE_BITS; for a group held by too many documents to carry so many
 bits, all that it carries (LEAST_GROUP_BITS at least). sanitised() generalises base spans to their
 kind and removes disclosing terms.
 
-n(t) is needed only for pairs with support, and places only of disclosing terms; a bitmap of fixed
+n(t) is needed only for terms with support, and places only of disclosing terms; a bitmap of fixed
 size, holding a hash bit of each such term, keeps other words out. A full bitmap costs time, not
-results.
+results. Pairs are made of terms that are mostly said beside entities, so a page with many entities and
+many words makes few.
 
 Defined cases: null and empty texts have no spans; words that overlap a base span are no terms; rows
 that repeat a doc_id are handled row by row, and n() counts rows; empty tables give no rows; other
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bound_batches, cut, small_side
+from .minhash import near_duplicates
 
 KINDS = ("email", "ip", "card", "phone")
 #: The least length of a term.
@@ -42,6 +44,8 @@ DISCLOSURE_BITS, LEAST_SUPPORT, LEAST_SHARE = 6.0, 3, 0.5
 #: A group in more than one document of 2 ** LEAST_GROUP_BITS has no disclosing terms.
 LEAST_GROUP_BITS = 3.0
 _BITMAP_BITS = 1 << 23
+#: Longer words are looked at anew each time, so that the table of words is bounded in bytes.
+KEPT_LETTERS = 48
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -138,7 +142,7 @@ def words_outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tupl
             yield term, a, b
 
 
-SCAN_SCHEMA = "row long, doc_id long, base array<struct<start:int,kind:int,end:int>>, entities array<string>, words array<string>"
+SCAN_SCHEMA = "row long, doc_id long, base array<struct<start:int,kind:int,end:int>>, entities array<string>, words array<string>, text string"
 _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 _NAMES = pa.list_(pa.string())
 
@@ -149,19 +153,20 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base (spans), entities and, where there are any, the distinct terms of the text."""
+    """row, doc_id, base (spans), entities and, where there are any, the distinct terms of the text and the text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                base, entities, words = [], [], []
+                base, entities, words, texts = [], [], [], []
                 for text in part.column(2).to_pylist():
                     spans = base_spans(text) if text else []
                     base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                     entities.append(entities_of(text, spans) if spans else [])
                     words.append(sorted({t for t, _, _ in words_outside(text, spans)}) if spans else [])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(base, _BASE), pa.array(entities, _NAMES), pa.array(words, _NAMES)], names=["row", "doc_id", "base", "entities", "words"])
+                    texts.append(text if spans else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(base, _BASE), pa.array(entities, _NAMES), pa.array(words, _NAMES), pa.array(texts, pa.string())], names=["row", "doc_id", "base", "entities", "words", "text"])
 
     return arrow_map(numbered(docs), scan, SCAN_SCHEMA)
 
@@ -192,7 +197,8 @@ class Wanted:
                 term = as_term(word)
                 if len(term) < LEAST_LETTERS or not self.bits[zlib.crc32(term.encode("utf-8", "surrogatepass")) % _BITMAP_BITS]:
                     term = ""
-                known[word] = term
+                if len(word) <= KEPT_LETTERS:
+                    known[word] = term
             if term:
                 found.add(term)
         return found
@@ -246,24 +252,41 @@ def term_places(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return arrow_map(numbered(docs).select("row", "text"), places, "row long, term string, start int, end int")
 
 
+def unlike(held: DataFrame) -> DataFrame:
+    """The rows of held (row, text) that stand for their class: of near copies, one counts."""
+    classes = near_duplicates(held.select(F.col("row").alias("doc_id"), "text"), words=5, percent=80)
+    return classes.where("kept").select(F.col("doc_id").alias("row"))
+
+
 def disclosing(docs: DataFrame, scan: DataFrame) -> DataFrame:
-    """entity, term and bits of the pairs over the thresholds."""
+    """entity, term and bits of the pairs over the thresholds.
+
+    Of documents with entities one of each class of near copies counts, so a pair's support is of texts unlike each other. Terms
+    are settled first: one that is not in enough such documents, or mostly in documents without any entity, makes no pairs.
+    """
     held, kind = scan.where(F.size("entities") > 0), F.col("entity").endswith(":*")
-    named = held.select("row", F.explode("entities").alias("entity"))
+    kept_rows = cut(unlike(held))
+    kept, copies = cut(held.join(kept_rows, "row", "left_semi").select("row", "entities", "words")), held.join(kept_rows, "row", "left_anti")
+    terms = cut(kept.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_held")).where(F.col("n_held") >= LEAST_SUPPORT))
+    wanted = bitmap_of(terms)
+    if not wanted.any():
+        return terms.select(F.lit("").alias("entity"), "term", F.lit(0.0).alias("bits")).limit(0)
+    again = copies.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_copies"))
+    counted = terms.join(term_counts(docs, wanted), "term").join(again, "term", "left").withColumn("n_term", F.col("n_term") - F.coalesce("_copies", F.lit(0)))
+    terms = cut(counted.where(F.col("n_held") >= LEAST_SHARE * F.col("n_term")).select("term", "n_term"))
+
+    named = kept.select("row", F.explode("entities").alias("entity"))
     # An entity in fewer documents than a pair needs has no pair with support. Whole kinds have most of the rows; they
     # are few, so no shuffle gathers a kind's rows.
     entities = cut(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= LEAST_SUPPORT))
     kinds, others = F.broadcast(entities.where(kind)), small_side(entities.where(~kind))
     able = named.where(kind).unionByName(named.where(~kind).join(others, "entity", "left_semi")).groupBy("row").agg(F.collect_list("entity").alias("able"))
-    words = held.select("row", "words").join(able, "row")
-    pairs = words.select(F.explode("able").alias("entity"), "words").select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= LEAST_SUPPORT)
-    pairs = cut(pairs)
-    wanted = bitmap_of(pairs)
-    if not wanted.any():
-        return pairs.select("entity", "term", F.lit(0.0).alias("bits")).limit(0)
-    rows = float(scan.count())
-    counted = pairs.where(kind).join(kinds, "entity").unionByName(pairs.where(~kind).join(others, "entity"))
-    scored = counted.join(term_counts(docs, wanted), "term").withColumn("bits", F.log2(F.col("n_both") * F.lit(rows) / (F.col("n_entity") * F.col("n_term"))))
+    said = kept.select("row", F.explode("words").alias("term")).join(small_side(terms.select("term"), 100_000), "term", "left_semi").groupBy("row").agg(F.collect_list("term").alias("terms"))
+    both = said.join(able, "row").select(F.explode("able").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
+    pairs = cut(both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= LEAST_SUPPORT))
+    rows = float(scan.count() - copies.count())
+    scored = pairs.where(kind).join(kinds, "entity").unionByName(pairs.where(~kind).join(others, "entity"))
+    scored = scored.join(terms, "term").withColumn("bits", F.log2(F.col("n_both") * F.lit(rows) / (F.col("n_entity") * F.col("n_term"))))
     whole = F.greatest(F.lit(LEAST_GROUP_BITS), F.log2(F.lit(rows) / F.col("n_entity")) - 1e-9)
     least = F.when(F.col("entity").contains("*"), F.least(F.lit(DISCLOSURE_BITS), whole)).otherwise(F.lit(DISCLOSURE_BITS))
     return scored.where((F.col("bits") >= least) & (F.col("n_both") >= LEAST_SHARE * F.col("n_term"))).select("entity", "term", "bits")

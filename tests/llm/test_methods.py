@@ -50,3 +50,67 @@ def test_mix_without_its_tree_is_told(mixed, monkeypatch):
 
     monkeypatch.setattr(mixing, "splitting_tree", idle)
     assert shard_faults(mixing.mixed_words(mixed, shards=6).collect(), 6)
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+
+
+def plain_pairs(texts):
+    """(entity, term) to bits of a list of texts, by counting."""
+    spans = [pii.base_spans(t) for t in texts]
+    entities = [set(pii.entities_of(t, s)) if s else set() for t, s in zip(texts, spans, strict=True)]
+    words = [{t for t, _, _ in pii.words_outside(t, s)} for t, s in zip(texts, spans, strict=True)]
+    held = [k for k in range(len(texts)) if entities[k]]
+    root = {k: k for k in held}
+    sets = {k: shingles(texts[k]) for k in held}
+
+    def find(k):
+        return k if root[k] == k else find(root[k])
+
+    for a, b in itertools.combinations(held, 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    kept = [k for k in held if find(k) == k]
+    rows = len(texts) - len(held) + len(kept)
+    counting = [k for k in range(len(texts)) if not entities[k]] + kept
+    n_term = collections.Counter(t for k in counting for t in words[k])
+    n_entity = collections.Counter(e for k in kept for e in entities[k])
+    n_both = collections.Counter((e, t) for k in kept for e in entities[k] for t in words[k])
+    out = {}
+    for (e, t), n in n_both.items():
+        bits = math.log2(n * rows / (n_entity[e] * n_term[t]))
+        whole = max(pii.LEAST_GROUP_BITS, math.log2(rows / n_entity[e]) - 1e-9)
+        least = min(pii.DISCLOSURE_BITS, whole) if "*" in e else pii.DISCLOSURE_BITS
+        if n >= pii.LEAST_SUPPORT and n_entity[e] >= pii.LEAST_SUPPORT and n >= pii.LEAST_SHARE * n_term[t] and bits >= least:
+            out[e, t] = round(bits, 6)
+    return out
+
+
+def pii_corpus(seed):
+    rnd = random.Random(seed)
+    common = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)]
+    texts = [" ".join(rnd.choices(common, k=rnd.randrange(20, 60))) for _ in range(900)]
+    for k in range(24):  # a name that goes with a domain, in texts unlike each other
+        texts.append(f"{' '.join(rnd.choices(common, k=25))} zanzibar u{k % 5}@corp.example {' '.join(rnd.choices(common, k=9))}")
+    for k in range(5):  # one value, said with a nickname
+        texts.append(f"{' '.join(rnd.choices(common, k=25))} quixote +49 30 1234567 {' '.join(rnd.choices(common, k=9))}")
+    near = " ".join(rnd.choices(common, k=60)) + " xylophone reach me at 10.20.30.40 today"
+    texts += [near + f" copy{chr(97 + k)}" for k in range(8)] + [near] * 3  # copies alone make no support
+    page = " ".join(f"p{k}@directory.example" for k in range(300)) + " " + " ".join(common)
+    return [*texts, page, "", None]
+
+
+def test_disclosure_matches_a_plain_count(spark):
+    texts = pii_corpus(5)
+    want = plain_pairs([t or "" for t in texts])
+    terms = {t for _, t in want}
+    assert {"zanzibar", "quixote"} <= terms and "xylophone" not in terms
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], DOC).coalesce(2)
+    scan = pii.cut(pii.scanned(docs))
+    got = {(r.entity, r.term): round(r.bits, 6) for r in pii.disclosing(docs, scan).collect()}
+    assert got == want
+    spans = {r.doc_id: {texts[r.doc_id][x["start"] : x["end"]] for x in r.terms} for r in pii.pii_spans(docs).collect()}
+    assert all("zanzibar" in spans[k] for k in range(900, 924)) and not any("xylophone" in x for x in spans.values())
