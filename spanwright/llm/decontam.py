@@ -15,8 +15,8 @@ block, the usual case, takes one pass; a larger one takes a pass a block.
 Defined cases: null and empty texts match nothing; passages under q units after normalising cannot
 be told from chance and match nothing; for short passages e is lowered until the bound is positive;
 of several regions the one with the fewest edits, then the first start, then the first end, is reported;
-rows that repeat a doc_id are reported each, and so are passages that repeat an item_id or a text; empty
-tables give no rows; other columns are ignored.
+rows that repeat a doc_id are reported each, and so are passages that repeat an item_id or a text (rows
+of the benchmark alike in both are one passage); empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,6 +97,36 @@ def banded_alignment(item: bytes, region: bytes, most: int) -> tuple[int, int, i
     return (best >> 32, best & 0xFFFFFFFF, k - most + m) if best < limit else None
 
 
+def aligned_alike(item: bytes, regions: list[bytes], most: int) -> list[tuple[int, int, int] | None]:
+    """banded_alignment() of regions of one length, all filled row by row at once."""
+    m, n = len(item), len(regions[0])
+    width = n - m + 2 * most + 1
+    if width <= 0:
+        return [None] * len(regions)
+    one, far = np.int64(1) << 32, np.int64(1) << 62
+    padded = np.full((len(regions), width + m + most + 1), -1, np.int16)
+    padded[:, most : most + n] = np.frombuffer(b"".join(regions), np.uint8).reshape(len(regions), n)
+    steps = np.arange(width, dtype=np.int64) << 32
+    start = np.arange(width, dtype=np.int64) - most
+    row = np.repeat(np.where((start >= 0) & (start <= n), start, far)[None, :], len(regions), axis=0)
+    limit = (most + 1) * one
+    for i, c in enumerate(item, 1):
+        new = row + one * (padded[:, i - 1 : i - 1 + width] != c)
+        np.minimum(new[:, :-1], row[:, 1:] + one, out=new[:, :-1])
+        new = np.minimum.accumulate(new - steps, axis=1) + steps
+        end = i - most
+        if end < 0:
+            new[:, :-end] = far
+        if end + width - 1 > n:
+            new[:, n - end + 1 :] = far
+        row = new
+        if not i % 64 and row.min() >= limit:
+            return [None] * len(regions)
+    k = row.argmin(axis=1)
+    best = row[np.arange(len(regions)), k]
+    return [(int(b) >> 32, int(b) & 0xFFFFFFFF, int(e) - most + m) if b < limit else None for b, e in zip(best, k, strict=True)]
+
+
 class PassageIndex:
     """Q-gram postings of a block of passages."""
 
@@ -120,7 +150,11 @@ class PassageIndex:
         self.bits[(self.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
     def hits(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item id, edits, start, end) of each passage found in text; places are in the normalised text."""
+        """(item id, edits, start, end) of each passage found in text; places are in the normalised text.
+
+        Memory is linear in the text and the postings of the grams that it shares; time is linear in the places of those grams in
+        the text times the passages that share them, and in the regions verified, alike ones once.
+        """
         if not self.ids or not text:
             return []
         data = normalised(text)
@@ -134,40 +168,65 @@ class PassageIndex:
         where, slot = where[same], slot[same]
         if not len(where):
             return []
-        n = self.last[slot] - self.first[slot]
-        place = np.repeat(self.first[slot] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, diagonal = self.item[place], np.repeat(where, n) - self.at[place]
-        band = diagonal // (self.edits[item] + 1)  # floors below zero too
-        low = int(band.min())
-        key, count = np.unique(item * np.int64(1 << 40) + (band - low), return_counts=True)
-        nxt = np.searchsorted(key, key + 1)
-        follows = (nxt < len(key)) & (key[np.minimum(nxt, len(key) - 1)] == key + 1)
-        both = count + np.where(follows, count[np.minimum(nxt, len(key) - 1)], 0)
-        prev = np.searchsorted(key, key - 1)
-        led = (prev < len(key)) & (key[np.minimum(prev, len(key) - 1)] == key - 1)
-        both = np.maximum(both, count + np.where(led, count[np.minimum(prev, len(key) - 1)], 0))
-        best: dict[int, tuple[int, int, int]] = {}
-        for k in key[both >= self.least[key >> np.int64(40)]].tolist():
-            i, b = k >> 40, (k & ((1 << 40) - 1)) + low
-            e, m = int(self.edits[i]), len(self.texts[i])
-            begin = max(0, (b - 1) * (e + 1) - e)
-            region = data[begin : (b + 2) * (e + 1) + m + e]
-            if (exact := region.find(self.texts[i])) >= 0:
-                found = (0, begin + exact, begin + exact + m)
-            elif (told := banded_alignment(self.texts[i], region, e)) is not None:
-                found = (told[0], begin + told[1], begin + told[2])
-            else:
-                continue
-            if i not in best or found < best[i]:
-                best[i] = found
-        return [(self.ids[i], *x) for i, x in sorted(best.items())]
+        order = np.argsort(slot, kind="stable")  # the places of each shared gram, in order
+        where, slot = where[order], slot[order]
+        shared, begin, count = np.unique(slot, return_index=True, return_counts=True)
+        n = self.last[shared] - self.first[shared]
+        place = np.repeat(self.first[shared] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        begin, count = np.repeat(begin, n), np.repeat(count, n)
+        by_item = np.argsort(self.item[place], kind="stable")
+        place, begin, count = place[by_item], begin[by_item], count[by_item]
+        items, first, postings = np.unique(self.item[place], return_index=True, return_counts=True)
+        found = []
+        for i, k, own in zip(items.tolist(), first.tolist(), postings.tolist(), strict=True):
+            if own >= self.least[i] and (hit := self._best(i, data, where, self.at[place[k : k + own]], begin[k : k + own], count[k : k + own])):
+                found.append((self.ids[i], *hit))
+        return found
+
+    def _best(self, i: int, data: bytes, where: np.ndarray, at: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[int, int, int] | None:
+        """The best match of passage i: at, begin and count are its shared grams' places in it and their runs in `where`."""
+        item, e, least = self.texts[i], int(self.edits[i]), int(self.least[i])
+        if (exact := data.find(item)) >= 0:
+            return 0, exact, exact + len(item)
+        if not e:
+            return None
+        low = -(len(item) // (e + 1)) - 1
+        bands = np.zeros(len(data) // (e + 1) - low + 3, np.int64)
+        step, k = 0, 0
+        while k < len(at):  # as many postings at once as have about a million places
+            step = max(1, int(np.searchsorted(np.cumsum(count[k:]), 1 << 20)))
+            runs = count[k : k + step]
+            places = np.repeat(begin[k : k + step] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+            diagonal = where[places] - np.repeat(at[k : k + step], runs)
+            bands += np.bincount(diagonal // (e + 1) - low, minlength=len(bands))  # floors below zero too
+            k += step
+        both = np.maximum(bands + np.append(bands[1:], 0), bands + np.append(0, bands[:-1]))
+        regions: dict[bytes, int] = {}
+        best: tuple[int, int, int] | None = None
+        hot = np.flatnonzero((both >= least) & (bands > 0))
+        # A region takes in the bands on either side, so of a run of hot bands every other one will do.
+        run = np.concatenate([[0], np.flatnonzero(np.diff(hot) > 1) + 1]) if len(hot) else hot
+        from_run = np.arange(len(hot)) - np.repeat(run, np.diff(np.append(run, len(hot)))) if len(hot) else hot
+        for b in (hot[from_run % 2 == 0] + low).tolist():
+            at_ = max(0, (b - 1) * (e + 1) - e)
+            regions.setdefault(data[at_ : (b + 2) * (e + 1) + len(item) + e], at_)
+        by_length: dict[int, list[bytes]] = {}
+        for region in regions:
+            by_length.setdefault(len(region), []).append(region)
+        for alike in by_length.values():
+            for k in range(0, len(alike), 64):
+                for region, told in zip(alike[k : k + 64], aligned_alike(item, alike[k : k + 64], e), strict=True):
+                    if told is not None:
+                        here = (told[0], regions[region] + told[1], regions[region] + told[2])
+                        best = here if best is None or here < best else best
+        return best
 
 
 def passage_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The passages in blocks of bounded bytes; one block is held at a time."""
+    """The passages (item_id and text, each pair once) in blocks of bounded bytes; one block is held at a time."""
     total = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    dealt = benchmark.select("item_id", "text").where("text IS NOT NULL")
+    dealt = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
     for b in range(blocks):
         part = dealt if blocks == 1 else dealt.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         yield [(r["item_id"], r["text"]) for r in part.collect()]

@@ -114,3 +114,33 @@ def test_disclosure_matches_a_plain_count(spark):
     assert got == want
     spans = {r.doc_id: {texts[r.doc_id][x["start"] : x["end"]] for x in r.terms} for r in pii.pii_spans(docs).collect()}
     assert all("zanzibar" in spans[k] for k in range(900, 924)) and not any("xylophone" in x for x in spans.values())
+
+
+def test_regions_aligned_together():
+    rnd = random.Random(6)
+    for _ in range(120):
+        item = bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(12, 60)))
+        most, n = rnd.randrange(1, 5), rnd.randrange(10, 90)
+        regions = []
+        for _ in range(5):
+            body = list(item)
+            for _ in range(rnd.randrange(0, 6)):
+                at = rnd.randrange(len(body) + 1)
+                body[at : at + rnd.randrange(2)] = [rnd.choice(b"abc")] * rnd.randrange(2)
+            whole = bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(0, 20))) + bytes(body) + bytes(rnd.choice(b"abc") for _ in range(90))
+            regions.append(whole[:n])
+        assert decontam.aligned_alike(item, regions, most) == [decontam.banded_alignment(item, r, most) for r in regions]
+
+
+def test_repetitive_texts_take_linear_memory_and_time():
+    began = time.time()
+    assert decontam.PassageIndex([(1, "a" * 2_000)]).hits("a" * 1_000_000) == [(1, 0, 0, 2_000)]
+    sentence = "the quick brown fox jumps over the lazy dog and runs away. "
+    passage, text = sentence * 13, sentence * 16_900
+    near = lambda k: "".join(c if (j * 7_919 + k) % 97 else "z" for j, c in enumerate(passage))
+    got = decontam.PassageIndex([(k, near(k)) for k in range(20)]).hits(text)
+    assert [x[0] for x in got] == list(range(20)) and all(0 < x[1] <= 39 for x in got)
+    other = decontam.PassageIndex([(k, passage[:300] + "".join(random.Random(k).choices("abcdefgh ", k=500))) for k in range(100)])
+    assert other.hits(text) == []
+    assert time.time() - began < 60
+    assert re.fullmatch("[a-z. ]+", text[:60])
