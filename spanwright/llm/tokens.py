@@ -45,7 +45,8 @@ SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1024
 BUCKET_KEYS, FEW_KEYS = 1024, 10_000
 #: Bytes of a Parquet row group of the index and of the payloads.
 INDEX_GROUP, PAYLOAD_GROUP = 1 << 20, 8 << 20
-CACHED_CHUNKS = 700_000
+#: Chunks that are kept at most, and their letters at most.
+CACHED_CHUNKS, KEPT_LETTERS = 700_000, 64
 SEGMENT_SCHEMA = "shard int, segment int, ids_before long, n_ids long, id_bytes int, keys binary, null_keys int, lengths binary, payload binary"
 ENTRY_SCHEMA = "key long, shard int, segment int, offset long, n_tokens long"
 INDEX_SCHEMA = "bucket long, n_keys int, seed int, pilots binary, prints binary, keys binary, copies binary, nulls binary, shards binary, segments binary, offsets binary, lengths binary"
@@ -143,7 +144,11 @@ class ChunkEncoder:
         new = sorted((c for c in set().union(*split) if c not in known), key=str.isascii)
         for at in range(0, len(new), 4096):
             self._learn(new[at : at + 4096])
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        for c in new:  # the table is bounded in bytes: long chunks stay for this batch only
+            if len(c) > KEPT_LETTERS:
+                del known[c]
+        return out
 
 
 @functools.lru_cache(maxsize=2)

@@ -41,6 +41,8 @@ LEAST_DOCS = 5
 #: Words of at least LEAST_DOCS sampled documents that count as likely; the longest piece of a word, and the least letters of a word in pieces.
 LIKELY, PIECE, LEAST_JOINED = 20_000, 4, 4
 FOLDS = 5
+#: Longer tokens are restored anew each time, so that the table of readings is bounded in bytes.
+KEPT_LETTERS = 48
 
 #: Signs and the letters they may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -180,9 +182,12 @@ class Restorer:
         return self.onward({""}, token) & self.vocabulary
 
     def token(self, raw: str) -> tuple[str, ...]:
-        core = _EDGE.sub("", raw)
-        if not any(c.isalpha() for c in core):
+        plain = raw.isalpha()  # nothing at its edges to strip or to read
+        core = raw if plain else _EDGE.sub("", raw)
+        if not plain and not any(c.isalpha() for c in core):
             return ()
+        if plain and max(core) < "\u0370" and not _DOUBLED.search(core):
+            return (core,)  # of Latin letters alone only repeated ones are suspect
         out = {core}
         if _SUSPECT.search(core):
             out = {*self.decode(core), *self.spelt(core)}
@@ -191,6 +196,8 @@ class Restorer:
                 out.update(self.decode(core))
             elif _REPEATS.sub(r"\1", core) in self.squeezed:
                 out |= self.spelt(core)
+        if plain:
+            return tuple(out)
         at = raw.find(core)
         lead, trail = _LEAD.search(raw[:at]), _TRAIL.search(raw[at + len(core) :])
         if lead or trail:
@@ -201,6 +208,8 @@ class Restorer:
     def joined(self, run: str) -> set[str]:
         """The words of the vocabulary that neighbouring pieces of a run spell together."""
         pieces, out = run.split(), set()
+        if self.likely.issuperset(pieces):  # a word in pieces has a piece that is no likely word
+            return out
         for i, first in enumerate(pieces):
             if first[0].isalpha() and first[0] not in self.prefixes:
                 continue
@@ -219,17 +228,17 @@ class Restorer:
         known = self.known
         if len(known) > 300_000:
             known.clear()
-        out: set[str] = set()
-        for raw in set(low.split()):
-            found = known.get(raw)
-            if found is None:
-                found = known[raw] = self.token(raw)
-            out.update(found)
+        tokens = set(low.split())
+        read = {raw: self.token(raw) for raw in tokens.difference(known)}
+        known.update((raw, x) for raw, x in read.items() if len(raw) <= KEPT_LETTERS)
+        out = set().union(*map(known.__getitem__, tokens.difference(read)), *read.values())
         for run in _SPELT.findall(low):
             letters = re.sub(r"[\s.\-_]", "", run)
             found = known.get("\0" + letters)
             if found is None:
-                found = known["\0" + letters] = self.decode(letters, ends=True)
+                found = self.decode(letters, ends=True)
+                if len(letters) <= KEPT_LETTERS:
+                    known["\0" + letters] = found
             out.update(found)
         if self.vocabulary:
             for run in _PIECES.findall(low):
