@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BackendUnavailable, Misconfigured
@@ -61,15 +61,32 @@ class Backend:
             raise BackendUnavailable(f"the endpoint serves {found or 'nothing'}, the model is {self.model}; serve that model, or name one of those")
 
 
-def stub() -> Backend:
-    """Responses from a hash of the request: the same on every run, and marked as a stub."""
+#: Fixed values of the stub's pattern: how many of 100 requests are silent, and for start, length and confidence the bits of the
+#: hash that are dropped first, the number of steps of a hundredth, and the least value.
+SEED, SILENT = "vrs", 45
+START, LENGTH, CONFIDENCE = (8, 40, 0.0), (16, 35, 0.15), (24, 55, 0.4)
+
+
+def hash_mod(hexed: Column, dropped_bits: int, modulus: int) -> Column:
+    """The number that 40 hex digits spell, without its last bits (whole digits), modulo a small number; eight digits at a time."""
+    kept, out = 40 - dropped_bits // 4, F.lit(0).cast("long")
+    for at in range(0, kept, 8):
+        n = min(8, kept - at)
+        out = F.pmod(out * 16**n + F.conv(F.substring(hexed, at + 1, n), 16, 10).cast("long"), F.lit(modulus))
+    return out
+
+
+def stub(seed: str = SEED) -> Backend:
+    """Responses from a hash of the request's window and query: the same on every run and engine, and marked as a stub."""
 
     def respond(requests: DataFrame) -> DataFrame:
-        h = F.pmod(F.xxhash64("video", "query", "index"), F.lit(1000))
+        h = F.sha1(F.concat_ws(":", F.lit(seed), F.col("index").cast("string"), F.col("query")).cast("binary"))
+        part = lambda way: way[2] + hash_mod(h, way[0], way[1]) / 100.0
         span = F.col("end_s") - F.col("start_s")
-        start = F.col("start_s") + span * (h % 10) / 20
-        told = F.format_string('{"events": [{"start_s": %.3f, "end_s": %.3f, "confidence": %.2f, "evidence": "stub"}]}', start, start + span / 4, (h % 100) / 100.0)
-        return requests.withColumn("raw", F.when(h % 3 == 0, told).otherwise('{"events": []}')).withColumn("stub", F.lit(True))
+        start = F.col("start_s") + span * part(START)
+        end = F.least(F.col("end_s"), start + span * part(LENGTH))
+        told = F.format_string('{"events": [{"start_s": %.3f, "end_s": %.3f, "confidence": %.3f, "evidence": "stub"}]}', start, end, part(CONFIDENCE))
+        return requests.withColumn("raw", F.when(hash_mod(h, 0, 100) < SILENT, '{"events": []}').otherwise(told)).withColumn("stub", F.lit(True))
 
     return Backend("stub", respond)
 

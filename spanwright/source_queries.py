@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from .config import Config, with_overrides
 from .functions import text as X
-from .operators import grids, quality
-from .plans import find, prompts
+from .operators import grids, quality, responses
+from .plans import backends, find, prompts
 from .queries import query, r
 from .sources import adapters as A
 from .sources import contract, files, recordings
@@ -238,3 +238,56 @@ def query_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries from lists with semicolons."""
     asked = X.query_list(F.concat("description", F.lit(" ; ;"), "evidence", F.lit(";")))
     return A.candidates(spark, sf_dir).select("event_id", F.explode(asked).alias("q")).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("q").alias("first"))
+
+
+# Streams over windows of time, and the stub.
+
+STREAMED = """streamed AS (SELECT event_id, video, description, floor(h * 1000 + 0.5) / 1000 AS t, ts FROM base JOIN (SELECT event_id, ts FROM events) USING (event_id)), ahead AS (SELECT max(epoch_us(ts)) - 86400000000 AS passed FROM events)"""
+
+
+@query(
+    """SELECT k * 32400 AS begins, description AS kind, count(*) AS n FROM (SELECT description, unnest(range((epoch_us(ts) // 1000000 - 43200) // 32400 + 1, epoch_us(ts) // 1000000 // 32400 + 1)) AS k FROM streamed)
+WHERE (k * 32400 + 43200) * 1000000 <= (SELECT passed FROM ahead) GROUP BY k, description""",
+    STREAMED,
+)
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by sliding windows of 12 hours every 9 from a stream: the windows that the watermark, a day behind, has closed."""
+    source = lambda: A.event_stream(spark, sf_dir).select("ts", F.col("event_type").alias("kind"))
+    counted = timelines.run_to_end(spark, lambda: timelines.stream_counts(source()), files.scratch_folder(spark, "windows"))
+    return counted.select(F.unix_seconds("start").alias("begins"), "kind", "n")
+
+
+@query(
+    """SELECT video, min(us) // 1000000 AS begins, max(us) // 1000000 AS last, count(*) AS n FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY video ORDER BY us) AS s FROM (
+    SELECT video, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY video ORDER BY ts) < 43200000000 THEN 0 ELSE 1 END AS fresh FROM streamed))
+GROUP BY video, s HAVING max(us) + 43200000000 <= (SELECT passed FROM ahead)""",
+    STREAMED,
+)
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions without a gap of 12 hours from a stream, those that the watermark has closed."""
+    source = lambda: A.event_stream(spark, sf_dir).select("ts", F.col("user_id").alias("video"))
+    found = timelines.run_to_end(spark, lambda: timelines.sessions(source(), "12 hours"), files.scratch_folder(spark, "sessions"))
+    return found.select("video", F.unix_seconds("start").alias("begins"), (F.unix_seconds("end") - 43_200).alias("last"), "n")
+
+
+def _mod(dropped: int, modulus: int) -> str:
+    digits = f"list_transform(range(1, {41 - dropped // 4}), lambda i: (position(substr(hex, i, 1) IN '0123456789abcdef') - 1)::BIGINT)"
+    return f"list_reduce(list_concat([0::BIGINT], {digits}), lambda a, d: (a * 16 + d) % {modulus})"
+
+
+@query(
+    """SELECT video, index, query, printf('%.3f', s) AS start_s, printf('%.3f', least(end_s, s + (end_s - start_s) * (0.15::DOUBLE + m35 / 100.0::DOUBLE))) AS end_s, printf('%.3f', 0.4::DOUBLE + m55 / 100.0::DOUBLE) AS confidence
+FROM (SELECT *, start_s + (end_s - start_s) * (0.0::DOUBLE + m40 / 100.0::DOUBLE) AS s FROM hashed) WHERE m100 >= 45""",
+    f"""asked AS (SELECT w.*, d AS query FROM windows w, (SELECT DISTINCT description AS d FROM truths)),
+hexed AS (SELECT index, query, sha1('vrs:' || index || ':' || query) AS hex FROM (SELECT DISTINCT index, query FROM asked)),
+keyed AS MATERIALIZED (SELECT index, query, {_mod(0, 100)} AS m100, {_mod(8, 40)} AS m40, {_mod(16, 35)} AS m35, {_mod(24, 55)} AS m55 FROM hexed),
+hashed AS (SELECT * FROM asked JOIN keyed USING (index, query))""",
+)
+def stub_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stub answers to every request of a run, read as any answer is."""
+    asked = A.truths(spark, sf_dir).select(F.col("description").alias("query")).distinct()
+    requests = grids.expand_requests(grids.plan_windows(A.media(spark, sf_dir)), asked, "overlay")
+    told = responses.parse_responses(backends.stub()(requests)).select("video", "index", "query", F.explode("events").alias("e"))
+    text = lambda name: F.format_string("%.3f", F.col(f"e.{name}")).alias(name)
+    return told.select("video", "index", "query", text("start_s"), text("end_s"), text("confidence"))

@@ -70,10 +70,16 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polls_of(table(spark, sf_dir, "events"))
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table's files as a stream. A pattern may name a file or a folder, a plain path only a folder."""
+    events = table(spark, sf_dir, "events")
+    rows = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def poll_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """polls as a stream of the table's files."""
-    schema = table(spark, sf_dir, "events").schema
-    return polls_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"))  # a pattern may name a file or a folder, a plain path only a folder
+    return polls_of(event_stream(spark, sf_dir))
 
 
 def polls_of(events: DataFrame) -> DataFrame:
