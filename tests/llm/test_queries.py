@@ -10,7 +10,7 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 
 def test_all_queries():
-    assert [n.split("_")[0] for n in Q.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in Q.queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_pipeline_stages(spark, sf_dir):
