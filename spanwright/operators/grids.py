@@ -16,11 +16,16 @@ def n_windows(duration: Column, window_s: float, stride_s: float) -> Column:
     return F.when(duration > 0, 1 + F.greatest(F.lit(0), F.ceil((duration - window_s) / stride_s))).otherwise(0).cast("int")
 
 
+def spread_clips(media: DataFrame) -> DataFrame:
+    """media over as many tasks as a shuffle has: few bytes of clips, which Spark would leave to one task, become many rows."""
+    return media.repartition(int(media.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def plan_windows(media: DataFrame, window_s: float = WINDOW_S, stride_s: float = STRIDE_S) -> DataFrame:
     """video, index, start_s, end_s: overlapping windows from 0, the last ending at the duration; none for an empty clip."""
     if window_s <= 0 or stride_s <= 0:
         raise ValueError("window and stride must be positive")
-    counted = media.withColumn("_n", n_windows(F.col("duration_s"), window_s, stride_s)).where("_n > 0")
+    counted = spread_clips(media).withColumn("_n", n_windows(F.col("duration_s"), window_s, stride_s)).where("_n > 0")
     rows = counted.withColumn("index", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     start = F.col("index") * stride_s
     return rows.select("video", "index", rounded(start, 3).alias("start_s"), rounded(F.least(start + window_s, F.col("duration_s")), 3).alias("end_s"))
@@ -31,6 +36,18 @@ def window_edges(windows: DataFrame) -> DataFrame:
     return windows.select("video", F.col("start_s").alias("edge")).union(windows.select("video", "end_s")).distinct()
 
 
+def planned_edges(media: DataFrame, window_s: float = WINDOW_S, stride_s: float = STRIDE_S) -> DataFrame:
+    """window_edges() of the windows that plan_windows() plans, told by each clip's own row: no table of edges is held.
+
+    media: one row a clip.
+    """
+    if window_s <= 0 or stride_s <= 0:
+        raise ValueError("window and stride must be positive")
+    counted = spread_clips(media).withColumn("_n", n_windows(F.col("duration_s"), window_s, stride_s)).where("_n > 0")
+    ends = lambda i: F.array(rounded(i * stride_s, 3), rounded(F.least(i * stride_s + window_s, F.col("duration_s")), 3))
+    return counted.select("video", F.explode_outer(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), ends)))).alias("edge"))
+
+
 def plan_cost(media: DataFrame, n_queries: int, fps: float, window_s: float = WINDOW_S, stride_s: float = STRIDE_S) -> DataFrame:
     n = n_windows(F.col("duration_s"), window_s, stride_s)
     return media.select("video", F.floor(F.col("duration_s") * fps).cast("int").alias("frames"), n.alias("windows"), F.lit(n_queries).alias("queries"), (n * n_queries).alias("model_calls"))
@@ -50,7 +67,7 @@ def check_budget(cost: DataFrame, limit: int) -> DataFrame:
 def poll_grid(media: DataFrame, step_s: float = STEP_S, span_s: float = SPAN_S) -> DataFrame:
     """video, t: a uniform grid from 0 to duration - span, both included; none for shorter clips."""
     last = F.floor((F.col("duration_s") - span_s) / step_s + 1e-9)
-    numbered = media.where(F.col("duration_s") >= span_s).select("video", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("_i"))
+    numbered = spread_clips(media).where(F.col("duration_s") >= span_s).select("video", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("_i"))
     return numbered.select("video", rounded(F.col("_i") * step_s, 3).alias("t"))
 
 

@@ -82,7 +82,7 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: candidates merged under a gap and a span cap, scored, and flagged where only partly seen."""
     media = A.media(spark, sf_dir)
     events = merge.merge(A.candidates(spark, sf_dir), ["video", "description"])
-    flagged = merge.partial_flag(events, grids.window_edges(grids.plan_windows(media)), media)
+    flagged = merge.partial_flag(events, grids.planned_edges(media), media)
     return flagged.withColumn("source_windows", F.array_join(F.col("source_windows").cast("array<string>"), ","))
 
 
@@ -119,7 +119,7 @@ def plan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT video, unnest([start_s, end_s]) AS edge FROM windows")
 def window_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.window_edges(grids.plan_windows(A.media(spark, sf_dir)))
+    return grids.planned_edges(A.media(spark, sf_dir))
 
 
 @query("SELECT video, 1440 AS frames, 80 AS windows, 13 AS queries, 1040 AS model_calls FROM media")
