@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Highest score that agreeing detections reach together.
@@ -48,3 +48,10 @@ def edge_of(at: Column, lo: Column, hi: Column, opening: bool, max_bracket: floa
     narrow = (hi - lo) <= max_bracket
     seen = rounded(hi if opening else lo + span, 3)
     return F.when(narrow, at).otherwise(seen), ~narrow
+
+
+def times_by_second(rows: DataFrame, at: str, tolerance: float) -> DataFrame:
+    """video, _cell (a whole second) and _times: the distinct times of rows (video, at) that are within the tolerance of a time in it."""
+    wide = tolerance + 1e-6
+    spread = rows.select("video", F.col(at).alias("_at"), F.explode_outer(F.sequence(F.floor(F.col(at) - wide), F.floor(F.col(at) + wide))).alias("_cell"))
+    return spread.where(F.col("_cell").isNotNull()).groupBy("video", "_cell").agg(F.collect_set("_at").alias("_times"))

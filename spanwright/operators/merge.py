@@ -6,11 +6,11 @@ import math
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.intervals import noisy_or, rounded
+from ..functions.intervals import noisy_or, rounded, times_by_second
 from .folds import fold_column
 
 GAP_S, MAX_SPAN_S, IOU, EDGE_S = 0.5, 60.0, 0.3, 0.25
@@ -72,15 +72,18 @@ def merge(cands: DataFrame, keys: list[str], gap_s: float = GAP_S, max_span_s: f
 def partial_flag(events: DataFrame, edges: DataFrame, media: DataFrame, tolerance: float = EDGE_S) -> DataFrame:
     """events with ``partial``: at the clip's own ends, or seen by one window only and at an observed edge.
 
-    edges: video, edge. Only edges next to a boundary matter, so both meet on whole seconds.
+    edges: video, edge. Each second of a clip holds the edges around it, so a boundary meets one row; events are read once, and
+    none is told apart by a number, which another reading might give to another event.
     """
-    placed = events.join(media.select("video", "duration_s"), "video", "left").withColumn("_id", F.monotonically_increasing_id())
-    single = placed.where(F.size("source_windows") <= 1).select("_id", "video", F.explode(F.array("start_s", "end_s")).alias("b"))
-    spread = single.withColumn("_s", F.explode(F.array(F.floor(F.col("b") - tolerance), F.floor(F.col("b") + tolerance))))
-    near = spread.join(edges.withColumn("_s", F.floor("edge")), ["video", "_s"]).where(F.abs(F.col("b") - F.col("edge")) < tolerance).select("_id").distinct().withColumn("_near", F.lit(True))
-    flagged = placed.join(near, "_id", "left")
-    partial = F.when((F.col("start_s") <= tolerance) | (F.col("end_s") >= F.col("duration_s") - tolerance), True).when(F.size("source_windows") > 1, False).otherwise(F.coalesce("_near", F.lit(False)))
-    return flagged.withColumn("partial", partial).drop("_id", "_near", "duration_s")
+    def near(side: str) -> Column:
+        return F.exists(F.coalesce(f"_{side}", F.array().cast("array<double>")), lambda e: F.abs(F.col(side) - e) < tolerance)
+
+    seconds = times_by_second(edges, "edge", tolerance)
+    flagged = events.join(media.select("video", "duration_s"), "video", "left")
+    for side in ("start_s", "end_s"):
+        flagged = flagged.withColumn("_cell", F.floor(side)).join(seconds.withColumnRenamed("_times", f"_{side}"), ["video", "_cell"], "left")
+    partial = F.when((F.col("start_s") <= tolerance) | (F.col("end_s") >= F.col("duration_s") - tolerance), True).when(F.size("source_windows") > 1, False).otherwise(near("start_s") | near("end_s"))
+    return flagged.withColumn("partial", F.coalesce(partial, F.lit(False))).select(*events.columns, "partial")
 
 
 def in_order(events: DataFrame) -> DataFrame:
