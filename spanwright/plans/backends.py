@@ -80,13 +80,14 @@ def stub(seed: str = SEED) -> Backend:
     """Responses from a hash of the request's window and query: the same on every run and engine, and marked as a stub."""
 
     def respond(requests: DataFrame) -> DataFrame:
-        h = F.sha1(F.concat_ws(":", F.lit(seed), F.col("index").cast("string"), F.col("query")).cast("binary"))
+        hashed = requests.withColumn("_h", F.sha1(F.concat_ws(":", F.lit(seed), F.col("index").cast("string"), F.col("query")).cast("binary")))
+        h = F.col("_h")  # a column of its own, as it is read many times
         part = lambda way: way[2] + hash_mod(h, way[0], way[1]) / 100.0
         span = F.col("end_s") - F.col("start_s")
         start = F.col("start_s") + span * part(START)
         end = F.least(F.col("end_s"), start + span * part(LENGTH))
         told = F.format_string('{"events": [{"start_s": %.3f, "end_s": %.3f, "confidence": %.3f, "evidence": "stub"}]}', start, end, part(CONFIDENCE))
-        return requests.withColumn("raw", F.when(hash_mod(h, 0, 100) < SILENT, '{"events": []}').otherwise(told)).withColumn("stub", F.lit(True))
+        return hashed.withColumn("raw", F.when(hash_mod(h, 0, 100) < SILENT, '{"events": []}').otherwise(told)).drop("_h").withColumn("stub", F.lit(True))
 
     return Backend("stub", respond)
 

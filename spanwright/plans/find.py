@@ -57,7 +57,7 @@ def find_by_windows(media: DataFrame, frames: DataFrame | None, queries: DataFra
     carried = ["frame_times"] if frames is not None else []
     requests = with_prompts(grids.expand_requests(shown, asked, variant))
     parsed = responses.parse_responses(backend(requests).select("video", "query", "index", "start_s", "end_s", "raw", *carried))
-    rows = parsed.select("video", "query", "index", F.col("start_s").alias("w_start"), F.col("end_s").alias("w_end"), *carried, F.posexplode("events").alias("k", "e"))
+    rows = parsed.select("video", "query", "index", F.col("start_s").alias("w_start"), F.col("end_s").alias("w_end"), *carried, F.posexplode_outer("events").alias("k", "e")).where(F.col("e").isNotNull())
     rows = rows.select("video", "query", "index", "w_start", "w_end", "k", *carried, F.col("e.start_s").alias("e_start"), F.col("e.end_s").alias("e_end"), "e.confidence", "e.evidence")
     kept = responses.reconcile(rows).where("reason IS NULL")
     cands = kept.select("video", F.col("query").alias("description"), (F.col("index") * 1000 + F.col("k")).cast("long").alias("event_id"), "start_s", "end_s", "confidence", "evidence", F.col("index").alias("window_index"))

@@ -288,6 +288,6 @@ def stub_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stub answers to every request of a run, read as any answer is."""
     asked = A.truths(spark, sf_dir).select(F.col("description").alias("query")).distinct()
     requests = grids.expand_requests(grids.plan_windows(A.media(spark, sf_dir)), asked, "overlay")
-    told = responses.parse_responses(backends.stub()(requests)).select("video", "index", "query", F.explode("events").alias("e"))
+    told = responses.events_of(responses.parse_responses(backends.stub()(requests))).select("video", "index", "query", "e")
     text = lambda name: F.format_string("%.3f", F.col(f"e.{name}")).alias(name)
     return told.select("video", "index", "query", text("start_s"), text("end_s"), text("confidence"))

@@ -18,6 +18,10 @@ def test_flags_stay_with_their_events(spark):
     same(Q.QUERIES["interval_merge"](spark, LARGE).toPandas(), connect(LARGE).sql(Q.SQL["interval_merge"]).df())
 
 
+def test_stub_answers_are_read_once(spark, sf_dir):
+    assert plan_of(Q.QUERIES["stub_events"](spark, sf_dir)).count("from_json") == 1
+
+
 def test_edges_are_told_over_many_tasks(spark, sf_dir):
     assert Q.QUERIES["window_edges"](spark, sf_dir).rdd.getNumPartitions() == 4
     media = spark.createDataFrame([(1, 720.0), (2, 5.0), (3, 0.0), (4, 30.1234)], "video long, duration_s double")
