@@ -479,7 +479,7 @@ FROM (SELECT *, CASE WHEN e_end - e_start < 1e-3 THEN 'zero_length' WHEN (e_end
 )
 def reconcile_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reported times against their windows, some moved so that starts fall outside, and the frames shown."""
-    parsed = responses.parse_responses(A.raw_responses(spark, sf_dir)).select("video", "event_id", (F.col("start_s") + 1.25 * (F.col("event_id") % 3)).alias("w_start"), F.col("end_s").alias("w_end"), F.explode("events").alias("e"))
+    parsed = responses.events_of(responses.parse_responses(A.raw_responses(spark, sf_dir))).select("video", "event_id", (F.col("start_s") + 1.25 * (F.col("event_id") % 3)).alias("w_start"), F.col("end_s").alias("w_end"), "e")
     rows = parsed.select("video", "event_id", "w_start", "w_end", F.col("e.start_s").alias("e_start"), F.col("e.end_s").alias("e_end"))
     return responses.reconcile(rows, A.frames(spark, sf_dir)).select("event_id", "reason", "clamped", "start_s", "end_s")
 

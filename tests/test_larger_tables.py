@@ -22,6 +22,11 @@ def test_stub_answers_are_read_once(spark, sf_dir):
     assert plan_of(Q.QUERIES["stub_events"](spark, sf_dir)).count("from_json") == 1
 
 
+@pytest.mark.parametrize(("name", "times"), [("reconcile_times", 1)])
+def test_answers_are_read_once_a_use(spark, sf_dir, name, times):
+    assert plan_of(Q.QUERIES[name](spark, sf_dir)).count("ArrowEvalPython") <= times
+
+
 def test_edges_are_told_over_many_tasks(spark, sf_dir):
     assert Q.QUERIES["window_edges"](spark, sf_dir).rdd.getNumPartitions() == 4
     media = spark.createDataFrame([(1, 720.0), (2, 5.0), (3, 0.0), (4, 30.1234)], "video long, duration_s double")
