@@ -22,7 +22,7 @@ def test_stub_answers_are_read_once(spark, sf_dir):
     assert plan_of(Q.QUERIES["stub_events"](spark, sf_dir)).count("from_json") == 1
 
 
-@pytest.mark.parametrize(("name", "times"), [("reconcile_times", 1)])
+@pytest.mark.parametrize(("name", "times"), [("reconcile_times", 1), ("probe_report", 3)])
 def test_answers_are_read_once_a_use(spark, sf_dir, name, times):
     assert plan_of(Q.QUERIES[name](spark, sf_dir)).count("ArrowEvalPython") <= times
 
