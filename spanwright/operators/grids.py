@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.intervals import rounded
 from .joins import short_list
+from .states import by_time
 
 WINDOW_S, STRIDE_S, STEP_S, SPAN_S, SLACK = 12.0, 9.0, 1.0, 2.0, 1e-6
 
@@ -72,12 +73,12 @@ def poll_grid(media: DataFrame, step_s: float = STEP_S, span_s: float = SPAN_S)
 
 
 def downsample(frames: DataFrame, step_s: float, start_s: float = 0.0, end_s: float | None = None) -> DataFrame:
-    """The first frame at or after each grid point, at most one a step."""
+    """The first frame at or after each grid point, at most one a step; of frames of one time, that with the least event_id, if they have one."""
     kept = frames.where(F.col("t") + SLACK >= start_s)
     if end_s is not None:
         kept = kept.where(F.col("t") <= end_s)
     cell = F.floor((F.col("t") - start_s + SLACK) / step_s)
-    first = Window.partitionBy("video", "_cell").orderBy("t")
+    first = Window.partitionBy("video", "_cell").orderBy(*by_time(frames))
     return kept.withColumn("_cell", cell).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_cell")
 
 
@@ -106,7 +107,7 @@ def with_frames(windows: DataFrame, frames: DataFrame, media: DataFrame, max_fra
 def subsample(rows: DataFrame, keys: list[str], most: int, order: str = "t") -> DataFrame:
     """Rows whose rank is int(i * (n / most)) for some i: an even sample of at most `most` rows of each key."""
     own = Window.partitionBy(*keys)
-    ranked = rows.withColumns({"_r": F.row_number().over(own.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(own)})
+    ranked = rows.withColumns({"_r": F.row_number().over(own.orderBy(*(by_time(rows) if order == "t" else [order]))) - 1, "_n": F.count(F.lit(1)).over(own)})
     step = F.col("_n") / float(most)
     # Some i has int(i * step) = r exactly if the first i with i * step >= r stays below r + 1; its neighbours cover rounding.
     guess = F.floor(F.col("_r") / step)

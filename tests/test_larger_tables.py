@@ -5,7 +5,7 @@ from compare import connect, same
 from pyspark.sql import functions as F
 
 from spanwright import queries as Q
-from spanwright.operators import grids
+from spanwright.operators import grids, states
 
 LARGE = "/root/testdata/sf0.1"
 
@@ -33,3 +33,26 @@ def test_edges_are_told_over_many_tasks(spark, sf_dir):
     for window, stride in ((12.0, 9.0), (6.0, 3.0), (3.0, 4.5)):
         want = grids.window_edges(grids.plan_windows(media, window, stride))
         assert sorted(map(tuple, grids.planned_edges(media, window, stride).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_polls_of_one_time_follow_by_event(spark):
+    """Whatever the order of the rows and their tasks, equal times are met by event_id, with and without a stream's sort."""
+    polls = [(1, k, 10.0 + k // 3, state, state) for k, state in enumerate(["open", "closed"] * 30)]
+    schema, media = "video long, event_id long, t double, state string, text string", spark.createDataFrame([(1, 60.0)], "video long, duration_s double")
+    want = sorted((p[2], q[2], q[3]) for p, q in zip(polls, polls[1:]))
+    for rows in (polls, polls[::-1], polls[1::2] + polls[::2]):
+        df = spark.createDataFrame(rows, schema).repartition(3)
+        assert sorted((r.lo, r.hi, r.to_state) for r in states.transitions(df, ["video"]).collect()) == want
+        ends = states.boundaries(df, ["video"], "open").first()
+        assert (ends["first"], ends["last"]) == ("open", "closed")
+        assert [r.event_id for r in grids.downsample(df, 1.0).orderBy("t").collect()] == list(range(0, 60, 3))
+        spans = states.state_spans(df, media, ["video"], "open").collect()
+        assert len(spans) == 30 and all(r.start_s <= r.end_s for r in spans)
+        kept = grids.subsample(df, ["video"], 4).collect()
+        assert sorted(r.event_id for r in kept) == [0, 15, 30, 45]
+
+
+def test_half_of_a_coverage_rounds_as_in_the_sql(spark):
+    """0.655 of 0.8 seconds (up) and 2 of 2.56 (down), by the times' binary differences."""
+    found = Q.QUERIES["state_events"](spark, LARGE).where("(video = 740 AND start_s = 444.194) OR (video = 374 AND start_s = 376.986)")
+    assert sorted((r.video, r.coverage) for r in found.collect()) == [(374, 0.7812), (740, 0.8188)]
