@@ -32,7 +32,7 @@ class Timeline(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "ms LONG, t DOUBLE, state STRING")
-        self.waiting = handle.getListState("waiting", "ms LONG, t DOUBLE, state STRING")
+        self.waiting = handle.getListState("waiting", "ms LONG, t DOUBLE, nth LONG, state STRING")
 
     def _wake(self, ms: int) -> None:
         for timer in list(self.handle.listTimers()):
@@ -40,7 +40,7 @@ class Timeline(StatefulProcessor):
         self.handle.registerTimer(ms)
 
     def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        found = [(int(ms), float(t), str(s)) for part in rows for ms, t, s in zip(part["ms"], part["t"], part["state"], strict=True)]
+        found = [(int(ms), float(t), int(n), str(s)) for part in rows for ms, t, n, s in zip(part["ms"], part["t"], part["nth"], part["state"], strict=True)]
         if found:
             self.waiting.appendList(found)
             first = min(x[0] for x in found)
@@ -55,11 +55,11 @@ class Timeline(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple[Any, ...], timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted((int(r[0]), float(r[1]), str(r[2])) for r in self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted((int(r[0]), float(r[1]), int(r[2]), str(r[3])) for r in self.waiting.get()) if self.waiting.exists() else []
         due, later = [r for r in rows if r[0] < passed], [r for r in rows if r[0] >= passed]
         last = tuple(self.last.get()) if self.last.exists() else None
         out = []
-        for row in due:
+        for row in ((ms, t, s) for ms, t, _, s in due):
             if last is not None and row[2] != last[2] and (self.carry_s is None or row[1] - last[1] <= self.carry_s):
                 out.append((key[0], int((last[1] + row[1]) / 2 * 1000 + 0.5) / 1000, last[2], row[2], last[1], row[1]))
             last = row
@@ -93,7 +93,9 @@ def stream_transitions(polls: DataFrame, late: str = "1 minute", carry_s: float
     if spark.conf.get(STORE, "") != ROCKSDB:
         raise Misconfigured(f"state with timers needs {STORE}={ROCKSDB}")
     ship_package(spark)
-    known = polls.where("state IS NOT NULL AND t IS NOT NULL").select("video", "t", "state", F.floor(F.col("t") * 1000).cast("long").alias("ms"))
+    # Polls of one time follow each other by event_id, if they have one.
+    nth = F.col("event_id").cast("long") if "event_id" in polls.columns else F.lit(0).cast("long")
+    known = polls.where("state IS NOT NULL AND t IS NOT NULL").select("video", "t", nth.alias("nth"), "state", F.floor(F.col("t") * 1000).cast("long").alias("ms"))
     known = known.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", late)
     return known.groupBy("video").transformWithStateInPandas(Timeline(carry_s), TRANSITION, "Append", "EventTime")
 
