@@ -52,6 +52,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_dealt(df: DataFrame) -> DataFrame:
+    """cut() of a join or grouping by keys of few rows each, which keeps how its rows are dealt: later joins on the keys leave them where they are.
+
+    Spark forgets that where it plans adaptively, so this one plan is fixed beforehand; its skewed keys would not be split.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, before)
+
+
 def cut_packed(df: DataFrame, rows_per_task: int = 50_000, least: int = 8) -> DataFrame:
     """cut(), read again in as many tasks as its rows need, so that few rows do not become many small shuffle files."""
     return cut_counted(df, rows_per_task, least)[0]

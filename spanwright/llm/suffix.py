@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, cut_counted, heavy_join, hot_key, text_of
+from .common import arrow_map, cut, cut_counted, cut_dealt, heavy_join, hot_key, text_of
 from .minhash import _power
 from .perfect_hash import mix
 
@@ -42,6 +42,8 @@ WINDOW = LENGTH - GRAM + 1
 REACH = WINDOW - 1
 #: Most entries of a bucket in one task.
 BUCKET = 1_000
+#: Bits of the bitmap of repeated grams, a power of two of at least 32,768, the bits of one of Spark's bitmaps.
+GRAM_BITS = 1 << 26
 
 _BYTE = np.random.default_rng(7_654_321).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0xD1342543DE82EF95
@@ -143,10 +145,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"), "doc_id", text.alias("text"))
 
 
-def anchor_rows(texts: DataFrame) -> DataFrame:
-    """d, x, pos, kh (gram), u (context) of every minimiser."""
+def gram_bitmap(grams: DataFrame) -> np.ndarray:
+    """A packed bitmap with a bit of each gram (_kh); GRAM_BITS bits at most reach the driver, whatever the input."""
+    bits, bit = np.zeros(GRAM_BITS // 8, np.uint8), F.col("_kh").bitwiseAND(F.lit(GRAM_BITS - 1)) + 1
+    parts = grams.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    for r in parts.toLocalIterator():
+        part = np.frombuffer(r["bits"], np.uint8)
+        bits[(r["at"] - 1) * len(part) : r["at"] * len(part)] = part
+    return bits
+
+
+def anchor_rows(texts: DataFrame, known: np.ndarray | None = None) -> DataFrame:
+    """d, x, pos, kh (gram), u (context) of every minimiser; given a bitmap, of those whose grams have a bit in it (others may)."""
+    sent = None if known is None else texts.sparkSession.sparkContext.broadcast(known.tobytes())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if sent is None else np.frombuffer(sent.value, np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -155,6 +169,10 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
                 if sum(n):
                     d, x = (np.repeat(part.column(k).to_numpy(), n) for k in (0, 1))
                     pos, kh, u = (np.concatenate([f[k] for f in found]) for k in range(3))
+                    if bits is not None:
+                        bit = kh & (8 * len(bits) - 1)
+                        has = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                        d, x, pos, kh, u = (c[has] for c in (d, x, pos, kh, u))
                     yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(x), pa.array(pos.astype(np.int64)), pa.array(kh), pa.array(u)], names=["d", "x", "pos", "kh", "u"])
 
     return arrow_map(texts.select("d", "x", "text").where(F.octet_length("text") >= LENGTH), scan, "d long, x long, pos long, kh long, u long")
@@ -163,8 +181,13 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
 CONTEXT_SCHEMA = "kh long, u long, left binary, right binary"
 
 
-def contexts(texts: DataFrame) -> DataFrame:
-    """kh, u, left (reversed) and right of the entries asked for: texts has d, x, text and asked, an array of (pos, kh, u)."""
+def contexts(texts: DataFrame, crowded: bool) -> DataFrame:
+    """kh, u, left (reversed) and right of the entries asked for, in buckets over BUCKET entries or in the others.
+
+    texts has d, x, text and asked, an array of (pos, kh, u, entries).
+    """
+    over = F.lit(BUCKET)
+    asked = F.filter("asked", lambda a: a["entries"] > over if crowded else a["entries"] <= over)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +201,7 @@ def contexts(texts: DataFrame) -> DataFrame:
                     left.append(data[max(0, p - REACH) : p][::-1]), right.append(data[p : p + LENGTH])
                 yield pa.RecordBatch.from_arrays([pa.array(kh, pa.int64()), pa.array(u, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["kh", "u", "left", "right"])
 
-    return arrow_map(texts.where(F.size("asked") > 0).select("text", "asked"), scan, CONTEXT_SCHEMA)
+    return arrow_map(texts.select("text", asked.alias("asked")).where(F.size("asked") > 0), scan, CONTEXT_SCHEMA)
 
 
 MARK_SCHEMA = "kh long, u long, lo int, hi int"
@@ -314,27 +337,29 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     # Grams found at two places of different texts, or of one text.
     # Written out, so that the join below can split the rows of a hot gram over tasks.
     grams = cut(anchor_rows(texts).select("kh", F.xxhash64("x", "pos").alias("p")).groupBy("kh").agg(F.min("p").alias("_a"), F.max("p").alias("_b")).where("_a <> _b").select(F.col("kh").alias("_kh")))
-    met = anchor_rows(texts).join(grams, F.col("kh") == F.col("_kh"), "left_semi")
+    met = anchor_rows(texts, gram_bitmap(grams)).join(grams, F.col("kh") == F.col("_kh"), "left_semi")
     met = cut(met.join(firsts, (F.col("d") == F.col("_d")) & (F.col("x") == F.col("_x")), "left_semi"))
 
     entries = cut(met.groupBy("kh", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "x", "pos")).alias("first")))
     # A bucket of settled entries only needs no tree.
     sizes = entries.groupBy(F.col("kh").alias("_kh")).agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("n") == 1).alias("_open")).where("entries > 1 AND _open > 0").drop("_open")
     sizes = cut(sizes)
-    sized = cut(entries.join(sizes, F.col("kh") == F.col("_kh")).select("kh", "u", "first.*", "entries"))
-    asked = sized.groupBy("d", "x").agg(F.collect_list(F.struct("pos", "kh", "u")).alias("asked"))
-    touched = met.select("d", "x").distinct().join(asked, ["d", "x"], "left").withColumnsRenamed({"d": "_d", "x": "_x"})
-    none = F.array().cast("array<struct<pos:bigint,kh:bigint,u:bigint>>")
-    held = texts.select("d", "x", "text").join(touched, (F.col("d") == F.col("_d")) & (F.col("x") == F.col("_x"))).select("d", "x", "text", F.coalesce("asked", none).alias("asked"))
-    held = cut(held.dropDuplicates(["d", "x"]) if docs_repeat(told) else held)
-
-    shown = cut(contexts(held).join(sizes, F.col("kh") == F.col("_kh")).select("kh", "u", "left", "right", "entries"))
-    ranged = shown.withColumns({"lo": F.lit(0), "hi": F.lit(REACH)})
+    sized = entries.join(sizes, F.col("kh") == F.col("_kh")).select("kh", "u", "first.*", "entries")
+    asked = sized.groupBy("d", "x").agg(F.collect_list(F.struct("pos", "kh", "u", "entries")).alias("asked"))
+    touched = cut(met.select("d", "x").distinct().join(asked, ["d", "x"], "left").withColumnsRenamed({"d": "_d", "x": "_x"}))
+    none = F.array().cast("array<struct<pos:bigint,kh:bigint,u:bigint,entries:bigint>>")
+    long = texts.select("d", "x", "text").where(F.octet_length("text") >= LENGTH)
+    # Repeated rows go within their tasks, ahead of the shuffle, so that one document's do not meet.
+    long = long.dropDuplicates(["d", "x"]) if docs_repeat(told) else long
+    held = long.join(touched, (F.col("d") == F.col("_d")) & (F.col("x") == F.col("_x"))).select("d", "x", "text", F.coalesce("asked", none).alias("asked"))
+    # Texts are shuffled here only: contexts are read where they lie, and the spans come to them.
+    held = cut_dealt(held)
+
+    whole_range = {"lo": F.lit(0), "hi": F.lit(REACH)}
     marks = [entries.where("n > 1").select("kh", "u", F.lit(0).alias("lo"), F.lit(REACH).alias("hi"))]
-    marks.append(bucket_marks(ranged.where(F.col("entries") <= BUCKET).withColumn("key", F.col("kh"))))
-    crowded = ranged.where(F.col("entries") > BUCKET)
-    if crowded.limit(1).count():
-        marks += crowd_marks(crowded)
+    marks.append(bucket_marks(contexts(held, crowded=False).withColumns(whole_range | {"key": F.col("kh")})))
+    if sizes.where(F.col("entries") > BUCKET).limit(1).count():
+        marks += crowd_marks(contexts(held, crowded=True).withColumns(whole_range))
     every = marks[0]
     for more in marks[1:]:
         every = every.union(more)
