@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,6 +52,25 @@ def planned_edges(media: DataFrame, window_s: float = WINDOW_S, stride_s: float
     return counted.select("video", F.explode_outer(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), ends)))).alias("edge"))
 
 
+def near_planned_edge(at: Column, duration: Column, tolerance: float, window_s: float = WINDOW_S, stride_s: float = STRIDE_S) -> Column:
+    """Whether a time is nearer than the tolerance to an edge of its clip's windows, those of plan_windows().
+
+    Starts and ends rise with the window's number, so the windows numbered around the time's own place have the nearest edges and
+    no table of edges is joined.
+    """
+    if window_s <= 0 or stride_s <= 0:
+        raise ValueError("window and stride must be positive")
+    n = n_windows(duration, window_s, stride_s)
+    reach = 1 + math.ceil(1e-3 / stride_s)  # how many windows off the rounding of edges may put the place
+
+    def near(place: Column, edge: Callable[[Column], Column]) -> Column:
+        k = F.floor(F.least(F.greatest(place / stride_s, F.lit(0.0)), n.cast("double")))
+        around = F.sequence(F.greatest(k - reach, F.lit(0)), F.least(k + reach, n - 1))
+        return F.exists(around, lambda i: F.abs(at - rounded(edge(i), 3)) < tolerance)
+
+    return (n > 0) & (near(at, lambda i: i * stride_s) | near(at - window_s, lambda i: F.least(i * stride_s + window_s, duration)))
+
+
 def plan_cost(media: DataFrame, n_queries: int, fps: float, window_s: float = WINDOW_S, stride_s: float = STRIDE_S) -> DataFrame:
     n = n_windows(F.col("duration_s"), window_s, stride_s)
     return media.select("video", F.floor(F.col("duration_s") * fps).cast("int").alias("frames"), n.alias("windows"), F.lit(n_queries).alias("queries"), (n * n_queries).alias("model_calls"))

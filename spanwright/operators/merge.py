@@ -6,12 +6,13 @@ import math
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.intervals import noisy_or, rounded, times_by_second
+from ..functions.intervals import noisy_or, rounded
 from .folds import fold_column
+from .grids import STRIDE_S, WINDOW_S, near_planned_edge
 
 GAP_S, MAX_SPAN_S, IOU, EDGE_S = 0.5, 60.0, 0.3, 0.25
 
@@ -69,20 +70,15 @@ def merge(cands: DataFrame, keys: list[str], gap_s: float = GAP_S, max_span_s: f
     ).drop("grp")
 
 
-def partial_flag(events: DataFrame, edges: DataFrame, media: DataFrame, tolerance: float = EDGE_S) -> DataFrame:
+def partial_flag(events: DataFrame, media: DataFrame, tolerance: float = EDGE_S, window_s: float = WINDOW_S, stride_s: float = STRIDE_S) -> DataFrame:
     """events with ``partial``: at the clip's own ends, or seen by one window only and at an observed edge.
 
-    edges: video, edge. Each second of a clip holds the edges around it, so a boundary meets one row; events are read once, and
-    none is told apart by a number, which another reading might give to another event.
+    media: one row a clip. The edges are those of the windows that grids.plan_windows() plans for it, told by arithmetic: a table of
+    them has hundreds of rows a clip, which Spark takes for the clips' few bytes and hands to the driver.
     """
-    def near(side: str) -> Column:
-        return F.exists(F.coalesce(f"_{side}", F.array().cast("array<double>")), lambda e: F.abs(F.col(side) - e) < tolerance)
-
-    seconds = times_by_second(edges, "edge", tolerance)
     flagged = events.join(media.select("video", "duration_s"), "video", "left")
-    for side in ("start_s", "end_s"):
-        flagged = flagged.withColumn("_cell", F.floor(side)).join(seconds.withColumnRenamed("_times", f"_{side}"), ["video", "_cell"], "left")
-    partial = F.when((F.col("start_s") <= tolerance) | (F.col("end_s") >= F.col("duration_s") - tolerance), True).when(F.size("source_windows") > 1, False).otherwise(near("start_s") | near("end_s"))
+    at_edge = [near_planned_edge(F.col(side), F.col("duration_s"), tolerance, window_s, stride_s) for side in ("start_s", "end_s")]
+    partial = F.when((F.col("start_s") <= tolerance) | (F.col("end_s") >= F.col("duration_s") - tolerance), True).when(F.size("source_windows") > 1, False).otherwise(at_edge[0] | at_edge[1])
     return flagged.withColumn("partial", F.coalesce(partial, F.lit(False))).select(*events.columns, "partial")
 
 

@@ -62,7 +62,7 @@ def find_by_windows(media: DataFrame, frames: DataFrame | None, queries: DataFra
     kept = responses.reconcile(rows).where("reason IS NULL")
     cands = kept.select("video", F.col("query").alias("description"), (F.col("index") * 1000 + F.col("k")).cast("long").alias("event_id"), "start_s", "end_s", "confidence", "evidence", F.col("index").alias("window_index"))
     events = merge.merge(cands, ["video", "description"], config.merge.gap_s, config.merge.max_span_s, iou=config.merge.iou)
-    return merge.partial_flag(events, grids.window_edges(windows), media)
+    return merge.partial_flag(events, media, window_s=w.window_s, stride_s=w.stride_s)
 
 
 def poll_requests(media: DataFrame, groups: DataFrame, config: Config) -> DataFrame:

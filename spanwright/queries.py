@@ -82,7 +82,7 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: candidates merged under a gap and a span cap, scored, and flagged where only partly seen."""
     media = A.media(spark, sf_dir)
     events = merge.merge(A.candidates(spark, sf_dir), ["video", "description"])
-    flagged = merge.partial_flag(events, grids.planned_edges(media), media)
+    flagged = merge.partial_flag(events, media)
     return flagged.withColumn("source_windows", F.array_join(F.col("source_windows").cast("array<string>"), ","))
 
 
