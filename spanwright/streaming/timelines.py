@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,6 +15,8 @@ from ..errors import Misconfigured
 from ..shipping import ship_package
 
 TRANSITION = "video LONG, at DOUBLE, from_state STRING, to_state STRING, lo DOUBLE, hi DOUBLE"
+#: Where a stream's time 0 stands, in ms from 1970: a stream begins with a watermark of 1970, and what is not above it counts as late.
+ZERO_MS = 1_000_000_000_000
 #: Keyed state with timers needs this store.
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -61,7 +64,7 @@ class Timeline(StatefulProcessor):
         out = []
         for row in ((ms, t, s) for ms, t, _, s in due):
             if last is not None and row[2] != last[2] and (self.carry_s is None or row[1] - last[1] <= self.carry_s):
-                out.append((key[0], int((last[1] + row[1]) / 2 * 1000 + 0.5) / 1000, last[2], row[2], last[1], row[1]))
+                out.append((key[0], math.floor((last[1] + row[1]) / 2 * 1000 + 0.5) / 1000, last[2], row[2], last[1], row[1]))
             last = row
         if later:
             self.waiting.put(later)
@@ -85,7 +88,7 @@ class Timeline(StatefulProcessor):
 def stream_transitions(polls: DataFrame, late: str = "1 minute", carry_s: float | None = None) -> DataFrame:
     """Transitions of a stream of polls (video, t in seconds, state), each told once the watermark has passed its second poll.
 
-    Event time is t, counted from 1970. Polls that come at most `late` behind the newest are put in their place, later ones are dropped. A state is carried over at
+    Event time is t, counted from ZERO_MS, so that no poll is late by where its clip's time begins. Polls that come at most `late` behind the newest are put in their place, later ones are dropped. A state is carried over at
     most carry_s of unobserved time: a change across a longer gap is none, and the state of a clip that is silent for longer is
     removed. The same rows as operators.states.transitions() over all polls that the watermark has passed.
     """
@@ -95,7 +98,7 @@ def stream_transitions(polls: DataFrame, late: str = "1 minute", carry_s: float
     ship_package(spark)
     # Polls of one time follow each other by event_id, if they have one.
     nth = F.col("event_id").cast("long") if "event_id" in polls.columns else F.lit(0).cast("long")
-    known = polls.where("state IS NOT NULL AND t IS NOT NULL").select("video", "t", nth.alias("nth"), "state", F.floor(F.col("t") * 1000).cast("long").alias("ms"))
+    known = polls.where("state IS NOT NULL AND t IS NOT NULL").select("video", "t", nth.alias("nth"), "state", (F.floor(F.col("t") * 1000).cast("long") + ZERO_MS).alias("ms"))
     known = known.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", late)
     return known.groupBy("video").transformWithStateInPandas(Timeline(carry_s), TRANSITION, "Append", "EventTime")
 

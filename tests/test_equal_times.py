@@ -53,3 +53,10 @@ def test_equal_stays_are_as_many_events(spark):
     got = states.state_events(polls, media, ["video"], "open").orderBy("start_s").collect()
     assert [(r.start_s, r.end_s) for r in got] == [(10.0, 10.0)] * 3 + [(11.0, 20.0)]
     assert states.state_spans(polls, media, ["video"], "open").count() == 4
+
+
+def test_stream_takes_polls_from_time_0_and_before(spark, tables):
+    folder = tables([(0, -3, 1, "click"), (1, 0, 1, "purchase"), (2, 0, 2, "view"), (3, 2, 1, "view"), (4, 7, 2, "signup"), (5, 90, 3, "view")])
+    want = sql(folder, "streamed_transitions")
+    assert len(want) == 3
+    same(Q.QUERIES["streamed_transitions"](spark, folder).toPandas(), want)
