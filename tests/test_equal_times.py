@@ -60,3 +60,12 @@ def test_stream_takes_polls_from_time_0_and_before(spark, tables):
     want = sql(folder, "streamed_transitions")
     assert len(want) == 3
     same(Q.QUERIES["streamed_transitions"](spark, folder).toPandas(), want)
+
+
+#: Equal last times; the labels are far from wherever the changes there may lie.
+TALLIED = [(0, 10, 1, "purchase"), (1, 100, 1, "signup"), (2, 100, 1, "click"), (3, 10, 2, "click"), (4, 100, 2, "purchase"), (5, 100, 2, "view")]
+
+
+def test_tally_of_equal_last_times(spark, tables):
+    folder = tables(TALLIED)
+    same(Q.QUERIES["transition_tally"](spark, folder).toPandas(), sql(folder, "transition_tally"))
